@@ -29,4 +29,14 @@ f0 AS (SELECT b.src, block, words, source_size, target, epochs, target - epochs
 SELECT d.doc_id, d.size, f3.source_size, f3.target, (d.size * (f3.epochs + f3.chosen::INTEGER))::BIGINT AS taken
 FROM d JOIN f3 USING (src, block)"""
 
-ORACLES: dict[str, str] = {"op9_source_mixing": OP9}
+OP5 = """WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.a),
+least AS (SELECT a AS vec_id, min(c) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e LEFT JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)"""
+
+ORACLES: dict[str, str] = {"op5_itq_near_duplicates": OP5, "op9_source_mixing": OP9}

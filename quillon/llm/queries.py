@@ -7,20 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import mixing, packing, sharding, wavelet
+from quillon.llm import ann, itq, mixing, packing, sharding, simhash, wavelet
 from quillon.llm.common import scratch, table
 
 
+def op2_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "op4")
     wavelet.write_shards(table(spark, sf_dir, "documents"), path)
     return wavelet.read_shards(spark, path)
 
 
+def op5_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash.group_documents(table(spark, sf_dir, "documents"), width=3, radius=3)
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
@@ -31,4 +44,6 @@ def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_wavelet_tokens, op6_best_fit_packing, op9_source_mixing, op10_feistel_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op2_one_bit_search, op4_wavelet_tokens, op5_itq_near_duplicates, op6_best_fit_packing, op7_simhash_groups, op9_source_mixing, op10_feistel_sharding)
+}

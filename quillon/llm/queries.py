@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import ann, itq, lm, mixing, packing, sharding, simhash, wavelet
+from quillon.llm import ann, itq, lm, mixing, packing, sharding, simhash, suffix, wavelet
 from quillon.llm.common import scratch, table
 
 
@@ -19,6 +19,10 @@ def op2_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "op4")
     wavelet.write_shards(table(spark, sf_dir, "documents"), path)
@@ -49,5 +53,5 @@ def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_elias_fano_scores, op2_one_bit_search, op4_wavelet_tokens, op5_itq_near_duplicates, op6_best_fit_packing, op7_simhash_groups, op9_source_mixing, op10_feistel_sharding)
+    f.__name__: f for f in (op1_elias_fano_scores, op2_one_bit_search, op3_suffix_dedup, op4_wavelet_tokens, op5_itq_near_duplicates, op6_best_fit_packing, op7_simhash_groups, op9_source_mixing, op10_feistel_sharding)
 }

@@ -2,7 +2,7 @@
 
 A text is cut only where neither vocabulary can join what stands on the two sides, so the ids of a
 text are the ids of its units in a row. Most units are words seen before; the others are encoded
-by the tokenizers library, thousands in one call, with the end-of-text token between them.
+by the tokenizers library, thousands in one call.
 """
 
 from __future__ import annotations
@@ -18,7 +18,12 @@ SEPARATOR = "<|endoftext|>"
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s | \s|^ | $")
-_CONTROL = re.compile(r"[\x1c-\x1f]")
+#: Outside these, normal forms and letter case need the whole text; so do the controls that some call white space.
+_FAR = re.compile(r"[^\x00-\x1b\x20-\u024f]")
+#: Marks that stand apart from the letter or digit before them in both vocabularies.
+STOPS = ".,;:!?"
+#: What the word vocabulary's file cuts at (a fixed value of that file).
+_WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ENCODERS: dict[tuple[str, str], UnitEncoder] = {}
 
 
@@ -33,18 +38,26 @@ def tokenizer_path(name_or_path: str) -> str:
 class UnitEncoder:
     """Encodes texts to little-endian unsigned 16-bit ids, without special tokens of its own.
 
-    kind "byte": a unit starts at each single space between two other characters. kind "word": units
-    lie between white space. The cache holds at most `room` units and starts afresh when it is full.
+    kind "byte": a unit starts at each single space between two other characters; in the ids of units
+    in a row, a token that starts with a space starts a unit. kind "word": units lie between white
+    space; each part of a unit ends in one word-end token. The cache holds about `room` units and
+    starts afresh when it is full.
     """
 
-    def __init__(self, name_or_path: str, kind: str, room: int = 500_000, call: int = 4096):
+    def __init__(self, name_or_path: str, kind: str, room: int = 1_000_000, call: int = 4096):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name_or_path))
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        size = self.tokenizer.get_vocab_size()
+        if size > 1 << 16:
             raise ValueError("ids over 65535 don't fit 16 bits")
         self.kind, self.room, self.call = kind, room, call
-        self.separator = self.tokenizer.token_to_id(SEPARATOR)
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.mark = np.array([n.startswith("\u0120") if kind == "byte" else n.endswith("</w>") for n in names])
+        self.mark_line = np.array([n.startswith("\u010a") for n in names])
+        self.tails: dict[str, bytes] = {"": b""}
+        self.parts = regex.compile(_WORD_PARTS)
         self.cache: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
@@ -55,43 +68,87 @@ class UnitEncoder:
         if SEPARATOR[:2] in text:
             return None
         if self.kind == "word":
-            return None if _CONTROL.search(text) else text.split()
+            return None if _FAR.search(text) else text.lower().split()
         return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
-    def _learn(self, units: list[str]) -> None:
-        lead = " " if self.kind == "byte" else ""
+    def _ends(self, some: list[str], ids: np.ndarray, lead: str) -> list[int] | None:
+        """Where each unit's ids end, if the marks agree with the number of units."""
+        marks = np.flatnonzero((self.mark if lead == " " else self.mark_line)[ids])
+        if self.kind == "byte":
+            return [*marks[1:].tolist(), len(ids)] if len(marks) == len(some) and marks[0] == 0 else None
+        parts = np.cumsum([len(self.parts.findall(u)) for u in some])
+        return (marks[parts - 1] + 1).tolist() if len(marks) == parts[-1] else None
+
+    def _encode_row(self, units: list[str], lead: str) -> None:
+        """Learns units that hold no white space, each with this lead before it, under lead + unit."""
+        key = "" if lead == " " or self.kind == "word" else lead
         for i in range(0, len(units), self.call):
             some = units[i : i + self.call]
-            joined = SEPARATOR.join([lead + u for u in some])
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u2")
-            ends = np.flatnonzero(ids == self.separator)
-            if len(ends) != len(some) - 1:
-                self.cache.update((u, self._plain(lead + u)) for u in some)
+            ids = np.array(self.tokenizer.encode_batch_fast([lead + lead.join(some)], add_special_tokens=False)[0].ids, "<u2")
+            ends = self._ends(some, ids, lead)
+            if ends is None:
+                self.cache.update((key + u, self._plain(lead + u)) for u in some)
                 continue
             raw, at = ids.tobytes(), 0
-            for u, end in zip(some, [*ends.tolist(), len(ids)], strict=True):
-                self.cache[u] = raw[2 * at : 2 * end]
-                at = end + 1
+            for u, end in zip(some, ends, strict=True):
+                self.cache[key + u] = raw[at : 2 * end]
+                at = 2 * end
+
+    def _learn(self, units: list[str]) -> None:
+        """Learns units from their parts: lines within a unit, and the stops at the end of a line."""
+        known, rows, built = self.cache, {" ": {}, "\n": {}}, []
+        lead = " "
+        for u in units:
+            lines = u.split("\n") if "\n" in u else (u,)
+            parts = []
+            for n, line in enumerate(lines):
+                base = line.rstrip(STOPS)
+                if not base or not base[-1].isalnum() or len(line.split()) != 1 or line[0].isspace():
+                    parts = None
+                    break
+                parts.append((base if not n else "\n" + base, line[len(base) :]))
+                if parts[-1][0] not in known:
+                    rows["\n" if n else " "][base] = None
+            if parts is not None and (len(parts) > 1 or parts[0][1]):
+                built.append((u, parts))
+            elif parts is None:
+                if len(u.split()) == 1 and not u[0].isspace() and not u[-1].isspace():
+                    rows[" "][u] = None
+                else:
+                    known[u] = self._plain(lead + u if self.kind == "byte" else u)
+        self._encode_row(list(rows[" "]), " ")
+        self._encode_row(list(rows["\n"]), "\n")
+        for u, parts in built:
+            known[u] = b"".join([x for base, stops in parts for x in (known[base], self._stops(stops))])
+
+    def _stops(self, stops: str) -> bytes:
+        if stops not in self.tails:
+            self.tails[stops] = self._plain(stops)
+        return self.tails[stops]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > self.room:
             self.cache.clear()
-        cut = [self._units(t) for t in texts]
-        new: dict[str, None] = {}
-        known = self.cache
         first = 1 if self.kind == "byte" else 0
+        cut = [self._units(t) for t in texts]
+        every: list[str] = []
         for units in cut:
             if units is not None:
-                new.update(dict.fromkeys([u for u in units[first:] if u not in known]))
-        self._learn(list(new))
-        out, get = [], self.cache.__getitem__
+                every += units[first:]
+        codes = list(map(self.cache.get, every))
+        holes = [i for i, c in enumerate(codes) if c is None]
+        self._learn(list(dict.fromkeys([every[i] for i in holes])))
+        for i in holes:
+            codes[i] = self.cache[every[i]]
+        out, at = [], 0
         for text, units in zip(texts, cut, strict=True):
             if units is None:
                 out.append(self._plain(text))
-            elif first:
-                out.append(self._plain(units[0]) + b"".join(map(get, units[1:])))
-            else:
-                out.append(b"".join(map(get, units)))
+                continue
+            end = at + len(units) - first
+            body = b"".join(codes[at:end])
+            out.append(self._plain(units[0]) + body if first else body)
+            at = end
         return out
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import ann, itq, lm, mixing, packing, sharding, simhash, suffix, wavelet
+from quillon.llm import ann, itq, lm, mixing, packing, quality, sharding, simhash, suffix, wavelet
 from quillon.llm.common import scratch, table
 
 
@@ -42,6 +42,10 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
@@ -53,5 +57,5 @@ def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_elias_fano_scores, op2_one_bit_search, op3_suffix_dedup, op4_wavelet_tokens, op5_itq_near_duplicates, op6_best_fit_packing, op7_simhash_groups, op9_source_mixing, op10_feistel_sharding)
+    f.__name__: f for f in (op1_elias_fano_scores, op2_one_bit_search, op3_suffix_dedup, op4_wavelet_tokens, op5_itq_near_duplicates, op6_best_fit_packing, op7_simhash_groups, op8_co_training, op9_source_mixing, op10_feistel_sharding)
 }

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import WORD, broadcast_if, text_or_empty
 
 BLOCKS = 1024
-SHARDS = 16
+SHARDS = 64
 MOST = 3
 SEED = "mix-1"
 

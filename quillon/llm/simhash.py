@@ -16,6 +16,11 @@ fingerprints are one class. To find all classes within `radius` bits:
 A task returns a spanning forest of its links, not the links. A value with over `CELL` entries is
 split into blocks, and each pair of blocks meets in a cell of its own, so no task holds a hot value.
 
+`near_groups` links documents by the Jaccard similarity of their word shingles instead. It looks for
+fingerprints within `NEAR_RADIUS` bits; of these pairs, those that are also near by `EXTRA` further
+fingerprint words chain documents into loose groups, and inside a loose group all pairs of distinct
+texts are compared exactly, in cells of bounded size.
+
 Defined cases: null or empty texts have fingerprint zero and link like any other; repeated rows and
 ties share a class; null doc_ids never name a component unless all of it is null; an empty table
 gives no rows; other columns are ignored.
@@ -33,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import stored, text_or_empty
+from quillon.llm.common import broadcast_if, mix64, stored, text_or_empty
 from quillon.llm.graph import cells, components, forest, same_key_pairs
 from quillon.llm.tokens import in_slices
 
@@ -158,42 +163,52 @@ def _masks(bits: tuple[int, ...], threshold: int) -> np.ndarray:
 # ---- candidates and verification
 
 
-def similar(classes: DataFrame, radius: int = 3, rows: int | None = None) -> DataFrame:
-    """Links (a, b) that span every group of fingerprints `fp` chained by steps of at most radius bits."""
+def similar(classes: DataFrame, radius: int = 3, rows: int | None = None, link=None, columns: list[str] | None = None) -> DataFrame:
+    """Links (a, b) that span every group of fingerprints `fp` chained by steps of at most radius bits.
+
+    link turns a task's entries into links, columns are what entries carry; both for other rules.
+    """
     rows = classes.count() if rows is None else rows
+    link, columns = link or (lambda pdf: _verify(pdf, radius)), columns or ["fp"]
     sample = np.array([r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64)
     index = choose_index(sample, rows, radius)
+    at = columns.index("fp")
 
     def enter(batches):
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
+            fp = batch.column(at).to_numpy().view(np.uint64)
             for part, (bits, threshold) in enumerate(index):
                 own = fp & np.uint64(sum(1 << b for b in bits))
                 masks = np.concatenate((np.zeros(1, np.uint64), _masks(tuple(bits), threshold)))
                 for probe, mask in enumerate(masks):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), part, np.int32)), pa.array((own ^ mask).view(np.int64)), pa.array(np.full(len(fp), probe > 0)), batch.column(0)], names=["part", "value", "probe", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), part, np.int32)), pa.array((own ^ mask).view(np.int64)), pa.array(np.full(len(fp), probe > 0)), *batch.columns], names=["part", "value", "probe", *columns])
 
-    entries = classes.select("fp").mapInArrow(enter, "part int, value long, probe boolean, fp long")
-    met = cells(entries, ["part", "value"], "fp", CELL)
+    entries = classes.select(*columns).mapInArrow(enter, "part int, value long, probe boolean, " + ", ".join(f"{c} long" for c in columns))
+    met = cells(entries, ["part", "value"], columns[0], CELL)
     tasks = max(64, min(rows * len(index) // 50_000, 1 << 20))
     keyed = met.withColumn("task", F.pmod(F.xxhash64("part", "value", "low", "high"), tasks))
-    return keyed.groupBy("task").applyInPandas(lambda pdf: _verify(pdf, radius), "a long, b long")
+    return keyed.groupBy("task").applyInPandas(link, "a long, b long")
 
 
-def _verify(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
+def _forest_of(pdf: pd.DataFrame, near, words: list[str], ident: str) -> pd.DataFrame:
     pdf = pdf.sort_values(["part", "value", "low", "high"], kind="stable")
     key = pdf[["part", "value", "low", "high"]].to_numpy()
     group = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]).any(1)))) if len(key) else np.empty(0, np.int64)
-    fp, block, probe = pdf["fp"].to_numpy().view(np.uint64), pdf["block"].to_numpy(), pdf["probe"].to_numpy()
-    diagonal = (pdf["low"] == pdf["high"]).to_numpy()
-    names, place = np.unique(fp, return_inverse=True)
+    block, probe, diagonal = pdf["block"].to_numpy(), pdf["probe"].to_numpy(), key[:, 2] == key[:, 3]
+    values = [pdf[w].to_numpy().view(np.uint64) for w in words]
+    names, place = np.unique(pdf[ident].to_numpy(), return_inverse=True)
     label = np.arange(len(names))
     for i, j in same_key_pairs(group):
-        fits = (np.bitwise_count(fp[i] ^ fp[j]) <= radius) & ~(probe[i] & probe[j]) & (diagonal[i] | (block[i] != block[j]))
+        fits = near(values, i, j) & ~(probe[i] & probe[j]) & (diagonal[i] | (block[i] != block[j]))
         a, b = label[place[i[fits]]], label[place[j[fits]]]
         label = forest(a, b, len(names))[label]
     child = np.flatnonzero(label != np.arange(len(names)))
-    return pd.DataFrame({"a": names[child].view(np.int64), "b": names[label[child]].view(np.int64)})
+    return pd.DataFrame({"a": names[child], "b": names[label[child]]})
+
+
+def _verify(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
+    """A forest of the links between fingerprints within the radius."""
+    return _forest_of(pdf, lambda words, i, j: np.bitwise_count(words[0][i] ^ words[0][j]) <= radius, ["fp"], "fp")
 
 
 def group_documents(docs: DataFrame, width: int = 3, radius: int = 3, seed: int = SEED) -> DataFrame:
@@ -204,3 +219,120 @@ def group_documents(docs: DataFrame, width: int = 3, radius: int = 3, seed: int
     named = classes.join(reach, classes["fp"] == reach["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+# ---- by similarity
+
+NEAR_RADIUS = 12
+EXTRA = 2  #: further fingerprint words
+EXTRA_SHARE = 0.26  #: of all bits, that may differ in a loose link: 4 deviations over the mean at similarity 0.8
+GROUP_CELL = 128
+
+
+def wide_fingerprints(docs: DataFrame, width: int, seed: int = SEED) -> DataFrame:
+    """(doc_id, text_hash, fp, e0, ...): the fingerprint and further ones from remixed hashes."""
+
+    def scan(batches):
+        for batch in batches:
+            texts, words = batch.column(2).to_pylist(), [[] for _ in range(1 + EXTRA)]
+            for _, some in in_slices(texts):
+                for t in some:
+                    h = shingle_hashes(t, width, seed)
+                    for n, column in enumerate(words):
+                        column.append(fingerprint(mix64(h, 100 + n) if n else h))
+            columns = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_hash", "fp", *(f"e{n}" for n in range(EXTRA))])
+
+    extra = ", ".join(f"e{n} long" for n in range(EXTRA))
+    return docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text")).mapInArrow(scan, f"doc_id long, text_hash long, fp long, {extra}")
+
+
+def _loose(pdf: pd.DataFrame, radius: int, most: int) -> pd.DataFrame:
+    """A forest of the links between ids within the radius and, by all words, within `most` bits."""
+    return _forest_of(pdf, lambda words, i, j: (np.bitwise_count(words[0][i] ^ words[0][j]) <= radius) & (sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int32) for w in words) <= most), ["fp", *(f"e{n}" for n in range(EXTRA))], "id")
+
+
+def jaccard_links(sets: list[np.ndarray], least: float, blocks: np.ndarray | None = None, step: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of sorted sets of hashes whose Jaccard similarity is at least `least`; only across blocks if given."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets], np.float64)
+    owner = np.repeat(np.arange(n), sizes.astype(np.int64))
+    names, place = np.unique(np.concatenate(sets), return_inverse=True)
+    shared = np.bincount(place, minlength=len(names)) > 1
+    new = np.cumsum(shared) - 1
+    keep = shared[place]
+    owner, column = owner[keep], new[place[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    for start in range(0, int(shared.sum()), step):
+        lo, hi = np.searchsorted(column, (start, start + step))
+        block = np.zeros((n, step), np.float32)
+        block[owner[lo:hi], column[lo:hi] - start] = 1
+        both += block @ block.T
+    i, j = np.nonzero(np.triu(both >= least * (sizes[:, None] + sizes[None, :] - both), 1) & (sizes[:, None] > 0) & (sizes[None, :] > 0))
+    if blocks is not None:
+        across = blocks[i] != blocks[j]
+        i, j = i[across], j[across]
+    return i, j
+
+
+def _verify_groups(t: pa.Table, width: int, seed: int, least: float) -> pa.Table:
+    keys = np.stack([t[c].to_numpy() for c in ("component", "low", "high")], 1)
+    ids, block, texts = t["id"].to_numpy(), t["block"].to_numpy(), t["text"].to_pylist()
+    order = np.lexsort((ids, keys[:, 2], keys[:, 1], keys[:, 0]))
+    edge = np.flatnonzero(np.concatenate(([True], (keys[order][1:] != keys[order][:-1]).any(1), [True])))
+    a, b = [], []
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        mine = order[lo:hi]
+        sets = [np.unique(shingle_hashes(texts[i], width, seed)) for i in mine]
+        i, j = jaccard_links(sets, least, None if keys[mine[0], 1] == keys[mine[0], 2] else block[mine])
+        label = forest(i, j, len(mine))
+        child = np.flatnonzero(label != np.arange(len(mine)))
+        a.append(ids[mine[child]])
+        b.append(ids[mine[label[child]]])
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
+def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = NEAR_RADIUS, seed: int = SEED) -> DataFrame:
+    """(doc_id, text_hash, component_id): least doc_id of the documents chained by similarity `least`; no null doc_ids.
+
+    Documents with equal words in all fingerprints are one class, for which the document with the least id stands.
+    """
+    words = ["fp", *(f"e{n}" for n in range(EXTRA))]
+    fps = stored(wide_fingerprints(docs.filter("doc_id is not null"), width, seed))
+    classes = stored(fps.groupBy(*words).agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select(*words, "first.*").withColumn("id", F.monotonically_increasing_id()))
+    rows = classes.count()
+    most = int(EXTRA_SHARE * BITS * len(words))
+    entries = similar(classes, radius, rows, lambda pdf: _loose(pdf, radius, most), ["id", *words])
+    loose = components(entries)
+    grouped = classes.join(loose, classes["id"] == loose["node"]).select("id", "component", "doc_id", "text_hash")
+    count = grouped.count()
+    chosen = docs.withColumn("text_hash", F.xxhash64(text_or_empty())).select("doc_id", "text_hash", text_or_empty().alias("text"))
+    texts = chosen.join(broadcast_if(grouped, count, 64), ["doc_id", "text_hash"]).dropDuplicates(["id"])
+    met = cells(texts, ["component"], "id", GROUP_CELL)
+    tasks = max(64, min(count // 200, 1 << 20))
+    by_task = met.withColumn("task", F.pmod(F.xxhash64("component", "low", "high"), tasks)).groupBy("task")
+    links = by_task.applyInArrow(lambda t: _verify_groups(t, width, seed, least), "a long, b long")
+    reach = components(links)
+    named = classes.join(reach, classes["id"] == reach["node"], "left").select(*words, "doc_id", F.coalesce("component", "id").alias("component"))
+    lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(lowest, "component").select(*words, "component_id")
+    return fps.join(named, words).select("doc_id", "text_hash", "component_id")
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """The documents that are the first of their group, with their columns; of rows with one doc_id, one.
+
+    Rows without a doc_id can't be named and stay.
+    """
+    groups = stored(near_groups(docs, **options))
+    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(broadcast_if(gone, gone.count(), 16), "doc_id", "left_anti").select(*docs.columns)
+    twice = groups.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    # a row of its own for each repeated id, the least by text
+    again = kept.join(twice, "doc_id", "left_semi").select(*docs.columns)
+    once = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text_or_empty())).alias("row")).select("row.*")
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).union(once)

@@ -124,8 +124,8 @@ class Text:
         return np.stack((np.where(self.null[d] == 1, NONE, self.ids[d]), self.hash[d].view(np.int64), at - self.starts[d]), 1)
 
 
-def make_batches(docs: DataFrame, limit: int) -> DataFrame:
-    """(batch, body)"""
+def make_batches(docs: DataFrame, limit: int, carry: list[str]) -> DataFrame:
+    """(batch, body, rest): the documents, and their carried columns as an Arrow stream."""
 
     def scan(rows):
         from xxhash import xxh64_intdigest
@@ -133,27 +133,37 @@ def make_batches(docs: DataFrame, limit: int) -> DataFrame:
         part, seq = TaskContext.get().partitionId(), 0
         ids: list = []
         texts: list[bytes] = []
+        rest: list[pa.RecordBatch] = []
         held = 0
 
         def close() -> pa.RecordBatch:
-            nonlocal seq, ids, texts, held
+            nonlocal seq, ids, texts, rest, held
             raw = np.frombuffer(b"".join(texts), np.uint8)
             body = pack(raw, np.array([len(t) for t in texts], np.int64), np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), np.array([xxh64_intdigest(t, 1) >> 1 for t in texts], np.uint64), level=3)
-            out = pa.RecordBatch.from_pydict({"batch": pa.array([part << 32 | seq]), "body": pa.array([body], pa.binary())})
-            seq, ids, texts, held = seq + 1, [], [], 0
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rest[0].schema) as stream:
+                for some in rest:
+                    stream.write_batch(some)
+            out = pa.RecordBatch.from_pydict({"batch": pa.array([part << 32 | seq]), "body": pa.array([body], pa.binary()), "rest": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+            seq, ids, texts, rest, held = seq + 1, [], [], [], 0
             return out
 
         for r in rows:
-            for i, t in zip(r.column(0).to_pylist(), r.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            carried, first = r.select(range(2, r.num_columns)), 0
+            for n, (i, t) in enumerate(zip(r.column(0).to_pylist(), r.column(1).cast(pa.binary()).to_pylist(), strict=True)):
                 if ids and held + len(t) > limit:
+                    rest.append(carried.slice(first, n - first))
+                    first = n
                     yield close()
                 ids.append(i)
                 texts.append(t)
                 held += len(t)
+            rest.append(carried.slice(first))
         if ids:
             yield close()
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(scan, "batch long, body binary")
+    kept = [F.col(c).alias(f"c{n}") for n, c in enumerate(carry)]
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), *kept).mapInArrow(scan, "batch long, body binary, rest binary")
 
 
 def _by_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -436,14 +446,27 @@ def find_spans(text: Text, run: Run, replies: dict[int, bytes], shape: Shape) ->
     return np.cumsum(change[:-1]) > 0
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, texts: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) for each row."""
-    shape = Shape(length, gram)
-    batches = stored(make_batches(docs, batch_bytes))
+def whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """gone without the characters that it holds only in part."""
+    lead = (data & 0xC0) != 0x80
+    char = np.cumsum(lead) - 1
+    stays = np.zeros(int(char[-1]) + 1 if len(char) else 0, bool)
+    stays[char[~gone]] = True
+    return gone & ~stays[char]
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, carry: list[str] | None = None, text: str | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row, then the columns in `carry`.
+
+    text: the name of a last column for what is left as text. Characters that are removed only in part stay in it whole.
+    """
+    shape, carry = Shape(length, gram), carry or []
+    batches = stored(make_batches(docs, batch_bytes, carry))
     total = batches.select(F.octet_length("body").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(LEAST_SHARDS, -(-total // SHARD_BYTES))
-    alone = stored(repeated_anchors(batches, shape, shards))
+    alone = stored(repeated_anchors(batches.select("batch", "body"), shape, shards))
     own = batches.select("batch", F.lit(-1).alias("shard"), "body")
+    whole = batches.select("batch", F.lit(-1).alias("shard"), "body", "rest")
 
     def send(t: pa.Table) -> pa.Table:
         by = dict(zip(t["shard"].to_pylist(), t["body"].to_pylist(), strict=True))
@@ -458,23 +481,30 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes:
 
     runs = own.union(alone).groupBy("batch").applyInArrow(send, "shard int, batch long, body binary")
     marks = runs.groupBy("shard").applyInArrow(lambda t: merge_shard(t, shape), "batch long, shard int, body binary")
-    answers = alone.withColumn("shard", F.col("shard") * 2).union(marks.withColumn("shard", F.col("shard") * 2 + 1)).select("batch", "shard", "body")
+    none = F.lit(None).cast("binary").alias("rest")
+    answers = alone.withColumn("shard", F.col("shard") * 2).union(marks.withColumn("shard", F.col("shard") * 2 + 1)).select("batch", "shard", "body", none)
 
     def finish(t: pa.Table) -> pa.Table:
         by = dict(zip(t["shard"].to_pylist(), t["body"].to_pylist(), strict=True))
-        text = Text(by.pop(-1), shape)
-        run = Run(text, shape, shards, {s // 2: v for s, v in by.items() if s % 2 == 0})
-        gone = find_spans(text, run, {s // 2: v for s, v in by.items() if s % 2}, shape)
-        out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+        rest = pa.ipc.open_stream(next(x for x in t["rest"].to_pylist() if x is not None)).read_all()
+        texts = Text(by.pop(-1), shape)
+        run = Run(texts, shape, shards, {s // 2: v for s, v in by.items() if s % 2 == 0})
+        gone = find_spans(texts, run, {s // 2: v for s, v in by.items() if s % 2}, shape)
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * (text is not None)
+        out: dict[str, list] = {k: [] for k in names}
         edges = np.diff(gone.astype(np.int8), prepend=0) == 1
-        for i, null, start, size in zip(text.ids.tolist(), text.null.tolist(), text.starts.tolist(), text.sizes.tolist(), strict=True):
-            g = gone[start : start + size]
+        for i, null, start, size in zip(texts.ids.tolist(), texts.null.tolist(), texts.starts.tolist(), texts.sizes.tolist(), strict=True):
+            data, g = texts.data[start : start + size], gone[start : start + size]
             removed = int(np.count_nonzero(g))
-            kept = (text.data[start : start + size][~g] if removed else text.data[start : start + size]).tobytes()
-            for k, v in zip(out, (None if null else i, size, removed, int(np.count_nonzero(edges[start : start + size])), hashlib.sha256(kept).hexdigest(), kept), strict=True):
+            row = [None if null else i, size, removed, int(np.count_nonzero(edges[start : start + size])), hashlib.sha256(data[~g]).hexdigest()]
+            if text is not None:
+                row.append((data[~whole_characters(data, g)] if removed else data).tobytes().decode("utf-8", "replace"))
+            for k, v in zip(names, row, strict=True):
                 out[k].append(v)
-        kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
-        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items() if texts or k != "kept"})
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2
+        columns = [pa.array(out[k], kind) for k, kind in zip(names, kinds, strict=False)]
+        return pa.table([*columns[:5], *rest.columns, *columns[5:]], names=[f"o{n}" for n in range(len(columns) + rest.num_columns)])
 
-    fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
-    return own.union(answers).groupBy("batch").applyInArrow(finish, fields)
+    kinds = ["long", "long", "long", "long", "string", *(docs.schema[c].dataType.simpleString() for c in carry), *["string"] * (text is not None)]
+    found = whole.union(answers).groupBy("batch").applyInArrow(finish, ", ".join(f"o{n} {k}" for n, k in enumerate(kinds)))
+    return found.toDF("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *carry, *([text] if text is not None else []))

@@ -1 +1,578 @@
-QUERIES = {}
+"""The registered queries: each operator over one of the driver's tables.
+
+Stand-ins: a family is an embedding's label or a nation, a sequence a row, a distance Euclidean; an
+alignment is text cut and padded to 40 columns, with blanks as gaps; labels are two categorical columns.
+Reals are rounded, so that the order of summation does not show.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillon.functions import text
+from quillon.operators import checks, clustering, evaluation, matrix, recursion, sequences
+from quillon.session import settled
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _round(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    # adding zero turns a negative zero positive
+    return df.withColumns({c: F.round(c, digits) + 0.0 for c in columns})
+
+
+# ---- stand-in tables
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(family, ord, sequence_id, vec)"""
+    e = _table(spark, sf_dir, "embeddings").select(F.col("label").alias("family"), F.col("vec_id").alias("sequence_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return matrix.number_members(e)
+
+
+def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.pairwise_distance(_points(spark, sf_dir))
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(spark, sf_dir).select("family", "ord", (F.col("sequence_id") % 3).cast("int").alias("cluster"))
+
+
+def _methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by nation, with a truth and three clusterings."""
+    return _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("family"), F.col("c_custkey").alias("sequence_id"), (F.col("c_custkey") % 3).cast("int").alias("truth"), F.col("c_mktsegment").alias("segment"), (F.col("c_acctbal") > 5000).cast("int").alias("balance"), (F.col("c_custkey") % 6).cast("int").alias("nested"))
+
+
+def _alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(family, ord, sequence_id, cluster, seq): documents by language, three clusters each."""
+    seq = F.rpad(F.regexp_replace(F.substring("text", 1, 40), "[ \\n\\t\\r]", "-"), 40, "-")
+    d = _table(spark, sf_dir, "documents").select(F.col("lang").alias("family"), F.col("doc_id").alias("sequence_id"), seq.alias("seq"), (F.col("doc_id") % 3).cast("int").alias("cluster"))
+    return matrix.number_members(d)
+
+
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seq = F.rpad(F.regexp_replace(F.substring("text", 1, 40), "[ \\n\\t\\r]", "-"), 40, "-")
+    return _table(spark, sf_dir, "benchmark").select((F.col("item_id") % 4).cast("int").alias("family"), F.col("item_id").cast("int").alias("cluster"), seq.alias("seq"))
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate scores: k from part sizes, mean prices as silhouettes and indices."""
+    p = _table(spark, sf_dir, "part").filter("p_size <= 20")
+    score = F.round(F.avg("p_retailprice") / 2000, 2)
+    index = F.round(F.count("*") / 50, 2)
+    return p.groupBy(F.col("p_brand").alias("family"), F.col("p_size").alias("k")).agg(score.alias("silhouette_score"), index.alias("adjusted_rand_index"))
+
+
+# ---- evaluation
+
+
+@query
+def ari(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus")
+    return _round(evaluation.adjusted_rand(rows, "l_returnflag", "l_linestatus", []), "adjusted_rand_index")
+
+
+@query
+def ari_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(evaluation.adjusted_rand(_methods(spark, sf_dir), "truth", "segment", ["family"]), "adjusted_rand_index")
+
+
+@query
+def evaluate_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _methods(spark, sf_dir)
+    known = m.select("family", "sequence_id", F.col("truth").cast("string").alias("known_subfamily"))
+    return _round(evaluation.evaluate_clustering(m.select("family", "sequence_id", F.col("segment").alias("predicted_cluster")), known), "adjusted_rand_index")
+
+
+@query
+def cluster_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.cluster_counts(_methods(spark, sf_dir), "truth", "segment", ["family"])
+
+
+@query
+def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("family"), F.col("p_brand").alias("cluster")).agg(F.count("*").alias("n"))
+
+
+@query
+def min_size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_sizes(spark, sf_dir).groupBy("family").agg(F.bool_and(F.col("n") >= 10).alias("pass_minimum_size"), F.min("n").alias("least"))
+
+
+@query
+def child_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = cluster_sizes(spark, sf_dir).groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("cluster", "n"))).alias("m"))
+    return sizes.select("family", text.child_sizes("m").alias("child_sizes"))
+
+
+@query
+def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+def _dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _methods(spark, sf_dir)
+    return m.select("family", "sequence_id", "truth", F.when(F.col("nested") == 0, -1).otherwise(F.col("nested")).alias("cluster"))
+
+
+@query
+def dbscan_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(evaluation.noise_report(_dbscan(spark, sf_dir), "cluster", ["family"]), "noise_rate")
+
+
+@query
+def dbscan_ari(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(evaluation.dbscan_scores(_dbscan(spark, sf_dir), "truth", "cluster", ["family"], "sequence_id"), "noise_single_label_ARI", "noise_unique_ARI", "noise_removed_ARI")
+
+
+#: Score column and method.
+METHODS = {"segment_ARI": "segment", "balance_ARI": "balance", "nested_ARI": "nested"}
+
+
+@query
+def family_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _methods(spark, sf_dir)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("method"), F.col(c).cast("string").alias("label")) for c in METHODS.values()]))
+    long = m.withColumn("_m", pairs).select("family", "truth", "_m.method", "_m.label")
+    scores = evaluation.adjusted_rand(long, "truth", "label", ["family", "method"])
+    wide = scores.groupBy("family").agg(F.max("n_sequences").alias("n_sequences"), *[F.max(F.when(F.col("method") == c, F.round("adjusted_rand_index", 6) + 0.0)).alias(n) for n, c in METHODS.items()])
+    known = m.groupBy("family").agg(F.count_distinct("truth").alias("known_cluster_number"))
+    return wide.join(known, "family").withColumn("TE", F.when(F.col("family") % 2 == 0, "TE").otherwise("other"))
+
+
+@query
+def method_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = settled(family_comparison(spark, sf_dir))
+    return _round(evaluation.summarize_methods(c, METHODS, subset="all families"), "mean_ARI", "sequence_weighted_mean_ARI", "median_ARI", "Q1", "Q3")
+
+
+@query
+def summary_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = settled(family_comparison(spark, sf_dir))
+    return _round(evaluation.method_summary(c, METHODS, digits=None), "mean_ARI", "sequence_weighted_mean_ARI", "median_ARI", "Q1", "Q3")
+
+
+@query
+def summary_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "part")
+    return p.groupBy("p_brand").agg(F.bround(F.avg("p_size"), 4).alias("mean_size"))
+
+
+@query
+def candidate_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.candidate_choice(_scores(spark, sf_dir), ["family"], silhouette="silhouette_score")
+
+
+@query
+def candidate_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.candidate_rank(_scores(spark, sf_dir), ["family"]).select("family", "k", "silhouette_score", "rank")
+
+
+@query
+def reason_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = clustering.candidate_rank(_scores(spark, sf_dir), ["family"]).withColumn("won", F.when(F.length("family") % 2 == 0, 2))
+    own = F.when(F.col("rank") == F.col("won"), "").otherwise("reassignment_accuracy_failed")
+    evaluated = (F.col("rank") <= 3) & (F.col("won").isNull() | (F.col("rank") <= F.col("won")))
+    error = F.when(F.col("k") == 7, "invalid_number_of_clusters")
+    return ranked.select("family", "k", recursion.reason_code(evaluated, own, error, F.col("silhouette_score"), F.col("rank"), 3, F.col("won")).alias("reason"))
+
+
+@query
+def accepted_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("family"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F").alias("accepted"))
+    return recursion.accepted_splits(o)
+
+
+# ---- checks
+
+
+@query
+def dup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.duplicate_ids(_table(spark, sf_dir, "documents").select(F.md5(F.col("text").cast("binary")).alias("sequence_id")), "sequence_id")
+
+
+@query
+def blank_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("lang", "^en$", "  ").alias("lang"))
+    return checks.blank_ids(ids, "lang").select("doc_id")
+
+
+def _documents_and_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sequence_id")), _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("sequence_id"), F.col("quality").alias("known_subfamily"))
+
+
+@query
+def id_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents_and_labels(spark, sf_dir)
+    return checks.reconcile(docs, labels, ["sequence_id"])
+
+
+@query
+def id_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that stand elsewhere in the second of two orders."""
+    a = _points(spark, sf_dir).select("family", "sequence_id", "ord")
+    second = a.select("family", "sequence_id").withColumn("other", F.row_number().over(Window.partitionBy("family").orderBy(F.col("sequence_id") % 7, "sequence_id")) - 1)
+    return a.join(second, ["family", "sequence_id"]).filter("ord <> other").select("family", "sequence_id", "ord", "other")
+
+
+@query
+def align_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents_and_labels(spark, sf_dir)
+    family = F.lit("all").alias("family")
+    held = docs.join(labels, "sequence_id", "left_semi").select(family, "sequence_id", (F.row_number().over(Window.orderBy("sequence_id")) - 1).alias("ord"))
+    return checks.align_labels(labels.select(family, "sequence_id", "known_subfamily"), held).select("sequence_id", "ord", "known_subfamily")
+
+
+@query
+def label_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents_and_labels(spark, sf_dir)
+    return docs.join(labels, "sequence_id", "left").filter("known_subfamily is null").agg(F.count("*").alias("n_missing"))
+
+
+@query
+def family_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    reference = c.select(F.col("c_custkey").alias("family")).distinct()
+    sources = {s: o.filter(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("family")).distinct() for s in ("F", "O", "P")}
+    return checks.family_set_differences(reference, sources, supersets=())
+
+
+@query
+def matrix_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.matrix_report(_distances(spark, sf_dir))
+
+
+@query
+def symmetry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bent = F.when((F.col("i") == 1) & (F.col("j") == 2), F.col("distance") + 0.5).otherwise(F.col("distance"))
+    return _round(checks.asymmetric(_distances(spark, sf_dir).withColumn("distance", bent)), "difference")
+
+
+@query
+def finite_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bent = F.when(F.col("i") == 3, F.lit(float("nan"))).when(F.col("j") == 4, F.lit(float("inf"))).otherwise(F.col("distance"))
+    d = _distances(spark, sf_dir).withColumn("distance", bent)
+    return d.filter(checks.not_finite("distance")).groupBy("family").agg(F.count("*").alias("n"))
+
+
+@query
+def msa_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").select(F.col("lang").alias("family"), F.substring("text", 1, 40).alias("seq"))
+    return checks.alignment_lengths(d)
+
+
+@query
+def id_remap_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey"), F.regexp_replace("c_name", "#", ":").alias("name"))
+    after = c.select("c_custkey", F.when(F.col("c_custkey") % 50 == 0, F.col("name")).otherwise(text.canonical_id("name")).alias("name"))
+    return checks.differing_rows(c.select("c_custkey", text.canonical_id("name").alias("name")), after)
+
+
+# ---- projections
+
+
+@query
+def used_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = F.when(F.col("o_orderstatus") == "F", " True ").when(F.col("o_orderstatus") == "O", "false")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", text.truthy(flag).alias("used"))
+
+
+@query
+def annotation_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.sources.readers import annotation_used as used
+
+    o = _table(spark, sf_dir, "orders")
+    flag = F.when(F.col("o_orderstatus") == "F", "TRUE").otherwise("no")
+    return used(o.select(F.concat(F.col("o_orderkey").cast("string"), F.lit(":"), "o_orderpriority").alias("name"), F.col("o_orderstatus").alias("subfamily"), flag.alias("used")))
+
+
+@query
+def public_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _points(spark, sf_dir)
+    return p.select("sequence_id", text.public_id("family", F.col("ord") + 1).alias("public_id"))
+
+
+@query
+def sanitize_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", text.safe_name("url").alias("name"))
+
+
+@query
+def subject_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat_ws("|", "p_brand", F.when(F.col("p_partkey") % 3 == 0, F.col("p_size").cast("string")).when(F.col("p_partkey") % 3 == 1, F.col("p_type")).otherwise("12x"))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.coalesce(text.subject_cluster(name), F.lit(-1)).alias("cluster"))
+
+
+@query
+def path_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _table(spark, sf_dir, "nation")
+    path = F.slice(F.array("n_regionkey", "n_nationkey", F.lit(1)), F.lit(1), F.col("n_nationkey") % 4)
+    return n.select("n_nationkey", text.path_label(path).alias("path"), text.path_label(path, "0").alias("predicted_cluster"))
+
+
+@query
+def scan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("sequence_id"), F.col("quality").cast("string").alias("known_subfamily"))
+
+
+@query
+def family_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation with its region's name; the smaller side is broadcast only as Spark sees fit."""
+    n, r = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
+    checks.fail_on(n.join(r, n["n_regionkey"] == r["r_regionkey"], "left_anti").select("n_nationkey"), "nations without a region")
+    return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", "n_name", "r_name")
+
+
+@query
+def method_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truth and two methods' outputs by one key: the joins share one partitioning of it."""
+    li = _table(spark, sf_dir, "lineitem")
+    key = ["l_orderkey", "l_linenumber"]
+    truth, one, two = li.select(*key, "l_returnflag"), li.select(*key, "l_linestatus"), li.select(*key, (F.col("l_quantity") > 25).alias("many"))
+    return truth.join(one, key).join(two, key).groupBy("l_returnflag", "l_linestatus", "many").agg(F.count("*").alias("n"))
+
+
+# ---- matrices
+
+
+@query
+def pairwise_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(_distances(spark, sf_dir), "distance")
+
+
+@query
+def family_dmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(matrix.family_maximum(_distances(spark, sf_dir)), "maximum_distance")
+
+
+@query
+def affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(matrix.distance_to_affinity(_distances(spark, sf_dir), checked=False), "affinity")
+
+
+@query
+def submatrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = _points(spark, sf_dir).filter("sequence_id % 5 = 0").select("family", "sequence_id")
+    return _round(matrix.submatrix(matrix.distance_to_affinity(_distances(spark, sf_dir), checked=False), members), "affinity")
+
+
+@query
+def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(matrix.degree(matrix.distance_to_affinity(_distances(spark, sf_dir), checked=False)), "degree")
+
+
+@query
+def laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(matrix.laplacian(settled(matrix.distance_to_affinity(_distances(spark, sf_dir), checked=False))), "laplacian")
+
+
+@query
+def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(clustering.silhouette(_distances(spark, sf_dir), _clusters(spark, sf_dir)), "silhouette")
+
+
+@query
+def mean_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = clustering.silhouette(_distances(spark, sf_dir), _clusters(spark, sf_dir))
+    return _round(s.groupBy("family").agg(F.avg("silhouette").alias("mean_silhouette")), "mean_silhouette")
+
+
+@query
+def component_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("family")).agg((F.count("*") % 40 + 4).cast("int").alias("n"))
+    return n.select("family", "n", clustering.component_count("n").cast("int").alias("one_shot"), clustering.recursive_component_count("n").cast("int").alias("recursive"), clustering.binary_component_count("n").cast("int").alias("fixed_binary"))
+
+
+@query
+def k_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _points(spark, sf_dir).groupBy("family").agg(F.count("*").cast("int").alias("n"))
+    return n.select("family", "n", F.explode(clustering.candidate_range("n")).alias("k"))
+
+
+@query
+def feature_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _points(spark, sf_dir).select("sequence_id", F.posexplode(F.slice("vec", 1, 5)).alias("d", "x"))
+    return _round(v, "x")
+
+
+def _centres(points: DataFrame) -> DataFrame:
+    return points.filter("ord < 3").select("family", F.col("ord").alias("cluster"), F.col("vec").alias("centre"))
+
+
+@query
+def kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _points(spark, sf_dir)
+    found = clustering.kmeans_assign(p, _centres(p))
+    return _round(found.groupBy("family", "cluster").agg(F.count("*").alias("n"), F.sum("gap").alias("inertia")), "inertia")
+
+
+@query
+def kmeans_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = settled(_points(spark, sf_dir))
+    found, _ = clustering.lloyd(p, _centres(p), 3)
+    return found.select("family", "sequence_id", "cluster")
+
+
+# ---- sequences
+
+
+@query
+def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.consensus(_alignment(spark, sf_dir), ["family", "cluster"]).select("family", "cluster", "consensus")
+
+
+@query
+def gap_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.strip_gap_columns(_alignment(spark, sf_dir), ["family", "cluster"]).select("sequence_id", "seq")
+
+
+@query
+def aligned_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = sequences.cluster_pairs(_benchmark(spark, sf_dir), ["family"], "seq")
+    return _round(pairs.select("c1", "c2", sequences.aligned_identity("seq_1", "seq_2").alias("identity")), "identity")
+
+
+@query
+def pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.cluster_pairs(_benchmark(spark, sf_dir), ["family"])
+
+
+def _similarities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    b = _benchmark(spark, sf_dir)
+    pairs = sequences.cluster_pairs(b, ["family"], "seq").select("family", "c1", "c2", F.round(sequences.aligned_identity("seq_1", "seq_2"), 6).alias("similarity"))
+    return b.select("family").distinct().withColumn("upper", F.lit(0.01)), pairs
+
+
+@query
+def similarity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, pairs = _similarities(spark, sf_dir)
+    return sequences.similarity_gate(nodes, pairs, ["family"], 0.5)
+
+
+@query
+def sibling_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.sibling_maximum(_similarities(spark, sf_dir)[1], ["family"])
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Members, and dot products of each with each cluster's mean."""
+    p = _points(spark, sf_dir).withColumn("cluster", (F.col("sequence_id") % 3).cast("int"))
+    means = clustering.kmeans_centres(p)
+    dot = F.aggregate(F.zip_with("vec", "centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    hits = p.select("family", "ord", "sequence_id", "vec").join(means, "family").select("family", "ord", "sequence_id", "cluster", F.round(dot, 6).alias("score"))
+    return p.select("family", "ord", "cluster"), hits
+
+
+@query
+def best_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.best_hits(_hits(spark, sf_dir)[1], ["family"]).select("family", "sequence_id", "cluster", (F.col("score") + 0.0).alias("score"))
+
+
+@query
+def reassign_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, hits = _hits(spark, sf_dir)
+    found = sequences.best_hits(hits, ["family"]).filter("sequence_id % 10 <> 0")
+    return _round(sequences.reassignment_accuracy(members, found, ["family"]), "reassignment_accuracy")
+
+
+# ---- whole operators, held against brute force in the tests
+
+
+@query
+def global_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = sequences.cluster_pairs(_benchmark(spark, sf_dir), ["family"], "seq")
+    return pairs.select("c1", "c2", sequences.global_identity("seq_1", "seq_2").alias("identity"))
+
+
+@query
+def local_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = sequences.cluster_pairs(_benchmark(spark, sf_dir), ["family"], "seq")
+    return pairs.select("c1", "c2", sequences.local_score("seq_1", "seq_2").alias("score"))
+
+
+@query
+def spectral_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = _distances(spark, sf_dir).withColumn("family", F.col("family").cast("string"))
+    return clustering.spectral_embedding(matrix.distance_to_affinity(named))
+
+
+@query
+def one_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each family's affinity, candidates, choice and index: one row for each family."""
+    family = F.col("family").cast("string").alias("family")
+    a = settled(matrix.distance_to_affinity(_distances(spark, sf_dir).withColumn("family", family)))
+    known = _points(spark, sf_dir).select(family, "sequence_id", (F.col("sequence_id") % 3).cast("string").alias("known_subfamily"))
+    found = clustering.run_spectral_clustering(a, known)
+    chosen = found["selected"].withColumnRenamed("selected_k", "k")
+    return found["scores"].join(chosen, ["family", "k"]).select("family", F.col("k").alias("selected_k"), "mean_silhouette", "adjusted_rand_index")
+
+
+def _hierarchy_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Benchmark texts as alignments of four families, their disagreement as distances."""
+    b = matrix.number_members(_benchmark(spark, sf_dir).withColumnRenamed("cluster", "sequence_id").withColumn("family", F.col("family").cast("string")).withColumn("sequence_id", F.col("sequence_id").cast("string")))
+    one, two = b.select("family", F.col("ord").alias("i"), F.col("sequence_id").alias("src"), F.col("seq").alias("x")), b.select("family", F.col("ord").alias("j"), F.col("sequence_id").alias("dst"), F.col("seq").alias("y"))
+    differ: Column = F.size(F.filter(F.zip_with(F.split("x", ""), F.split("y", ""), lambda p, q: p != q), lambda t: t)) / F.length("x")
+    edges = one.join(two, "family").select("family", "i", "j", "src", "dst", differ.alias("distance"))
+    return settled(matrix.distance_to_affinity(edges)), settled(b.select("family", "ord", "sequence_id", "seq"))
+
+
+@query
+def recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, msa = _hierarchy_inputs(spark, sf_dir)
+    return recursion.run_recursive_clustering(a, msa, config=recursion.RecursiveConfig(minimum_cluster_size=3, reassignment_accuracy_lower=0.5))["diagnostics"]
+
+
+@query
+def fixed_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, msa = _hierarchy_inputs(spark, sf_dir)
+    return recursion.run_fixed_binary_recursive(a, msa, config=recursion.FixedBinaryConfig(minimum_cluster_size=3, reassignment_accuracy_lower=0.5))["diagnostics"]
+
+
+def _written(spark: SparkSession, rows: DataFrame) -> str:
+    """rows' text (family, value), a file for each family, in the shared folder."""
+    import uuid
+
+    settled(spark.range(1))  # makes sure that there is one
+    path = f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+    rows.repartition("family").write.partitionBy("family").text(path)
+    return path
+
+
+@query
+def scan_mldist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.sources.readers import scan_mldist as scan
+
+    d = _distances(spark, sf_dir)
+    line = F.concat_ws(" ", F.concat(F.lit("s"), F.col("src").cast("string")), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "distance"))), lambda e: e["distance"].cast("string")), " "))
+    rows = d.groupBy("family", "i", "src").agg(line.alias("line"))
+    body = F.concat_ws("\n", F.count("*").cast("string"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda e: e["line"]), "\n"))
+    path = _written(spark, rows.filter("family is not null").groupBy("family").agg(body.alias("value")).select("value", "family"))
+    return scan(spark, f"{path}/family=*")
+
+
+@query
+def scan_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.sources.readers import scan_fasta as scan
+
+    b = _benchmark(spark, sf_dir)
+    record = F.concat(F.lit(">s"), F.col("cluster").cast("string"), F.lit(" item\n"), F.substring("seq", 1, 25), F.lit("\n"), F.substring("seq", 26, 15))
+    rows = b.select("family", "cluster", record.alias("r")).groupBy("family").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cluster", "r"))), lambda e: e["r"]), "\n").alias("value"))
+    return scan(spark, f"{_written(spark, rows.select('value', 'family'))}/family=*")
+
+
+@query
+def metrics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = evaluate_clustering(spark, sf_dir)
+    return e.select("family", F.to_json(F.struct("n_sequences", "predicted_clusters", "known_subfamilies")).alias("metrics"))

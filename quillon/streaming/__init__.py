@@ -1 +1 @@
-
+"""No streaming operators: the engine's operators are batch ones, over whole families."""

@@ -73,9 +73,9 @@ def validate_square_matrix(edges: DataFrame, value: str = "distance", name: str
 
 def reconcile(reference: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that only one side has, with `side` missing (from other) or extra."""
-    missing = reference.select(*keys).join(other, keys, "left_anti").withColumn("side", F.lit("missing"))
-    extra = other.select(*keys).join(reference, keys, "left_anti").withColumn("side", F.lit("extra"))
-    return missing.distinct().union(extra.distinct())
+    tagged = reference.select(*keys, F.lit(True).alias("_left")).union(other.select(*keys, F.lit(False).alias("_left")))
+    sides = tagged.groupBy(*keys).agg(F.bool_or("_left").alias("_in"), F.bool_or(~F.col("_left")).alias("_out"))
+    return sides.filter("_in <> _out").select(*keys, F.when(F.col("_in"), "missing").otherwise("extra").alias("side"))
 
 
 def validate_sequence_ids(reference: DataFrame, *others: tuple[str, DataFrame], require_same_order: bool = True) -> None:

@@ -1,4 +1,4 @@
-"""quick-start, recursive, fixed-binary and evaluate from the command line."""
+"""quick-start, recursive, fixed-binary, evaluate, prepare-example and verify-example from the command line."""
 
 from __future__ import annotations
 
@@ -20,6 +20,10 @@ def parser() -> argparse.ArgumentParser:
             k.add_argument("--alignment", required=True)
         k.add_argument("--family", help="name of the family; the file's stem without it")
         k.add_argument("--output", required=True)
+    for name in ("prepare-example", "verify-example"):
+        k = kinds.add_parser(name)
+        for f in ("family", "distance", "alignment", "annotation", "output" if name == "prepare-example" else "public"):
+            k.add_argument(f"--{f}", required=True)
     k = kinds.add_parser("evaluate")
     for f in FOLDERS:
         k.add_argument(f"--{f.replace('_', '-')}", required=True)
@@ -29,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> int:
-    from quillon.plans import dataset, workflows
+    from quillon.plans import dataset, publish, workflows
 
     a = parser().parse_args(argv)
     spark = session("quillon-cli")
@@ -39,6 +43,11 @@ def main(argv: list[str] | None = None) -> int:
         workflows.run_full_recursive(spark, a.distance, a.alignment, a.labels, a.output, a.family)
     elif a.command == "fixed-binary":
         workflows.run_fixed_binary_baseline(spark, a.distance, a.alignment, a.labels, a.output, a.family)
+    elif a.command == "prepare-example":
+        publish.prepare_example(spark, a.family, a.distance, a.alignment, a.annotation, a.output)
+    elif a.command == "verify-example":
+        publish.verify_example(spark, a.family, a.distance, a.alignment, a.annotation, a.public)
+        print(f"family {a.family}: only the names differ")
     else:
         dataset.evaluate_dataset(spark, {f: getattr(a, f) for f in FOLDERS}, a.output, a.expected_families)
     return 0

@@ -120,3 +120,20 @@ def test_saved_labels_must_agree(spark, study):
 def test_differing_rows_counts_repeats(spark):
     a, b = spark.createDataFrame([(1,), (1,), (2,)], "x int"), spark.createDataFrame([(1,), (3,)], "x int")
     assert sorted(tuple(r) for r in checks.differing_rows(a, b).collect()) == [(1, "missing"), (2, "missing"), (3, "extra")]
+
+
+def test_publishing_changes_names_alone(spark, tmp_path):
+    from quillon.plans import publish
+
+    m = put(tmp_path / "in.mldist", "3\nDF1_5 0.0 0.50 1e-1\nDF2_6 0.50 0.0 0.3\nDF3_7 1e-1 0.3 0.0\n")
+    f = put(tmp_path / "in.fasta", ">DF1:5 x\nac-\n>DF2:6\nact\n>DF3:7\n--t\n")
+    a = put(tmp_path / "in.csv", "name,subfamily,subfamily_ID,used\nDF2:6,L2,2,True\nDF1:5,L1,1,True\nDF3:7,L1,1,true\nDF9:1,L9,9,False\n")
+    out = str(tmp_path / "out")
+    publish.prepare_example(spark, "5", m, f, a, out, {"organism": "x"})
+    publish.verify_example(spark, "5", m, f, a, out)
+    assert [tuple(r)[1:] for r in readers.read_labels(spark, f"{out}/labels.csv", "5").orderBy("ord").collect()] == [(0, "family5_seq001", "L1"), (1, "family5_seq002", "L2"), (2, "family5_seq003", "L1")]
+    changed = put(tmp_path / "other.mldist", Path(m).read_text().replace("1e-1", "0.1"))
+    with pytest.raises(ValueError, match="published distances differ"):
+        publish.verify_example(spark, "5", changed, f, a, out)
+    with pytest.raises(ValueError, match="annotation lacks"):
+        publish.verify_example(spark, "5", m, f, put(tmp_path / "less.csv", "name,subfamily,subfamily_ID,used\nDF1:5,L1,1,True\n"), out)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import stored
+from quillon.llm.common import broadcast_if, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -43,10 +43,10 @@ def cells(entries: DataFrame, keys: list[str], ident: str, most: int) -> DataFra
 
     A key with over `most` entries is split into blocks by a hash of `ident`; each pair of blocks has
     a cell (low, high). Two entries are compared in the cell of their blocks: everywhere if low = high,
-    else only across blocks.
+    else only across blocks. The hot keys, at most a `most`-th of the entries, are broadcast if they fit the bound.
     """
-    hot = entries.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_blocks"))
-    split = entries.join(hot, keys, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64(ident), F.col("_blocks")).cast("int"))
+    hot = stored(entries.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_blocks")))
+    split = entries.join(broadcast_if(hot, hot.count(), 32), keys, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64(ident), F.col("_blocks")).cast("int"))
     each = split.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return each.withColumn("low", F.least("block", "_other")).withColumn("high", F.greatest("block", "_other")).drop("_other", "_blocks")
 
@@ -65,13 +65,16 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def same_key_pairs(group: np.ndarray, step: int = 1 << 20):
-    """Index pairs (i, j), i < j, of equal values in a sorted array, some at a time; none is kept."""
+def same_key_pairs(group: np.ndarray, step: int = 1 << 20, first: np.ndarray | None = None):
+    """Index pairs (i, j), i < j, of equal values in a sorted array, some at a time; none is kept.
+
+    first: which i take part.
+    """
     n = len(group)
     if not n:
         return
     ends = np.searchsorted(group, group, side="right")
-    active, k = np.arange(n), 1
+    active, k = np.arange(n) if first is None else np.flatnonzero(first), 1
     held_i, held_j, held = [], [], 0
     while True:
         active = active[active + k < ends[active]]

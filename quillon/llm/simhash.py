@@ -38,13 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import broadcast_if, mix64, stored, text_or_empty
+from quillon.llm.common import broadcast_if, lean, mix64, stored, text_or_empty
 from quillon.llm.graph import cells, components, forest, same_key_pairs
 from quillon.llm.tokens import in_slices
 
 SEED = 42
 SAMPLE = 4096
-CELL = 2000
+CELL = 20_000
+ROW_NS, PAIR_NS = 2500.0, 40.0  #: estimated work for an entry and for a comparison
 BITS = 64
 
 
@@ -81,7 +82,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = SEED) -> DataFrame
             fps = [fingerprint(shingle_hashes(t, width, seed)) for _, some in in_slices(texts) for t in some]
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(scan, "doc_id long, fp long")
+    return lean(docs).select("doc_id", text_or_empty().alias("text")).mapInArrow(scan, "doc_id long, fp long")
 
 
 # ---- partitions and thresholds
@@ -142,7 +143,7 @@ def choose_index(sample: np.ndarray, rows: int, radius: int) -> list[tuple[list[
         for g in groups:
             near = np.bincount(np.bitwise_count(differ & np.uint64(sum(1 << b for b in g))), minlength=BITS + 1)
             share = np.maximum(np.cumsum(near) / max(1, near.sum()), [sum(comb(len(g), j) for j in range(t + 1)) / 2.0 ** len(g) for t in range(BITS + 1)])
-            costs.append([0.0] + [rows * 400.0 * sum(comb(len(g), j) for j in range(t + 1)) + rows * rows / 2 * float(share[t]) * 10 for t in range(min(radius, 3, len(g)) + 1)])
+            costs.append([0.0] + [rows * ROW_NS * sum(comb(len(g), j) for j in range(t + 1)) + rows * rows / 2 * float(share[t]) * PAIR_NS for t in range(min(radius, 3, len(g)) + 1)])
         try:
             t = allot(costs, radius)
         except ValueError:
@@ -169,7 +170,7 @@ def similar(classes: DataFrame, radius: int = 3, rows: int | None = None, link=N
     link turns a task's entries into links, columns are what entries carry; both for other rules.
     """
     rows = classes.count() if rows is None else rows
-    link, columns = link or (lambda pdf: _verify(pdf, radius)), columns or ["fp"]
+    link, columns = link or (lambda pdf: _forest_of(pdf, radius, ["fp"], "fp")), columns or ["fp"]
     sample = np.array([r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64)
     index = choose_index(sample, rows, radius)
     at = columns.index("fp")
@@ -190,27 +191,28 @@ def similar(classes: DataFrame, radius: int = 3, rows: int | None = None, link=N
     return keyed.groupBy("task").applyInPandas(link, "a long, b long")
 
 
-def _forest_of(pdf: pd.DataFrame, near, words: list[str], ident: str) -> pd.DataFrame:
-    pdf = pdf.sort_values(["part", "value", "low", "high"], kind="stable")
+def _forest_of(pdf: pd.DataFrame, radius: int, words: list[str], ident: str, most: int | None = None) -> pd.DataFrame:
+    """A forest of the links between entries within the radius by the first word and, by all, within `most` bits."""
+    pdf = pdf.sort_values(["part", "value", "low", "high", "probe"], kind="stable")
     key = pdf[["part", "value", "low", "high"]].to_numpy()
     group = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]).any(1)))) if len(key) else np.empty(0, np.int64)
-    block, probe, diagonal = pdf["block"].to_numpy(), pdf["probe"].to_numpy(), key[:, 2] == key[:, 3]
+    block, diagonal = pdf["block"].to_numpy(), key[:, 2] == key[:, 3]
     values = [pdf[w].to_numpy().view(np.uint64) for w in words]
     names, place = np.unique(pdf[ident].to_numpy(), return_inverse=True)
     label = np.arange(len(names))
-    for i, j in same_key_pairs(group):
-        fits = near(values, i, j) & ~(probe[i] & probe[j]) & (diagonal[i] | (block[i] != block[j]))
+    # entries under their own value come first in a group, and each pair needs one of them
+    for i, j in same_key_pairs(group, first=~pdf["probe"].to_numpy()):
+        near = np.bitwise_count(values[0][i] ^ values[0][j]) <= radius
+        i, j = i[near], j[near]
+        fits = diagonal[i] | (block[i] != block[j])
+        if most is not None:
+            fits &= sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int32) for w in values) <= most
         a, b = label[place[i[fits]]], label[place[j[fits]]]
         label = forest(a, b, len(names))[label]
     child = np.flatnonzero(label != np.arange(len(names)))
     return pd.DataFrame({"a": names[child], "b": names[label[child]]})
 
 
-def _verify(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """A forest of the links between fingerprints within the radius."""
-    return _forest_of(pdf, lambda words, i, j: np.bitwise_count(words[0][i] ^ words[0][j]) <= radius, ["fp"], "fp")
-
-
 def group_documents(docs: DataFrame, width: int = 3, radius: int = 3, seed: int = SEED) -> DataFrame:
     """(doc_id, fp, component_id): the least doc_id within reach by steps of at most radius bits."""
     fps = stored(fingerprints(docs, width, seed))
@@ -244,12 +246,7 @@ def wide_fingerprints(docs: DataFrame, width: int, seed: int = SEED) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_hash", "fp", *(f"e{n}" for n in range(EXTRA))])
 
     extra = ", ".join(f"e{n} long" for n in range(EXTRA))
-    return docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text")).mapInArrow(scan, f"doc_id long, text_hash long, fp long, {extra}")
-
-
-def _loose(pdf: pd.DataFrame, radius: int, most: int) -> pd.DataFrame:
-    """A forest of the links between ids within the radius and, by all words, within `most` bits."""
-    return _forest_of(pdf, lambda words, i, j: (np.bitwise_count(words[0][i] ^ words[0][j]) <= radius) & (sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int32) for w in words) <= most), ["fp", *(f"e{n}" for n in range(EXTRA))], "id")
+    return lean(docs).select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text")).mapInArrow(scan, f"doc_id long, text_hash long, fp long, {extra}")
 
 
 def jaccard_links(sets: list[np.ndarray], least: float, blocks: np.ndarray | None = None, step: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
@@ -304,7 +301,7 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int
     classes = stored(fps.groupBy(*words).agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select(*words, "first.*").withColumn("id", F.monotonically_increasing_id()))
     rows = classes.count()
     most = int(EXTRA_SHARE * BITS * len(words))
-    entries = similar(classes, radius, rows, lambda pdf: _loose(pdf, radius, most), ["id", *words])
+    entries = similar(classes, radius, rows, lambda pdf: _forest_of(pdf, radius, words, "id", most), ["id", *words])
     loose = components(entries)
     grouped = classes.join(loose, classes["id"] == loose["node"]).select("id", "component", "doc_id", "text_hash")
     count = grouped.count()

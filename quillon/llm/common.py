@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Largest side, in bytes, that an operator broadcasts; beyond it the join shuffles.
 BROADCAST_BYTES = 64 << 20
 
+ARROW_ROWS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,6 +56,14 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return path
 
 
+def lean(docs: DataFrame) -> DataFrame:
+    """docs, with whole texts going to Python at most `ARROW_ROWS` at a time in this session."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, ARROW_ROWS)
+    return docs
+
+
 def broadcast_if(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """A broadcast hint if rows of row_bytes fit the bound, else df for a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import tokens
-from quillon.llm.common import stored, text_or_empty
+from quillon.llm.common import lean, stored, text_or_empty
 
 CAPACITY = 4096
 END_ID = 1
@@ -121,7 +121,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = tokens.WORD_BPE, end_id: int
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(rows, fields, strict=True)], names=[n for n, _ in fields])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(cut, schema)
+    return lean(docs).select("doc_id", text_or_empty().alias("text")).mapInArrow(cut, schema)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import text_or_empty
+from quillon.llm.common import lean, text_or_empty
 from quillon.llm.tokens import in_slices
 
 LABELLED = 4000
@@ -199,7 +199,7 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     if not picked:
         return None
     chosen = docs.sparkSession.createDataFrame(picked, "doc_id long, label int")  # at most labelled + pool rows
-    found = docs.select("doc_id", text_or_empty().alias("text"), "source", "lang", "n_chars").join(F.broadcast(chosen), "doc_id")
+    found = lean(docs).select("doc_id", text_or_empty().alias("text"), "source", "lang", "n_chars").join(F.broadcast(chosen), "doc_id")
 
     def extract(batches):
         for batch in batches:

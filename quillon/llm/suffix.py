@@ -39,11 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.blobs import pack, unpack
-from quillon.llm.common import mix64, stored, text_or_empty
+from quillon.llm.common import lean, mix64, stored, text_or_empty
 
 LENGTH = 100
 GRAM = 32
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 SHARD_BYTES = 12 << 20
 LEAST_SHARDS = 64
 PAD = 0xFF  #: stands in no UTF-8 text
@@ -163,7 +163,7 @@ def make_batches(docs: DataFrame, limit: int, carry: list[str]) -> DataFrame:
             yield close()
 
     kept = [F.col(c).alias(f"c{n}") for n, c in enumerate(carry)]
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), *kept).mapInArrow(scan, "batch long, body binary, rest binary")
+    return lean(docs).select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), *kept).mapInArrow(scan, "batch long, body binary, rest binary")
 
 
 def _by_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -422,7 +422,7 @@ def merge_shard(t: pa.Table, shape: Shape) -> pa.Table:
 
 def find_spans(text: Text, run: Run, replies: dict[int, bytes], shape: Shape) -> np.ndarray:
     """Which bytes of the buffer go."""
-    change = np.zeros(len(text.data) + 1, np.int64)
+    change = np.zeros(len(text.data) + 1, np.int32)
     entry_first = np.zeros(len(run.rows), bool)
     lost = np.zeros((len(run.rows), shape.back + 1), bool)
     for s, data in replies.items():
@@ -443,7 +443,7 @@ def find_spans(text: Text, run: Run, replies: dict[int, bytes], shape: Shape) ->
     i, o = np.nonzero(lost[run.entry[single]])
     np.add.at(change, run.at[single[i]] - o, 1)
     np.add.at(change, run.at[single[i]] - o + shape.length, -1)
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 def whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:

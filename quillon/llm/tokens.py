@@ -40,11 +40,11 @@ class UnitEncoder:
 
     kind "byte": a unit starts at each single space between two other characters; in the ids of units
     in a row, a token that starts with a space starts a unit. kind "word": units lie between white
-    space; each part of a unit ends in one word-end token. The cache holds about `room` units and
-    starts afresh when it is full.
+    space; each part of a unit ends in one word-end token. The cache has two generations of about
+    `room` units: when the new one is full it becomes the old one, and the old one goes.
     """
 
-    def __init__(self, name_or_path: str, kind: str, room: int = 1_000_000, call: int = 4096):
+    def __init__(self, name_or_path: str, kind: str, room: int = 300_000, call: int = 4096):
         import regex
         from tokenizers import Tokenizer
 
@@ -59,6 +59,7 @@ class UnitEncoder:
         self.tails: dict[str, bytes] = {"": b""}
         self.parts = regex.compile(_WORD_PARTS)
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
@@ -128,7 +129,7 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > self.room:
-            self.cache.clear()
+            self.old, self.cache = self.cache, {}
         first = 1 if self.kind == "byte" else 0
         cut = [self._units(t) for t in texts]
         every: list[str] = []
@@ -137,7 +138,11 @@ class UnitEncoder:
                 every += units[first:]
         codes = list(map(self.cache.get, every))
         holes = [i for i, c in enumerate(codes) if c is None]
-        self._learn(list(dict.fromkeys([every[i] for i in holes])))
+        new = dict.fromkeys([every[i] for i in holes])
+        if self.old:
+            self.cache.update((u, self.old[u]) for u in new if u in self.old)
+            new = [u for u in new if u not in self.old]
+        self._learn(list(new))
         for i in holes:
             codes[i] = self.cache[every[i]]
         out, at = [], 0
@@ -160,7 +165,7 @@ def encoder(name_or_path: str, kind: str) -> UnitEncoder:
     return _ENCODERS[key]
 
 
-def in_slices(texts: list[str | None], chars: int = 4_000_000):
+def in_slices(texts: list[str | None], chars: int = 1_500_000):
     """(start, texts) slices of bounded total length, nulls as empty texts; a longer text comes alone."""
     start, some, size = 0, [], 0
     for i, t in enumerate(texts):

@@ -6,7 +6,8 @@ Everything here is DataFrame and SQL expressions.
 2. Targets: the corpus's total is shared by weight; no source gets over `most` times its own size,
    and what it leaves is shared by weight among the others.
 3. Block quotas: as many whole epochs as fit the target, then blocks in a permuted order until the
-   next would overshoot, then in two further passes the largest blocks that still fit.
+   next would overshoot, then in two further passes the largest blocks that still fit, and at last the
+   least of the others if the target is nearer with it.
 4. The tree: the root holds the quota of each source. Each node sends an exact number of draws to
    its left half, taken from the sources by sequential hypergeometric draws (inverse distribution
    function of a hashed uniform number), until each leaf is one output shard.
@@ -19,7 +20,8 @@ shuffles by (source, block), which splits a hot source into its blocks.
 
 Defined cases: null sources are one source, last in order; a null text has size 0; documents of
 size 0 are in the mix as often as their block is and add no words; repeated rows count once each;
-rows with one doc_id share a block; an empty table gives no rows; further columns pass through.
+rows with one doc_id share a block; an empty table gives no rows; further columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -60,9 +62,15 @@ def _hyper(pop: str, good: str, n: str, u: str) -> str:
 
 
 def sized(docs: DataFrame, blocks: int = BLOCKS, seed: str = SEED) -> DataFrame:
-    """docs with size long, _source (never null) and _block int."""
+    """doc_id, size long, _source (never null), _block int, and all of docs' columns in `row`."""
     block = F.conv(F.substring(_digest(seed, F.coalesce(F.col("doc_id"), F.lit(-1))), 1, 8), 16, 10).cast("long") % blocks
-    return docs.withColumn("size", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")).withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumn("_block", block.cast("int"))
+    return docs.select(
+        "doc_id",
+        F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
+        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_source"),
+        block.cast("int").alias("_block"),
+        F.struct(*docs.columns).alias("row"),
+    )
 
 
 def targets(by_block: DataFrame, weights: dict[str | None, float] | None = None, most: int = MOST) -> DataFrame:
@@ -104,6 +112,11 @@ def draws(by_block: DataFrame, goals: DataFrame, seed: str = SEED) -> DataFrame:
     blocks = _fit(blocks, F.lit(True), F.col("key"))
     for _ in range(2):
         blocks = _fit(blocks, ~F.col("chosen") & (F.col("words") <= F.col("_left")), F.col("words").desc(), F.col("key"))
+    # the least block left goes in if that overshoots by less than the shortfall without it
+    spare = Window.partitionBy("_source", "_spare").orderBy("words", "key")
+    gap = F.col("rest") - F.coalesce(F.sum(F.when(F.col("chosen"), F.col("words"))).over(Window.partitionBy("_source")), F.lit(0))
+    blocks = blocks.withColumn("_gap", gap).withColumn("_spare", ~F.col("chosen") & (F.col("words") > 0)).withColumn("_n", F.row_number().over(spare))
+    blocks = blocks.withColumn("chosen", F.col("chosen") | (F.col("_spare") & (F.col("_n") == 1) & (F.col("words") < 2 * F.col("_gap")))).drop("_gap", "_spare", "_n")
     times = F.col("epochs") + F.col("chosen").cast("int")
     each = blocks.filter(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))
     place = F.row_number().over(Window.partitionBy("_source").orderBy("epoch", _digest(seed, "epoch", F.col("epoch"), F.col("key")))) - 1
@@ -134,7 +147,7 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: str = SEED) -> DataFram
 
 
 def plan(docs: DataFrame, weights: dict[str | None, float] | None = None, shards: int = SHARDS, blocks: int = BLOCKS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """docs with size, source_size, target and shards: the output shard of each of its copies in the mix."""
+    """(doc_id, size, row, source_size, target, shards): row has docs' columns, shards the output shard of each copy in the mix."""
     with_size = sized(docs, blocks, seed)
     by_block = with_size.groupBy("_source", "_block").agg(F.sum("size").alias("words"))
     goals = targets(by_block, weights, most)
@@ -151,5 +164,5 @@ def plan(docs: DataFrame, weights: dict[str | None, float] | None = None, shards
 def mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """The mixed corpus: docs' columns, a row for each copy, shuffled within each shard."""
     planned = plan(docs, seed=seed, **options)
-    copies = planned.select(*docs.columns, F.posexplode("shards").alias("_copy", "_shard"))
-    return copies.withColumn("_key", _digest(seed, "local", F.col("_copy"), F.col("doc_id"))).repartition("_shard").sortWithinPartitions("_shard", "_key").select(*docs.columns)
+    copies = planned.select("doc_id", "row", F.posexplode("shards").alias("copy", "shard"))
+    return copies.withColumn("key", _digest(seed, "local", F.col("copy"), F.col("doc_id"))).repartition("shard").sortWithinPartitions("shard", "key").select("row.*")

@@ -25,9 +25,24 @@ e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::INTE
 f0 AS (SELECT b.src, block, words, source_size, target, epochs, target - epochs * source_size AS rest, md5('{SEED}|draw|' || b.src || '|' || block) AS key, false AS chosen FROM b JOIN e USING (src)),
 {_fit("f1", "f0", "true", "key")},
 {_fit("f2", "f1", "NOT chosen AND words <= gap", "words DESC, key")},
-{_fit("f3", "f2", "NOT chosen AND words <= gap", "words DESC, key")}
-SELECT d.doc_id, d.size, f3.source_size, f3.target, (d.size * (f3.epochs + f3.chosen::INTEGER))::BIGINT AS taken
-FROM d JOIN f3 USING (src, block)"""
+{_fit("f3", "f2", "NOT chosen AND words <= gap", "words DESC, key")},
+g1 AS (SELECT *, rest - coalesce(sum(CASE WHEN chosen THEN words END) OVER (PARTITION BY src), 0) AS gap, NOT chosen AND words > 0 AS spare FROM f3),
+g2 AS (SELECT *, row_number() OVER (PARTITION BY src, spare ORDER BY words, key) AS n FROM g1),
+f4 AS (SELECT src, block, source_size, target, epochs, chosen OR (spare AND n = 1 AND words < 2 * gap) AS chosen FROM g2)
+SELECT d.doc_id, d.size, f4.source_size, f4.target, (d.size * (f4.epochs + f4.chosen::INTEGER))::BIGINT AS taken
+FROM d JOIN f4 USING (src, block)"""
+
+OP3 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d)),
+f AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+g AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 100, true) AS new FROM f),
+k AS (SELECT doc_id, p, sum(new::INTEGER) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM g),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM k GROUP BY doc_id, span),
+c AS (SELECT doc_id, -1 AS a, 0 AS b FROM d UNION ALL SELECT doc_id, a, b FROM r),
+e AS (SELECT doc_id, b AS start, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS past FROM c),
+t AS (SELECT d.doc_id, string_agg(substr(h, 2 * start + 1, 2 * (coalesce(past, n) - start)), '' ORDER BY start) AS kept FROM d JOIN e USING (doc_id) GROUP BY d.doc_id)
+SELECT d.doc_id, n AS n_bytes, (n - strlen(kept) // 2)::BIGINT AS n_removed, (SELECT count(*) FROM r WHERE r.doc_id = d.doc_id) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t USING (doc_id)"""
 
 OP5 = """WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
@@ -39,4 +54,4 @@ counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
 FROM embeddings e LEFT JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)"""
 
-ORACLES: dict[str, str] = {"op5_itq_near_duplicates": OP5, "op9_source_mixing": OP9}
+ORACLES: dict[str, str] = {"op3_suffix_dedup": OP3, "op5_itq_near_duplicates": OP5, "op9_source_mixing": OP9}

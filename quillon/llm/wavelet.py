@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import tokens
-from quillon.llm.common import broadcast_if, partition_offsets, text_or_empty
+from quillon.llm.common import broadcast_if, lean, partition_offsets, text_or_empty
 
 MAGIC = b"QWM1"
 END_ID = 2
 BLOCK = 512  #: bits for each entry of a rank directory
-FILE_TOKENS = 2_000_000
+ROOM = 700_000  #: units in each generation of a worker's cache
+FILE_TOKENS = 1 << 18  #: its levels fit a core's cache
 
 
 class WaveletMatrix:
@@ -182,7 +183,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = tokens.BYTE_BPE,
 
     def encode(batches):
         part, seq, start = TaskContext.get().partitionId(), 0, 0
-        enc, end = tokens.encoder(vocabulary, "byte"), np.array([end_id], "<u2").tobytes()
+        enc, end = tokens.encoder(vocabulary, "byte", ROOM), np.array([end_id], "<u2").tobytes()
         doc_ids: list = []
         parts: list[bytes] = []
         held = 0
@@ -207,7 +208,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = tokens.BYTE_BPE,
         if parts:
             yield file()
 
-    rows = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = lean(docs).select("doc_id", text_or_empty().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(encode, "part long, seq long, start_in_part long, n_tokens long, file binary").write.option("compression", "none").parquet(path)
 
 

@@ -1,6 +1,6 @@
 """Clustering analytics on Spark DataFrames: subgroup structure in many families of aligned sequences."""
 
-from quillon.operators.evaluation import evaluate_clustering, evaluate_dbscan, summarize_methods
+from quillon.operators.evaluation import evaluate_clustering, evaluate_dbscan_with_unique_noise, summarize_methods
 from quillon.operators.checks import validate_sequence_ids, validate_square_matrix
 from quillon.operators.clustering import run_spectral_clustering
 from quillon.operators.matrix import distance_to_affinity
@@ -13,7 +13,7 @@ __all__ = [
     "RecursiveConfig",
     "distance_to_affinity",
     "evaluate_clustering",
-    "evaluate_dbscan",
+    "evaluate_dbscan_with_unique_noise",
     "read_alignment",
     "read_labels",
     "read_matrix_csv",

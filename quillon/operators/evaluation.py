@@ -71,7 +71,7 @@ def dbscan_scores(rows: DataFrame, truth: str, predicted: str, keys: list[str],
     return single.join(unique, keys).join(name(kept, "noise_removed_ARI"), keys, "left")
 
 
-def evaluate_dbscan(predictions: DataFrame, known: DataFrame, *, noise_label: int = -1) -> DataFrame:
+def evaluate_dbscan_with_unique_noise(predictions: DataFrame, known: DataFrame, *, noise_label: int = -1) -> DataFrame:
     """(family, n_sequences, predicted_clusters_excluding_noise, noise_count, noise_rate, adjusted_rand_index), each noise row its own cluster."""
     validate_predictions(predictions)
     both = predictions.join(known.select("family", "sequence_id", "known_subfamily"), ["family", "sequence_id"])

@@ -30,7 +30,7 @@ def test_single_member_agrees(spark):
 def test_noise_rows_become_clusters_of_their_own(spark):
     p = spark.createDataFrame([("f", str(i), c) for i, c in enumerate([0, -1, 1, -1])], "family string, sequence_id string, predicted_cluster int")
     k = spark.createDataFrame([("f", str(i), c) for i, c in enumerate("AABB")], "family string, sequence_id string, known_subfamily string")
-    r = evaluation.evaluate_dbscan(p, k).first()
+    r = evaluation.evaluate_dbscan_with_unique_noise(p, k).first()
     assert (r["noise_count"], r["predicted_clusters_excluding_noise"], r["noise_rate"]) == (2, 2, 0.5)
     assert [x[0] for x in evaluation.unique_noise(p, "predicted_cluster", ["family"], "sequence_id").orderBy("sequence_id").select("predicted_cluster").collect()] == [0, 2, 1, 3]
 

@@ -35,7 +35,7 @@ def check_truth(truth: DataFrame, ids: DataFrame) -> None:
 def check_outputs(truth: DataFrame, outputs: DataFrame, name: str, label: str, saved: str | None = None) -> None:
     """The same ids, no missing labels, and the known labels that were saved with them unchanged."""
     fail_on(reconcile(truth, outputs, KEYS), f"{name} IDs differ from the truth")
-    fail_on(outputs.filter(F.col(label).isNull()).select(*KEYS), f"{name} has missing labels")
+    fail_on(outputs.filter(F.col(f"`{label}`").isNull()).select(*KEYS), f"{name} has missing labels")
     if saved:
         fail_on(truth.join(outputs, KEYS).filter(~F.col("known_subfamily").eqNullSafe(F.col(saved))).select(*KEYS), f"{name} known labels differ")
 

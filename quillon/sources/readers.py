@@ -73,15 +73,21 @@ def _ordered_csv(spark: SparkSession, path: str | list[str], family: str | None,
     files = _whole(spark, path, family).select("family", F.transform("lines", lambda x: F.from_csv(x, "c0 string, c1 string, c2 string, c3 string, c4 string, c5 string, c6 string, c7 string, c8 string, c9 string, c10 string, c11 string", {"sep": sep})).alias("rows"))
     names = [f"c{n}" for n in range(12)]
     cells = files.select("family", F.posexplode("rows").alias("n", "r")).select("family", "n", F.array(*[F.col(f"r.{c}") for c in names]).alias("cells"))
-    heads = cells.filter("n = 0").select("family", F.col("cells").alias("head"))
+    # only the first column may lack a name
+    named = F.transform("cells", lambda x, i: F.when(i == 0, F.coalesce(x, F.lit(""))).otherwise(x))
+    heads = cells.filter("n = 0").select("family", named.alias("head"))
     row = F.map_from_entries(F.filter(F.zip_with("head", "cells", lambda k, v: F.struct(k.alias("k"), v.alias("v"))), lambda e: e["k"].isNotNull()))
     return cells.filter("n > 0").join(heads, "family").select("family", (F.col("n") - 1).alias("ord"), F.col("head"), row.alias("row"))
 
 
+def _has(column: str) -> Column:
+    return F.coalesce(F.array_contains("head", column), F.lit(False))
+
+
 def read_labels(spark: SparkSession, path: str | list[str], family: str | None = None) -> DataFrame:
     """(family, ord, sequence_id, known_subfamily), all text; what pandas reads as missing is missing here."""
     rows = _ordered_csv(spark, path, family)
-    lost = rows.filter(~F.array_contains("head", "sequence_id") | ~F.array_contains("head", "known_subfamily")).select("family")
+    lost = rows.filter(~_has("sequence_id") | ~_has("known_subfamily")).select("family")
     fail_on(lost, "label table lacks sequence_id or known_subfamily")
     return validate_labels(rows.select("family", "ord", *[_null_tokens(F.coalesce(F.col("row")[c], F.lit(""))).alias(c) for c in ("sequence_id", "known_subfamily")]))
 
@@ -122,9 +128,8 @@ def read_result_table(spark: SparkSession, path: str | list[str], columns: list[
     """(family, sequence_id, columns as text): per-family result CSVs whose first column is the id."""
     rows = _ordered_csv(spark, path, None)
     for c in columns:
-        fail_on(rows.filter(~F.array_contains("head", c)).select("family").distinct(), f"result table lacks {c}")
-    first = F.element_at("head", 1)
-    return rows.select("family", F.coalesce(F.col("row")[F.coalesce(first, F.lit(""))], F.col("row")[""]).alias("sequence_id"), *[_null_tokens(F.col("row")[c]).alias(c) for c in columns])
+        fail_on(rows.filter(~_has(c)).select("family").distinct(), f"result table lacks {c}")
+    return rows.select("family", F.col("row")[F.element_at("head", 1)].alias("sequence_id"), *[_null_tokens(F.col("row")[c]).alias(c) for c in columns])
 
 
 def read_candidate_scores(spark: SparkSession, path: str | list[str]) -> DataFrame:

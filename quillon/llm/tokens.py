@@ -17,7 +17,8 @@ WORD_BPE = "word_bpe_49k.json"
 SEPARATOR = "<|endoftext|>"
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s | \s|^ | $")
+#: White space but for space and line feed.
+_RARE = ["\t", "\r", "\x0b", "\x0c", *map(chr, range(0x1C, 0x20))], [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 #: Outside these, normal forms and letter case need the whole text; so do the controls that some call white space.
 _FAR = re.compile(r"[^\x00-\x1b\x20-\u024f]")
 #: Marks that stand apart from the letter or digit before them in both vocabularies.
@@ -44,7 +45,7 @@ class UnitEncoder:
     `room` units: when the new one is full it becomes the old one, and the old one goes.
     """
 
-    def __init__(self, name_or_path: str, kind: str, room: int = 300_000, call: int = 4096):
+    def __init__(self, name_or_path: str, kind: str, room: int, call: int = 4096):
         import regex
         from tokenizers import Tokenizer
 
@@ -70,7 +71,8 @@ class UnitEncoder:
             return None
         if self.kind == "word":
             return None if _FAR.search(text) else text.lower().split()
-        return _CUT.split(text) if _ODD.search(text) else text.split(" ")
+        plain = not ("  " in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1:] in " \n" or any(c in text for c in _RARE[0])) and (text.isascii() or not any(c in text for c in _RARE[1]))
+        return text.split(" ") if plain else _CUT.split(text)
 
     def _ends(self, some: list[str], ids: np.ndarray, lead: str) -> list[int] | None:
         """Where each unit's ids end, if the marks agree with the number of units."""
@@ -90,14 +92,17 @@ class UnitEncoder:
             if ends is None:
                 self.cache.update((key + u, self._plain(lead + u)) for u in some)
                 continue
-            raw, at = ids.tobytes(), 0
-            for u, end in zip(some, ends, strict=True):
-                self.cache[key + u] = raw[at : 2 * end]
-                at = 2 * end
+            raw, last = ids.tobytes(), [2 * e for e in ends]
+            names = [key + u for u in some] if key else some
+            self.cache.update(zip(names, [raw[x:y] for x, y in zip([0, *last[:-1]], last, strict=True)], strict=True))
 
     def _learn(self, units: list[str]) -> None:
         """Learns units from their parts: lines within a unit, and the stops at the end of a line."""
         known, rows, built = self.cache, {" ": {}, "\n": {}}, []
+        bases = [u.rstrip(STOPS) for u in units]
+        simple = [(u, b) for u, b in zip(units, bases, strict=True) if b.isalpha()]
+        rows[" "] = dict.fromkeys([b for _, b in simple if b not in known])
+        units = [u for u, b in zip(units, bases, strict=True) if not b.isalpha()]
         lead = " "
         for u in units:
             lines = u.split("\n") if "\n" in u else (u,)
@@ -119,6 +124,9 @@ class UnitEncoder:
                     known[u] = self._plain(lead + u if self.kind == "byte" else u)
         self._encode_row(list(rows[" "]), " ")
         self._encode_row(list(rows["\n"]), "\n")
+        for u, b in simple:
+            if len(b) < len(u):
+                known[u] = known[b] + self._stops(u[len(b) :])
         for u, parts in built:
             known[u] = b"".join([x for base, stops in parts for x in (known[base], self._stops(stops))])
 
@@ -157,11 +165,11 @@ class UnitEncoder:
         return out
 
 
-def encoder(name_or_path: str, kind: str) -> UnitEncoder:
-    """One encoder for each Python worker, with what it has learned from earlier tasks."""
+def encoder(name_or_path: str, kind: str, room: int = 250_000) -> UnitEncoder:
+    """One encoder for each Python worker, with what it has learned from earlier tasks; a unit takes about 250 bytes."""
     key = (name_or_path, kind)
     if key not in _ENCODERS:
-        _ENCODERS[key] = UnitEncoder(name_or_path, kind)
+        _ENCODERS[key] = UnitEncoder(name_or_path, kind, room)
     return _ENCODERS[key]
 
 

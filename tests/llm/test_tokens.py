@@ -15,7 +15,7 @@ TEXTS = ["", " ", "  a  b", "a\n b \n\nc  ", "x\x1cy z", "it's  <|endoftext|> x"
 
 @pytest.mark.parametrize(("name", "kind"), KINDS)
 def test_encoding_is_the_librarys(documents, name, kind):
-    enc = tokens.UnitEncoder(name, kind)
+    enc = tokens.UnitEncoder(name, kind, 10**6)
     texts = TEXTS + [r["text"] for r in documents.collect()]
     for again in range(2):  # from the library, then from the cache
         for text, code in zip(texts, enc.encode(texts), strict=True):

@@ -65,7 +65,7 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def same_key_pairs(group: np.ndarray, step: int = 1 << 20, first: np.ndarray | None = None):
+def same_key_pairs(group: np.ndarray, step: int = 1 << 19, first: np.ndarray | None = None):
     """Index pairs (i, j), i < j, of equal values in a sorted array, some at a time; none is kept.
 
     first: which i take part.

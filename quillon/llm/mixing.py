@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import WORD, broadcast_if, text_or_empty
 
 BLOCKS = 1024
-SHARDS = 64
+LEAST_SHARDS = 64
 MOST = 3
 SEED = "mix-1"
 
@@ -146,8 +146,13 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: str = SEED) -> DataFram
     return leaves.withColumn("first", first).withColumn("past", F.col("first") + F.col("quota")).drop("quota")
 
 
-def plan(docs: DataFrame, weights: dict[str | None, float] | None = None, shards: int = SHARDS, blocks: int = BLOCKS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """(doc_id, size, row, source_size, target, shards): row has docs' columns, shards the output shard of each copy in the mix."""
+def plan(docs: DataFrame, weights: dict[str | None, float] | None = None, shards: int | None = None, blocks: int = BLOCKS, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """(doc_id, size, row, source_size, target, shards): row has docs' columns, shards the output shard of each copy in the mix.
+
+    By default there are as many shards as shuffle partitions, so that they stay of one size as the corpus grows;
+    which documents are taken, and how often, doesn't depend on it.
+    """
+    shards = shards or max(LEAST_SHARDS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     with_size = sized(docs, blocks, seed)
     by_block = with_size.groupBy("_source", "_block").agg(F.sum("size").alias("words"))
     goals = targets(by_block, weights, most)

@@ -45,6 +45,7 @@ from quillon.llm.tokens import in_slices
 SEED = 42
 SAMPLE = 4096
 CELL = 20_000
+TASK_ENTRIES = 100_000
 ROW_NS, PAIR_NS = 2500.0, 40.0  #: estimated work for an entry and for a comparison
 BITS = 64
 
@@ -186,7 +187,8 @@ def similar(classes: DataFrame, radius: int = 3, rows: int | None = None, link=N
 
     entries = classes.select(*columns).mapInArrow(enter, "part int, value long, probe boolean, " + ", ".join(f"{c} long" for c in columns))
     met = cells(entries, ["part", "value"], columns[0], CELL)
-    tasks = max(64, min(rows * len(index) // 50_000, 1 << 20))
+    each = sum(1 + len(_masks(tuple(bits), threshold)) for bits, threshold in index)
+    tasks = max(64, min(rows * each // TASK_ENTRIES, 1 << 20))
     keyed = met.withColumn("task", F.pmod(F.xxhash64("part", "value", "low", "high"), tasks))
     return keyed.groupBy("task").applyInPandas(link, "a long, b long")
 
@@ -225,7 +227,7 @@ def group_documents(docs: DataFrame, width: int = 3, radius: int = 3, seed: int
 
 # ---- by similarity
 
-NEAR_RADIUS = 12
+NEAR_RADIUS = 14
 EXTRA = 2  #: further fingerprint words
 EXTRA_SHARE = 0.26  #: of all bits, that may differ in a loose link: 4 deviations over the mean at similarity 0.8
 GROUP_CELL = 128

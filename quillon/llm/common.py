@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
@@ -64,6 +66,15 @@ def lean(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def tidy() -> None:
+    """Gives a Python worker's free memory back: workers wait for later tasks, and others start beside them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        return
+
+
 def broadcast_if(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """A broadcast hint if rows of row_bytes fit the bound, else df for a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
@@ -106,7 +117,3 @@ def mix64(x: np.ndarray, key: int = 0) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
-
-
-def window_total(column: str, *keys: str) -> Column:
-    return F.sum(column).over(Window.partitionBy(*keys))

@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import tokens
-from quillon.llm.common import lean, stored, text_or_empty
+from quillon.llm.common import lean, stored, text_or_empty, tidy
 
 CAPACITY = 4096
 END_ID = 1
+ROOM = 120_000  #: units in each generation of a worker's cache
 
 
 class SegmentTree:
@@ -107,7 +108,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = tokens.WORD_BPE, end_id: int
         fields, schema = [*fields, ("ids", pa.binary())], f"{schema}, ids binary"
 
     def cut(batches):
-        enc, end = tokens.encoder(vocabulary, "word"), np.array([end_id], "<u2").tobytes()
+        enc, end = tokens.encoder(vocabulary, "word", ROOM), np.array([end_id], "<u2").tobytes()
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at, some in tokens.in_slices(texts):
@@ -120,6 +121,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = tokens.WORD_BPE, end_id: int
                         for column, value in zip(rows, row, strict=False):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(rows, fields, strict=True)], names=[n for n, _ in fields])
+        tidy()
 
     return lean(docs).select("doc_id", text_or_empty().alias("text")).mapInArrow(cut, schema)
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import lean, text_or_empty
+from quillon.llm.common import lean, text_or_empty, tidy
 from quillon.llm.tokens import in_slices
 
 LABELLED = 4000
@@ -230,6 +230,7 @@ def scored(model: CoTrained | None) -> Column:
             t, m = text_features(some), meta_features(source[part].tolist(), lang[part].tolist(), n_chars[part].tolist())
             a, b = model.views(t, m)
             out.append(np.column_stack((model.score(t, m), sigmoid(a), sigmoid(b))))
+        tidy()
         return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 3)), columns=kind.names)
 
     return rate(text_or_empty(), F.col("source"), F.col("lang"), F.col("n_chars").cast("double"))

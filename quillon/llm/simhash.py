@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import broadcast_if, lean, mix64, stored, text_or_empty
+from quillon.llm.common import broadcast_if, lean, mix64, stored, text_or_empty, tidy
 from quillon.llm.graph import cells, components, forest, same_key_pairs
 from quillon.llm.tokens import in_slices
 
@@ -82,6 +82,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = SEED) -> DataFrame
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             fps = [fingerprint(shingle_hashes(t, width, seed)) for _, some in in_slices(texts) for t in some]
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+        tidy()
 
     return lean(docs).select("doc_id", text_or_empty().alias("text")).mapInArrow(scan, "doc_id long, fp long")
 
@@ -212,6 +213,8 @@ def _forest_of(pdf: pd.DataFrame, radius: int, words: list[str], ident: str, mos
         a, b = label[place[i[fits]]], label[place[j[fits]]]
         label = forest(a, b, len(names))[label]
     child = np.flatnonzero(label != np.arange(len(names)))
+    del pdf, key, values
+    tidy()
     return pd.DataFrame({"a": names[child], "b": names[label[child]]})
 
 
@@ -246,6 +249,7 @@ def wide_fingerprints(docs: DataFrame, width: int, seed: int = SEED) -> DataFram
                         column.append(fingerprint(mix64(h, 100 + n) if n else h))
             columns = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in words]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_hash", "fp", *(f"e{n}" for n in range(EXTRA))])
+        tidy()
 
     extra = ", ".join(f"e{n} long" for n in range(EXTRA))
     return lean(docs).select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text")).mapInArrow(scan, f"doc_id long, text_hash long, fp long, {extra}")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.blobs import pack, unpack
-from quillon.llm.common import lean, mix64, stored, text_or_empty
+from quillon.llm.common import lean, mix64, stored, text_or_empty, tidy
 
 LENGTH = 100
 GRAM = 32
@@ -477,6 +477,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes:
             if lo < hi:
                 some.append(s)
                 bodies.append(pack(shared[lo:hi], front_code(run.rows[lo:hi], shared[lo:hi]), *run.least[lo:hi].T.copy()))
+        tidy()
         return pa.table({"shard": pa.array(some, pa.int32()), "batch": pa.array([t["batch"][0].as_py()] * len(some), pa.int64()), "body": pa.array(bodies, pa.binary())})
 
     runs = own.union(alone).groupBy("batch").applyInArrow(send, "shard int, batch long, body binary")
@@ -501,6 +502,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes:
                 row.append((data[~whole_characters(data, g)] if removed else data).tobytes().decode("utf-8", "replace"))
             for k, v in zip(names, row, strict=True):
                 out[k].append(v)
+        del run, gone, edges
+        tidy()
         kinds = [pa.int64()] * 4 + [pa.string()] * 2
         columns = [pa.array(out[k], kind) for k, kind in zip(names, kinds, strict=False)]
         return pa.table([*columns[:5], *rest.columns, *columns[5:]], names=[f"o{n}" for n in range(len(columns) + rest.num_columns)])

@@ -27,7 +27,7 @@ from quillon.llm.common import lean, stored, text_or_empty, tidy
 
 CAPACITY = 4096
 END_ID = 1
-ROOM = 120_000  #: units in each generation of a worker's cache
+ROOM = 500_000  #: units in each generation of a worker's cache
 
 
 class SegmentTree:
@@ -100,7 +100,7 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np
     return np.array(segments, np.int64).reshape(-1, 6), bins
 
 
-def token_pieces(docs: DataFrame, vocabulary: str = tokens.WORD_BPE, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str = tokens.WORD_BPE, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False, room: int = ROOM) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]), ids as little-endian unsigned 16-bit numbers."""
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -108,7 +108,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = tokens.WORD_BPE, end_id: int
         fields, schema = [*fields, ("ids", pa.binary())], f"{schema}, ids binary"
 
     def cut(batches):
-        enc, end = tokens.encoder(vocabulary, "word", ROOM), np.array([end_id], "<u2").tobytes()
+        enc, end = tokens.encoder(vocabulary, "word", room), np.array([end_id], "<u2").tobytes()
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at, some in tokens.in_slices(texts):
@@ -155,5 +155,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(assign, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str = tokens.WORD_BPE, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    return pack(token_pieces(docs, vocabulary, end_id, capacity, with_ids), capacity)
+def pack_documents(docs: DataFrame, vocabulary: str = tokens.WORD_BPE, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False, room: int = ROOM) -> DataFrame:
+    return pack(token_pieces(docs, vocabulary, end_id, capacity, with_ids, room), capacity)

@@ -28,7 +28,7 @@ from quillon.llm.common import broadcast_if, lean, partition_offsets, text_or_em
 MAGIC = b"QWM1"
 END_ID = 2
 BLOCK = 512  #: bits for each entry of a rank directory
-ROOM = 700_000  #: units in each generation of a worker's cache
+ROOM = 250_000  #: units in each generation of a worker's cache
 FILE_TOKENS = 1 << 18  #: its levels fit a core's cache
 
 

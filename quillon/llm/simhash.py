@@ -237,22 +237,25 @@ GROUP_CELL = 128
 
 
 def wide_fingerprints(docs: DataFrame, width: int, seed: int = SEED) -> DataFrame:
-    """(doc_id, text_hash, fp, e0, ...): the fingerprint and further ones from remixed hashes."""
+    """(doc_id, text_hash, s0, s1, fp, e0, ...): 128 bits that name the set of shingles, the fingerprint and further ones from remixed hashes."""
+    from xxhash import xxh64_intdigest
 
     def scan(batches):
         for batch in batches:
-            texts, words = batch.column(2).to_pylist(), [[] for _ in range(1 + EXTRA)]
+            texts, words = batch.column(2).to_pylist(), [[] for _ in range(3 + EXTRA)]
             for _, some in in_slices(texts):
                 for t in some:
                     h = shingle_hashes(t, width, seed)
-                    for n, column in enumerate(words):
-                        column.append(fingerprint(mix64(h, 100 + n) if n else h))
+                    raw = np.unique(h).tobytes()
+                    own = [xxh64_intdigest(raw, n) for n in range(2)] + [fingerprint(mix64(h, 100 + n) if n else h) for n in range(1 + EXTRA)]
+                    for column, word in zip(words, own, strict=True):
+                        column.append(word)
             columns = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_hash", "fp", *(f"e{n}" for n in range(EXTRA))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_hash", "s0", "s1", "fp", *(f"e{n}" for n in range(EXTRA))])
         tidy()
 
     extra = ", ".join(f"e{n} long" for n in range(EXTRA))
-    return lean(docs).select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text")).mapInArrow(scan, f"doc_id long, text_hash long, fp long, {extra}")
+    return lean(docs).select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text")).mapInArrow(scan, f"doc_id long, text_hash long, s0 long, s1 long, fp long, {extra}")
 
 
 def jaccard_links(sets: list[np.ndarray], least: float, blocks: np.ndarray | None = None, step: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
@@ -300,11 +303,11 @@ def _verify_groups(t: pa.Table, width: int, seed: int, least: float) -> pa.Table
 def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = NEAR_RADIUS, seed: int = SEED) -> DataFrame:
     """(doc_id, text_hash, component_id): least doc_id of the documents chained by similarity `least`; no null doc_ids.
 
-    Documents with equal words in all fingerprints are one class, for which the document with the least id stands.
+    Documents with equal sets of shingles are one class, for which the document with the least id stands.
     """
-    words = ["fp", *(f"e{n}" for n in range(EXTRA))]
+    own, words = ["s0", "s1"], ["fp", *(f"e{n}" for n in range(EXTRA))]
     fps = stored(wide_fingerprints(docs.filter("doc_id is not null"), width, seed))
-    classes = stored(fps.groupBy(*words).agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select(*words, "first.*").withColumn("id", F.monotonically_increasing_id()))
+    classes = stored(fps.groupBy(*own, *words).agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select(*own, *words, "first.*").withColumn("id", F.monotonically_increasing_id()))
     rows = classes.count()
     most = int(EXTRA_SHARE * BITS * len(words))
     entries = similar(classes, radius, rows, lambda pdf: _forest_of(pdf, radius, words, "id", most), ["id", *words])
@@ -318,10 +321,10 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int
     by_task = met.withColumn("task", F.pmod(F.xxhash64("component", "low", "high"), tasks)).groupBy("task")
     links = by_task.applyInArrow(lambda t: _verify_groups(t, width, seed, least), "a long, b long")
     reach = components(links)
-    named = classes.join(reach, classes["id"] == reach["node"], "left").select(*words, "doc_id", F.coalesce("component", "id").alias("component"))
+    named = classes.join(reach, classes["id"] == reach["node"], "left").select(*own, "doc_id", F.coalesce("component", "id").alias("component"))
     lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(lowest, "component").select(*words, "component_id")
-    return fps.join(named, words).select("doc_id", "text_hash", "component_id")
+    named = named.join(lowest, "component").select(*own, "component_id")
+    return fps.join(named, own).select("doc_id", "text_hash", "component_id")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:

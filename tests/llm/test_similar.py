@@ -150,6 +150,14 @@ def test_near_groups_against_all_pairs(spark, monkeypatch, documents):
     assert kept == {n for n, g in got.items() if n == g}
 
 
+def test_equal_fingerprints_are_not_equal_texts(spark, no_documents):
+    """A line repeated often sets all bits of a fingerprint; what else the documents hold still counts."""
+    rng = np.random.default_rng(8)
+    rows = [(n, "one line that is repeated " * 200 + " ".join(f"w{int(x)}" for x in rng.integers(0, 1 << 40, 200)), "en", "s", 1) for n in range(4)]
+    docs = spark.createDataFrame(rows, no_documents.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    assert {r["doc_id"] for r in simhash.keep_first(docs).collect()} == {0, 1, 2, 3}
+
+
 def test_keep_first_of_odd_documents(odd_documents, no_documents):
     kept = simhash.keep_first(odd_documents)
     assert kept.columns == odd_documents.columns

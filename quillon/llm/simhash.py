@@ -237,7 +237,7 @@ GROUP_CELL = 128
 
 
 def wide_fingerprints(docs: DataFrame, width: int, seed: int = SEED) -> DataFrame:
-    """(doc_id, text_hash, s0, s1, fp, e0, ...): 128 bits that name the set of shingles, the fingerprint and further ones from remixed hashes."""
+    """(doc_id, text_hash, s0, s1, fp, e0, ...): 128 bits that name the set of shingles, its fingerprint and further ones from remixed hashes; repeats don't count."""
     from xxhash import xxh64_intdigest
 
     def scan(batches):
@@ -245,8 +245,8 @@ def wide_fingerprints(docs: DataFrame, width: int, seed: int = SEED) -> DataFram
             texts, words = batch.column(2).to_pylist(), [[] for _ in range(3 + EXTRA)]
             for _, some in in_slices(texts):
                 for t in some:
-                    h = shingle_hashes(t, width, seed)
-                    raw = np.unique(h).tobytes()
+                    h = np.unique(shingle_hashes(t, width, seed))
+                    raw = h.tobytes()
                     own = [xxh64_intdigest(raw, n) for n in range(2)] + [fingerprint(mix64(h, 100 + n) if n else h) for n in range(1 + EXTRA)]
                     for column, word in zip(words, own, strict=True):
                         column.append(word)

@@ -158,6 +158,17 @@ def test_equal_fingerprints_are_not_equal_texts(spark, no_documents):
     assert {r["doc_id"] for r in simhash.keep_first(docs).collect()} == {0, 1, 2, 3}
 
 
+def test_near_copies_with_repeats_are_found(spark, no_documents):
+    """Copies that differ in how often a line or a word is repeated have nearly one set of shingles."""
+    rng, rows = np.random.default_rng(9), []
+    for n in range(0, 8, 2):
+        text = " ".join(f"w{int(x)}" for x in rng.integers(0, 1 << 40, 200))
+        more = " one line that is repeated" * 50 if n < 4 else " junk" * 300
+        rows += [(n, text, "en", "s", 1), (n + 1, text + more, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, no_documents.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    assert {r["doc_id"] for r in simhash.keep_first(docs).collect()} == {0, 2, 4, 6}
+
+
 def test_keep_first_of_odd_documents(odd_documents, no_documents):
     kept = simhash.keep_first(odd_documents)
     assert kept.columns == odd_documents.columns

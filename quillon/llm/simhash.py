@@ -18,8 +18,11 @@ split into blocks, and each pair of blocks meets in a cell of its own, so no tas
 
 `near_groups` links documents by the Jaccard similarity of their word shingles instead. It looks for
 fingerprints within `NEAR_RADIUS` bits; of these pairs, those that are also near by `EXTRA` further
-fingerprint words chain documents into loose groups, and inside a loose group all pairs of distinct
-texts are compared exactly, in cells of bounded size.
+fingerprint words chain documents into loose groups. So do pairs that share one of `BANDS` values,
+each made of `ROWS` least hashes of the set, whose sketches of those hashes differ in `SKETCH_MOST`
+bits at most; this finds the pairs at similarity 0.8 that lie beyond the radius, as it misses one
+with a chance below 1e-11 (1e-13 by the sketch), and fewer at higher similarity. Inside a loose group
+all pairs of distinct sets are compared exactly, in cells of bounded size.
 
 Defined cases: null or empty texts have fingerprint zero and link like any other; repeated rows and
 ties share a class; null doc_ids never name a component unless all of it is null; an empty table
@@ -35,7 +38,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import broadcast_if, lean, mix64, stored, text_or_empty, tidy
@@ -234,15 +237,39 @@ NEAR_RADIUS = 14
 EXTRA = 2  #: further fingerprint words
 EXTRA_SHARE = 0.26  #: of all bits, that may differ in a loose link: 4 deviations over the mean at similarity 0.8
 GROUP_CELL = 128
+BANDS, ROWS = 64, 5  #: a pair at 0.8 shares no band with a chance of (1 - 0.8 ** ROWS) ** BANDS = 9e-12
+SKETCH_MOST = 78  #: of BANDS * ROWS bits, each of which differs with a chance of 0.1 at similarity 0.8: more with one of 3e-14
+SKETCH = [f"k{n}" for n in range(BANDS * ROWS // BITS)]
+TURNS = (mix64(np.arange(BANDS * ROWS, dtype=np.uint64), 900) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least of all hashes under each of TURNS; the greatest number for none."""
+    x = (mix64(hashes, 901) >> np.uint64(32)).astype(np.uint32)
+    out = np.full(len(TURNS), 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(x), 256):
+        np.minimum(out, (x[i : i + 256, None] * TURNS).min(0), out=out)
+    return out
+
+
+def bands(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of minima: the values of the bands, and the sketch, a bit of each minimum."""
+    each = least.astype(np.uint64) + (np.arange(len(TURNS), dtype=np.uint64) << np.uint64(32))
+    parts, value = each.reshape(-1, BANDS, ROWS), np.zeros((len(least), BANDS), np.uint64)
+    for n in range(ROWS):
+        value = mix64(value ^ parts[:, :, n], 903 + n)
+    bits = (mix64(each, 902) & np.uint64(1)).astype(np.uint8)
+    return value, np.packbits(bits, axis=1, bitorder="little").view("<u8")
 
 
 def wide_fingerprints(docs: DataFrame, width: int, seed: int = SEED) -> DataFrame:
-    """(doc_id, text_hash, s0, s1, fp, e0, ...): 128 bits that name the set of shingles, its fingerprint and further ones from remixed hashes; repeats don't count."""
+    """(doc_id, text_hash, s0, s1, fp, e0, ...): 128 bits that name the set of shingles, its fingerprint and further ones from remixed hashes, sketch, bands; repeats don't count."""
     from xxhash import xxh64_intdigest
 
     def scan(batches):
         for batch in batches:
             texts, words = batch.column(2).to_pylist(), [[] for _ in range(3 + EXTRA)]
+            least, some_words = [], []
             for _, some in in_slices(texts):
                 for t in some:
                     h = np.unique(shingle_hashes(t, width, seed))
@@ -250,12 +277,33 @@ def wide_fingerprints(docs: DataFrame, width: int, seed: int = SEED) -> DataFram
                     own = [xxh64_intdigest(raw, n) for n in range(2)] + [fingerprint(mix64(h, 100 + n) if n else h) for n in range(1 + EXTRA)]
                     for column, word in zip(words, own, strict=True):
                         column.append(word)
-            columns = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_hash", "s0", "s1", "fp", *(f"e{n}" for n in range(EXTRA))])
+                    least.append(minima(h))
+                    some_words.append(len(h) > 0)
+            value, sketch = bands(np.array(least, np.uint32).reshape(-1, len(TURNS)))
+            columns = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in [*words, *sketch.T]]
+            columns.append(pa.array([v.tobytes() if any_ else None for v, any_ in zip(value, some_words, strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_hash", "s0", "s1", "fp", *(f"e{n}" for n in range(EXTRA)), *SKETCH, "bands"])
         tidy()
 
-    extra = ", ".join(f"e{n} long" for n in range(EXTRA))
-    return lean(docs).select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text")).mapInArrow(scan, f"doc_id long, text_hash long, s0 long, s1 long, fp long, {extra}")
+    extra = ", ".join(f"{c} long" for c in (*(f"e{n}" for n in range(EXTRA)), *SKETCH))
+    return lean(docs).select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text")).mapInArrow(scan, f"doc_id long, text_hash long, s0 long, s1 long, fp long, {extra}, bands binary")
+
+
+def band_links(classes: DataFrame) -> DataFrame:
+    """Links (a, b) that span every group of classes (id, sketch, bands) chained by a common band and near sketches."""
+
+    def enter(batches):
+        for batch in batches:
+            value = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["value", "id"])
+
+    entries = classes.filter("bands is not null").select("id", "bands").mapInArrow(enter, "value long, id long")
+    # most values are one class's own
+    shared = stored(entries.withColumn("n", F.count("*").over(Window.partitionBy("value"))).filter("n > 1").drop("n"))
+    tasks = max(64, min(shared.count() // TASK_ENTRIES, 1 << 20))
+    met = cells(shared, ["value"], "id", CELL).join(classes.select("id", *SKETCH), "id")
+    keyed = met.withColumns({"part": F.lit(0), "probe": F.lit(False), "task": F.pmod(F.xxhash64("value", "low", "high"), tasks)})
+    return keyed.groupBy("task").applyInPandas(lambda pdf: _forest_of(pdf, BITS, SKETCH, "id", SKETCH_MOST), "a long, b long")
 
 
 def jaccard_links(sets: list[np.ndarray], least: float, blocks: np.ndarray | None = None, step: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
@@ -307,11 +355,11 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int
     """
     own, words = ["s0", "s1"], ["fp", *(f"e{n}" for n in range(EXTRA))]
     fps = stored(wide_fingerprints(docs.filter("doc_id is not null"), width, seed))
-    classes = stored(fps.groupBy(*own, *words).agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select(*own, *words, "first.*").withColumn("id", F.monotonically_increasing_id()))
+    classes = stored(fps.groupBy(*own, *words).agg(F.min(F.struct("doc_id", "text_hash", *SKETCH, "bands")).alias("first")).select(*own, *words, "first.*").withColumn("id", F.monotonically_increasing_id()))
     rows = classes.count()
     most = int(EXTRA_SHARE * BITS * len(words))
     entries = similar(classes, radius, rows, lambda pdf: _forest_of(pdf, radius, words, "id", most), ["id", *words])
-    loose = components(entries)
+    loose = components(entries.union(band_links(classes)))
     grouped = classes.join(loose, classes["id"] == loose["node"]).select("id", "component", "doc_id", "text_hash")
     count = grouped.count()
     chosen = docs.withColumn("text_hash", F.xxhash64(text_or_empty())).select("doc_id", "text_hash", text_or_empty().alias("text"))

@@ -169,6 +169,36 @@ def test_near_copies_with_repeats_are_found(spark, no_documents):
     assert {r["doc_id"] for r in simhash.keep_first(docs).collect()} == {0, 2, 4, 6}
 
 
+def test_near_groups_beyond_the_radius(spark, no_documents):
+    """Pairs at similarity 0.8 whose fingerprints lie beyond NEAR_RADIUS are found too."""
+    rng, rows, beyond = np.random.default_rng(10), [], 0
+    while beyond < 8:
+        # 20 words at the end out of 200 differ: 176 of 216 shingles are common
+        words = [f"w{int(x)}" for x in rng.integers(0, 1 << 40, 220)]
+        pair = [" ".join(words[:200]), " ".join(words[:180] + words[200:])]
+        a, b = (simhash.shingle_hashes(t, 5) for t in pair)
+        assert len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+        if (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() > simhash.NEAR_RADIUS:
+            rows += [(2 * beyond + n, t, "en", "s", 1) for n, t in enumerate(pair)]
+            beyond += 1
+    docs = spark.createDataFrame(rows, no_documents.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()} == {n: n // 2 * 2 for n in range(16)}
+
+
+@pytest.mark.parametrize("n", [5, 60, 1000])
+def test_bands_share_as_many_values_as_similarity_says(n):
+    """Sets at similarity 0.8: the mean count of common bands and of other sketch bits, within 6 standard errors."""
+    rng, trials, same, other = np.random.default_rng(n), 300, [], []
+    for _ in range(trials):
+        u = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        value, sketch = simhash.bands(np.stack([simhash.minima(u), simhash.minima(u[: n * 4 // 5])]))
+        same.append(int((value[0] == value[1]).sum()))
+        other.append(int(np.bitwise_count(sketch[0] ^ sketch[1]).sum()))
+    p = 0.8**simhash.ROWS
+    assert abs(np.mean(same) - simhash.BANDS * p) <= 6 * np.sqrt(simhash.BANDS * p * (1 - p) / trials) and min(same) > 0
+    assert abs(np.mean(other) - 32) <= 6 * np.sqrt(320 * 0.1 * 0.9 / trials) and max(other) <= simhash.SKETCH_MOST
+
+
 def test_keep_first_of_odd_documents(odd_documents, no_documents):
     kept = simhash.keep_first(odd_documents)
     assert kept.columns == odd_documents.columns

@@ -376,7 +376,7 @@ def score(docs: DataFrame, mu: float = MU, batch_tokens: int = BATCH, shard_toke
         keep = (counts > 0) | (whole > 0)
         new = np.cumsum(keep) - 1
         model = ShardModel(words[keep], counts[keep], new[context], pair & np.uint64((1 << KEY_BITS) - 1), seen / (whole[context] + mu))
-        records = [(b, pack(c.astype(np.uint32), k)) for b, (c, k) in zip(ids, model.answer([(a[0], a[2], a[3]) for a in asked]), strict=True)]
+        records = [(b, pack(c, k)) for b, (c, k) in zip(ids, model.answer([(a[0], a[2], a[3]) for a in asked]), strict=True)]
         shard = t["shard"][0].as_py()
         n = len(records)
         return pa.table({"batch": pa.array([r[0] for r in records], pa.int64()), "shard": pa.array([shard] * n, pa.int32()), "words": pa.array([None] * n, pa.binary()), "body": pa.array([r[1] for r in records], pa.binary()), "distinct": pa.array([own if i == 0 else 0 for i in range(n)], pa.int64())})

@@ -97,6 +97,24 @@ def test_held_out_texts_score_better_than_by_single_words(spark):
     assert r["s"] / r["n"] > r["b"] / r["n"] + 0.5
 
 
+def test_counts_beyond_32_bits(spark, monkeypatch, no_documents):
+    """Two batches that hold one word 2^31 times each."""
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 10][:2]
+    docs = spark.createDataFrame([(i, "a", "en", "s", 1) for i in ids], no_documents.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    rows = []
+    for r in lm.make_batches(docs.coalesce(1), 2).collect():
+        words, counts = blobs.unpack(r["words"])
+        counts[words == lm._hash_words([b"a"])[0]] = 1 << 31
+        rows.append((r["batch"], (1 << 31) + 1, bytearray(blobs.pack(words, counts)), r["body"]))
+    assert len(rows) == 2
+    batches = spark.createDataFrame(rows, "batch long, train_tokens long, words binary, body binary")
+    monkeypatch.setattr(lm, "make_batches", lambda *_: batches)
+    floor = (1 << 32) + 2 + lm.ALPHA * 3
+    for r in lm.score(docs, shard_tokens=1 << 30).collect():
+        assert r["n_known"] == 2
+        assert r["base_score"] == pytest.approx(math.log10(((1 << 32) + lm.ALPHA) / floor) + math.log10((2 + lm.ALPHA) / floor))
+
+
 def test_scores_of_no_documents(no_documents):
     assert lm.score(no_documents).count() == 0
 

@@ -2,26 +2,30 @@
 
 Everything here is DataFrame and SQL expressions.
 
-1. Sizes in words of each source and of each of its `blocks` blocks (documents dealt by a hash).
+1. Sizes in words of each source and of each of its blocks (rows dealt by a hash of id and text);
+   there are `BLOCKS_PER_SHARD` blocks a source for each output shard, `BLOCKS` at least, so a draw
+   stays small beside a shard as the corpus grows.
 2. Targets: the corpus's total is shared by weight; no source gets over `most` times its own size,
    and what it leaves is shared by weight among the others.
-3. Block quotas: as many whole epochs as fit the target, then blocks in a permuted order until the
-   next would overshoot, then in two further passes the largest blocks that still fit, and at last the
-   least of the others if the target is nearer with it.
+3. Quotas, in draws of blocks: all blocks once for each whole epoch that the target holds, then as
+   many blocks of one further permuted epoch as come nearest to the target; of `TRIES` permutations
+   the one that comes nearest.
 4. The tree: the root holds the quota of each source. Each node sends an exact number of draws to
    its left half, taken from the sources by sequential hypergeometric draws (inverse distribution
    function of a hashed uniform number), until each leaf is one output shard.
-5. Each shard owns a range of each source's permuted draws, so no two shards share a draw; rows are
-   ordered inside their shard by a keyed hash.
+5. Each shard owns a range of each source's places, in which the blocks of all epochs stand permuted.
+   A block is in the mix once for each of its places that some shard owns, so the shards' draws are
+   disjoint, and together they are the mix. Rows are ordered inside their shard by a keyed hash.
 
-Documents meet their source's draws by one join on (source, block). Draws number at most
-`blocks` * `most` for each source; they are broadcast only if they fit the bound, else the join
-shuffles by (source, block), which splits a hot source into its blocks.
+Documents meet their source's draws by one join on (source, block), which broadcasts the draws only
+if they fit the bound; else it shuffles by (source, block), which splits a hot source into its blocks.
+Sources stand in one row, in code point order: a mix has a weight for each, so their number is that
+of a configuration, not of the corpus.
 
 Defined cases: null sources are one source, last in order; a null text has size 0; documents of
-size 0 are in the mix as often as their block is and add no words; repeated rows count once each;
-rows with one doc_id share a block; an empty table gives no rows; further columns pass through,
-whatever their names.
+size 0 are in the mix as often as their block is and add no words; repeated rows count once each and
+share a block; null doc_ids are dealt by their text; an empty table gives no rows; further columns
+pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,9 +33,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD, broadcast_if, text_or_empty
+from quillon.llm.common import WORD, broadcast_if, quoted, stored, text_or_empty
 
 BLOCKS = 1024
+BLOCKS_PER_SHARD = 4
+TRIES = 16  #: permutations of a source's last epoch, of which the nearest to the target counts
 LEAST_SHARDS = 64
 MOST = 3
 SEED = "mix-1"
@@ -63,13 +69,12 @@ def _hyper(pop: str, good: str, n: str, u: str) -> str:
 
 def sized(docs: DataFrame, blocks: int = BLOCKS, seed: str = SEED) -> DataFrame:
     """doc_id, size long, _source (never null), _block int, and all of docs' columns in `row`."""
-    block = F.conv(F.substring(_digest(seed, F.coalesce(F.col("doc_id"), F.lit(-1))), 1, 8), 16, 10).cast("long") % blocks
     return docs.select(
         "doc_id",
         F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_source"),
-        block.cast("int").alias("_block"),
-        F.struct(*docs.columns).alias("row"),
+        F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(blocks)).cast("int").alias("_block"),
+        F.struct(*quoted(docs)).alias("row"),
     )
 
 
@@ -96,31 +101,33 @@ def targets(by_block: DataFrame, weights: dict[str | None, float] | None = None,
     return levels.withColumn("target", F.coalesce(F.when(F.col("weight") > 0, share), F.lit(0.0))).select("_source", "source_size", "weight", "target")
 
 
-def _fit(blocks: DataFrame, fresh: Column, *order: Column) -> DataFrame:
-    """Marks as chosen the blocks, among the fresh ones in this order, that fit what is left of the rest."""
-    w = Window.partitionBy("_source")
-    running = w.partitionBy("_source", "_fresh").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = blocks.withColumn("_left", F.col("rest") - F.coalesce(F.sum(F.when(F.col("chosen"), F.col("words"))).over(w), F.lit(0)))
-    out = out.withColumn("_fresh", fresh).withColumn("_run", F.sum("words").over(running))
-    return out.withColumn("chosen", F.col("chosen") | (F.col("_fresh") & (F.col("_run") <= F.col("_left")))).drop("_left", "_fresh", "_run")
+def quotas(by_block: DataFrame, goals: DataFrame, tries: int = TRIES, seed: str = SEED) -> DataFrame:
+    """(_source, epochs, turn, quota): draws of each source, of which those beyond whole epochs follow permutation `turn`."""
+    blocks = by_block.join(goals, "_source").withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("int"))
+    blocks = blocks.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    order = Window.partitionBy("_source", "turn").orderBy(_digest(seed, "draw", F.col("turn"), F.col("_source"), F.col("_block")), "_block")
+    ends = blocks.withColumn("n", F.row_number().over(order)).withColumn("off", F.abs(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("rest")))
+    nearest = ends.groupBy("_source", "epochs", "rest").agg(F.min(F.struct("off", "turn", "n")).alias("best"), F.max("n").alias("blocks"))
+    some = F.when(F.col("best.off") < F.col("rest"), F.col("best.n")).otherwise(0)
+    return nearest.select("_source", "epochs", "best.turn", (F.col("epochs").cast("long") * F.col("blocks") + some).alias("quota"))
 
 
-def draws(by_block: DataFrame, goals: DataFrame, seed: str = SEED) -> DataFrame:
-    """(_source, _block, epoch, place): each source's draws in permuted order, place from 0."""
-    blocks = by_block.join(goals, "_source").withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("int"))
-    blocks = blocks.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("key", _digest(seed, "draw", F.col("_source"), F.col("_block"))).withColumn("chosen", F.lit(False))
-    blocks = _fit(blocks, F.lit(True), F.col("key"))
-    for _ in range(2):
-        blocks = _fit(blocks, ~F.col("chosen") & (F.col("words") <= F.col("_left")), F.col("words").desc(), F.col("key"))
-    # the least block left goes in if that overshoots by less than the shortfall without it
-    spare = Window.partitionBy("_source", "_spare").orderBy("words", "key")
-    gap = F.col("rest") - F.coalesce(F.sum(F.when(F.col("chosen"), F.col("words"))).over(Window.partitionBy("_source")), F.lit(0))
-    blocks = blocks.withColumn("_gap", gap).withColumn("_spare", ~F.col("chosen") & (F.col("words") > 0)).withColumn("_n", F.row_number().over(spare))
-    blocks = blocks.withColumn("chosen", F.col("chosen") | (F.col("_spare") & (F.col("_n") == 1) & (F.col("words") < 2 * F.col("_gap")))).drop("_gap", "_spare", "_n")
-    times = F.col("epochs") + F.col("chosen").cast("int")
-    each = blocks.filter(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))
-    place = F.row_number().over(Window.partitionBy("_source").orderBy("epoch", _digest(seed, "epoch", F.col("epoch"), F.col("key")))) - 1
-    return each.withColumn("place", place).select("_source", "_block", "epoch", "place")
+def places(by_block: DataFrame, counts: DataFrame, seed: str = SEED) -> DataFrame:
+    """(_source, _block, epoch, place): the blocks of whole epochs and of one more, permuted; place from 0."""
+    each = by_block.select("_source", "_block").join(counts, "_source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs"))))
+    last = _digest(seed, "draw", F.col("turn"), F.col("_source"), F.col("_block"))
+    key = F.when(F.col("epoch") == F.col("epochs"), last).otherwise(_digest(seed, "epoch", F.col("epoch"), F.col("_source"), F.col("_block")))
+    place = F.row_number().over(Window.partitionBy("_source").orderBy("epoch", key, "_block")) - 1
+    return each.withColumn("place", place.cast("long")).select("_source", "_block", "epoch", "place")
+
+
+def owned(drawn: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(_source, _block, epoch, shard) of the places that lie in a shard's range; one sort, no range join."""
+    none = F.lit(None)
+    starts = ranges.filter("past > first").select("_source", F.col("first").alias("place"), F.lit(0).alias("kind"), none.cast("int").alias("_block"), none.cast("int").alias("epoch"), F.struct("shard", "past").alias("own"))
+    stands = drawn.select("_source", "place", F.lit(1).alias("kind"), "_block", "epoch", none.cast(starts.schema["own"].dataType).alias("own"))
+    held = F.last("own", ignorenulls=True).over(Window.partitionBy("_source").orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return starts.union(stands).withColumn("own", held).filter("kind = 1 and place < own.past").select("_source", "_block", "epoch", "own.shard")
 
 
 def splitting_tree(quotas: DataFrame, shards: int, seed: str = SEED) -> DataFrame:
@@ -146,28 +153,28 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: str = SEED) -> DataFram
     return leaves.withColumn("first", first).withColumn("past", F.col("first") + F.col("quota")).drop("quota")
 
 
-def plan(docs: DataFrame, weights: dict[str | None, float] | None = None, shards: int | None = None, blocks: int = BLOCKS, most: int = MOST, seed: str = SEED) -> DataFrame:
+def plan(docs: DataFrame, weights: dict[str | None, float] | None = None, shards: int | None = None, blocks: int | None = None, most: int = MOST, seed: str = SEED) -> DataFrame:
     """(doc_id, size, row, source_size, target, shards): row has docs' columns, shards the output shard of each copy in the mix.
 
-    By default there are as many shards as shuffle partitions, so that they stay of one size as the corpus grows;
-    which documents are taken, and how often, doesn't depend on it.
+    By default there are as many shards as shuffle partitions, so that they stay of one size as the corpus grows.
     """
     shards = shards or max(LEAST_SHARDS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = blocks or max(BLOCKS, BLOCKS_PER_SHARD * shards)
     with_size = sized(docs, blocks, seed)
-    by_block = with_size.groupBy("_source", "_block").agg(F.sum("size").alias("words"))
+    by_block = stored(with_size.groupBy("_source", "_block").agg(F.sum("size").alias("words")))
     goals = targets(by_block, weights, most)
-    drawn = draws(by_block, goals, seed)
-    ranges = splitting_tree(drawn.groupBy("_source").agg(F.count("*").alias("quota")), shards, seed)
-    owned = drawn.join(ranges, (drawn["_source"] == ranges["_source"]) & (F.col("place") >= F.col("first")) & (F.col("place") < F.col("past"))).select(drawn["_source"], "_block", "epoch", "shard")
-    copies = owned.groupBy("_source", "_block").agg(F.transform(F.array_sort(F.collect_list(F.struct("epoch", "shard"))), lambda x: x["shard"]).alias("shards"))
-    per_block = by_block.select("_source", "_block").join(goals.select("_source", "source_size", "target"), "_source").join(copies, ["_source", "_block"], "left")
-    sources = docs.select("source").distinct().count()
-    out = with_size.join(broadcast_if(per_block, sources * blocks, 96), ["_source", "_block"])
+    counts = stored(quotas(by_block, goals, seed=seed))
+    ranges = splitting_tree(counts.select("_source", "quota"), shards, seed)
+    copies = owned(places(by_block, counts, seed), ranges).groupBy("_source", "_block").agg(F.transform(F.array_sort(F.collect_list(F.struct("epoch", "shard"))), lambda x: x["shard"]).alias("shards"))
+    per_block = stored(by_block.select("_source", "_block").join(goals.select("_source", "source_size", "target"), "_source").join(copies, ["_source", "_block"], "left"))
+    out = with_size.join(broadcast_if(per_block, per_block.count(), 96), ["_source", "_block"])
     return out.withColumn("shards", F.coalesce("shards", F.array().cast("array<int>")))
 
 
-def mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
-    """The mixed corpus: docs' columns, a row for each copy, shuffled within each shard."""
-    planned = plan(docs, seed=seed, **options)
+def mix(docs: DataFrame, seed: str = SEED, shards: int | None = None, **options) -> DataFrame:
+    """The mixed corpus: docs' columns, a row for each copy, shuffled within each shard; a task holds one shard."""
+    shards = shards or max(LEAST_SHARDS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    planned = plan(docs, seed=seed, shards=shards, **options)
     copies = planned.select("doc_id", "row", F.posexplode("shards").alias("copy", "shard"))
-    return copies.withColumn("key", _digest(seed, "local", F.col("copy"), F.col("doc_id"))).repartition("shard").sortWithinPartitions("shard", "key").select("row.*")
+    keyed = copies.withColumn("key", F.xxhash64(F.lit(seed), "copy", "doc_id", "row.text"))
+    return keyed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key").select("row.*")

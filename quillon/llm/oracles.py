@@ -2,35 +2,12 @@
 
 from __future__ import annotations
 
-from quillon.llm.mixing import BLOCKS, MOST, SEED
-
-
-def _fit(name: str, before: str, fresh: str, order: str) -> str:
-    return f"""{name}_a AS (SELECT *, rest - coalesce(sum(CASE WHEN chosen THEN words END) OVER (PARTITION BY src), 0) AS gap FROM {before}),
-{name}_b AS (SELECT *, {fresh} AS fresh FROM {name}_a),
-{name}_c AS (SELECT *, sum(words) OVER (PARTITION BY src, fresh ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS run FROM {name}_b),
-{name} AS (SELECT src, block, words, source_size, target, epochs, rest, key, chosen OR (fresh AND run <= gap) AS chosen FROM {name}_c)"""
-
-
-OP9 = f"""WITH d AS (
-  SELECT doc_id, coalesce('s' || source, 'n') AS src, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-    (('0x' || substr(md5('{SEED}|' || coalesce(doc_id, -1)), 1, 8))::BIGINT % {BLOCKS})::INTEGER AS block FROM documents),
-b AS (SELECT src, block, sum(size)::BIGINT AS words FROM d GROUP BY ALL),
-s AS (SELECT src, sum(words)::BIGINT AS source_size, (1 + (row_number() OVER (ORDER BY src = 'n', src) - 1) % 3)::DOUBLE AS weight FROM b GROUP BY src),
-l AS (SELECT *, {MOST} * source_size AS cap, ({MOST} * source_size)::DOUBLE / weight AS ratio FROM s),
-m AS (SELECT *, ((SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER (ORDER BY ratio, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
-    / sum(weight) OVER (ORDER BY ratio, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM l),
-t AS (SELECT src, source_size, least(cap::DOUBLE, weight * (SELECT level FROM m WHERE level <= ratio ORDER BY ratio, src LIMIT 1)) AS target FROM m),
-e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::INTEGER ELSE 1 END AS epochs FROM t),
-f0 AS (SELECT b.src, block, words, source_size, target, epochs, target - epochs * source_size AS rest, md5('{SEED}|draw|' || b.src || '|' || block) AS key, false AS chosen FROM b JOIN e USING (src)),
-{_fit("f1", "f0", "true", "key")},
-{_fit("f2", "f1", "NOT chosen AND words <= gap", "words DESC, key")},
-{_fit("f3", "f2", "NOT chosen AND words <= gap", "words DESC, key")},
-g1 AS (SELECT *, rest - coalesce(sum(CASE WHEN chosen THEN words END) OVER (PARTITION BY src), 0) AS gap, NOT chosen AND words > 0 AS spare FROM f3),
-g2 AS (SELECT *, row_number() OVER (PARTITION BY src, spare ORDER BY words, key) AS n FROM g1),
-f4 AS (SELECT src, block, source_size, target, epochs, chosen OR (spare AND n = 1 AND words < 2 * gap) AS chosen FROM g2)
-SELECT d.doc_id, d.size, f4.source_size, f4.target, (d.size * (f4.epochs + f4.chosen::INTEGER))::BIGINT AS taken
-FROM d JOIN f4 USING (src, block)"""
+TARGETS = """WITH s AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')))::BIGINT AS source_size FROM documents GROUP BY source),
+w AS (SELECT *, (1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3)::DOUBLE AS weight FROM s),
+l AS (SELECT *, 3 * source_size AS cap, (3 * source_size)::DOUBLE / weight AS ratio FROM w),
+m AS (SELECT *, ((SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER (ORDER BY ratio, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / sum(weight) OVER (ORDER BY ratio, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM l)
+SELECT source, source_size, weight, round(least(cap::DOUBLE, weight * (SELECT level FROM m WHERE level <= ratio ORDER BY ratio, source IS NULL, source LIMIT 1)), 3) + 0.0 AS target FROM m"""
 
 OP3 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
 w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d)),
@@ -54,4 +31,4 @@ counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
 FROM embeddings e LEFT JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)"""
 
-ORACLES: dict[str, str] = {"op3_suffix_dedup": OP3, "op5_itq_near_duplicates": OP5, "op9_source_mixing": OP9}
+ORACLES: dict[str, str] = {"op3_suffix_dedup": OP3, "op5_itq_near_duplicates": OP5, "mixing_targets": TARGETS}

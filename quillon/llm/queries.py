@@ -48,7 +48,14 @@ def op8_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The law behind op9: each source's size, weight and target."""
+    by_source = mixing.sized(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).groupBy("_source").agg(F.sum("size").alias("words"))
+    goals = mixing.targets(by_source)
+    return goals.select(F.when(F.col("_source") != "n", F.substr("_source", F.lit(2))).alias("source"), "source_size", "weight", (F.round("target", 3) + 0.0).alias("target"))
 
 
 def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +65,4 @@ def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_elias_fano_scores, op2_one_bit_search, op3_suffix_dedup, op4_wavelet_tokens, op5_itq_near_duplicates, op6_best_fit_packing, op7_simhash_groups, op8_co_training, op9_source_mixing, op10_feistel_sharding)
-}
+} | {"mixing_targets": mixing_targets}

@@ -59,5 +59,5 @@ def test_query_agrees_with_sql(spark, sf_dir, name):
 
 
 def test_one_query_for_each_operator():
-    numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
+    numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op"))
     assert numbers == list(range(1, 11))

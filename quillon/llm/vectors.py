@@ -8,18 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(vectors: DataFrame, column: str = "embedding") -> tuple[DataFrame, int]:
-    """The rows whose vector is whole, finite and not zero, and their dimension.
-
-    The dimension is the commonest length, the longest of several; vectors of another length
-    take no part. 0 where no row is usable.
-    """
+def sound(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """The rows whose vector is whole, finite and not zero, whatever its length."""
     v = F.col(column)
-    sound = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    good = vectors.filter(F.coalesce(sound, F.lit(False)))
-    top = good.groupBy(F.size(v).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    dim = top[0] if top else 0
-    return good.filter(F.size(v) == dim), dim
+    fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
+    return vectors.filter(F.coalesce(fine, F.lit(False)))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -28,5 +21,9 @@ def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 
 def row_dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, each summed in the same order, so equal rows give equal sums."""
-    return (np.asarray(a, np.float64) * np.asarray(b, np.float64)).sum(axis=-1)
+    """Inner products in double precision, each summed from the first component to the last, so equal rows give equal sums."""
+    a, b = np.asarray(a, np.float64), np.asarray(b, np.float64)
+    out = np.zeros(np.broadcast_shapes(a.shape, b.shape)[:-1])
+    for n in range(a.shape[-1]):
+        out += a[..., n] * b[..., n]
+    return out

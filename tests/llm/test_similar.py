@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -250,13 +251,28 @@ def test_search_of_few_or_none(spark):
 
 
 def test_estimates_and_bounds():
-    rng = np.random.default_rng(5)
-    x, q, turn = rng.normal(size=(3000, 64)), rng.normal(size=(5, 64)), ann.rotation(64)
-    assert np.allclose(turn @ turn.T, np.eye(64))
-    coded = ann.OneBitCodes(x, turn)
-    off = coded.estimate(coded.signs(), q, turn) - q @ x.T
-    assert abs(off.mean()) < 0.1
-    assert (np.abs(off) > 2.5 * np.linalg.norm(q, axis=1)[:, None] * coded.error[None]).mean() < 0.02
+    for dim in (64, 100):
+        rng = np.random.default_rng(5)
+        x, q, turn = rng.normal(size=(3000, dim)), rng.normal(size=(5, dim)), ann.rotation(dim)
+        assert np.allclose(turn @ turn.T, np.eye(dim))
+        coded = ann.OneBitCodes.of(x, turn)
+        assert coded.words.shape == (-(-dim // 64), 3000) and coded.words.dtype.itemsize == 8
+        for query in q:
+            guess, shift = coded.estimate(query, turn)
+            signs = np.where(x @ turn > 0, 1.0, -1.0)
+            exact = signs @ (query @ turn) / np.sqrt(dim) * coded.scale  # of the query before it is rounded
+            assert (np.abs(guess - exact) <= 2.5 * shift * coded.scale + 1e-9).mean() > 0.97
+            off = guess - x @ query
+            assert abs(off.mean()) < 0.4
+            assert (np.abs(off) > 2.5 * (np.linalg.norm(query) * coded.error + shift * coded.scale)).mean() < 0.02
+
+
+def test_search_takes_lengths_repeats_ties_and_clashing_names(spark):
+    v = [1.0, 0.5, 0.0], [2.0, 1.0, 0.0], [1.0, 1.0]
+    rows = [(0, v[0]), (1, v[1]), (2, v[1]), (3, v[2]), (4, v[2]), (20, v[2]), (0, v[1]), (None, v[0]), (5, [0.0, 0.0])]
+    df = spark.createDataFrame([(i, x, i, "q", 1.0, 2) for i, x in rows], "vec_id long, embedding array<float>, query_id long, words string, score double, dim int")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, every=20, k=2).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 2.5), (0, 2, 2, 2.5), (20, 1, 3, 2.0), (20, 2, 4, 2.0)]
 
 
 def test_near_vectors_against_all_pairs(spark, monkeypatch):
@@ -274,6 +290,43 @@ def test_near_vectors_against_all_pairs(spark, monkeypatch):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+def test_vectors_of_several_lengths_and_clashing_names(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [5.0, 0.0, 0.0]), (5, [0.0, 1.0]), (None, [0.0, 2.0]), (5, [0.0, 1.0])]
+    df = spark.createDataFrame([(i, x, 1, 2, 3, "x") for i, x in rows], "vec_id long, embedding array<float>, id long, n int, component long, a string")
+    got = sorted(((r["vec_id"] or -1, r["n_links"], r["component_id"]) for r in itq.near_duplicates(df).collect()))
+    assert got == [(-1, 2, 5), (1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 2, 5), (5, 2, 5)]
+
+
+@pytest.mark.parametrize("rows", [1 << 10, 1 << 22, 1 << 30])
+def test_every_shape_counts_each_link_once(rows, monkeypatch):
+    """Recall of pairs at exactly 0.9, by the entries that two classes share, for the shapes of small and large tables."""
+    rotations, tables, width = itq.shape(rows, 64)
+    rng = np.random.default_rng(rows)
+    x = rng.normal(size=(300, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(1, keepdims=True) * x
+    y = 0.9001 * x + np.sqrt(1 - 0.9001**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    both = np.concatenate((x, y))
+    learned = [itq.learn_rotation(rng.normal(size=(2000, 64)), width * tables, 5 + r, rounds=5) for r in range(rotations)]
+    code = np.stack([itq.codes(both, *m) for m in learned], 1)
+    near, step, rest = itq.small(both)
+    exact = (both[:300] * both[300:]).sum(1)
+    assert (np.abs((near[:300].astype(float) * near[300:]).sum(1) * step[:300] * step[300:] - exact) <= rest[:300] * (1 + rest[300:]) + rest[300:]).all()
+    rows_ = []
+    for t in range(rotations * tables):
+        own = (code[:, t // tables] >> np.uint64(t % tables * width)) & np.uint64((1 << width) - 1)
+        for flip in [0, *(1 << b for b in range(width))]:
+            rows_ += [(t, int(own[i]) ^ flip, 0, 0, 0, i, 1, code[i].tobytes(), near[i].tobytes(), step[i], rest[i]) for i in range(600)]
+    pdf = pd.DataFrame(rows_, columns=["tab", "value", "low", "high", "block", "id", "n", "codes", "near", "step", "rest"])
+    # a bound of 0.88 decides every pair here, 0.9001 none
+    sure, unsure = itq._link(pdf, width, tables, itq.RADIUS, 0.87), itq._link(pdf, width, tables, itq.RADIUS, 0.9001)
+    counted = sure[sure["kind"] == itq.COUNT]["b"]
+    assert (counted == 1).all() and len(counted) >= 0.95 * 600
+    pairs = unsure[unsure["kind"] == itq.OPEN]
+    assert len(pairs) == len(pairs.drop_duplicates()) == len(counted) // 2
+
+
 def test_copies_and_empty_tables_of_vectors(spark):
     df, _ = vectors(spark, n=4)
     five = df.filter("vec_id = 2").withColumn("vec_id", F.explode(F.array([F.lit(x).cast("long") for x in (9, 8, 7, 2, 11)])))

@@ -61,6 +61,15 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return path
 
 
+def bucketed(df: DataFrame, key: str, least: int = 64) -> DataFrame:
+    """df, written once to the shared folder in buckets of key, so that grouping by it moves no row again."""
+    spark = df.sparkSession
+    path, buckets = scratch(spark, "table"), max(least, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"quillon_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", path).option("compression", "none").bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def lean(docs: DataFrame) -> DataFrame:
     """docs, with whole texts going to Python at most `ARROW_ROWS` at a time in this session."""
     conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

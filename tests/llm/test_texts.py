@@ -32,50 +32,56 @@ def test_elias_fano(case):
     universe, values, x = case
     v = np.sort(np.array(values, np.uint64))
     e = lm.EliasFano.build(v, universe)
-    assert e.values().tolist() == v.tolist()
-    assert [e.get(i) for i in range(len(v))] == v.tolist()
-    assert e.successor(x) == int(np.searchsorted(v, np.uint64(x)))
+    assert e.get(np.arange(len(v))).tolist() == v.tolist()
+    xs = np.array([x, *values, *(min(universe - 1, y + 1) for y in values)], np.uint64)
+    whole = np.zeros(len(xs), np.int64)
+    assert e.successor(xs, whole, whole + len(v)).tolist() == np.searchsorted(v, xs).tolist()
     lo, hi = len(v) // 3, len(v) - len(v) // 4
-    assert e.values(lo, hi).tolist() == v[lo:hi].tolist()
-    assert e.successor(x, lo, hi) == min(hi, max(lo, int(np.searchsorted(v, np.uint64(x)))))
+    want = np.minimum(hi, np.maximum(lo, np.searchsorted(v, xs)))
+    assert e.successor(xs, whole + lo, whole + hi).tolist() == want.tolist()
+    assert [i if i < 0 else int(v[i]) for i in e.find(xs, whole + lo, whole + hi)] == [int(y) if y in v[lo:hi] else -1 for y in xs]
 
 
-def test_trie_finds_what_it_holds_one_by_one_and_in_bulk():
+def test_trie_finds_what_it_holds_under_its_context_alone():
     rng = np.random.default_rng(0)
-    words = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, 300).astype(np.uint64))
-    pairs = sorted({(int(rng.integers(len(words))), int(rng.integers(1 << 40))) for _ in range(2000)})
-    context, keys = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs], np.uint64)
-    p = rng.random(len(pairs))
-    model = lm.ShardModel(words, np.arange(len(words)), context, keys, p)
-    assert model.bits() < 0.5 * (128 * len(words) + 160 * len(pairs))
-    for n in range(0, len(pairs), 37):
-        w = model.word(int(words[pairs[n][0]]))
-        assert w == pairs[n][0]
-        assert lm.dequantise(np.array([model.code(w, pairs[n][1])]))[0] == pytest.approx(p[n], rel=1e-3)
-        assert model.code(w, pairs[n][1] ^ 1) == 0 or (w, pairs[n][1] ^ 1) in set(pairs)
-    assert model.word(int(words[0]) ^ 1) in (None, 1)
-    fan = np.bincount(context, minlength=len(words))
-    ((counts, codes),) = model.answer([(words, fan, keys)])
-    assert counts.tolist() == list(range(len(words))) and codes.tolist() == lm.quantise(p).tolist()
-
-
-def plain_model(rows, mu=lm.MU):
-    tokens = [(i, [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b""]) for i, t in rows]
+    words = np.unique(rng.integers(0, 1 << 64, 300, dtype=np.uint64))
+    pairs = sorted({(int(rng.integers(len(words))), int(rng.integers(1 << 32))) for _ in range(2000)})
+    triples = sorted({(int(rng.integers(len(pairs))), int(rng.integers(1 << 24))) for _ in range(5000)})
+    column = lambda rows, n: np.array([r[n] for r in rows])
+    p, weight, p3 = rng.random(len(pairs)), rng.random(len(pairs)), rng.random(len(triples))
+    model = lm.ShardModel(words, np.arange(len(words)), (column(pairs, 0), column(pairs, 1), p, weight), (column(triples, 0), column(triples, 1), p3))
+    assert 8 * model.bytes < 0.62 * (128 * len(words) + 128 * len(pairs) + 112 * len(triples))
+    assert model.find_words(words).tolist() == list(range(len(words)))
+    assert model.find_words(words ^ np.uint64(1)).max() == -1
+    at = model.find_followers(2, column(pairs, 0), column(pairs, 1))
+    assert at.tolist() == list(range(len(pairs)))
+    assert lm.dequantise(model.pair_codes[at]) == pytest.approx(p, rel=1e-3) and lm.dequantise(model.weight_codes[at]) == pytest.approx(weight, rel=1e-3)
+    assert lm.dequantise(model.triple_codes[model.find_followers(3, column(triples, 0), column(triples, 1))]) == pytest.approx(p3, rel=1e-3)
+    # the keys of one context are not found under another
+    other = [((w + 1) % len(words), k) for w, k in pairs]
+    assert [i >= 0 for i in model.find_followers(2, column(other, 0), column(other, 1))] == [o in set(pairs) for o in other]
+    assert model.find_followers(3, np.array([-1]), np.array([5])).tolist() == [-1]
+
+
+def plain_model(rows, mu=lm.MU, mu3=lm.MU3):
+    tokens = [(i, [None, *re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b""]) for i, t in rows]
     held = [i is None or zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in tokens]
-    c, b, starts = Counter(), Counter(), 0
+    c, b, t, starts = Counter(), Counter(), Counter(), 0
     for (_, x), out in zip(tokens, held, strict=True):
         if not out:
-            c.update(x)
-            b.update(zip([None, *x], x, strict=False))
+            c.update(x[1:])
+            b.update(zip(x, x[1:], strict=False))
+            t.update(zip(x, x[1:], x[2:], strict=False))
             starts += 1
     n, floor = sum(c.values()), sum(c.values()) + 0.1 * (len(c) + 1)
     for (i, x), out in zip(tokens, held, strict=True):
-        first = [(c[w] + 0.1) / floor for w in x]
-        both = [(b[v, w] + mu * p) / ((starts if v is None else c[v]) + mu) for v, w, p in zip([None, *x], x, first, strict=False)]
-        yield i, out, len(x), sum(c[w] > 0 for w in x), n, sum(map(math.log10, first)), sum(map(math.log10, both))
+        first = [(c[w] + 0.1) / floor for w in x[1:]]
+        p = [(b[v, w] + mu * q) / ((starts if v is None else c[v]) + mu) for v, w, q in zip(x, x[1:], first, strict=False)]
+        p[1:] = [(t[u, v, w] + mu3 * q) / (b[u, v] + mu3) for u, v, w, q in zip(x, x[1:], x[2:], p[1:], strict=False)]
+        yield i, out, len(x) - 1, sum(c[w] > 0 for w in x[1:]), n, sum(map(math.log10, first)), sum(map(math.log10, p))
 
 
-@pytest.mark.parametrize("sizes", [{}, {"batch_tokens": 500, "shard_tokens": 3000}])
+@pytest.mark.parametrize("sizes", [{}, {"batch_tokens": 500, "shard_tokens": 3000}, {"batch_tokens": 37, "shard_tokens": 100}])
 def test_scores_against_plain_counts(documents, odd_documents, sizes):
     for docs in (documents, odd_documents):
         rows = [(r["doc_id"], r["text"]) for r in docs.collect()]

@@ -9,10 +9,24 @@ from pyspark.sql import functions as F
 from quillon.llm.common import broadcast_if, stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+HOT = 1000  #: rows of one key beyond which its value is broadcast
+
+
+def join_hot(rows: DataFrame, values: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows with the columns of values, which has one row for each key and the key's number of rows in `count`.
+
+    Keys with over HOT rows, and over a millionth of all, are broadcast, fewer than a million; the others are shuffled.
+    """
+    most = max(HOT, total // 1_000_000)
+    hot = F.broadcast(values.filter(F.col(count) > most))
+    rest = rows.join(hot.select(key), key, "left_anti").join(values.filter(F.col(count) <= most), key)
+    return rows.join(hot, key).unionByName(rest).drop(count)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return join_hot(both.filter("b > a"), least, "a", "n", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
         if sign == last or not sign[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
         last = sign
-        edges = stored(_small_star(_large_star(edges)))
+        edges = stored(_small_star(_large_star(edges, sign[0])))
 
 
 def cells(entries: DataFrame, keys: list[str], ident: str, most: int) -> DataFrame:

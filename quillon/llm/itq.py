@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import stored
-from quillon.llm.graph import cells, components, forest, same_key_pairs
+from quillon.llm.graph import cells, components, forest, join_hot, same_key_pairs
 from quillon.llm.vectors import matrix, row_dots, sound
 
 SAMPLE = 4096
@@ -189,8 +189,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     reach = components(edges)
     named = classes.join(counts.groupBy("a").agg(F.sum("others").alias("others")), classes["id"] == F.col("a"), "left").join(reach, classes["id"] == reach["node"], "left")
     named = named.select("id", "least", "embedding", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(lowest, "component").select("embedding", "n_links", "component_id")
+    lowest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    named = join_hot(named, lowest, "component", "members", sum(n for _, n in sizes)).select("embedding", "n_links", "component_id")
     rows = vectors.select("vec_id", "embedding").join(named, "embedding", "left")
     component = F.coalesce("component_id", "vec_id")
     return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

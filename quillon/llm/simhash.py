@@ -16,17 +16,21 @@ fingerprints are one class. To find all classes within `radius` bits:
 A task returns a spanning forest of its links, not the links. A value with over `CELL` entries is
 split into blocks, and each pair of blocks meets in a cell of its own, so no task holds a hot value.
 
-`near_groups` links documents by the Jaccard similarity of their word shingles instead. It looks for
-fingerprints within `NEAR_RADIUS` bits; of these pairs, those that are also near by `EXTRA` further
-fingerprint words chain documents into loose groups. So do pairs that share one of `BANDS` values,
-each made of `ROWS` least hashes of the set, whose sketches of those hashes differ in `SKETCH_MOST`
-bits at most; this finds the pairs at similarity 0.8 that lie beyond the radius, as it misses one
-with a chance below 1e-11 (1e-13 by the sketch), and fewer at higher similarity. Inside a loose group
-all pairs of distinct sets are compared exactly, in cells of bounded size.
+`near_groups` links documents by the Jaccard similarity of their word shingles instead. Candidates are
+pairs of fingerprints within a radius, and pairs that share one of `BANDS` values, each made of `ROWS`
+least hashes of the set, whose sketches of those hashes differ in `SKETCH_MOST` bits at most. The
+radius is the largest, up to `NEAR_RADIUS`, whose estimated work for each document stays within
+`WORK_NS`; it bears on cost alone, as the bands miss a pair at similarity 0.8 with a chance below
+1e-11 (1e-13 by the sketch) and fewer at higher similarity. Candidates chain documents into loose groups.
+Inside one, sets are compared exactly, in two rounds: first each block of `GROUP_CELL` members within
+itself and with `LEADERS` members of the group, which brings the copies of one text together and moves
+each text once; then only the members outside the group's largest cluster with all members of other clusters.
 
 Defined cases: null or empty texts have fingerprint zero and link like any other; repeated rows and
 ties share a class; null doc_ids never name a component unless all of it is null; an empty table
-gives no rows; other columns are ignored.
+gives no rows; other columns are ignored. By similarity, rows are told apart by (doc_id, text): the
+first of its group stays, of rows alike in both one stays, and rows without a doc_id stay, as no
+group can name them; texts without words are copies of one another.
 """
 
 from __future__ import annotations
@@ -41,14 +45,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import broadcast_if, lean, mix64, stored, text_or_empty, tidy
-from quillon.llm.graph import cells, components, forest, same_key_pairs
+from quillon.llm.common import broadcast_if, lean, mix64, quoted, stored, text_or_empty, tidy
+from quillon.llm.graph import cells, components, forest, join_hot, same_key_pairs
 from quillon.llm.tokens import in_slices
 
 SEED = 42
 SAMPLE = 4096
 CELL = 20_000
 TASK_ENTRIES = 100_000
+WORK_NS = 150_000.0  #: estimated work for each document that the pipeline's search by fingerprints may cost
 ROW_NS, PAIR_NS = 2500.0, 40.0  #: estimated work for an entry and for a comparison
 BITS = 64
 
@@ -134,6 +139,15 @@ def allot(costs: list[list[float]], radius: int) -> list[int]:
 
 def choose_index(sample: np.ndarray, rows: int, radius: int) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition in use, at the least estimated work for this many rows."""
+    return _cheapest(sample, rows, radius)[1]
+
+
+def affordable_radius(sample: np.ndarray, rows: int, most: int, work: float = WORK_NS) -> int:
+    """The largest radius up to `most` whose index costs `work` for each row at most by estimate; 0 at least."""
+    return next((r for r in range(most, 0, -1) if _cheapest(sample, rows, r)[0] <= work * rows), 0)
+
+
+def _cheapest(sample: np.ndarray, rows: int, radius: int) -> tuple[float, list[tuple[list[int], int]]]:
     fp = np.asarray(sample, np.int64).view(np.uint64)
     if len(fp) < 2:
         fp = np.arange(2, dtype=np.uint64)
@@ -156,7 +170,7 @@ def choose_index(sample: np.ndarray, rows: int, radius: int) -> list[tuple[list[
         total = sum(c[x + 1] for c, x in zip(costs, t, strict=True))
         if found is None or total < found[0]:
             found = (total, [(g, x) for g, x in zip(groups, t, strict=True) if x >= 0])
-    return found[1]
+    return found
 
 
 @lru_cache(maxsize=64)
@@ -169,6 +183,10 @@ def _masks(bits: tuple[int, ...], threshold: int) -> np.ndarray:
 # ---- candidates and verification
 
 
+def fingerprint_sample(classes: DataFrame) -> np.ndarray:
+    return np.array([r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64)
+
+
 def similar(classes: DataFrame, radius: int = 3, rows: int | None = None, link=None, columns: list[str] | None = None) -> DataFrame:
     """Links (a, b) that span every group of fingerprints `fp` chained by steps of at most radius bits.
 
@@ -176,8 +194,7 @@ def similar(classes: DataFrame, radius: int = 3, rows: int | None = None, link=N
     """
     rows = classes.count() if rows is None else rows
     link, columns = link or (lambda pdf: _forest_of(pdf, radius, ["fp"], "fp")), columns or ["fp"]
-    sample = np.array([r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64)
-    index = choose_index(sample, rows, radius)
+    index = choose_index(fingerprint_sample(classes), rows, radius)
     at = columns.index("fp")
 
     def enter(batches):
@@ -227,7 +244,8 @@ def group_documents(docs: DataFrame, width: int = 3, radius: int = 3, seed: int
     classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     reach = components(similar(classes, radius))
     named = classes.join(reach, classes["fp"] == reach["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
+    lowest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = join_hot(named, lowest, "component", "n", classes.count()).select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -236,7 +254,7 @@ def group_documents(docs: DataFrame, width: int = 3, radius: int = 3, seed: int
 NEAR_RADIUS = 14
 EXTRA = 2  #: further fingerprint words
 EXTRA_SHARE = 0.26  #: of all bits, that may differ in a loose link: 4 deviations over the mean at similarity 0.8
-GROUP_CELL = 128
+GROUP_CELL, LEADERS = 128, 4
 BANDS, ROWS = 64, 5  #: a pair at 0.8 shares no band with a chance of (1 - 0.8 ** ROWS) ** BANDS = 9e-12
 SKETCH_MOST = 78  #: of BANDS * ROWS bits, each of which differs with a chance of 0.1 at similarity 0.8: more with one of 3e-14
 SKETCH = [f"k{n}" for n in range(BANDS * ROWS // BITS)]
@@ -331,62 +349,107 @@ def jaccard_links(sets: list[np.ndarray], least: float, blocks: np.ndarray | Non
     return i, j
 
 
-def _verify_groups(t: pa.Table, width: int, seed: int, least: float) -> pa.Table:
-    keys = np.stack([t[c].to_numpy() for c in ("component", "low", "high")], 1)
-    ids, block, texts = t["id"].to_numpy(), t["block"].to_numpy(), t["text"].to_pylist()
-    order = np.lexsort((ids, keys[:, 2], keys[:, 1], keys[:, 0]))
+def _compare(t: pa.Table, key: list[str], width: int, seed: int, least: float) -> pa.Table:
+    """A forest of the exact links among rows (id, side, text) of one key; rows of side 0 and 1 are compared across alone."""
+    keys = np.stack([t[c].to_numpy() for c in key], 1)
+    ids, side, texts = t["id"].to_numpy(), t["side"].to_numpy(), t["text"].to_pylist()
+    order = np.lexsort((ids, *keys.T[::-1]))
     edge = np.flatnonzero(np.concatenate(([True], (keys[order][1:] != keys[order][:-1]).any(1), [True])))
     a, b = [], []
     for lo, hi in zip(edge[:-1], edge[1:], strict=True):
         mine = order[lo:hi]
         sets = [np.unique(shingle_hashes(texts[i], width, seed)) for i in mine]
-        i, j = jaccard_links(sets, least, None if keys[mine[0], 1] == keys[mine[0], 2] else block[mine])
+        i, j = jaccard_links(sets, least, None if (side[mine] < 0).all() else side[mine])
         label = forest(i, j, len(mine))
-        child = np.flatnonzero(label != np.arange(len(mine)))
+        child = np.flatnonzero((label != np.arange(len(mine))) & (ids[mine] != ids[mine[label]]))
         a.append(ids[mine[child]])
         b.append(ids[mine[label[child]]])
+    tidy()
     return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
+def _spread(rows: DataFrame, name: str, size: int) -> DataFrame:
+    """rows with `name`: one of the group's blocks of about GROUP_CELL rows, of which there are ceil(size / GROUP_CELL)."""
+    return rows.withColumn(name, F.pmod(F.xxhash64("id", F.lit(name)), F.ceil(F.col(size) / GROUP_CELL)).cast("int"))
+
+
+def exact_links(docs: DataFrame, members: DataFrame, width: int, least: float, seed: int) -> DataFrame:
+    """Links (a, b) that span the clusters of exact similarity in each loose group; members: (id, component, doc_id, text_hash), stored."""
+    keyed = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
+
+    def texts_of(rows: DataFrame, count: int) -> DataFrame:
+        return keyed.join(broadcast_if(rows, count, 64), ["doc_id", "text_hash"]).dropDuplicates(["id"])
+
+    def by_cell(cells_: DataFrame, key: list[str], count: int) -> DataFrame:
+        tasks = max(64, min(count // 200, 1 << 20))
+        task = F.pmod(F.xxhash64(*key), F.lit(tasks))
+        return cells_.withColumn("task", task).groupBy("task").applyInArrow(lambda t: _compare(t, key, width, seed, least), "a long, b long")
+
+    count = members.count()
+    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
+    # leaders: the least ids by hash, each partition's own first, so that a large group is never in one place
+    first = Window.partitionBy("component").orderBy(F.xxhash64("id"), "id")
+    leaders = members.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= LEADERS).select("id", F.lit(True).alias("leads"))
+    large = broadcast_if(sizes.filter(F.col("size") > GROUP_CELL), count // GROUP_CELL, 24)
+    sized = members.join(large, "component", "left").withColumn("size", F.coalesce("size", F.lit(1)))  # smaller groups are one block
+    placed = _spread(sized.join(leaders, "id", "left"), "block", "size").withColumn("side", F.lit(-1))
+    texts = texts_of(placed, count)
+    everywhere = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / GROUP_CELL).cast("int") - 1))
+    guests = texts.filter("leads").withColumn("home", F.col("block")).withColumn("block", everywhere).filter("block <> home").drop("home")
+    columns = ["id", "component", "block", "side", "text"]
+    first_links = stored(by_cell(texts.select(*columns).union(guests.select(*columns)), ["component", "block"], count))
+    # the second round: those outside their group's largest cluster, with all of other clusters and blocks
+    reach = components(first_links)
+    clustered = placed.drop("leads", "side").join(reach.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    by_cluster = clustered.filter(F.col("size") > GROUP_CELL).groupBy("component", "cluster").agg(F.count("*").alias("n"))
+    largest = by_cluster.groupBy("component").agg(F.max(F.struct("n", "cluster")).alias("top"), F.sum("n").alias("all"))
+    rest = largest.select("component", F.col("top.cluster").alias("main"), (F.col("all") - F.col("top.n")).alias("others")).filter("others > 0")
+    open_ = stored(clustered.join(broadcast_if(rest, count // GROUP_CELL, 32), "component"))
+    left = open_.count()
+    if not left:
+        return first_links
+    again = texts_of(open_, left)
+    per = lambda size: F.explode(F.sequence(F.lit(0), F.ceil(F.col(size) / GROUP_CELL).cast("int") - 1))
+    base = again.withColumn("probe", per("others")).withColumn("side", F.lit(0))
+    probes = _spread(again.filter("cluster <> main"), "probe", "others").withColumn("block", per("size")).withColumn("side", F.lit(1))
+    columns = ["id", "component", "block", "probe", "side", "text"]
+    return first_links.union(by_cell(base.select(*columns).union(probes.select(*columns)), ["component", "block", "probe"], left))
+
+
 def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = NEAR_RADIUS, seed: int = SEED) -> DataFrame:
-    """(doc_id, text_hash, component_id): least doc_id of the documents chained by similarity `least`; no null doc_ids.
+    """(doc_id, text_hash, component_id, first): documents chained by similarity `least`; no null doc_ids.
 
-    Documents with equal sets of shingles are one class, for which the document with the least id stands.
+    component_id is the least doc_id of the group, first whether the row's (doc_id, text_hash) is the group's least.
+    Documents with equal sets of shingles are one class, for which the least of them stands.
     """
     own, words = ["s0", "s1"], ["fp", *(f"e{n}" for n in range(EXTRA))]
     fps = stored(wide_fingerprints(docs.filter("doc_id is not null"), width, seed))
     classes = stored(fps.groupBy(*own, *words).agg(F.min(F.struct("doc_id", "text_hash", *SKETCH, "bands")).alias("first")).select(*own, *words, "first.*").withColumn("id", F.monotonically_increasing_id()))
     rows = classes.count()
+    radius = affordable_radius(fingerprint_sample(classes), rows, radius)
     most = int(EXTRA_SHARE * BITS * len(words))
     entries = similar(classes, radius, rows, lambda pdf: _forest_of(pdf, radius, words, "id", most), ["id", *words])
     loose = components(entries.union(band_links(classes)))
-    grouped = classes.join(loose, classes["id"] == loose["node"]).select("id", "component", "doc_id", "text_hash")
-    count = grouped.count()
-    chosen = docs.withColumn("text_hash", F.xxhash64(text_or_empty())).select("doc_id", "text_hash", text_or_empty().alias("text"))
-    texts = chosen.join(broadcast_if(grouped, count, 64), ["doc_id", "text_hash"]).dropDuplicates(["id"])
-    met = cells(texts, ["component"], "id", GROUP_CELL)
-    tasks = max(64, min(count // 200, 1 << 20))
-    by_task = met.withColumn("task", F.pmod(F.xxhash64("component", "low", "high"), tasks)).groupBy("task")
-    links = by_task.applyInArrow(lambda t: _verify_groups(t, width, seed, least), "a long, b long")
-    reach = components(links)
-    named = classes.join(reach, classes["id"] == reach["node"], "left").select(*own, "doc_id", F.coalesce("component", "id").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(lowest, "component").select(*own, "component_id")
-    return fps.join(named, own).select("doc_id", "text_hash", "component_id")
+    members = stored(classes.join(loose, classes["id"] == loose["node"]).select("id", "component", "doc_id", "text_hash"))
+    reach = components(exact_links(docs, members, width, least, seed))
+    named = classes.join(reach, classes["id"] == reach["node"], "left").select(*own, "doc_id", "text_hash", F.coalesce("component", "id").alias("component"))
+    lowest = named.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count("*").alias("n"))
+    named = join_hot(named, lowest, "component", "n", rows).select(*own, "least")
+    return fps.join(named, own).select("doc_id", "text_hash", F.col("least.doc_id").alias("component_id"), (F.struct("doc_id", "text_hash") == F.col("least")).alias("first"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are the first of their group, with their columns; of rows with one doc_id, one.
+    """The rows that are the first of their group, with their columns; of rows alike in doc_id and text, one.
 
     Rows without a doc_id can't be named and stay.
     """
-    groups = stored(near_groups(docs, **options))
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(broadcast_if(gone, gone.count(), 16), "doc_id", "left_anti").select(*docs.columns)
-    twice = groups.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    # a row of its own for each repeated id, the least by text
-    again = kept.join(twice, "doc_id", "left_semi").select(*docs.columns)
-    once = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text_or_empty())).alias("row")).select("row.*")
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).union(once)
+    groups = near_groups(docs, **options).groupBy("doc_id", "text_hash").agg(F.first("first").alias("first"), F.count("*").alias("n"))
+    fate = stored(groups.filter("not first or n > 1"))
+    columns = quoted(docs)
+    plain = docs.select(F.struct(*columns).alias("row"), "doc_id", F.xxhash64(text_or_empty()).alias("text_hash"))
+    kept = plain.join(broadcast_if(fate, fate.count(), 32), ["doc_id", "text_hash"], "left")
+    alone, twice = kept.filter("first is null"), kept.filter("first and n > 1")
+    if fate.filter("first").isEmpty():
+        return alone.select("row.*")
+    # of rows alike in both, one
+    return alone.select("row.*").union(twice.groupBy("doc_id", "text_hash").agg(F.first("row").alias("row")).select("row.*"))

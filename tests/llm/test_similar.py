@@ -201,14 +201,51 @@ def test_bands_share_as_many_values_as_similarity_says(n):
 
 
 def test_keep_first_of_odd_documents(odd_documents, no_documents):
-    kept = simhash.keep_first(odd_documents)
-    assert kept.columns == odd_documents.columns
+    odd = odd_documents.withColumnRenamed("size", "a.size").withColumn("first", F.lit(1)).withColumn("text_hash", F.lit("x"))
+    kept = simhash.keep_first(odd)
+    assert kept.columns == odd.columns
     ids = Counter(r["doc_id"] for r in kept.collect())
-    # null ids stay; 1 and 2 are both empty, 3 has three rows, 4 is 3 but for case and spaces, 6 is a copy of 5
-    assert ids == {None: 1, 1: 1, 3: 1, 5: 1, 7: 1}
+    # null ids stay; 1 and 2 are both empty; 3 has two rows alike and another text; 4 is 3 but for case and spaces, 6 is a copy of 5
+    assert ids == {None: 1, 1: 1, 3: 2, 5: 1, 7: 1}
     assert simhash.keep_first(no_documents).count() == 0
 
 
+def test_texts_under_one_id_and_repeated_shingles_survive(spark, no_documents):
+    """Unlike documents under one id, and unlike ones that share one shingle in over half of their places, all stay."""
+    rng = np.random.default_rng(12)
+    other = lambda n: " ".join(f"w{int(x)}" for x in rng.integers(0, 1 << 40, n))
+    texts = ["spam " * 700 + other(500) for _ in range(2)] + [other(300) for _ in range(3)]
+    ids = [1, 2, 3, 3, 3]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in zip(ids, texts, strict=True)], no_documents.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    assert Counter(r["text"] for r in simhash.keep_first(docs.union(docs.limit(1))).collect()) == Counter(texts)
+
+
+def test_large_loose_groups_move_their_texts_few_times(spark, monkeypatch, no_documents):
+    """A group of near copies with stragglers: exact clusters, and far fewer texts moved than all pairs of blocks would."""
+    monkeypatch.setattr(simhash, "GROUP_CELL", 10)
+    rng, base, rows = np.random.default_rng(13), [f"w{n}" for n in range(300)], []
+    for n in range(300):
+        words = list(base)
+        for at in rng.choice(300, 3 if n % 30 else 16, replace=False):  # every thirtieth lies near 0.8 of the others or beyond
+            words[at] = f"z{int(rng.integers(1 << 30))}"
+        rows.append((n, " ".join(words), "en", "s", 1))
+    docs = spark.createDataFrame(rows, no_documents.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    sets = [simhash.shingle_hashes(r[1], 5) for r in rows]
+    links = [(a, b) for a in range(300) for b in range(a + 1, 300) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+    want = least_reachable(300, links)
+    assert len(set(want)) > 1
+    seen = spark.sparkContext.accumulator(0)
+    plain = simhash._compare
+
+    def counted(t, *rest):
+        seen.add(t.num_rows)
+        return plain(t, *rest)
+
+    monkeypatch.setattr(simhash, "_compare", counted)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()} == dict(enumerate(want))
+    assert seen.value < 300 * (1 + simhash.LEADERS + 300 / 10 / 3)
+
+
 # ---- vectors
 
 

@@ -116,9 +116,11 @@ def number_rows(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
     """df with row_no long from 0 in the given order, and the row count.
 
     A range shuffle sorts the rows; it is stored, so that a lost executor can't deal the rows
-    anew between the counting and the numbering. Rows equal in all of order are interchangeable.
+    anew between the counting and the numbering. Rows equal in all of order are interchangeable; the
+    place they come from divides them among tasks.
     """
-    ranged = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id()))
+    placed = df.withColumn("_place", F.monotonically_increasing_id())
+    ranged = stored(placed.repartitionByRange(*order, "_place").sortWithinPartitions(*order).drop("_place").withColumn("_mid", F.monotonically_increasing_id()))
     parts = ranged.withColumn("_part", F.shiftright("_mid", 33))
     offsets, total = partition_offsets(parts, "_part", F.count("*"))
     numbered = parts.join(broadcast_if(offsets, parts.rdd.getNumPartitions(), 16), "_part")

@@ -28,6 +28,7 @@ from quillon.llm.common import lean, stored, text_or_empty, tidy
 CAPACITY = 4096
 END_ID = 1
 ROOM = 500_000  #: units in each generation of a worker's cache
+SLICE = 4_000_000  #: characters encoded in one call, but for longer texts
 
 
 class SegmentTree:
@@ -108,13 +109,13 @@ def token_pieces(docs: DataFrame, vocabulary: str = tokens.WORD_BPE, end_id: int
         fields, schema = [*fields, ("ids", pa.binary())], f"{schema}, ids binary"
 
     def cut(batches):
-        enc, end = tokens.encoder(vocabulary, "word", room), np.array([end_id], "<u2").tobytes()
+        enc = tokens.encoder(vocabulary, "word", room)
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, some in tokens.in_slices(texts):
+            for at, some in tokens.in_slices(texts, SLICE):
                 rows: list[list] = [[] for _ in fields]
-                for i, code in enumerate(enc.encode(some)):
-                    ids = np.frombuffer(code + end, "<u2")
+                every, counts = enc.encode(some, end_id)
+                for i, ids in enumerate(np.split(every, np.cumsum(counts)[:-1])):
                     for piece, start in enumerate(range(0, len(ids), capacity)):
                         part = ids[start : start + capacity]
                         row = (doc_ids[at + i], piece, start, len(part), zlib.crc32(part.astype("<u4")), part.tobytes())

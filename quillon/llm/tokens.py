@@ -1,8 +1,9 @@
 """Exact, cached encoding with public tokenizers.
 
 A text is cut only where neither vocabulary can join what stands on the two sides, so the ids of a
-text are the ids of its units in a row. Most units are words seen before; the others are encoded
-by the tokenizers library, thousands in one call.
+text are the ids of its units in a row. Arrow cuts the texts and numbers their distinct units, so Python
+sees each unit of a call once. Most are words seen before; the others are encoded by the tokenizers
+library, thousands in one call.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Files of the public_tokenizers package.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -21,8 +24,8 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RARE = ["\t", "\r", "\x0b", "\x0c", *map(chr, range(0x1C, 0x20))], [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 #: Outside these, normal forms and letter case need the whole text; so do the controls that some call white space.
 _FAR = re.compile(r"[^\x00-\x1b\x20-\u024f]")
-#: Marks that stand apart from the letter or digit before them in both vocabularies.
-STOPS = ".,;:!?"
+#: Marks that stand apart, as one run, from the letter or digit before them in both vocabularies.
+STOPS = '.,;:!?$%&*#@()[]{}"_+=/|~^-'
 #: What the word vocabulary's file cuts at (a fixed value of that file).
 _WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ENCODERS: dict[tuple[str, str], UnitEncoder] = {}
@@ -65,30 +68,49 @@ class UnitEncoder:
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _units(self, text: str) -> list[str] | None:
-        """None: the text goes to the library whole."""
-        if SEPARATOR[:2] in text:
-            return None
+    def _lists(self, texts: list[str]) -> tuple[pa.ListArray, list[int]]:
+        """The units of each text, and the texts that go to the library whole, which have none here."""
+        whole = [i for i, t in enumerate(texts) if SEPARATOR[:2] in t or self.kind == "word" and _FAR.search(t)]
+        gone = set(whole)
         if self.kind == "word":
-            return None if _FAR.search(text) else text.lower().split()
-        plain = not ("  " in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1:] in " \n" or any(c in text for c in _RARE[0])) and (text.isascii() or not any(c in text for c in _RARE[1]))
-        return text.split(" ") if plain else _CUT.split(text)
-
-    def _ends(self, some: list[str], ids: np.ndarray, lead: str) -> list[int] | None:
-        """Where each unit's ids end, if the marks agree with the number of units."""
+            lists = pc.utf8_split_whitespace(pa.array(["" if i in gone else t.lower() for i, t in enumerate(texts)], pa.string()))
+            some = lists.flatten()
+            there = np.asarray(pc.binary_length(some)) > 0
+            sizes = np.bincount(np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))[there], minlength=len(texts))
+            return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), some.filter(pa.array(there))), whole
+        plain, odd = [], []
+        for i, t in enumerate(texts):
+            if i in gone or not t:
+                odd.append(i)
+            elif "  " in t or " \n" in t or "\n " in t or t[0] in " \n" or t[-1] in " \n" or any(c in t for c in _RARE[0]) or not (t.isascii() or not any(c in t for c in _RARE[1])):
+                odd.append(i)
+            else:
+                plain.append(i)
+        # a line feed between two words is a piece of its own
+        lined = [t if "\n" not in t or "\n\n" in t else t.replace("\n", " \n") for t in (texts[i] for i in plain)]
+        lists = [pc.split_pattern(pa.array(lined, pa.string()), " ")]
+        if not odd:
+            return lists[0], whole
+        lists.append(pa.array([[] if i in gone else _CUT.split(texts[i]) for i in odd], pa.list_(pa.string())))
+        order = np.empty(len(texts), np.int64)
+        order[plain + odd] = np.arange(len(texts))
+        return pa.concat_arrays(lists).take(pa.array(order)), whole
+
+    def _ends(self, some: list[str], ids: np.ndarray, lead: str, alone: bool) -> list[int] | None:
+        """Where each unit's ids end, if the marks agree with the number of units; alone: each is one run of letters."""
         marks = np.flatnonzero((self.mark if lead == " " else self.mark_line)[ids])
         if self.kind == "byte":
             return [*marks[1:].tolist(), len(ids)] if len(marks) == len(some) and marks[0] == 0 else None
-        parts = np.cumsum([len(self.parts.findall(u)) for u in some])
+        parts = np.arange(1, len(some) + 1) if alone else np.cumsum([len(self.parts.findall(u)) for u in some])
         return (marks[parts - 1] + 1).tolist() if len(marks) == parts[-1] else None
 
-    def _encode_row(self, units: list[str], lead: str) -> None:
-        """Learns units that hold no white space, each with this lead before it, under lead + unit."""
+    def _encode_row(self, units: list[str], lead: str, alone: bool = False) -> None:
+        """Learns units that hold no white space, each with this lead before it, under unit or line feed and unit."""
         key = "" if lead == " " or self.kind == "word" else lead
         for i in range(0, len(units), self.call):
             some = units[i : i + self.call]
             ids = np.array(self.tokenizer.encode_batch_fast([lead + lead.join(some)], add_special_tokens=False)[0].ids, "<u2")
-            ends = self._ends(some, ids, lead)
+            ends = self._ends(some, ids, lead, alone)
             if ends is None:
                 self.cache.update((key + u, self._plain(lead + u)) for u in some)
                 continue
@@ -96,73 +118,90 @@ class UnitEncoder:
             names = [key + u for u in some] if key else some
             self.cache.update(zip(names, [raw[x:y] for x, y in zip([0, *last[:-1]], last, strict=True)], strict=True))
 
+    def _recall(self, units) -> list[str]:
+        """The units that are not known, after those of the older generation have moved to the new one."""
+        new = [u for u in units if u not in self.cache]
+        if self.old:
+            self.cache.update((u, self.old[u]) for u in new if u in self.old)
+            new = [u for u in new if u not in self.old]
+        return new
+
     def _learn(self, units: list[str]) -> None:
-        """Learns units from their parts: lines within a unit, and the stops at the end of a line."""
-        known, rows, built = self.cache, {" ": {}, "\n": {}}, []
-        bases = [u.rstrip(STOPS) for u in units]
-        simple = [(u, b) for u, b in zip(units, bases, strict=True) if b.isalpha()]
-        rows[" "] = dict.fromkeys([b for _, b in simple if b not in known])
-        units = [u for u, b in zip(units, bases, strict=True) if not b.isalpha()]
-        lead = " "
-        for u in units:
+        """Learns units from their parts: a run of letters and the stops after it, or else lines within a unit."""
+        known, odd = self.cache, []
+        lined = [u for u in units if u.startswith("\n")]
+        for lead, some in ((" ", units if not lined else [u for u in units if not u.startswith("\n")]), ("\n", lined)):
+            bases = [u.rstrip(STOPS) for u in some]
+            fine = [b.isalpha() for b in bases] if lead == " " else [b[1:].isalpha() for b in bases]
+            rows = self._recall(dict.fromkeys([b for b, ok in zip(bases, fine, strict=True) if ok]))
+            self._encode_row(rows if lead == " " else [b[1:] for b in rows], lead, True)
+            known.update([(u, known[b] + self._stops(u[len(b) :])) for u, b, ok in zip(some, bases, fine, strict=True) if ok and len(b) < len(u)])
+            odd += [u for u, ok in zip(some, fine, strict=True) if not ok]
+        rows, built = {" ": {}, "\n": {}}, []
+        for u in odd:
             lines = u.split("\n") if "\n" in u else (u,)
             parts = []
             for n, line in enumerate(lines):
                 base = line.rstrip(STOPS)
+                if n == 0 and not line and len(lines) > 1:
+                    continue  # the unit starts with a line feed
                 if not base or not base[-1].isalnum() or len(line.split()) != 1 or line[0].isspace():
                     parts = None
                     break
                 parts.append((base if not n else "\n" + base, line[len(base) :]))
-                if parts[-1][0] not in known:
-                    rows["\n" if n else " "][base] = None
-            if parts is not None and (len(parts) > 1 or parts[0][1]):
+                rows["\n" if n else " "][base] = None
+            if parts:
                 built.append((u, parts))
-            elif parts is None:
-                if len(u.split()) == 1 and not u[0].isspace() and not u[-1].isspace():
-                    rows[" "][u] = None
-                else:
-                    known[u] = self._plain(lead + u if self.kind == "byte" else u)
-        self._encode_row(list(rows[" "]), " ")
-        self._encode_row(list(rows["\n"]), "\n")
-        for u, b in simple:
-            if len(b) < len(u):
-                known[u] = known[b] + self._stops(u[len(b) :])
+            elif len(u.split()) == 1 and not u[0].isspace() and not u[-1].isspace():
+                rows[" "][u] = None
+            else:
+                known[u] = self._plain(u if self.kind == "word" or u.startswith("\n") else " " + u)
+        self._encode_row(self._recall(rows[" "]), " ")
+        self._encode_row([u[1:] for u in self._recall("\n" + u for u in rows["\n"])], "\n")
         for u, parts in built:
             known[u] = b"".join([x for base, stops in parts for x in (known[base], self._stops(stops))])
 
     def _stops(self, stops: str) -> bytes:
         if stops not in self.tails:
+            if len(self.tails) > self.room:
+                self.tails = {"": b""}
             self.tails[stops] = self._plain(stops)
         return self.tails[stops]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts in a row, how many each has); each text's ids are followed by end, if given."""
         if len(self.cache) > self.room:
             self.old, self.cache = self.cache, {}
-        first = 1 if self.kind == "byte" else 0
-        cut = [self._units(t) for t in texts]
-        every: list[str] = []
-        for units in cut:
-            if units is not None:
-                every += units[first:]
-        codes = list(map(self.cache.get, every))
-        holes = [i for i, c in enumerate(codes) if c is None]
-        new = dict.fromkeys([every[i] for i in holes])
-        if self.old:
-            self.cache.update((u, self.old[u]) for u in new if u in self.old)
-            new = [u for u in new if u not in self.old]
-        self._learn(list(new))
-        for i in holes:
-            codes[i] = self.cache[every[i]]
-        out, at = [], 0
-        for text, units in zip(texts, cut, strict=True):
-            if units is None:
-                out.append(self._plain(text))
-                continue
-            end = at + len(units) - first
-            body = b"".join(codes[at:end])
-            out.append(self._plain(units[0]) + body if first else body)
-            at = end
-        return out
+        lists, whole = self._lists(texts)
+        sizes, units = np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten()
+        first = np.zeros(len(units), bool)
+        if self.kind == "byte":  # no space stands before a text's first unit
+            first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        coded = units.filter(pa.array(~first)).dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        new = self._recall(names)
+        self._learn(new)
+        codes = [self.cache[u] for u in names]
+        heads = units.filter(pa.array(first)).to_pylist()
+        codes += [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)] if heads else []
+        codes += [self._plain(texts[i]) for i in whole]
+        codes.append(b"" if end is None else np.array([end], "<u2").tobytes())
+        # each text's slots: its units, or itself whole, then the end
+        last = np.ones(len(texts), np.int64)
+        last[whole] += 1
+        ends = np.cumsum(sizes + last)
+        slot = np.full(int(ends[-1]) if len(ends) else 0, len(codes) - 1)
+        at = np.arange(len(units)) + np.repeat(np.cumsum(last) - last, sizes)
+        slot[at[~first]] = coded.indices.to_numpy()
+        slot[at[first]] = len(names) + np.arange(len(heads))
+        slot[ends[whole] - 2] = len(names) + len(heads) + np.arange(len(whole))
+        flat = np.frombuffer(b"".join(codes), "<u2")
+        length = np.fromiter(map(len, codes), np.int64, len(codes)) // 2
+        start = np.cumsum(length) - length
+        each = length[slot]
+        upto = np.concatenate(([0], np.cumsum(each)))
+        ids = flat[np.repeat(start[slot] - upto[:-1], each) + np.arange(upto[-1])]
+        return ids, upto[ends] - upto[ends - sizes - last]
 
 
 def encoder(name_or_path: str, kind: str, room: int = 250_000) -> UnitEncoder:

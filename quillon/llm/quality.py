@@ -2,16 +2,17 @@
 
 The text view sees hashed words, word shapes and repetition; the metadata view sees source,
 language and length. Both are logistic classifiers. They start from a bounded sample of labelled documents
-(`LABELLED`) and a bounded pool of others (`POOL`), each the least by a hash of the id. In each of
-`ROUNDS` rounds each view is calibrated on labelled documents that neither trains on, picks the
-documents of the pool it is sure of, and hands them, labelled, to the other view. At the end both are
-calibrated again, a logistic model of the two calibrated views is fitted on the same held-back
-documents, and all documents are scored by it in one pass.
-
-Defined cases: a null text is empty; null sources, languages and lengths are values of their own; a
-document with several labels is good if any says so; null labels are ignored; repeated rows get the
-same score; without labels of both kinds every document scores 1 and is kept; an empty table gives
-no rows; other columns are ignored or passed through.
+(`LABELLED`, the least by a hash of the id). In each of `ROUNDS` rounds each view is calibrated on labelled
+documents that it does not train on, and both score all documents without a label. Those that a view
+is sure of (`SURE`) are pseudo-labelled for the other view, which trains on a bounded sample of them (`GROW` of
+each label by rarity, the least by a hash of the id). At the end both are calibrated again, a logistic model of the two
+calibrated views is fitted on labelled documents that neither was trained nor calibrated on, and all documents are
+scored by it in one pass.
+
+Defined cases: a null text is empty; null sources, languages and lengths are values of their own, and
+so are missing columns; a document with several labels is good if any says so; null labels are ignored; repeated rows
+get the same score, and one row for each doc_id is learned from, the least by a hash of its text; without labels of both kinds every document
+scores 1 and is kept; an empty table gives no rows; other columns are ignored or passed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,54 +24,74 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import lean, text_or_empty, tidy
+from quillon.llm.common import lean, quoted, text_or_empty, tidy
 from quillon.llm.tokens import in_slices
 
-LABELLED = 4000
-POOL = 4000
-ROUNDS = 3
+LABELLED = 4000  #: labelled documents that are learned from, at most
+ROUNDS = 2
 SURE = 0.97
-GROW = 400  #: documents that a view hands over in a round, at most
+GROW = 400  #: pseudo-labelled documents that a view hands over in a round, at most
 WORDS, SHAPES, REPEATS, META = 1 << 15, 1 << 13, 32, 1 << 10
 TEXT_SIZE = WORDS + SHAPES + 2 * REPEATS
+ROOM = 300_000  #: words whose features a worker remembers
 
 _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 _RUN = re.compile(rb"(.)\1+", re.DOTALL)
+_SEEN: dict[str, int] = {}
 
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-def _sparse(doc: np.ndarray, feature: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def _sparse(doc: np.ndarray, feature: np.ndarray, weight: np.ndarray, n: int) -> Rows:
     """(bounds, features, values) by document; equal features are added, then square roots taken."""
     key, inverse = np.unique(doc.astype(np.int64) << 20 | feature, return_inverse=True)
     total = np.bincount(inverse, weight, len(key))
     return np.searchsorted(key >> 20, np.arange(n + 1)), (key & ((1 << 20) - 1)).astype(np.int32), np.sqrt(total).astype(np.float32)
 
 
-def text_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_features(word: str) -> int:
+    """Its hash's feature, and its shape's 20 bits higher."""
+    raw = word.encode()
+    return zlib.crc32(raw.lower()) % WORDS | (WORDS + zlib.crc32(_RUN.sub(rb"\1", raw.translate(_SHAPE))) % SHAPES) << 20
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of x in order, and how often each stands there."""
+    x = np.sort(x)
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
+    return x[at], np.diff(at, append=len(x))
+
+
+def text_features(texts: list[str]) -> Rows:
     """Square roots of the shares of words and of shapes; steps of how many words are new and how many repeat the last."""
-    split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    sizes = np.array([len(w) for w in split], np.int64)
-    every = [w for words in split for w in words]
-    names = list(dict.fromkeys(every))
-    place = dict(zip(names, range(len(names)), strict=True))
-    token = np.fromiter(map(place.__getitem__, every), np.int64, len(every))
-    word = np.array([zlib.crc32(w.lower()) % WORDS for w in names], np.int64)
-    shape = np.array([WORDS + zlib.crc32(_RUN.sub(rb"\1", w.translate(_SHAPE))) % SHAPES for w in names], np.int64)
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    share = 0.5 / np.maximum(1, np.repeat(sizes, sizes))
-    same = np.zeros(len(every), bool)
-    same[1:] = (token[1:] == token[:-1]) & (doc[1:] == doc[:-1])
     n = len(texts)
+    lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+    words = lists.flatten()
+    there = np.asarray(pc.binary_length(words)) > 0
+    doc = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))[there]
+    sizes = np.bincount(doc, minlength=n)
+    coded = words.filter(pa.array(there)).dictionary_encode()
+    token, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    if len(_SEEN) > ROOM:
+        _SEEN.clear()
+    _SEEN.update([(w, word_features(w)) for w in names if w not in _SEEN])
+    both = np.fromiter(map(_SEEN.__getitem__, names), np.int64, len(names))
+    same = np.zeros(len(token), bool)
+    same[1:] = (token[1:] == token[:-1]) & (doc[1:] == doc[:-1])
     again = np.bincount(doc[same], minlength=n) / np.maximum(1, sizes)
-    fresh = np.bincount(np.unique(doc << 32 | token) >> 32, minlength=n) / np.maximum(1, sizes)
+    fresh = np.bincount(_runs(doc << 32 | token)[0] >> 32, minlength=n) / np.maximum(1, sizes)
     step = lambda x, base: base + np.minimum(REPEATS - 1, (x * REPEATS).astype(np.int64))
-    some = np.flatnonzero(sizes)
-    docs = np.concatenate((doc, doc, some, some))
-    features = np.concatenate((word[token], shape[token], step(again, WORDS + SHAPES)[some], step(fresh, WORDS + SHAPES + REPEATS)[some]))
-    return _sparse(docs, features, np.concatenate((share, share, np.full(2 * len(some), 0.25))), n)
+    some, high = np.flatnonzero(sizes), doc << 20
+    low = (1 << 20) - 1
+    key, count = _runs(np.concatenate((high | (both & low)[token], high | (both >> 20)[token], some << 20 | step(again, WORDS + SHAPES)[some], some << 20 | step(fresh, WORDS + SHAPES + REPEATS)[some])))
+    feature, owner = key & low, key >> 20
+    values = np.sqrt(np.where(feature < WORDS + SHAPES, 0.5 * count / np.maximum(1, sizes)[owner], 0.25))
+    return np.searchsorted(owner, np.arange(n + 1)), feature.astype(np.int32), values.astype(np.float32)
 
 
 def meta_features(source: list, lang: list, n_chars: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,34 +173,70 @@ class CoTrained:
         return sigmoid(self.joint[0] * a + self.joint[1] * b + self.joint[2])
 
 
-def co_train(text_rows, meta_rows, label: np.ndarray, rounds: int = ROUNDS) -> CoTrained | None:
-    """label: 1 good, 0 not, -1 unknown. None without enough labels of both kinds."""
-    known = np.flatnonzero(label >= 0)
-    held, train = known[::4], np.setdiff1d(known, known[::4])
-    if min(len(set(label[held].tolist())), len(set(label[train].tolist()))) < 2:
-        return None
-    pool = np.flatnonzero(label < 0)
-    rows, sizes = (text_rows, meta_rows), (TEXT_SIZE, META)
-    mine = [(train, label[train] == 1), (train, label[train] == 1)]
-    good = label[held] == 1
-    for left in range(rounds, -1, -1):
-        models = [fit(take(rows[v], mine[v][0]), mine[v][1], sizes[v]) for v in (0, 1)]
-        scale = [fit_logit(models[v].raw(take(rows[v], held))[:, None], good) for v in (0, 1)]
-        if not left or not len(pool):
-            break
-        gone = np.zeros(len(pool), bool)
-        for v in (0, 1):
-            p = sigmoid(scale[v][0] * models[v].raw(take(rows[v], pool)) + scale[v][1])
-            for kind, sure, part in ((True, p, good.mean()), (False, 1 - p, 1 - good.mean())):
-                pick = np.argsort(-sure, kind="stable")[: max(1, int(GROW * part))]
-                pick = pick[(sure[pick] >= SURE) & ~gone[pick]]
-                gone[pick] = True
-                ids, labels = mine[1 - v]
-                mine[1 - v] = (np.concatenate((ids, pool[pick])), np.concatenate((labels, np.full(len(pick), kind))))
-        pool = pool[~gone]
-    out = CoTrained(*models, scale)
-    out.joint = fit_logit(np.column_stack(out.views(take(text_rows, held), take(meta_rows, held))), good)
-    return out
+class Teacher:
+    """Two views that train on labelled rows and on what the other is sure of.
+
+    label: 1 good, 0 not. While views teach each other, every fourth labelled row is kept for their calibration.
+    """
+
+    def __init__(self, text_rows: Rows, meta_rows: Rows, label: np.ndarray):
+        self.rows, self.good, self.n = (text_rows, meta_rows), label == 1, np.arange(len(label))
+        self.train, self.held = self.n[self.n % 4 != 0], self.n[self.n % 4 == 0]
+        self.able = self._both(self.train) and self._both(self.held)
+        self.taught: list[list[tuple[Rows, np.ndarray]]] = [[], []]
+
+    def _both(self, rows: np.ndarray) -> bool:
+        return len(set(self.good[rows].tolist())) == 2
+
+    def _views(self, train: np.ndarray) -> list[Linear]:
+        out = []
+        for v, size in ((0, TEXT_SIZE), (1, META)):
+            parts = [(take(self.rows[v], train), self.good[train]), *self.taught[v]]
+            out.append(fit(_join_rows([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), size))
+        return out
+
+    def _raw(self, models: list[Linear], rows: np.ndarray) -> np.ndarray:
+        return np.column_stack([m.raw(take(r, rows)) for m, r in zip(models, self.rows, strict=True)])
+
+    def pupil(self) -> CoTrained:
+        """Views for the next round, calibrated on rows that neither trains on."""
+        models = self._views(self.train)
+        raw = self._raw(models, self.held)
+        return CoTrained(*models, [fit_logit(raw[:, [v]], self.good[self.held]) for v in (0, 1)])
+
+    def graduate(self) -> CoTrained:
+        """Views of all labelled rows. Calibration and joint model see scores of views that did not train on the row.
+
+        Each half of the rows is scored by views of the other half; half of each calibrates, the rest fits the joint model.
+        """
+        half, last = self.n % 2 == 0, self.n % 4 >= 2
+        calibrate, joint = self.n[~last], self.n[last]
+        if all(self._both(r) for r in (self.n[half], self.n[~half], calibrate, joint)):
+            raw = np.zeros((len(self.n), 2))
+            for part in (half, ~half):
+                raw[part] = self._raw(self._views(self.n[~part]), self.n[part])
+            models = self._views(self.n)
+        else:  # too few rows to divide
+            models, calibrate, joint = self._views(self.train), self.held, self.held
+            raw = self._raw(models, self.n)
+        scale = [fit_logit(raw[calibrate][:, [v]], self.good[calibrate]) for v in (0, 1)]
+        views = np.column_stack([s[0] * raw[joint, v] + s[1] for v, s in enumerate(scale)])
+        return CoTrained(*models, scale, fit_logit(views, self.good[joint]))
+
+    def quota(self, grow: int = GROW) -> tuple[int, int]:
+        """How many sure rows of each label, bad and good, a view hands over: by the labels' shares."""
+        share = self.good[self.held].mean()
+        return max(1, int(grow * (1 - share))), max(1, int(grow * share))
+
+    def teach(self, view: int, text_rows: Rows, meta_rows: Rows, good: np.ndarray) -> None:
+        """Hands rows that `view` is sure of to the other view."""
+        self.taught[1 - view].append(((text_rows, meta_rows)[1 - view], good))
+
+
+def sure_rows(model: CoTrained, text_rows: Rows, meta_rows: Rows) -> np.ndarray:
+    """(2, rows): 1 where a view is sure that a row is good, 0 where it is sure that it is not, else -1."""
+    p = np.stack([sigmoid(x) for x in model.views(text_rows, meta_rows)])
+    return np.where(p >= SURE, 1, np.where(p <= 1 - SURE, 0, -1))
 
 
 # ---- on tables
@@ -190,30 +247,95 @@ def _join_rows(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
     return np.concatenate(([0], np.cumsum(sizes))), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
 
 
-def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> CoTrained | None:
-    """Fits on at most `labelled` labelled documents and `pool` others; their features reach the driver."""
-    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
-    ids = docs.select("doc_id").filter("doc_id is not null").distinct().join(known, "doc_id", "left").withColumn("order", F.xxhash64("doc_id"))
-    some = [ids.filter("label is not null").orderBy("order", "doc_id").limit(labelled), ids.filter("label is null").orderBy("order", "doc_id").limit(pool)]
-    picked = [(r[0], -1 if r[1] is None else r[1]) for s in some for r in s.select("doc_id", "label").collect()]
-    if not picked:
-        return None
-    chosen = docs.sparkSession.createDataFrame(picked, "doc_id long, label int")  # at most labelled + pool rows
-    found = lean(docs).select("doc_id", text_or_empty().alias("text"), "source", "lang", "n_chars").join(F.broadcast(chosen), "doc_id")
+def _facts(docs: DataFrame) -> list[Column]:
+    """text, source, lang, n_chars of a row, null where docs lack the column."""
+    kinds = {"source": "string", "lang": "string", "n_chars": "long"}
+    return [text_or_empty().alias("text"), *[(F.col(c) if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]]
+
+
+FEATURES = "doc_id long, order long, view int, label int, source string, lang string, n_chars long, features binary, weights binary"
+_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
+
+
+def _packed(columns: list, text_rows: Rows, index: np.ndarray) -> pa.RecordBatch:
+    bounds, features, values = text_rows
+    cut = lambda a: [a[bounds[i] : bounds[i + 1]].tobytes() for i in index]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*columns, cut(features), cut(values)], _KINDS, strict=True)], names=[f.split(" ")[0] for f in FEATURES.split(", ")])
+
+
+def _unpacked(got: list) -> tuple[Rows, Rows]:
+    features = [np.frombuffer(r["features"], np.int32) for r in got]
+    empty = np.empty(0, np.int32)
+    text_rows = (np.concatenate(([0], np.cumsum([len(f) for f in features]))).astype(np.int64), np.concatenate([empty, *features]), np.concatenate([np.empty(0, np.float32), *[np.frombuffer(r["weights"], np.float32) for r in got]]))
+    return text_rows, meta_features(*([r[c] for r in got] for c in ("source", "lang", "n_chars")))
+
+
+def _featured(rows: DataFrame, pick) -> DataFrame:
+    """FEATURES of the picked rows of (doc_id, order, label, text, source, lang, n_chars).
+
+    pick takes a slice's rows, its text and its metadata features, and gives (view, places, labels) for each view.
+    """
 
     def extract(batches):
         for batch in batches:
             d = batch.to_pydict()
-            rows = _join_rows([text_features(s) for _, s in in_slices(d["text"])]) if d["text"] else (np.zeros(1, int), np.empty(0, np.int32), np.empty(0, np.float32))
-            b = rows[0]
-            yield pa.RecordBatch.from_arrays([pa.array(d["doc_id"], pa.int64()), pa.array(d["label"], pa.int32()), pa.array(d["source"], pa.string()), pa.array(d["lang"], pa.string()), pa.array(d["n_chars"], pa.int64()), pa.array([rows[1][b[i] : b[i + 1]].tobytes() for i in range(len(b) - 1)], pa.binary()), pa.array([rows[2][b[i] : b[i + 1]].tobytes() for i in range(len(b) - 1)], pa.binary())], names=["doc_id", "label", "source", "lang", "n_chars", "features", "weights"])
+            for at, some in in_slices(d["text"]):
+                mine = {c: d[c][at : at + len(some)] for c in d}
+                text_rows, meta_rows = text_features(some), meta_features(mine["source"], mine["lang"], mine["n_chars"])
+                for view, index, label in pick(mine, text_rows, meta_rows):
+                    column = lambda c: [mine[c][i] for i in index]  # noqa: E731, B023
+                    yield _packed([column("doc_id"), column("order"), [view] * len(index), label, column("source"), column("lang"), column("n_chars")], text_rows, index)
+        tidy()
 
-    got = found.withColumn("n_chars", F.col("n_chars").cast("long")).select("doc_id", "label", "source", "lang", "n_chars", "text").mapInArrow(extract, "doc_id long, label int, source string, lang string, n_chars long, features binary, weights binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["features"], r["weights"]))
-    features = [np.frombuffer(r["features"], np.int32) for r in got]
-    text_rows = (np.concatenate(([0], np.cumsum([len(f) for f in features]))), np.concatenate(features), np.concatenate([np.frombuffer(r["weights"], np.float32) for r in got]))
-    meta_rows = meta_features(*([r[c] for r in got] for c in ("source", "lang", "n_chars")))
-    return co_train(text_rows, meta_rows, np.array([r["label"] for r in got]), rounds)
+    return rows.select("doc_id", "order", "label", "text", "source", "lang", "n_chars").mapInArrow(extract, FEATURES)
+
+
+def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, grow: int = GROW, rounds: int = ROUNDS) -> CoTrained | None:
+    """Fits on at most `labelled` labelled documents, and on at most 2 * rounds * grow others; their features reach the driver."""
+    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
+    order = F.xxhash64("doc_id").alias("order")
+    ids = docs.select("doc_id").filter("doc_id is not null").distinct().join(known, "doc_id").select("doc_id", "label", order)
+    picked = [(r["doc_id"], r["label"]) for r in ids.orderBy("order", "doc_id").limit(labelled).collect()]
+    if not picked:
+        return None
+    chosen = docs.sparkSession.createDataFrame(picked, "doc_id long, label int")  # at most `labelled` rows
+    plain = lean(docs).select(F.col("doc_id").cast("long"), order, *_facts(docs))
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "source", "lang", "n_chars"))
+    found = plain.join(F.broadcast(chosen), "doc_id").withColumn("n", F.row_number().over(one)).filter("n = 1")
+    got = _featured(found, lambda d, t, m: [(0, range(len(d["doc_id"])), d["label"])]).collect()
+    got.sort(key=lambda r: (r["order"], r["doc_id"]))
+    teacher = Teacher(*_unpacked(got), np.array([r["label"] for r in got]))
+    if not teacher.able:
+        return None
+    quota, taken = teacher.quota(grow), [[], []]
+    # all documents without a label; the labelled ones are a table of ids
+    others = plain.filter("doc_id is not null").join(known.select("doc_id"), "doc_id", "left_anti").withColumn("label", F.lit(-1))
+    for _ in range(rounds):
+        model = teacher.pupil()
+        gone = [np.array(sorted(t), np.int64) for t in taken]
+
+        def pick(d, text_rows, meta_rows, model=model, gone=gone):
+            ids = np.array(d["doc_id"], np.int64)
+            for view, sure in enumerate(sure_rows(model, text_rows, meta_rows)):
+                index = []
+                for label in (0, 1):  # of a slice no more than may be taken of all
+                    some = np.flatnonzero((sure == label) & ~np.isin(ids, gone[view]))
+                    index += sorted(some, key=lambda i: (d["order"][i], d["doc_id"][i]))[: quota[label]]
+                if index:
+                    yield view, index, sure[index].tolist()
+
+        first = Window.partitionBy("view", "label").orderBy("order", "doc_id", "features", "weights")
+        ranked = _featured(others, pick).dropDuplicates(["view", "doc_id"]).withColumn("n", F.row_number().over(first))
+        handed = ranked.filter((F.col("n") <= quota[1]) & ((F.col("label") == 1) | (F.col("n") <= quota[0]))).collect()
+        handed.sort(key=lambda r: (r["view"], r["order"], r["doc_id"]))
+        if not handed:
+            break
+        for view in (0, 1):
+            mine = [r for r in handed if r["view"] == view]
+            taken[view] += [r["doc_id"] for r in mine]
+            if mine:
+                teacher.teach(view, *_unpacked(mine), np.array([r["label"] == 1 for r in mine]))
+    return teacher.graduate()
 
 
 def scored(model: CoTrained | None) -> Column:
@@ -233,15 +355,16 @@ def scored(model: CoTrained | None) -> Column:
         tidy()
         return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 3)), columns=kind.names)
 
-    return rate(text_or_empty(), F.col("source"), F.col("lang"), F.col("n_chars").cast("double"))
+    return rate(F.col("text"), F.col("source"), F.col("lang"), F.col("n_chars").cast("double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
     """docs' doc_id with score, text_score, meta_score and kept."""
-    model = learn(docs, labels, **options)
-    return docs.withColumn("_s", scored(model)).select("doc_id", "_s.score", "_s.text_score", "_s.meta_score", (F.col("_s.score") >= least).alias("kept"))
+    found = docs.select("doc_id", *_facts(docs)).withColumn("_s", scored(learn(docs, labels, **options)))
+    return found.select("doc_id", "_s.score", "_s.text_score", "_s.meta_score", (F.col("_s.score") >= least).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
     """The documents that score `least` or more, with their columns."""
-    return docs.withColumn("_s", scored(learn(docs, labels, **options))).filter(F.col("_s.score") >= least).drop("_s")
+    rated = docs.select(F.struct(*quoted(docs)).alias("row"), *_facts(docs)).withColumn("_s", scored(learn(docs, labels, **options)))
+    return rated.filter(F.col("_s.score") >= least).select("row.*")

@@ -49,13 +49,15 @@ from quillon.llm.common import bucketed, lean, mix64, text_or_empty, tidy
 MU, MU3 = 16.0, 4.0
 ALPHA = 0.1
 BATCH = 2_000_000
-SHARD_TOKENS = 1_500_000
+SHARD_TOKENS = 1_000_000
 LEAST_SHARDS = 64
 PAIR_BITS, TRIPLE_BITS = 32, 24
 STEP = 1024  #: codes for each factor of two of a probability
 
-#: The place of the k-th set bit of each byte.
-_IN_BYTE = np.array([[next((p for p in range(8) if b >> p & 1 and (b & ((1 << p) - 1)).bit_count() == k), 0) for k in range(8)] for b in range(256)], np.uint8)
+#: The place of the k-th set bit of byte b, at 8 * b + k.
+_IN_BYTE = np.array([next((p for p in range(8) if b >> p & 1 and (b & ((1 << p) - 1)).bit_count() == k), 0) for b in range(256) for k in range(8)], np.uint8)
+_1, _2, _3, _4, _8, _FF = (np.uint64(n) for n in (1, 2, 3, 4, 8, 255))
+_55, _33, _0F, _01, _80 = (np.uint64(int(h * 8, 16)) for h in ("55", "33", "0f", "01", "80"))
 
 
 class EliasFano:
@@ -102,13 +104,17 @@ class EliasFano:
         """The places of the k-th ones or zeros, from 0."""
         directory, words = self.ones if one else self.zeros, self.high.view(np.uint64)
         block = np.searchsorted(directory, k, side="right") - 1
-        some = np.ascontiguousarray(words[block] if one else ~words[block]).view(np.uint8).reshape(-1, 8)
-        ends = np.cumsum(np.bitwise_count(some), axis=1, dtype=np.int16)
-        left = k - directory[block]
-        byte = (ends <= left[:, None]).sum(1)
-        row = np.arange(len(byte))
-        left = left - np.where(byte > 0, ends[row, byte - 1], 0)
-        return block * 64 + byte * 8 + _IN_BYTE[some[row, byte], left]
+        x = words[block]
+        if not one:
+            np.invert(x, out=x)
+        left = (k - directory[block]).astype(np.uint64)
+        # counts of the bits up to each byte, side by side in a word (broadword selection, Vigna 2008)
+        s = x - ((x >> _1) & _55)
+        s = (s & _33) + ((s >> _2) & _33)
+        s = ((s + (s >> _4)) & _0F) * _01
+        byte = np.bitwise_count((((left * _01) | _80) - s) & _80).astype(np.uint64) << _3
+        left -= (s << _8 >> byte) & _FF
+        return block * 64 + byte.astype(np.int64) + _IN_BYTE[(((x >> byte) & _FF) << _3 | left).astype(np.int64)]
 
     def get(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
@@ -284,6 +290,18 @@ class Text:
         return pair_names(self.words[left], self.words[right] >> np.uint64(64 - PAIR_BITS))
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def _home_places(names: np.ndarray, home: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n names stands at its home."""
+    out = np.empty(n, np.int64)
+    out[names[home]] = np.flatnonzero(home)
+    return out
+
+
 class Batch(Text):
     """A batch with its distinct pairs and triples in the order in which shards are asked for them."""
 
@@ -318,17 +336,22 @@ class Batch(Text):
         triple_shard = np.where(is_hot[under], follower[last], pair_shard[under])
         # pairs of a shard: those at home there, and hot ones with followers there; words likewise
         size = np.int64(len(left))
-        visits = np.unique(triple_shard[is_hot[under]] * size + under[is_hot[under]])
-        at = np.unique(np.concatenate((pair_shard * size + np.arange(size), visits)))
-        self.pair, shard = (at % size).astype(np.int32) if size else at.astype(np.int32), at // max(1, size)
+        far = np.flatnonzero(is_hot[under])
+        at = _distinct(np.concatenate((pair_shard * size + np.arange(size), _distinct(triple_shard[far] * size + under[far]))))
+        shard = at // size
+        self.pair = (at - shard * size).astype(np.int32)
         self.pair_home = pair_shard[self.pair] == shard
-        words_at = np.concatenate((home * n + np.arange(n), np.unique((shard * n + left[self.pair])[spread[left[self.pair]]])))
-        words_at = np.unique(words_at)
-        self.word_shard, self.word = words_at // n, (words_at % n).astype(np.int32)
+        lefts = left[self.pair]
+        out = np.flatnonzero(spread[lefts])
+        words_at = _distinct(np.concatenate((home * n + np.arange(n), _distinct(shard[out] * n + lefts[out]))))
+        self.word_shard = words_at // n
+        self.word = (words_at - self.word_shard * n).astype(np.int32)
         self.word_home = home[self.word] == self.word_shard
-        self.pair_slot = np.searchsorted(words_at, shard * n + left[self.pair])
+        self.pair_slot = _home_places(self.word, self.word_home, n)[lefts]
+        self.pair_slot[out] = np.searchsorted(words_at, shard[out] * n + lefts[out])
         self.pair_shard, self.pair_key = shard, (self.words >> np.uint64(32)).astype(np.uint32)[right[self.pair]]
-        slot = np.searchsorted(at, triple_shard * size + under)
+        slot = _home_places(self.pair, self.pair_home, size)[under]
+        slot[far] = np.searchsorted(at, triple_shard[far] * size + under[far])
         self.order = np.argsort(slot, kind="stable").astype(np.int32)
         self.triple_slot = slot[self.order]
         self.triple_shard = triple_shard[self.order]

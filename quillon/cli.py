@@ -6,7 +6,7 @@ import argparse
 
 from quillon.session import session
 
-FOLDERS = ["matrix", "annotation", "family_metadata", "sequence", "tree", "dbscan", "umap", "spectral", "recursive_k2", "recursive_silhouette"]
+FOLDERS = ["matrix", "annotation", "sequence", "tree", "dbscan", "umap", "spectral", "recursive_k2", "recursive_silhouette"]
 
 
 def parser() -> argparse.ArgumentParser:
@@ -14,21 +14,28 @@ def parser() -> argparse.ArgumentParser:
     kinds = p.add_subparsers(dest="command", required=True)
     for name in ("quick-start", "recursive", "fixed-binary"):
         k = kinds.add_parser(name)
-        k.add_argument("--distance", required=True, help="mldist file, or a glob of them")
+        k.add_argument("--mldist", "--distance", dest="distance", required=True, help="distance file, or a glob of them")
         k.add_argument("--labels", required=True)
-        if name != "quick-start":
-            k.add_argument("--alignment", required=True)
-        k.add_argument("--family", help="name of the family; the file's stem without it")
-        k.add_argument("--output", required=True)
+        k.add_argument("--output-dir", "--output", dest="output", required=True)
+        k.add_argument("--family", default="family", help="name of the family; '' for files of many, each named by its stem")
+        if name == "quick-start":
+            continue
+        k.add_argument("--alignment", required=True)
+        # scores come from Spark tasks, not from programs with threads and files of their own
+        k.add_argument("--swipe-threads", type=int, default=2, help="accepted, has no effect")
+        k.add_argument("--temporary-parent", help="accepted, has no effect")
     for name in ("prepare-example", "verify-example"):
         k = kinds.add_parser(name)
         for f in ("family", "distance", "alignment", "annotation", "output" if name == "prepare-example" else "public"):
             k.add_argument(f"--{f}", required=True)
     k = kinds.add_parser("evaluate")
     for f in FOLDERS:
-        k.add_argument(f"--{f.replace('_', '-')}", required=True)
-    k.add_argument("--expected-families", type=int)
-    k.add_argument("--output", required=True)
+        k.add_argument(f"--{f.replace('_', '-')}-dir", f"--{f.replace('_', '-')}", dest=f, required=True)
+    k.add_argument("--family-metadata", required=True)
+    k.add_argument("--expected-family-count", "--expected-families", dest="expected_families", type=int)
+    k.add_argument("--family-output", help="the table of families, a CSV file")
+    k.add_argument("--method-output", help="the table of methods, a CSV file")
+    k.add_argument("--output", help="a folder for both")
     return p
 
 
@@ -38,18 +45,20 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = session("quillon-cli")
     if a.command == "quick-start":
-        workflows.run_quick_start(spark, a.distance, a.labels, a.output, a.family)
+        workflows.run_quick_start(spark, a.distance, a.labels, a.output, a.family or None)
     elif a.command == "recursive":
-        workflows.run_full_recursive(spark, a.distance, a.alignment, a.labels, a.output, a.family)
+        workflows.run_full_recursive(spark, a.distance, a.alignment, a.labels, a.output, a.family or None)
     elif a.command == "fixed-binary":
-        workflows.run_fixed_binary_baseline(spark, a.distance, a.alignment, a.labels, a.output, a.family)
+        workflows.run_fixed_binary_baseline(spark, a.distance, a.alignment, a.labels, a.output, a.family or None)
     elif a.command == "prepare-example":
         publish.prepare_example(spark, a.family, a.distance, a.alignment, a.annotation, a.output)
     elif a.command == "verify-example":
         publish.verify_example(spark, a.family, a.distance, a.alignment, a.annotation, a.public)
         print(f"family {a.family}: only the names differ")
     else:
-        dataset.evaluate_dataset(spark, {f: getattr(a, f) for f in FOLDERS}, a.output, a.expected_families)
+        if not a.output and not (a.family_output and a.method_output):
+            parser().error("evaluate needs --family-output and --method-output, or --output")
+        dataset.evaluate_dataset(spark, {f: getattr(a, f) for f in [*FOLDERS, "family_metadata"]}, a.output, a.expected_families, a.family_output, a.method_output)
     return 0
 
 

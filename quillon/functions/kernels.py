@@ -74,84 +74,101 @@ def canonical(label: np.ndarray) -> np.ndarray:
     return order[place]
 
 
-def silhouettes(x: np.ndarray, label: np.ndarray) -> np.ndarray:
-    k, n = int(label.max()) + 1, len(x)
+def silhouettes(x: np.ndarray, label: np.ndarray, some: slice = slice(None), step: int = 1 << 20) -> np.ndarray:
+    """The silhouettes of some of the points among all of them."""
+    k, n = int(label.max()) + 1 if len(label) else 0, len(x)
     member = np.zeros((n, k))
     member[np.arange(n), label] = 1
-    sizes = member.sum(0)
+    sizes, points, own = member.sum(0), x[some], label[some]
     # differences, not a product form: the values must hold to the last digits
-    total = np.stack([np.sqrt(((x - p) ** 2).sum(1)) @ member for p in x]) if n else np.zeros((0, k))
-    own = sizes[label]
-    a = total[np.arange(n), label] / np.maximum(own - 1, 1)
-    other = np.where(member > 0, np.inf, total / np.maximum(sizes, 1))
+    at = max(1, step // max(1, x.size))
+    total = np.concatenate([np.zeros((0, k)), *[np.sqrt(((points[i : i + at, None] - x[None]) ** 2).sum(2)) @ member for i in range(0, len(points), at)]])
+    mine = np.arange(len(points))
+    a = total[mine, own] / np.maximum(sizes[own] - 1, 1)
+    other = total / np.maximum(sizes, 1)
     other[:, sizes == 0] = np.inf
-    b = other.min(1)
+    other[mine, own] = np.inf
+    b = other.min(1) if k else np.zeros(0)
     top = np.maximum(a, b)
-    return np.where((own > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
+    return np.where((sizes[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
 
 
 def _codes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le"), np.uint32)
 
 
-def _rows(a: str, b: str, match: float, mismatch: float, first: float, more: float, local: bool):
-    """Best scores row by row: all cells, and those that end in a gap in either sequence.
+def _sweep(a: str, b: str, match: float, mismatch: float, first: float, more: float, local: bool):
+    """(scores, scores that end in a gap along a, in a gap along b, letters of b equal to a's) of each row of the alignment table.
 
     first: cost of a gap's first place; more: of each further one. A gap along the row is a running
-    maximum, as reopening a gap never beats extending it.
+    maximum, as reopening a gap never beats extending it. Two rows are held at a time.
     """
     x, y = _codes(a), _codes(b)
-    n, m = len(x), len(y)
+    m = len(y)
     ramp = more * np.arange(m + 1)
-    h, up, left = (np.full((n + 1, m + 1), -np.inf) for _ in range(3))
-    if local:
-        h[0], h[:, 0] = 0, 0
-    else:
-        h[0, 0] = 0
-        left[0, 1:] = -first - more * np.arange(m)
-        up[1:, 0] = -first - more * np.arange(n)
-        h[0, 1:], h[1:, 0] = left[0, 1:], up[1:, 0]
-    for i in range(1, n + 1):
-        up[i, 1:] = np.maximum(h[i - 1, 1:] - first, up[i - 1, 1:] - more)
-        base = np.maximum(h[i - 1, :-1] + np.where(y == x[i - 1], match, mismatch), up[i, 1:])
-        row = np.concatenate(([h[i, 0]], np.maximum(base, 0) if local else base))
-        left[i, 1:] = np.maximum.accumulate(row + ramp)[:-1] - first - ramp[:-1]
-        h[i] = np.maximum(row, left[i])
-    return h, up, left
+    h, up = np.zeros(m + 1), np.full(m + 1, -np.inf)
+    left = np.full(m + 1, -np.inf)
+    if not local:
+        left[1:] = -first - more * np.arange(m)
+        h[1:] = left[1:]
+    yield h, up, left, None
+    for i, letter in enumerate(x):
+        same = y == letter
+        new_up = np.maximum(h - first, up - more)
+        new_up[0] = -np.inf if local else -first - more * i
+        row = np.empty(m + 1)
+        row[0] = 0 if local else new_up[0]
+        row[1:] = np.maximum(h[:-1] + np.where(same, match, mismatch), new_up[1:])
+        if local:
+            row[1:] = np.maximum(row[1:], 0)
+        new_left = np.full(m + 1, -np.inf)
+        new_left[1:] = np.maximum.accumulate(row + ramp)[:-1] - first - ramp[:-1]
+        yield (new := np.maximum(row, new_left)), new_up, new_left, (same, h, up, left)
+        h, up, left = new, new_up, new_left
 
 
 def global_identity(a: str, b: str, match: float = 5, mismatch: float = -4, first: float = 10, more: float = 0.5) -> float:
     """Share of equal letters among the gap-free columns of one best global alignment; 0 if there are none.
 
-    A gap of length g costs first + more * (g - 1), at the ends too. Of equal ways the diagonal comes first.
+    A gap of length g costs first + more * (g - 1), at the ends too. Of equal ways the diagonal comes first. What the way
+    back needs of a cell is three bits: diagonal or which gap, and whether each gap opens there.
     """
     if not a or not b:
         return 0.0
-    h, up, left = _rows(a, b, match, mismatch, first, more, False)
+    ways = np.zeros((len(a) + 1, len(b) + 1), np.uint8)
+    for i, (h, up, left, before) in enumerate(_sweep(a, b, match, mismatch, first, more, False)):
+        if before is None:
+            continue
+        same, last, _, _ = before
+        diagonal = h[1:] == last[:-1] + np.where(same, match, mismatch)
+        ways[i, 1:] = diagonal | (h[1:] == up[1:]).astype(np.uint8) << 1 | (up[1:] == last[1:] - first).astype(np.uint8) << 2 | (left[1:] == h[:-1] - first).astype(np.uint8) << 3
     i, j, state, same, both = len(a), len(b), "h", 0, 0
     while i and j:
+        way = int(ways[i, j])
         if state == "h":
-            if h[i, j] == h[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
+            if way & 1:
                 i, j = i - 1, j - 1
                 both += 1
                 same += a[i] == b[j]
             else:
-                state = "up" if h[i, j] == up[i, j] else "left"
+                state = "up" if way & 2 else "left"
         elif state == "up":
-            state = "h" if up[i, j] == h[i - 1, j] - first else "up"
+            state = "h" if way & 4 else "up"
             i -= 1
         else:
-            state = "h" if left[i, j] == h[i, j - 1] - first else "left"
+            state = "h" if way & 8 else "left"
             j -= 1
     return same / both if both else 0.0
 
 
 def global_score(a: str, b: str, match: float = 5, mismatch: float = -4, first: float = 10, more: float = 0.5) -> float:
-    return float(_rows(a, b, match, mismatch, first, more, False)[0][-1, -1])
+    for h, *_ in _sweep(a, b, match, mismatch, first, more, False):
+        last = h
+    return float(last[-1])
 
 
 def local_score(a: str, b: str, match: float = 5, mismatch: float = -4, first: float = 10.5, more: float = 0.5) -> float:
     """Best local alignment score; a gap of length g costs first + more * (g - 1)."""
     if not a or not b:
         return 0.0
-    return float(_rows(a, b, match, mismatch, first, more, True)[0].max())
+    return max(float(h.max()) for h, *_ in _sweep(a, b, match, mismatch, first, more, True))

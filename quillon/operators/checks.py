@@ -98,6 +98,17 @@ def validate_labels(labels: DataFrame) -> DataFrame:
     return labels
 
 
+def missing_labels(ids: DataFrame, labels: DataFrame, keys: list[str], label: str = "known_subfamily") -> DataFrame:
+    """The ids without a label: in no row of labels, or with a null one."""
+    return ids.join(labels, keys, "left").filter(F.col(label).isNull()).select(*keys)
+
+
+def lookup(facts: DataFrame, dimension: DataFrame, key: str, message: str) -> DataFrame:
+    """facts with the columns of a small table; every key must stand there. Spark broadcasts it if it is small enough."""
+    fail_on(facts.join(dimension, key, "left_anti").select(key), message)
+    return facts.join(dimension, key)
+
+
 def alignment_lengths(msa: DataFrame) -> DataFrame:
     return msa.groupBy("family").agg(F.count("*").alias("n_sequences"), F.min(F.length("seq")).alias("least_length"), F.max(F.length("seq")).alias("most_length"), (F.count_distinct(F.length("seq")) == 1).alias("equal_lengths"))
 

@@ -1,7 +1,9 @@
 """Spectral clustering of each family, and its parts as queries.
 
 The unit of work is a node: one family, or one branch of its hierarchy. Up to `DENSE` members it is
-one dense problem inside one task, and all nodes run side by side.
+one dense problem inside one task, and all nodes run side by side. The affinities of a larger one are never in one
+place: its embedding comes from products over the edges, k-means sees the embedding alone, a task
+for each k, and silhouettes are computed in blocks of members.
 """
 
 from __future__ import annotations
@@ -14,13 +16,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import kernels
-from quillon.operators.checks import align_labels, fail_on
+from quillon.operators.checks import align_labels, fail_on, validate_square_matrix
 from quillon.operators.evaluation import adjusted_rand, candidate_choice
+from quillon.operators.matrix import degree
+from quillon.session import settled
 
 DENSE = 6000  #: members of the largest node solved in one task
+SILHOUETTES = 2000  #: members of a larger node whose silhouettes are one task
 GLOBAL_K = 20
 
 
+class Result(dict):
+    """Tables by name, as items or as attributes."""
+
+    def __getattr__(self, name: str) -> DataFrame:
+        try:
+            return self[name]
+        except KeyError:
+            raise AttributeError(name) from None
+
+
+class SpectralResult(Result):
+    """membership, candidate_scores (also scores) and selected (family, selected_k)."""
+
+    @property
+    def selected_k(self) -> int:
+        """The selected k of the only family."""
+        rows = self["selected"].limit(2).collect()
+        if len(rows) != 1:
+            raise ValueError("selected_k is for one family; selected holds those of all")
+        return rows[0]["selected_k"]
+
+
+class RecursiveResult(Result):
+    """membership and diagnostics."""
+
+
 def component_count(n: str | Column) -> Column:
     """One-shot: n - 2 up to 21 members, else 20."""
     n = F.col(n) if isinstance(n, str) else n
@@ -130,13 +161,23 @@ def spectral_embedding(affinity: DataFrame, components: int | None = None) -> Da
         n = len(ids)
         return pd.DataFrame({"family": pdf["family"].iloc[0], "ord": ids, "vec": list(kernels.spectral_embedding(block, components or (n - 2 if n < 22 else 20)))})
 
-    return affinity.select("family", "i", "j", "affinity").groupBy("family").applyInPandas(solve, "family string, ord int, vec array<double>")
+    small, large = by_size(affinity.select("family", "i", "j", "affinity"), ["family"])
+    solved = small.groupBy("family").applyInPandas(solve, "family string, ord int, vec array<double>")
+    return solved if large is None else solved.unionByName(spectral_embedding_large(large, components or 20))
 
 
 def check_sizes(affinity: DataFrame, least: int = 4) -> None:
     sizes = affinity.groupBy("family").agg(F.count_distinct("i").alias("n"))
     fail_on(sizes.filter(F.col("n") < least).select("family"), f"spectral clustering needs at least {least} sequences")
-    fail_on(sizes.filter(F.col("n") > DENSE).select("family"), f"families over {DENSE} sequences need spectral_embedding_large")
+
+
+def by_size(edges: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """edges of the nodes of up to DENSE members, and of the others; None if there are none."""
+    sizes = edges.filter("i = j").groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > DENSE).select(*keys)
+    large = settled(sizes)
+    if large.isEmpty():
+        return edges, None
+    return edges.join(large, keys, "left_anti"), edges.join(large, keys, "left_semi")
 
 
 def k_sweep(affinity: DataFrame, seed: int = 0) -> DataFrame:
@@ -149,16 +190,23 @@ def k_sweep(affinity: DataFrame, seed: int = 0) -> DataFrame:
         parts = [pd.DataFrame({"family": pdf["family"].iloc[0], "k": k, "mean_silhouette": mean, "ord": ids, "cluster": label, "silhouette": values}) for k, mean, _, label, values in sweep(block, c, range(2, c + 1), seed, False)]
         return pd.concat(parts)
 
-    return affinity.select("family", "i", "j", "affinity").groupBy("family").applyInPandas(solve, SWEEP)
+    small, large = by_size(affinity.select("family", "i", "j", "affinity"), ["family"])
+    swept = small.groupBy("family").applyInPandas(solve, SWEEP)
+    if large is None:
+        return swept
+    found = sweep_large(large, 20, lambda n: range(2, 21), seed)
+    fail_on(found.filter("error is not null").select("family", "k", "error"), "large families cannot be clustered")
+    return swept.unionByName(found.drop("error"))
 
 
-def run_spectral_clustering(affinity: DataFrame, known: DataFrame | None = None, *, kmeans_seed: int = 0, checked: bool = True) -> dict[str, DataFrame]:
+def run_spectral_clustering(affinity: DataFrame, known: DataFrame | None = None, *, kmeans_seed: int = 0, checked: bool = True) -> SpectralResult:
     """One-shot clustering of every family: membership, scores of all k, and the selected k.
 
     membership: (family, ord, sequence_id, predicted_cluster, silhouette, selected_k[, known_subfamily]);
     scores: (family, k, mean_silhouette[, adjusted_rand_index]). Labels bear on the index alone.
     """
     if checked:
+        validate_square_matrix(affinity, "affinity", "affinity matrix", nonnegative=True)
         check_sizes(affinity)
     ids = affinity.filter("i = j").select("family", F.col("i").alias("ord"), F.col("src").alias("sequence_id"))
     swept = k_sweep(affinity, kmeans_seed).join(ids, ["family", "ord"])
@@ -176,48 +224,110 @@ def run_spectral_clustering(affinity: DataFrame, known: DataFrame | None = None,
     membership = swept.join(choice, "family").filter("k = selected_k").select("family", "ord", "sequence_id", F.col("cluster").alias("predicted_cluster"), "silhouette", "selected_k", *kept)
     if known is None:
         scores = scores.drop("adjusted_rand_index")
-    return {"membership": membership, "scores": scores, "selected": choice}
+    return SpectralResult(membership=membership, scores=scores, candidate_scores=scores, selected=choice)
 
 
 # ---- families too large for one task
 
 
-def spectral_embedding_large(affinity: DataFrame, components: int, rounds: int = 60, seed: int = 1) -> DataFrame:
-    """(family, ord, vec) by orthogonal iteration on I + D^-1/2 W D^-1/2.
+def sweep_large(affinity: DataFrame, components: int, ks, seed: int) -> DataFrame:
+    """SWEEP's columns and error of nodes by `family`, without a node's edges in one place; ks gives the k to try by size.
 
-    Products with the matrix are one join and one aggregate over the edges, for all columns at once;
-    only components x components Gram matrices of each family reach the driver.
+    A candidate that fails has one row, with its error and no member.
+    """
+    embedded = spectral_embedding_large(affinity, components)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord")
+        x = np.array(pdf["vec"].tolist())
+        x *= np.where(x[np.abs(x).argmax(0), np.arange(x.shape[1])] < 0, -1.0, 1.0)
+        tried = list(ks(len(x)))
+        return pd.DataFrame({"family": pdf["family"].iloc[0], "k": tried, "n": len(x), "ords": pdf["ord"].to_numpy(np.int32).tobytes(), "x": [np.ascontiguousarray(x[:, :k]).tobytes() for k in tried]})
+
+    def cluster(frames):
+        for frame in frames:
+            for r in frame.itertuples():
+                label, error = np.empty(0, np.int64), None
+                try:
+                    label = kernels.kmeans(np.frombuffer(r.x).reshape(-1, r.k), r.k, seed)
+                    if not 2 <= len(np.unique(label)) < r.n:
+                        error = "invalid_number_of_clusters"
+                except Exception as e:
+                    error = f"{type(e).__name__}: {e}"
+                yield pd.DataFrame([(r.family, r.k, r.n, r.ords, r.x, label.astype(np.int32).tobytes(), error)], columns=["family", "k", "n", "ords", "x", "labels", "error"])
+
+    def measure(frames):
+        for frame in frames:
+            for r in frame.itertuples():
+                label, ords, some = np.frombuffer(r.labels, np.int32), np.frombuffer(r.ords, np.int32), slice(r.block * SILHOUETTES, (r.block + 1) * SILHOUETTES)
+                if r.error is not None:
+                    yield pd.DataFrame({"family": [r.family], "k": r.k, "ord": None, "cluster": None, "silhouette": None, "error": r.error})
+                else:
+                    values = kernels.silhouettes(np.frombuffer(r.x).reshape(-1, r.k), label, some)
+                    yield pd.DataFrame({"family": r.family, "k": r.k, "ord": ords[some], "cluster": label[some], "silhouette": values, "error": None})
+
+    packed = embedded.groupBy("family").applyInPandas(pack, "family string, k int, n long, ords binary, x binary").repartition("family", "k")
+    clustered = settled(packed.mapInPandas(cluster, "family string, k int, n long, ords binary, x binary, labels binary, error string"))
+    blocks = F.when(F.col("error").isNull(), F.sequence(F.lit(0), ((F.col("n") - 1) / SILHOUETTES).cast("int"))).otherwise(F.array(F.lit(0)))
+    spread = clustered.withColumn("block", F.explode(blocks)).repartition("family", "k", "block")
+    found = settled(spread.mapInPandas(measure, "family string, k int, ord int, cluster int, silhouette double, error string"))
+    means = found.groupBy("family", "k").agg(F.avg("silhouette").alias("mean_silhouette"))
+    return found.join(means, ["family", "k"]).select("family", "k", "mean_silhouette", "ord", "cluster", "silhouette", "error")
+
+
+WARM, CYCLES, DEGREE = 4, 3, 10  #: plain products, then filters of so many products each
+
+
+def spectral_embedding_large(affinity: DataFrame, components: int, seed: int = 1) -> DataFrame:
+    """(family, ord, vec) by Chebyshev-filtered subspace iteration on S = D^-1/2 W D^-1/2 (Zhou and others 2006).
+
+    Products with S are one join and one aggregate over the edges, for all columns at once; a filter
+    of `DEGREE` products damps what lies below the least Ritz value. Only Gram and Ritz matrices of
+    components + 1 rows of each family reach the driver.
     """
-    from quillon.operators.matrix import degree
-    from quillon.session import settled
-
     width = components + 1
-    d = settled(degree(affinity).withColumn("s", F.when(F.col("degree") > 0, 1 / F.sqrt("degree")).otherwise(1.0)))
+    spark = affinity.sparkSession
+    d = settled(degree(affinity.filter("i <> j")).withColumn("s", F.when(F.col("degree") > 0, 1 / F.sqrt("degree")).otherwise(1.0)))
     two = d.select("family", F.col("i").alias("j"), F.col("s").alias("t"))
     weights = settled(affinity.filter("affinity <> 0 and i <> j").join(d, ["family", "i"]).join(two, ["family", "j"]).select("family", "i", "j", (F.col("affinity") * F.col("s") * F.col("t")).alias("w")))
     start = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda c: F.xxhash64(F.lit(seed), F.col("family"), F.col("i"), c) / F.lit(2.0**63))
     state = settled(d.select("family", "i", start.alias("v")))
-    for n in range(rounds + 1):
-        grams = {r[0]: np.array(r[1]).reshape(width, width) for r in _gram(state, width).collect()}
-        turns = state.sparkSession.createDataFrame([(f, _whitener(g).T.tolist()) for f, g in grams.items()], "family string, turn array<array<double>>")
-        state = state.join(turns, "family").select("family", "i", _times("turn", "v").alias("v"))
-        if n == rounds:
-            break
-        moved = _product(weights, state, width)
-        state = settled(state.join(moved, ["family", "i"], "left").select("family", "i", F.when(F.col("u").isNull(), F.col("v")).otherwise(F.zip_with("v", "u", lambda x, y: x + y)).alias("v")))
-    pull = _product(weights, state, width)
-    ritz = state.join(pull, ["family", "i"])
-    sums = ritz.select("family", F.posexplode("v").alias("a", "x"), "u").select("family", "a", "x", F.posexplode("u").alias("b", "y")).groupBy("family", "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("m"))
-    small: dict[str, np.ndarray] = {}
-    for r in sums.collect():  # components squared for each family
-        small.setdefault(r[0], np.zeros((width, width)))[r[1], r[2]] = r[3]
-    turns = []
-    for family, m in small.items():
-        values, vectors = np.linalg.eigh((m + m.T) / 2)
-        turns.append((family, vectors[:, np.argsort(-values)][:, 1:].T.tolist()))
-    last = state.sparkSession.createDataFrame(turns, "family string, turn array<array<double>>")
-    scaled = state.join(last, "family").select("family", "i", _times("turn", "v").alias("v")).join(d, ["family", "i"])
-    return scaled.select("family", F.col("i").alias("ord"), F.transform("v", lambda x: x * F.col("s")).alias("vec"))
+    zero = F.array_repeat(F.lit(0.0), width)
+
+    def pulled(rows: DataFrame) -> DataFrame:
+        """rows with u = S v."""
+        return rows.join(_product(weights, rows, width), ["family", "i"], "left").withColumn("u", F.coalesce("u", zero))
+
+    def turned(rows: DataFrame, turns: dict[str, np.ndarray]) -> DataFrame:
+        table = spark.createDataFrame([(f, t.T.tolist()) for f, t in turns.items()], "family string, turn array<array<double>>")
+        return settled(rows.join(table, "family").select("family", "i", _times("turn", "v").alias("v")))
+
+    def white(rows: DataFrame) -> DataFrame:
+        for _ in range(2):  # the second time for what rounding left
+            rows = turned(rows, {f: _whitener(g) for f, g in _matrices(rows, "v", width).items()})
+        return rows
+
+    def ritz(rows: DataFrame) -> tuple[DataFrame, dict[str, np.ndarray]]:
+        found = {f: np.linalg.eigh((m + m.T) / 2) for f, m in _matrices(pulled(rows), "u", width).items()}
+        order = {f: np.argsort(-values) for f, (values, _) in found.items()}
+        return turned(rows, {f: vectors[:, order[f]] for f, (_, vectors) in found.items()}), {f: values[order[f]] for f, (values, _) in found.items()}
+
+    state = white(state)
+    for _ in range(WARM):
+        state = white(settled(pulled(state).select("family", "i", F.zip_with("v", "u", lambda x, y: x + y).alias("v"))))
+    for _ in range(CYCLES):
+        state, values = ritz(state)
+        # the interval [-1, least Ritz value], by its middle and half its length
+        low = spark.createDataFrame([(f, float((x[-1] - 1) / 2), float(max((x[-1] + 1) / 2, 1e-6))) for f, x in values.items()], "family string, middle double, half double")
+        rows = state.withColumn("last", F.lit(None).cast("array<double>"))
+        for n in range(DEGREE):
+            step = F.zip_with("u", "v", lambda y, x: (y - F.col("middle") * x) / F.col("half"))
+            new = step if n == 0 else F.zip_with(step, "last", lambda x, y: 2 * x - y)
+            rows = settled(pulled(rows).join(low, "family").select("family", "i", new.alias("_v"), F.col("v").alias("last")).withColumnRenamed("_v", "v"))
+        state = white(rows.select("family", "i", "v"))
+    state, _ = ritz(state)
+    scaled = state.join(d, ["family", "i"])
+    return scaled.select("family", F.col("i").alias("ord"), F.transform(F.slice("v", 2, components), lambda x: x * F.col("s")).alias("vec"))
 
 
 def _times(matrix: str, vector: str) -> Column:
@@ -230,10 +340,22 @@ def _product(weights: DataFrame, state: DataFrame, width: int) -> DataFrame:
     return sums.select("family", "i", F.array(*[f"u{c}" for c in range(width)]).alias("u"))
 
 
-def _gram(state: DataFrame, width: int) -> DataFrame:
-    return state.groupBy("family").agg(F.array(*[F.sum(F.col("v")[a] * F.col("v")[b]) for a in range(width) for b in range(width)]).alias("g"))
+def _matrices(rows: DataFrame, other: str, width: int) -> dict[str, np.ndarray]:
+    """For each family the sums of the products of v's columns with other's, width squared numbers."""
+
+    def partial(frames):
+        for frame in frames:
+            for family, part in frame.groupby("family"):
+                yield pd.DataFrame({"family": [family], "m": [(np.stack(part["v"]).T @ np.stack(part[other])).ravel().tolist()]})
+
+    sums = rows.select("family", "v", *([other] if other != "v" else [])).mapInPandas(partial, "family string, m array<double>")
+    each = sums.select("family", F.posexplode("m").alias("n", "x")).groupBy("family", "n").agg(F.sum("x").alias("x"))
+    out: dict[str, np.ndarray] = {}
+    for r in each.collect():
+        out.setdefault(r["family"], np.zeros(width * width))[r["n"]] = r["x"]
+    return {f: m.reshape(width, width) for f, m in out.items()}
 
 
 def _whitener(gram: np.ndarray) -> np.ndarray:
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    return vectors / np.sqrt(np.maximum(values, 1e-300))
+    return vectors / np.sqrt(np.maximum(values, values.max() * 1e-15 + 1e-300))

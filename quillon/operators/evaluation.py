@@ -36,6 +36,21 @@ def cluster_counts(rows: DataFrame, truth: str, predicted: str, keys: list[str])
     return rows.groupBy(*keys).agg(F.count_distinct(predicted).alias("predicted_clusters"), F.count_distinct(truth).alias("known_subfamilies"))
 
 
+def cluster_sizes(rows: DataFrame, keys: list[str], cluster: str = "cluster") -> DataFrame:
+    """(keys, cluster, n)"""
+    return rows.groupBy(*keys, cluster).agg(F.count("*").alias("n"))
+
+
+def size_gate(sizes: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """(keys, pass_minimum_size, least) from (keys, cluster, n): whether all clusters hold `least` rows, and the smallest size."""
+    return sizes.groupBy(*keys).agg(F.bool_and(F.col("n") >= least).alias("pass_minimum_size"), F.min("n").alias("least"))
+
+
+def rounded(df: DataFrame, columns: list[str], digits: int) -> DataFrame:
+    """Columns rounded half to even."""
+    return df.withColumns({c: F.bround(c, digits) for c in columns})
+
+
 def evaluate_clustering(predictions: DataFrame, known: DataFrame) -> DataFrame:
     """(family, n_sequences, predicted_clusters, known_subfamilies, adjusted_rand_index)
 
@@ -74,7 +89,9 @@ def dbscan_scores(rows: DataFrame, truth: str, predicted: str, keys: list[str],
 def evaluate_dbscan_with_unique_noise(predictions: DataFrame, known: DataFrame, *, noise_label: int = -1) -> DataFrame:
     """(family, n_sequences, predicted_clusters_excluding_noise, noise_count, noise_rate, adjusted_rand_index), each noise row its own cluster."""
     validate_predictions(predictions)
-    both = predictions.join(known.select("family", "sequence_id", "known_subfamily"), ["family", "sequence_id"])
+    ids = predictions.select("family", "sequence_id", F.lit(0).alias("ord"))
+    truth = align_labels(known.select("family", "sequence_id", "known_subfamily"), ids).drop("ord")
+    both = truth.join(predictions.select("family", "sequence_id", "predicted_cluster"), ["family", "sequence_id"])
     score = adjusted_rand(unique_noise(both, "predicted_cluster", ["family"], "sequence_id", noise_label), "known_subfamily", "predicted_cluster", ["family"]).select("family", "adjusted_rand_index")
     return noise_report(both, "predicted_cluster", ["family"], noise_label).join(score, "family")
 
@@ -111,8 +128,8 @@ def summarize_methods(results: DataFrame, methods: dict[str, str], *, subset: st
         F.count_if(a >= 0.9).alias("ARI_ge_0.9"),
         F.count_if(a < 0.5).alias("ARI_lt_0.5"),
     )
-    for c in ("mean_ARI", "sequence_weighted_mean_ARI", "median_ARI", "Q1", "Q3") if digits is not None else ():
-        out = out.withColumn(c, F.bround(c, digits))
+    if digits is not None:
+        out = rounded(out, ["mean_ARI", "sequence_weighted_mean_ARI", "median_ARI", "Q1", "Q3"], digits)
     return out.select(F.lit(subset).alias("subset"), *[F.col(f"`{c}`") for c in out.columns])
 
 

@@ -1,7 +1,8 @@
 """The registered queries: each operator over one of the driver's tables.
 
 Stand-ins: a family is an embedding's label or a nation, a sequence a row, a distance Euclidean; an
-alignment is text cut and padded to 40 columns, with blanks as gaps; labels are two categorical columns.
+alignment is whole texts, padded to the longest of their family, with blanks as gaps; labels are categorical columns.
+Readers and writers are queried through files that are written to the shared folder first.
 Reals are rounded, so that the order of summation does not show.
 """
 
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text
 from quillon.operators import checks, clustering, evaluation, matrix, recursion, sequences
-from quillon.session import settled
+from quillon.plans import dataset
+from quillon.session import settled, shared_folder
+from quillon.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -55,21 +58,22 @@ def _methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("family"), F.col("c_custkey").alias("sequence_id"), (F.col("c_custkey") % 3).cast("int").alias("truth"), F.col("c_mktsegment").alias("segment"), (F.col("c_acctbal") > 5000).cast("int").alias("balance"), (F.col("c_custkey") % 6).cast("int").alias("nested"))
 
 
-def _alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(family, ord, sequence_id, cluster, seq): documents by language, three clusters each."""
-    seq = F.rpad(F.regexp_replace(F.substring("text", 1, 40), "[ \\n\\t\\r]", "-"), 40, "-")
-    d = _table(spark, sf_dir, "documents").select(F.col("lang").alias("family"), F.col("doc_id").alias("sequence_id"), seq.alias("seq"), (F.col("doc_id") % 3).cast("int").alias("cluster"))
-    return matrix.number_members(d)
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(family, cluster, raw, seq): passages of four families, each a cluster; seq is raw padded to the family's longest."""
+    raw = F.regexp_replace("text", "[ \\n\\t\\r]", "-")
+    b = _table(spark, sf_dir, "benchmark").select((F.col("item_id") % 4).cast("int").alias("family"), F.col("item_id").cast("int").alias("cluster"), raw.alias("raw"))
+    return b.withColumn("seq", F.rpad("raw", F.max(F.length("raw")).over(Window.partitionBy("family")), "-"))
 
 
-def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seq = F.rpad(F.regexp_replace(F.substring("text", 1, 40), "[ \\n\\t\\r]", "-"), 40, "-")
-    return _table(spark, sf_dir, "benchmark").select((F.col("item_id") % 4).cast("int").alias("family"), F.col("item_id").cast("int").alias("cluster"), seq.alias("seq"))
+def _alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(family, ord, sequence_id, cluster, seq): the passages as members, three clusters a family."""
+    b = _benchmark(spark, sf_dir)
+    return matrix.number_members(b.select("family", F.col("cluster").alias("sequence_id"), "seq", (F.col("cluster") % 3).alias("cluster")))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate scores: k from part sizes, mean prices as silhouettes and indices."""
-    p = _table(spark, sf_dir, "part").filter("p_size <= 20")
+    p = _table(spark, sf_dir, "part")
     score = F.round(F.avg("p_retailprice") / 2000, 2)
     index = F.round(F.count("*") / 50, 2)
     return p.groupBy(F.col("p_brand").alias("family"), F.col("p_size").alias("k")).agg(score.alias("silhouette_score"), index.alias("adjusted_rand_index"))
@@ -103,12 +107,12 @@ def cluster_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("family"), F.col("p_brand").alias("cluster")).agg(F.count("*").alias("n"))
+    return evaluation.cluster_sizes(_table(spark, sf_dir, "part").select(F.col("p_type").alias("family"), F.col("p_brand").alias("cluster")), ["family"])
 
 
 @query
 def min_size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster_sizes(spark, sf_dir).groupBy("family").agg(F.bool_and(F.col("n") >= 10).alias("pass_minimum_size"), F.min("n").alias("least"))
+    return evaluation.size_gate(cluster_sizes(spark, sf_dir), ["family"], 10)
 
 
 @query
@@ -119,7 +123,7 @@ def child_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return evaluation.cluster_sizes(_table(spark, sf_dir, "documents"), [], "lang")
 
 
 def _dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,8 +145,8 @@ def dbscan_ari(spark: SparkSession, sf_dir: str) -> DataFrame:
 METHODS = {"segment_ARI": "segment", "balance_ARI": "balance", "nested_ARI": "nested"}
 
 
-@query
-def family_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each nation: sizes, kind, and the indices of three clusterings."""
     m = _methods(spark, sf_dir)
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("method"), F.col(c).cast("string").alias("label")) for c in METHODS.values()]))
     long = m.withColumn("_m", pairs).select("family", "truth", "_m.method", "_m.label")
@@ -152,22 +156,41 @@ def family_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.join(known, "family").withColumn("TE", F.when(F.col("family") % 2 == 0, "TE").otherwise("other"))
 
 
+@query
+def family_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All methods over all nations, by the dataset evaluation itself, with customers' columns as the methods' outputs."""
+    m = _methods(spark, sf_dir).withColumn("family", F.col("family").cast("string"))
+    key, i = [F.col("family"), F.col("sequence_id")], F.col("sequence_id")
+    truth = m.select(*key, F.col("truth").cast("string").alias("known_subfamily"))
+    meta = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("family"), F.col("n_name").alias("order"), F.when(F.col("n_nationkey") % 2 == 0, "TE").otherwise("other").alias("TE"))
+    sequence = m.select(*key, *[F.col(c).alias(rule) for rule, c in zip(dataset.SEQUENCE_RULES, METHODS.values(), strict=True)])
+    tree = m.select(*key, *[(i % (n + 2)).alias(c) for n, c in enumerate(dataset.TREE_CUTOFFS)])
+    one = lambda c: m.select(*key, F.col(c).alias("cluster_number"))
+    by_k = _table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("family"), (F.col("c_custkey") % 5 + 2).cast("int").alias("k"))
+    candidates = by_k.agg(F.round(F.avg("c_acctbal") / 10000, 2).alias("mean_silhouette"), F.round(F.count("*") / 100, 2).alias("adjusted_rand_index"))
+    umap = candidates.withColumn("mean_silhouette", -F.col("mean_silhouette"))
+    dbscan = m.select(*key, F.when(F.col("nested") == 0, -1).otherwise(F.col("nested")).alias("cluster_number"))
+    found = dataset.family_comparison(truth, meta, sequence, tree, dbscan, umap, candidates, one("balance"), one("segment"))
+    real = {f.name for f in found.schema if f.dataType.simpleString() == "double"}
+    return found.select(*[((F.round(F.col(f"`{c}`"), 6) + 0.0) if c in real else F.col(f"`{c}`")).alias(c) for c in found.columns])
+
+
 @query
 def method_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = settled(family_comparison(spark, sf_dir))
+    c = settled(_comparison(spark, sf_dir))
     return _round(evaluation.summarize_methods(c, METHODS, subset="all families"), "mean_ARI", "sequence_weighted_mean_ARI", "median_ARI", "Q1", "Q3")
 
 
 @query
 def summary_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = settled(family_comparison(spark, sf_dir))
+    c = settled(_comparison(spark, sf_dir))
     return _round(evaluation.method_summary(c, METHODS, digits=None), "mean_ARI", "sequence_weighted_mean_ARI", "median_ARI", "Q1", "Q3")
 
 
 @query
 def summary_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _table(spark, sf_dir, "part")
-    return p.groupBy("p_brand").agg(F.bround(F.avg("p_size"), 4).alias("mean_size"))
+    return evaluation.rounded(p.groupBy("p_brand").agg(F.avg("p_size").alias("mean_size")), ["mean_size"], 4)
 
 
 @query
@@ -238,7 +261,7 @@ def align_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def label_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents_and_labels(spark, sf_dir)
-    return docs.join(labels, "sequence_id", "left").filter("known_subfamily is null").agg(F.count("*").alias("n_missing"))
+    return checks.missing_labels(docs, labels, ["sequence_id"])
 
 
 @query
@@ -269,7 +292,7 @@ def finite_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def msa_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "documents").select(F.col("lang").alias("family"), F.substring("text", 1, 40).alias("seq"))
+    d = _table(spark, sf_dir, "documents").select(F.col("lang").alias("family"), F.col("text").alias("seq"))
     return checks.alignment_lengths(d)
 
 
@@ -291,11 +314,9 @@ def used_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def annotation_used(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillon.sources.readers import annotation_used as used
-
     o = _table(spark, sf_dir, "orders")
     flag = F.when(F.col("o_orderstatus") == "F", "TRUE").otherwise("no")
-    return used(o.select(F.concat(F.col("o_orderkey").cast("string"), F.lit(":"), "o_orderpriority").alias("name"), F.col("o_orderstatus").alias("subfamily"), flag.alias("used")))
+    return readers.annotation_used(o.select(F.concat(F.col("o_orderkey").cast("string"), F.lit(":"), "o_orderpriority").alias("name"), F.col("o_orderstatus").alias("subfamily"), flag.alias("used")))
 
 
 @query
@@ -322,17 +343,11 @@ def path_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n_nationkey", text.path_label(path).alias("path"), text.path_label(path, "0").alias("predicted_cluster"))
 
 
-@query
-def scan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("sequence_id"), F.col("quality").cast("string").alias("known_subfamily"))
-
-
 @query
 def family_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each nation with its region's name; the smaller side is broadcast only as Spark sees fit."""
-    n, r = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
-    checks.fail_on(n.join(r, n["n_regionkey"] == r["r_regionkey"], "left_anti").select("n_nationkey"), "nations without a region")
-    return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", "n_name", "r_name")
+    """Each nation with its region's name."""
+    n, r = _table(spark, sf_dir, "nation").withColumnRenamed("n_regionkey", "key"), _table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "key")
+    return checks.lookup(n, r, "key", "nations without a region").select("n_nationkey", "n_name", "r_name")
 
 
 @query
@@ -341,7 +356,7 @@ def method_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _table(spark, sf_dir, "lineitem")
     key = ["l_orderkey", "l_linenumber"]
     truth, one, two = li.select(*key, "l_returnflag"), li.select(*key, "l_linestatus"), li.select(*key, (F.col("l_quantity") > 25).alias("many"))
-    return truth.join(one, key).join(two, key).groupBy("l_returnflag", "l_linestatus", "many").agg(F.count("*").alias("n"))
+    return dataset.join_outputs(dataset.join_outputs(truth, one, key), two, key).groupBy("l_returnflag", "l_linestatus", "many").agg(F.count("*").alias("n"))
 
 
 # ---- matrices
@@ -364,7 +379,7 @@ def affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def submatrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = _points(spark, sf_dir).filter("sequence_id % 5 = 0").select("family", "sequence_id")
+    members = _points(spark, sf_dir).filter(F.col("vec")[0] > 0).select("family", "sequence_id")
     return _round(matrix.submatrix(matrix.distance_to_affinity(_distances(spark, sf_dir), checked=False), members), "affinity")
 
 
@@ -483,7 +498,7 @@ def best_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def reassign_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, hits = _hits(spark, sf_dir)
-    found = sequences.best_hits(hits, ["family"]).filter("sequence_id % 10 <> 0")
+    found = sequences.best_hits(hits, ["family"])
     return _round(sequences.reassignment_accuracy(members, found, ["family"]), "reassignment_accuracy")
 
 
@@ -492,14 +507,14 @@ def reassign_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def global_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = sequences.cluster_pairs(_benchmark(spark, sf_dir), ["family"], "seq")
-    return pairs.select("c1", "c2", sequences.global_identity("seq_1", "seq_2").alias("identity"))
+    pairs = sequences.cluster_pairs(_benchmark(spark, sf_dir), ["family"], "raw").repartition("c1", "c2")
+    return pairs.select("c1", "c2", sequences.global_identity("raw_1", "raw_2").alias("identity"))
 
 
 @query
 def local_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = sequences.cluster_pairs(_benchmark(spark, sf_dir), ["family"], "seq")
-    return pairs.select("c1", "c2", sequences.local_score("seq_1", "seq_2").alias("score"))
+    pairs = sequences.cluster_pairs(_benchmark(spark, sf_dir), ["family"], "raw").repartition("c1", "c2")
+    return pairs.select("c1", "c2", sequences.local_score("raw_1", "raw_2").alias("score"))
 
 
 @query
@@ -521,7 +536,7 @@ def one_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hierarchy_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Benchmark texts as alignments of four families, their disagreement as distances."""
-    b = matrix.number_members(_benchmark(spark, sf_dir).withColumnRenamed("cluster", "sequence_id").withColumn("family", F.col("family").cast("string")).withColumn("sequence_id", F.col("sequence_id").cast("string")))
+    b = matrix.number_members(_benchmark(spark, sf_dir).drop("raw").withColumnRenamed("cluster", "sequence_id").withColumn("family", F.col("family").cast("string")).withColumn("sequence_id", F.col("sequence_id").cast("string")))
     one, two = b.select("family", F.col("ord").alias("i"), F.col("sequence_id").alias("src"), F.col("seq").alias("x")), b.select("family", F.col("ord").alias("j"), F.col("sequence_id").alias("dst"), F.col("seq").alias("y"))
     differ: Column = F.size(F.filter(F.zip_with(F.split("x", ""), F.split("y", ""), lambda p, q: p != q), lambda t: t)) / F.length("x")
     edges = one.join(two, "family").select("family", "i", "j", "src", "dst", differ.alias("distance"))
@@ -531,48 +546,159 @@ def _hierarchy_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 @query
 def recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, msa = _hierarchy_inputs(spark, sf_dir)
-    return recursion.run_recursive_clustering(a, msa, config=recursion.RecursiveConfig(minimum_cluster_size=3, reassignment_accuracy_lower=0.5))["diagnostics"]
+    return recursion.run_recursive_clustering(a, msa, config=recursion.RecursiveConfig(minimum_cluster_size=3, reassignment_accuracy_threshold=0.5))["diagnostics"]
 
 
 @query
 def fixed_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, msa = _hierarchy_inputs(spark, sf_dir)
-    return recursion.run_fixed_binary_recursive(a, msa, config=recursion.FixedBinaryConfig(minimum_cluster_size=3, reassignment_accuracy_lower=0.5))["diagnostics"]
+    return recursion.run_fixed_binary_recursive(a, msa, config=recursion.FixedBinaryConfig(minimum_cluster_size=3, reassignment_accuracy_threshold=0.5))["diagnostics"]
 
 
-def _written(spark: SparkSession, rows: DataFrame) -> str:
-    """rows' text (family, value), a file for each family, in the shared folder."""
+# ---- files
+
+
+def _folder(spark: SparkSession) -> str:
     import uuid
 
-    settled(spark.range(1))  # makes sure that there is one
-    path = f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+def _written(spark: SparkSession, rows: DataFrame) -> str:
+    """rows' text (family, value), a file for each family, in the shared folder."""
+    path = _folder(spark)
     rows.repartition("family").write.partitionBy("family").text(path)
     return path
 
 
+def _csv(spark: SparkSession, rows: DataFrame, *order: str) -> str:
+    """rows as CSV with a header and quotes where they are due, a file for each family, in the shared folder."""
+    path = _folder(spark)
+    rows.repartition("family").sortWithinPartitions("family", *order).write.partitionBy("family").options(header=True, escape='"').csv(path)
+    return path
+
+
+def _lines(rows: DataFrame, order: str, line: Column, head: Column | None = None) -> DataFrame:
+    """(value, family): the lines of each family in order, after its head."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda e: e["l"]), "\n")
+    return rows.groupBy("family").agg((body if head is None else F.concat_ws("\n", head, body)).alias("value")).select("value", "family")
+
+
+def _edge_rows(d: DataFrame, separator: str) -> DataFrame:
+    """(family, i, src, cells): each matrix row's values as text."""
+    cells = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "distance"))), lambda e: e["distance"].cast("string")), separator)
+    return d.groupBy("family", "i", "src").agg(cells.alias("cells"))
+
+
 @query
 def scan_mldist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillon.sources.readers import scan_mldist as scan
+    rows = _edge_rows(_distances(spark, sf_dir), " ")
+    path = _written(spark, _lines(rows, "i", F.concat(F.lit("s"), F.col("src").cast("string"), F.lit(" "), F.col("cells")), F.count("*").cast("string")))
+    return _round(readers.scan_mldist(spark, path).drop("distance_text"), "distance")
 
-    d = _distances(spark, sf_dir)
-    line = F.concat_ws(" ", F.concat(F.lit("s"), F.col("src").cast("string")), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "distance"))), lambda e: e["distance"].cast("string")), " "))
-    rows = d.groupBy("family", "i", "src").agg(line.alias("line"))
-    body = F.concat_ws("\n", F.count("*").cast("string"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda e: e["line"]), "\n"))
-    path = _written(spark, rows.filter("family is not null").groupBy("family").agg(body.alias("value")).select("value", "family"))
-    return scan(spark, f"{path}/family=*")
+
+@query
+def matrix_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _edge_rows(_distances(spark, sf_dir), ",")
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "src"))), lambda e: F.concat(F.lit('"s,'), e["src"].cast("string"), F.lit('"'))), ",")
+    line = F.concat(F.lit('"s,'), F.col("src").cast("string"), F.lit('",'), F.col("cells"))
+    return _round(readers.read_matrix_csv(spark, _written(spark, _lines(rows, "i", line, F.concat(F.lit(","), names)))), "distance")
+
+
+@query
+def matrix_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _points(spark, sf_dir)
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "sequence_id"))), lambda e: e["sequence_id"].cast("string")), ",")
+    return readers.read_matrix_ids(spark, _written(spark, points.groupBy("family").agg(F.concat(F.lit(","), names, F.lit("\nx,0")).alias("value")).select("value", "family")))
 
 
 @query
 def scan_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillon.sources.readers import scan_fasta as scan
+    record = F.concat(F.lit(">s"), F.col("cluster").cast("string"), F.lit(" item\n"), F.regexp_replace("raw", "(.{60})", "$1\n"))
+    return readers.scan_fasta(spark, _written(spark, _lines(_benchmark(spark, sf_dir), "cluster", record)))
 
-    b = _benchmark(spark, sf_dir)
-    record = F.concat(F.lit(">s"), F.col("cluster").cast("string"), F.lit(" item\n"), F.substring("seq", 1, 25), F.lit("\n"), F.substring("seq", 26, 15))
-    rows = b.select("family", "cluster", record.alias("r")).groupBy("family").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cluster", "r"))), lambda e: e["r"]), "\n").alias("value"))
-    return scan(spark, f"{_written(spark, rows.select('value', 'family'))}/family=*")
+
+@query
+def scan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by nation through label files with further columns, in which addresses hold commas and line breaks."""
+    c = _table(spark, sf_dir, "customer")
+    more = [F.concat(F.lit('a "b",\n'), F.col("c_name")).alias("note"), *[F.lit(n).alias(f"x{n}") for n in range(12)]]
+    files = c.select(F.col("c_nationkey").alias("family"), *more, F.col("c_custkey").alias("sequence_id"), F.concat("c_mktsegment", F.lit(", known")).alias("known_subfamily"))
+    return readers.read_labels(spark, f"{_csv(spark, files, 'sequence_id')}").select("family", "ord", "sequence_id", "known_subfamily")
+
+
+@query
+def result_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "customer")
+    files = c.select(F.col("c_nationkey").alias("family"), F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("subfamily"), *[(F.col("c_custkey") % n).alias(f"{n}0") for n in range(2, 15)], F.when(F.col("c_acctbal") < 0, "NA").otherwise("1").alias("sure"))
+    return readers.read_result_table(spark, _csv(spark, files, "id"), ["subfamily", "140", "sure"])
+
+
+@query
+def candidate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _scores(spark, sf_dir)
+    files = s.select(F.regexp_extract("family", "([0-9]+)", 1).alias("family"), F.col("k").cast("double").alias("k"), F.col("adjusted_rand_index").alias("ARI score"), F.col("silhouette_score").alias("silhouettes"))
+    return readers.read_candidate_scores(spark, _csv(spark, files, "k"))
+
+
+@query
+def family_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, path = _table(spark, sf_dir, "nation"), _folder(spark)
+    n.select((F.col("n_nationkey") + 0.0).alias("family_ID"), F.col("n_name").alias("order"), F.when(F.col("n_regionkey") == 1, "TE").alias("TE")).write.option("header", True).csv(path)
+    return readers.read_family_metadata(spark, path)
+
+
+@query
+def hit_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, path = _table(spark, sf_dir, "lineitem"), _folder(spark)
+    cells = F.concat_ws("\t", F.concat(F.lit("q"), "l_orderkey"), F.concat_ws("|", F.lit("db"), "l_linenumber"), F.lit("90.5"), *[F.lit(str(n)) for n in range(7)], F.col("l_quantity").cast("int").cast("string"))
+    li.select(F.explode(F.array(F.lit("# note"), cells)).alias("value")).write.text(path)
+    hits = readers.read_hits(spark, path)
+    return hits.groupBy("Query", text.subject_cluster("Subject").alias("cluster")).agg(F.sum("Score").alias("score"), F.sum("SubjectEnd").alias("ends"))
+
+
+@query
+def family_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the files named after regions, by key and by name, are families by their names."""
+    path, r = _folder(spark), _table(spark, sf_dir, "region")
+    for r in r.select(F.col("r_regionkey").cast("string")).union(r.select("r_name")).collect():  # ten small files
+        writers.write_dataframe(spark.createDataFrame([(1,)], "x int"), f"{path}/{r[0]}.csv", single=True)
+    return readers.numeric_csv_families(spark, path)
 
 
 @query
 def metrics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = evaluate_clustering(spark, sf_dir)
-    return e.select("family", F.to_json(F.struct("n_sequences", "predicted_clusters", "known_subfamilies")).alias("metrics"))
+    """One row of metrics, written as a JSON file and read back."""
+    path = f"{_folder(spark)}/metrics.json"
+    rows = _table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus")
+    counts = evaluation.cluster_counts(rows.withColumn("f", F.lit(1)), "l_returnflag", "l_linestatus", ["f"]).drop("f")
+    score = _round(evaluation.adjusted_rand(rows, "l_returnflag", "l_linestatus", []), "adjusted_rand_index")
+    row = settled(score.crossJoin(counts))  # one row each
+    writers.write_json(row, path)
+    return spark.read.schema(row.schema).json(path, multiLine=True)
+
+
+@query
+def written_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as one CSV file with its index first, and read back."""
+    path = f"{_folder(spark)}/sizes.csv"
+    writers.write_dataframe(_table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.min("p_type").alias("kind")).select("n", "kind", "p_brand"), path, single=True, index="p_brand")
+    return spark.read.option("header", True).csv(path, schema="p_brand string, n long, kind string")
+
+
+@query
+def published_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances published under neutral names, the text of each value as it was."""
+    one = _distances(spark, sf_dir).filter("family = 0").select("i", "j", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("distance").cast("string").alias("distance_text"))
+    ids = one.filter("i = j").select(F.col("i").alias("ord"), F.col("src").alias("sequence_id"))
+    path = _folder(spark)
+    writers.write_mldist(one, path, writers.public_names(ids, "0"))
+    return _round(readers.scan_mldist(spark, path, "0").select("i", "j", "src", "dst", "distance"), "distance")
+
+
+@query
+def fasta_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole passages written as FASTA and read back, checked as an alignment."""
+    b, path = _benchmark(spark, sf_dir).filter("family = 1"), _folder(spark)
+    writers.write_fasta(b.select(F.col("cluster").alias("ord"), F.col("cluster").cast("string").alias("sequence_id"), "seq"), path)
+    return readers.read_alignment(spark, path, "1")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators.checks import fail_on, reconcile, validate_family_sets
+from quillon.operators.checks import fail_on, lookup, reconcile, validate_family_sets
 from quillon.operators.evaluation import adjusted_rand, candidate_choice, dbscan_scores, method_summary, noise_report
 from quillon.session import settled
 from quillon.sources import readers
@@ -40,6 +40,11 @@ def check_outputs(truth: DataFrame, outputs: DataFrame, name: str, label: str, s
         fail_on(truth.join(outputs, KEYS).filter(~F.col("known_subfamily").eqNullSafe(F.col(saved))).select(*KEYS), f"{name} known labels differ")
 
 
+def join_outputs(truth: DataFrame, outputs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """truth with a method's outputs, by one key, so that several such joins share its partitioning."""
+    return truth.join(outputs, keys or KEYS)
+
+
 def _scores(rows: DataFrame, prefix: str, variants: list[str]) -> DataFrame:
     """ARI and cluster count of each family and variant from long rows (family, known_subfamily, variant, label), wide."""
     long = adjusted_rand(rows, "known_subfamily", "label", ["family", "variant"]).join(rows.groupBy("family", "variant").agg(F.count_distinct("label").alias("clusters")), ["family", "variant"])
@@ -59,9 +64,8 @@ def family_comparison(truth: DataFrame, metadata: DataFrame, sequence: DataFrame
     truth: (family, sequence_id, known_subfamily); label tables have (family, sequence_id, ...); umap and spectral are
     candidate scores by k. Truth is joined to each label table by one key, so the joins share their partitioning.
     """
-    fail_on(truth.select("family").distinct().join(metadata, "family", "left_anti"), "family metadata lacks families")
-    base = truth.groupBy("family").agg(F.count("*").alias("n_sequences"), F.count_distinct("known_subfamily").alias("known_cluster_number")).join(metadata, "family")
-    labelled = lambda t: truth.join(t, KEYS)
+    base = lookup(truth.groupBy("family").agg(F.count("*").alias("n_sequences"), F.count_distinct("known_subfamily").alias("known_cluster_number")), metadata, "family", "family metadata lacks families")
+    labelled = lambda t: join_outputs(truth, t)
     db = labelled(dbscan).withColumn("cluster_number", F.col("cluster_number").cast("double").cast("int")).select("family", "sequence_id", "known_subfamily", "cluster_number")
     noise = noise_report(db, "cluster_number", ["family"]).select("family", F.col("noise_count").alias("dbscan_noise_count"), F.col("noise_rate").alias("dbscan_noise_rate"), F.col("predicted_clusters_excluding_noise").alias("dbscan_clusters"))
     policies = dbscan_scores(db, "known_subfamily", "cluster_number", ["family"], "sequence_id")
@@ -74,8 +78,11 @@ def family_comparison(truth: DataFrame, metadata: DataFrame, sequence: DataFrame
     return reduce(lambda x, y: x.join(y, "family"), parts)
 
 
-def evaluate_dataset(spark: SparkSession, paths: dict[str, str], out: str | None = None, expected_families: int | None = None) -> dict[str, DataFrame]:
-    """Reads the ten inputs (folders by method, annotation, matrix, family_metadata file), checks and evaluates them."""
+def evaluate_dataset(spark: SparkSession, paths: dict[str, str], out: str | None = None, expected_families: int | None = None, family_output: str | None = None, method_output: str | None = None) -> dict[str, DataFrame]:
+    """Reads the ten inputs (folders by method, annotation, matrix, family_metadata file), checks and evaluates them.
+
+    The two tables go to the files family_output and method_output, or by their own names to the folder out.
+    """
     glob = lambda name: f"{paths[name]}/*.csv"
     families = readers.numeric_csv_families(spark, paths["matrix"])
     names = ["sequence", "tree", "dbscan", "umap", "spectral", "recursive_k2", "recursive_silhouette", "annotation"]
@@ -94,7 +101,10 @@ def evaluate_dataset(spark: SparkSession, paths: dict[str, str], out: str | None
     if comparison.count() != families.count():
         raise ValueError("the number of families changed during evaluation")
     summary = method_summary(comparison, METHODS)
-    if out:
-        write_dataframe(comparison.orderBy(F.col("family").cast("int")), f"{out}/family_comparison.csv", single=True)
-        write_dataframe(summary, f"{out}/method_summary.csv", single=True)
+    family_output, method_output = family_output or out and f"{out}/family_comparison.csv", method_output or out and f"{out}/method_summary.csv"
+    if family_output:
+        numbered = comparison.withColumn("family", F.col("family").cast("int"))
+        write_dataframe(numbered, family_output, single=True)
+    if method_output:
+        write_dataframe(summary, method_output, single=True)
     return {"comparison": comparison, "summary": summary}

@@ -1,41 +1,84 @@
-"""Readers. Files of many families are read in one job; the family is the file's stem unless given."""
+"""Readers. Files of many families are read in one job.
+
+The family is the one given, else the `family` that the folder names (family=x/...), else the file's stem.
+Matrices, distances and alignments are read by line or record, whatever a file's size; tables of labels and results, a
+row for each member, are parsed a file at a time.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import csv
+import io
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon import schema
 from quillon.functions.text import canonical_id, truthy
 from quillon.operators.checks import fail_on, validate_alignment, validate_labels, validate_square_matrix
+from quillon.session import settled
+
+
+def _stem(path: str = "_metadata.file_name") -> Column:
+    return F.regexp_extract(F.col(path), r"([^/]*?)(\.[^./]*)?$", 1)
 
 
-def _stem() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+def _family(rows: DataFrame, given: str | None, path: str = "_metadata.file_name") -> Column:
+    return F.lit(given) if given is not None else F.col("family").cast("string") if "family" in rows.columns else _stem(path)
 
 
-def _family(given: str | None) -> Column:
-    return F.lit(given) if given is not None else _stem()
+def _records(spark: SparkSession, path: str | list[str], family: str | None, mark: str = "") -> DataFrame:
+    """(family, n, value): the records of each file that hold more than white space, numbered from 0 by their place.
 
+    Records are lines, or with a mark what follows each line start that has it; what stands before the first is none.
+    Files are split like any text. The records of a split are counted, and one row for each split reaches a window.
+    """
+    raw = spark.read.text(path, lineSep=f"\n{mark}")
+    found = raw.select(_family(raw, family).alias("family"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    if mark:  # a file's first record has its mark still, if it is one
+        first = found.filter("block = 0").groupBy("file").agg(F.min("at").alias("start"))
+        own = F.when(F.col("value").startswith(mark), F.substring("value", 1 + len(mark), 2**31 - 1))
+        found = found.join(first, "file", "left").withColumn("value", F.when((F.col("block") == 0) & (F.col("at") == F.col("start")), own).otherwise(F.col("value"))).drop("start")
+    kept = settled(found.filter(F.col("value").rlike(r"\S")))
+    # within a split, places rise by one for each line; only where blank ones lie between do all need ranking
+    splits = kept.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("count"), F.max("at").alias("last"))
+    if splits.filter("last - first + 1 <> count").isEmpty():
+        before = F.coalesce(F.sum("count").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = splits.select("file", "block", "first", before.alias("before"))
+        return kept.join(starts, ["file", "block"]).select("family", (F.col("at") - F.col("first") + F.col("before")).cast("int").alias("n"), "value")
+    ranks = kept.select("file", "block", "at").withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("block", "at")) - 1)
+    return kept.join(ranks, ["file", "block", "at"]).select("family", "n", "value")
 
-def _whole(spark: SparkSession, path: str | list[str], family: str | None) -> DataFrame:
-    """(family, lines): the lines of each file that hold more than white space."""
-    lines = F.filter(F.split("value", r"\r\n|\n|\r"), lambda x: F.trim(x) != "")
-    return spark.read.text(path, wholetext=True).select(_family(family).alias("family"), lines.alias("lines"))
+
+def _broken(rows: DataFrame, rules: list[tuple[Column, Column, str]]) -> None:
+    """Raises for the first of the rules (broken, what to show, message) that any row breaks; all are looked at in one pass."""
+    found = rows.agg(*[F.min(F.when(broken, shown.cast("string"))).alias(f"r{n}") for n, (broken, shown, _) in enumerate(rules)]).first()
+    for value, (_, _, message) in zip(found, rules, strict=True):
+        if value is not None:
+            raise ValueError(f"{message}: {value}")
 
 
 def scan_mldist(spark: SparkSession, path: str | list[str], family: str | None = None) -> DataFrame:
     """Edges of phylogenetic distance files: a count, then a row of id and distances for each sequence."""
-    files = _whole(spark, path, family)
-    fail_on(files.filter((F.size("lines") == 0) | F.element_at("lines", 1).try_cast("int").isNull()).select("family"), "mldist header is not a whole number")
-    counted = files.select("family", F.trim(F.col("lines")[0]).cast("int").alias("n"), F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))).alias("lines"))
-    fail_on(counted.filter("size(lines) <> n").select("family", "n", F.size("lines")), "mldist row count differs from its header")
-    rows = counted.select("family", "n", F.posexplode("lines").alias("i", "line")).select("family", "n", "i", F.split(F.trim("line"), r"\s+").alias("cells"))
-    fail_on(rows.filter("size(cells) <> n + 1").select("family", "i", F.size("cells") - 1), "mldist row has another number of distances")
-    ids = rows.select("family", F.col("i").alias("j"), F.col("cells")[0].alias("dst"))
-    cells = rows.select("family", "i", F.col("cells")[0].alias("src"), F.posexplode(F.slice("cells", 2, F.col("n"))).alias("j", "text"))
-    fail_on(cells.filter(F.col("text").try_cast("double").isNull()).select("family", "src", "text"), "mldist distance is not a number")
-    return cells.join(ids, ["family", "j"]).select("family", "i", "j", "src", "dst", F.col("text").cast("double").alias("distance"), F.col("text").alias("distance_text"))
+    lines = _records(spark, path, family)
+    heads = lines.filter("n = 0").select("family", F.trim("value").try_cast("int").alias("size"))
+    body = lines.filter("n > 0").select("family", (F.col("n") - 1).alias("i"), F.split(F.trim("value"), r"\s+").alias("cells"))
+    shapes = body.groupBy("family").agg(F.count("*").alias("rows"), F.min(F.size("cells") - 1).alias("least"), F.max(F.size("cells") - 1).alias("most"))
+    if heads.isEmpty():
+        raise ValueError("mldist header is not a whole number: no file holds a line")
+    name, size = F.col("family"), F.col("size")
+    _broken(heads.join(shapes, "family", "left"), [
+        (size.isNull(), name, "mldist header is not a whole number"),
+        (F.coalesce("rows", F.lit(0)) != size, name, "mldist row count differs from its header"),
+        ((F.col("least") != size) | (F.col("most") != size), name, "mldist row has another number of distances"),
+    ])
+    ids = body.select("family", F.col("i").alias("j"), F.col("cells")[0].alias("dst"))
+    cells = body.select("family", "i", F.col("cells")[0].alias("src"), F.posexplode(F.slice("cells", F.lit(2), F.size("cells") - 1)).alias("j", "distance_text"))
+    edges = settled(cells.join(ids, ["family", "j"]).select("family", "i", "j", "src", "dst", F.col("distance_text").try_cast("double").alias("distance"), "distance_text"))
+    _broken(edges, [(F.col("distance").isNull(), F.concat_ws(" ", "family", "src", "distance_text"), "mldist distance is not a number")])
+    return edges
 
 
 def read_mldist(spark: SparkSession, path: str | list[str], family: str | None = None) -> DataFrame:
@@ -43,21 +86,36 @@ def read_mldist(spark: SparkSession, path: str | list[str], family: str | None =
     return validate_square_matrix(scan_mldist(spark, path, family).drop("distance_text"), name="distance matrix", nonnegative=True)
 
 
-def read_matrix_csv(spark: SparkSession, path: str, family: str | None = None) -> DataFrame:
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _quoted_cells(line: pd.Series) -> pd.Series:
+    return pd.Series([next(csv.reader([x]), []) for x in line])
+
+
+def _cells(lines: DataFrame) -> DataFrame:
+    """lines with `cells` in place of value: plain splitting, or a parser for lines that hold a quote."""
+    quoted = F.col("value").contains('"')
+    plain = lines.filter(~quoted).select("family", "n", F.split("value", ",", -1).alias("cells"))
+    return plain.union(lines.filter(quoted).select("family", "n", _quoted_cells("value").alias("cells")))
+
+
+def read_matrix_csv(spark: SparkSession, path: str | list[str], family: str | None = None) -> DataFrame:
     """Edges of a labelled square CSV, which must be symmetric but may be negative."""
-    files = _whole(spark, path, family)
-    rows = files.select("family", F.posexplode("lines").alias("n", "line")).select("family", "n", F.split("line", ",", -1).alias("cells"))
-    heads = rows.filter("n = 0").select("family", F.posexplode(F.expr("slice(cells, 2, greatest(size(cells) - 1, 0))")).alias("j", "dst"))
-    body = rows.filter("n > 0").select("family", (F.col("n") - 1).alias("i"), F.trim(F.col("cells")[0]).alias("src"), F.posexplode(F.expr("slice(cells, 2, greatest(size(cells) - 1, 0))")).alias("j", "text"))
-    fail_on(body.filter(F.col("text").try_cast("double").isNull()).select("family", "src", "text"), "matrix value is not a number")
-    edges = body.join(heads, ["family", "j"], "left").select("family", "i", "j", "src", F.trim("dst").alias("dst"), F.col("text").cast("double").alias("distance"))
-    return validate_square_matrix(edges, name="matrix")
+    rows = _cells(_records(spark, path, family))
+    after = F.expr("slice(cells, 2, greatest(size(cells) - 1, 0))")
+    heads = rows.filter("n = 0").select("family", F.posexplode(after).alias("j", "dst"))
+    body = rows.filter("n > 0").select("family", (F.col("n") - 1).alias("i"), F.trim(F.col("cells")[0]).alias("src"), F.posexplode(after).alias("j", "text"))
+    edges = settled(body.join(heads, ["family", "j"], "left").select("family", "i", "j", "src", F.trim("dst").alias("dst"), F.col("text").try_cast("double").alias("distance"), "text"))
+    _broken(edges, [(F.col("distance").isNull() & ~F.lower(F.trim("text")).isin("nan"), F.concat_ws(" ", "family", "src", "text"), "matrix value is not a number")])
+    return validate_square_matrix(edges.drop("text"), name="matrix")
 
 
 def read_matrix_ids(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(family, ord, sequence_id) from the first lines of matrix CSVs alone; ids unique and not empty."""
-    first = F.element_at(F.split("value", r"\r\n|\n|\r", 2), 1)
-    heads = spark.read.text(path, wholetext=True).select(_stem().alias("family"), F.split(first, ",", -1).alias("cells"))
+    raw = spark.read.text(path)
+    lines = raw.select(_family(raw, None).alias("family"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    # one line of each file leaves its task
+    first = lines.filter("block = 0").groupBy("family").agg(F.min_by("value", "at").alias("value"))
+    heads = settled(_cells(first.select("family", F.lit(0).alias("n"), F.regexp_replace("value", r"\r$", "").alias("value"))))
     ids = heads.select("family", F.posexplode(F.expr("slice(cells, 2, greatest(size(cells) - 1, 0))")).alias("ord", "sequence_id"))
     fail_on(heads.filter("size(cells) < 2").select("family"), "matrix header holds no sequence IDs")
     fail_on(ids.groupBy("family", "sequence_id").count().filter("count > 1 or trim(sequence_id) = ''").select("family", "sequence_id"), "matrix header IDs are empty or repeated")
@@ -68,36 +126,50 @@ def _null_tokens(c: Column) -> Column:
     return F.when(~c.isin(schema.NULL_TOKENS), c)
 
 
-def _ordered_csv(spark: SparkSession, path: str | list[str], family: str | None, sep: str = ",") -> DataFrame:
-    """(family, ord, row): rows of small CSV files as maps, in file order."""
-    files = _whole(spark, path, family).select("family", F.transform("lines", lambda x: F.from_csv(x, "c0 string, c1 string, c2 string, c3 string, c4 string, c5 string, c6 string, c7 string, c8 string, c9 string, c10 string, c11 string", {"sep": sep})).alias("rows"))
-    names = [f"c{n}" for n in range(12)]
-    cells = files.select("family", F.posexplode("rows").alias("n", "r")).select("family", "n", F.array(*[F.col(f"r.{c}") for c in names]).alias("cells"))
-    # only the first column may lack a name
-    named = F.transform("cells", lambda x, i: F.when(i == 0, F.coalesce(x, F.lit(""))).otherwise(x))
-    heads = cells.filter("n = 0").select("family", named.alias("head"))
-    row = F.map_from_entries(F.filter(F.zip_with("head", "cells", lambda k, v: F.struct(k.alias("k"), v.alias("v"))), lambda e: e["k"].isNotNull()))
-    return cells.filter("n > 0").join(heads, "family").select("family", (F.col("n") - 1).alias("ord"), F.col("head"), row.alias("row"))
+def _tables(spark: SparkSession, path: str | list[str], family: str | None, sep: str = ",") -> DataFrame:
+    """(family, ord, head, row): rows of CSV files as maps, in file order; quotes may hold separators and line breaks."""
+    raw = spark.read.format("binaryFile").load(path)
+    files = raw.select(_family(raw, family, "path").alias("family"), "content")
+
+    def parse(frames):
+        for frame in frames:
+            for name, content in zip(frame["family"], frame["content"], strict=True):
+                rows = csv.reader(io.StringIO(bytes(content).decode("utf-8-sig"), newline=""), delimiter=sep)
+                rows = (r for r in rows if any(c.strip() for c in r))
+                head, out = next(rows, []), []
+                for n, r in enumerate(rows):
+                    out.append((name, n, head, dict(zip(head, r, strict=False))))
+                    if len(out) == 10_000:
+                        yield pd.DataFrame(out, columns=["family", "ord", "head", "row"])
+                        out = []
+                # a file without rows still shows its head
+                yield pd.DataFrame(out or [(name, -1, head, {})], columns=["family", "ord", "head", "row"])
+
+    return files.mapInPandas(parse, "family string, ord int, head array<string>, row map<string,string>")
 
 
 def _has(column: str) -> Column:
-    return F.coalesce(F.array_contains("head", column), F.lit(False))
+    return F.array_contains("head", column)
+
+
+def _rows(tables: DataFrame, needed: list[str], message: str) -> DataFrame:
+    """Stored tables' rows, if all files have the needed columns."""
+    tables = settled(tables)
+    _broken(tables, [(~_has(c), F.col("family"), f"{message} {c}") for c in needed] if needed else [(F.lit(False), F.col("family"), message)])
+    return tables.filter("ord >= 0")
 
 
 def read_labels(spark: SparkSession, path: str | list[str], family: str | None = None) -> DataFrame:
     """(family, ord, sequence_id, known_subfamily), all text; what pandas reads as missing is missing here."""
-    rows = _ordered_csv(spark, path, family)
-    lost = rows.filter(~_has("sequence_id") | ~_has("known_subfamily")).select("family")
-    fail_on(lost, "label table lacks sequence_id or known_subfamily")
+    rows = _rows(_tables(spark, path, family), ["sequence_id", "known_subfamily"], "label table lacks sequence_id or known_subfamily:")
     return validate_labels(rows.select("family", "ord", *[_null_tokens(F.coalesce(F.col("row")[c], F.lit(""))).alias(c) for c in ("sequence_id", "known_subfamily")]))
 
 
 def scan_fasta(spark: SparkSession, path: str | list[str], family: str | None = None) -> DataFrame:
     """(family, ord, sequence_id, seq): the first word of each header, the lines under it joined."""
-    records = F.split(F.regexp_replace("value", r"\r\n?", "\n"), r"(?m)^>")
-    files = spark.read.text(path, wholetext=True).select(_family(family).alias("family"), F.posexplode(records).alias("n", "record")).filter("n > 0")
-    head, body = F.element_at(F.split("record", "\n", 2), 1), F.try_element_at(F.split("record", "\n", 2), F.lit(2))
-    return files.select("family", (F.col("n") - 1).alias("ord"), F.element_at(F.split(F.trim(head), r"\s+"), 1).alias("sequence_id"), F.regexp_replace(F.coalesce(body, F.lit("")), r"\s", "").alias("seq"))
+    records = _records(spark, path, family, ">").withColumn("value", F.regexp_replace("value", r"\r\n?", "\n"))
+    head, body = F.element_at(F.split("value", "\n", 2), 1), F.try_element_at(F.split("value", "\n", 2), F.lit(2))
+    return records.select("family", F.col("n").alias("ord"), F.element_at(F.split(F.trim(head), r"\s+"), 1).alias("sequence_id"), F.regexp_replace(F.coalesce(body, F.lit("")), r"\s", "").alias("seq"))
 
 
 def read_alignment(spark: SparkSession, path: str | list[str], family: str | None = None) -> DataFrame:
@@ -107,7 +179,7 @@ def read_alignment(spark: SparkSession, path: str | list[str], family: str | Non
 
 def numeric_csv_families(spark: SparkSession, directory: str) -> DataFrame:
     """(family): the stems of a directory's CSV files that are all digits. No file is read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(directory).select(F.regexp_extract("path", r"([^/]*)\.csv$", 1).alias("family"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(directory).select(_stem("path").alias("family"))
     return files.filter(F.col("family").rlike("^[0-9]+$")).distinct()
 
 
@@ -119,16 +191,14 @@ def annotation_used(annotation: DataFrame) -> DataFrame:
 def read_annotation(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(family, sequence_id, known_subfamily) of the rows in use; ids unique within a family."""
     rows = spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False)
-    used = rows.filter(truthy("used")).select(_stem().alias("family"), canonical_id("name").alias("sequence_id"), F.col("subfamily").alias("known_subfamily"))
+    used = rows.filter(truthy("used")).select(_family(rows, None).alias("family"), canonical_id("name").alias("sequence_id"), F.col("subfamily").alias("known_subfamily"))
     fail_on(used.groupBy("family", "sequence_id").count().filter("count > 1").select("family", "sequence_id"), "annotation repeats IDs in use")
     return used
 
 
 def read_result_table(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
     """(family, sequence_id, columns as text): per-family result CSVs whose first column is the id."""
-    rows = _ordered_csv(spark, path, None)
-    for c in columns:
-        fail_on(rows.filter(~_has(c)).select("family").distinct(), f"result table lacks {c}")
+    rows = _rows(_tables(spark, path, None), columns, "result table lacks")
     return rows.select("family", F.col("row")[F.element_at("head", 1)].alias("sequence_id"), *[_null_tokens(F.col("row")[c]).alias(c) for c in columns])
 
 

@@ -1,31 +1,64 @@
-"""Writers. Tables are written by the executors as folders; small reports as one file where asked."""
+"""Writers. Tables are written by the executors as folders, or as one file of the given name where asked."""
 
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def write_dataframe(df: DataFrame, path: str, format: str = "csv", single: bool = False) -> None:
-    """A folder of files, made with its parents and written over. single: one file, for small results."""
-    out = (df.coalesce(1) if single else df).write.mode("overwrite")
-    out.option("header", True).csv(path) if format == "csv" else out.format(format).save(path)
-
-
-def write_json(row: DataFrame | dict, path: str) -> None:
-    """One row as JSON: two spaces, characters as they are, a newline at the end. Written by Spark, so any path will do."""
+def _one_file(df: DataFrame, path: str, write) -> None:
+    """What write makes of df, a folder of one part, moved to the file of this name in whatever store it lies."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    write(df.coalesce(1).write, folder.toString())
+    store = target.getFileSystem(conf)
+    (part,) = [f.getPath() for f in store.listStatus(folder) if f.getPath().getName().startswith("part-")]
+    store.delete(target, True)
+    if not store.rename(part, target):
+        raise OSError(f"cannot write {path}")
+    store.delete(folder, True)
+
+
+def write_dataframe(df: DataFrame, path: str, format: str = "csv", single: bool = False, index: str | None = None) -> None:
+    """A folder of files, made with its parents and written over; single: one CSV file, for small results.
+
+    index: the column that comes first, as a table's row names.
+    """
+    out = df if index is None else df.select(f"`{index}`", *[f"`{c}`" for c in df.columns if c != index])
+    if single:
+        if format != "csv":
+            raise ValueError("only CSV is written as one file")
+        ordered = [F.col(f"`{c}`") for c in ("family", "ord") if c in out.columns]
+        _one_file(out.orderBy(*ordered) if ordered else out, path, lambda w, p: w.option("header", True).csv(p))
+        return
+    writer = out.write.mode("overwrite")
+    writer.option("header", True).csv(path) if format == "csv" else writer.format(format).save(path)
+
+
+def write_matrix(edges: DataFrame, path: str, value: str) -> None:
+    """One family's edges as a square CSV with row and column names."""
+    quote = lambda c: F.when(c.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    cells = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", F.col(value).cast("string").alias("v")))), lambda e: e["v"]), ",")
+    rows = edges.groupBy("i", quote(F.col("src")).alias("src")).agg(cells.alias("cells")).select("i", F.concat_ws(",", "src", "cells").alias("value"))
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", quote(F.col("dst")).alias("v")))), lambda e: e["v"]), ",")
+    head = edges.filter("i = 0").agg(F.lit(-1).alias("i"), F.concat(F.lit(","), names).alias("value"))
+    _one_file(head.union(rows).orderBy("i").select("value"), path, lambda w, p: w.text(p))
+
+
+def write_json(row: DataFrame | dict, path: str, spark: SparkSession | None = None) -> None:
+    """One row as a JSON file: two spaces, characters as they are, a newline at the end. Written by Spark, so any path will do."""
     if isinstance(row, DataFrame):
         found = row.limit(1).collect()
-        values = found[0].asDict(recursive=True) if found else {}
-        spark = row.sparkSession
+        values, spark = found[0].asDict(recursive=True) if found else {}, row.sparkSession
     else:
-        from pyspark.sql import SparkSession
-
-        values, spark = row, SparkSession.getActiveSession()
+        values, spark = row, spark or SparkSession.getActiveSession()
     text = json.dumps(values, indent=2, ensure_ascii=False)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    _one_file(spark.createDataFrame([(text,)], "value string"), path, lambda w, p: w.text(p))
 
 
 def write_fasta(records: DataFrame, path: str) -> None:

@@ -1,6 +1,7 @@
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.operators import evaluation
 
@@ -63,3 +64,12 @@ def test_summary_skips_missing_but_weighted_mean_does_not(spark):
     assert (got["B"]["ARI_ge_0.9"], got["B"]["ARI_lt_0.5"]) == (1, 2)
     with pytest.raises(ValueError, match="missing columns"):
         evaluation.summarize_methods(rows, {"c": "C"}, subset="s")
+
+
+def test_unique_noise_needs_the_same_ids(spark):
+    p = spark.createDataFrame([("f", "a", 0), ("f", "b", -1), ("f", "c", 0)], "family string, sequence_id string, predicted_cluster int")
+    k = spark.createDataFrame([("f", "a", "x"), ("f", "b", "x"), ("f", "d", "y")], "family string, sequence_id string, known_subfamily string")
+    with pytest.raises(ValueError, match="differ"):
+        evaluation.evaluate_dbscan_with_unique_noise(p, k)
+    row = evaluation.evaluate_dbscan_with_unique_noise(p, k.withColumn("sequence_id", F.when(F.col("sequence_id") == "d", "c").otherwise(F.col("sequence_id")))).first()
+    assert (row["n_sequences"], row["noise_count"]) == (3, 1)

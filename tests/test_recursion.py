@@ -61,6 +61,46 @@ def test_nested_groups_are_split_in_two_levels(spark):
     assert counters[0] == ("root", 1)
 
 
+def test_second_candidate_is_accepted_after_the_first_fails(spark):
+    """Groups B1 and B2 are too near for k = 2 to be reassigned; k = 3 comes second and is."""
+    a, msa, known, truth = family(spark, (60, 30, 30), pr=0.25, pn=0.07)
+    got = recursion.run_recursive_clustering(a, msa, known)
+    root = {r["rank"]: r for r in got["diagnostics"].collect() if r["path"] == "root"}
+    assert (root[1]["tested_k"], root[1]["accepted"], root[1]["rejection_reason"]) == (2, False, "reassignment_accuracy_failed")
+    assert root[1]["reassignment_accuracy"] == pytest.approx(0.75, abs=0.05)
+    assert (root[2]["tested_k"], root[2]["accepted"], root[2]["rejection_reason"]) == (3, True, "")
+    assert sorted(int(p.split(":")[1]) for p in root[2]["child_sizes"].split(";")) == [30, 30, 60]
+    groups = {}
+    for r in got.membership.collect():
+        groups.setdefault(r["predicted_cluster"], set()).add(r["known_subfamily"])
+    assert len(groups) == 3 and all(len(g) == 1 for g in groups.values())
+
+
+def test_empty_consensus_fails_the_similarity_gate(spark):
+    """A cluster whose columns are mostly gaps has no consensus: that gate is false, the later ones null."""
+    a, msa, _, _ = family(spark, (12, 12, 0), length=80)
+    bare = msa.withColumn("seq", F.when(F.col("ord") < 12, F.repeat(F.lit("-"), F.length("seq"))).otherwise(F.col("seq")))
+    got = recursion.run_recursive_clustering(a, bare)
+    (row,) = [r for r in got["diagnostics"].collect() if r["tested_k"] == 2]
+    assert row["rejection_reason"].startswith("empty_consensus:[")
+    assert row["pass_minimum_size"] is True and row["pass_similarity_threshold"] is False
+    assert row["pass_layer_similarity"] is None and row["pass_reassignment"] is None and row["accepted"] is False
+
+
+def test_nodes_over_the_dense_size_split_as_smaller_ones(spark, monkeypatch):
+    from quillon.operators import clustering
+
+    a, msa, known, _ = family(spark, (20, 14, 0), length=200)
+    want = recursion.run_recursive_clustering(a, msa, known)
+    monkeypatch.setattr(clustering, "CYCLES", 2)
+    monkeypatch.setattr(clustering, "DENSE", 25)
+    monkeypatch.setattr(clustering, "SILHOUETTES", 9)
+    got = recursion.run_recursive_clustering(a, msa, known)
+    rows = lambda r: [(x["path"], x["tested_k"], x["accepted"], x["rejection_reason"], x["child_sizes"]) for x in r["diagnostics"].collect() if x["tested_k"] in (None, 2)]
+    assert rows(got) == rows(want)
+    assert sorted(map(tuple, got["membership"].collect())) == sorted(map(tuple, want["membership"].collect()))
+
+
 def test_depth_zero_stops_at_the_root(spark):
     a, msa, _, _ = family(spark, (12, 12, 0), length=80)
     got = recursion.run_recursive_clustering(a, msa, config=recursion.RecursiveConfig(max_depth=0))
@@ -72,7 +112,7 @@ def test_small_family_is_not_split_and_binary_stops(spark):
     a, msa, _, _ = family(spark, (8, 8, 0), length=60)
     got = recursion.run_recursive_clustering(a, msa)
     assert [r["rejection_reason"] for r in got["diagnostics"].collect()] == ["too_few_sequences_to_split"]
-    two = recursion.run_fixed_binary_recursive(a, msa, config=recursion.FixedBinaryConfig(maximum_counter=1))
+    two = recursion.run_fixed_binary_recursive(a, msa, config=recursion.FixedBinaryConfig(max_recursion_counter=1))
     assert [r["rejection_reason"] for r in two["diagnostics"].collect()] == ["maximum_recursion_counter_reached"]
 
 

@@ -44,6 +44,70 @@ def test_labels_read_na_as_missing(spark, tmp_path):
         readers.read_labels(spark, put(tmp_path / "m.csv", "sequence_id,other\na,b\n"))
 
 
+def test_tables_with_quotes_line_breaks_and_many_columns(spark, tmp_path):
+    head = [f"x{n}" for n in range(20)]
+    path = put(tmp_path / "7.csv", ",".join([*head, "sequence_id", "known_subfamily"]) + "\r\n" + "".join(",".join(["v"] * 20 + [i, s]) + "\r\n" for i, s in (("a", '"L\n""1"""'), ("b", "L2"))))
+    assert [tuple(r)[1:] for r in readers.read_labels(spark, path).orderBy("ord").collect()] == [(0, "a", 'L\n"1"'), (1, "b", "L2")]
+    both = readers.read_result_table(spark, [path, put(tmp_path / "8.csv", "id,known_subfamily,extra\nq,7,\n")], ["known_subfamily"])
+    assert {(r["family"], r["sequence_id"], r["known_subfamily"]) for r in both.collect()} == {("7", "v", 'L\n"1"'), ("7", "v", "L2"), ("8", "q", "7")}
+    with pytest.raises(ValueError, match="lacks"):
+        readers.read_result_table(spark, put(tmp_path / "9.csv", "id,a\n"), ["b"])
+
+
+def test_quoted_ids_of_matrices(spark, tmp_path):
+    path = put(tmp_path / "12.csv", ',"a,1",b\r\n\r\n"a,1",0,2e0\r\nb,2.0,0\r\n')
+    assert {(r["src"], r["dst"], r["distance"]) for r in readers.read_matrix_csv(spark, path).collect()} == {("a,1", "a,1", 0.0), ("a,1", "b", 2.0), ("b", "a,1", 2.0), ("b", "b", 0.0)}
+    assert [r["sequence_id"] for r in readers.read_matrix_ids(spark, path).orderBy("ord").collect()] == ["a,1", "b"]
+    with pytest.raises(ValueError, match="not a number"):
+        readers.read_matrix_csv(spark, put(tmp_path / "13.csv", ",a\na,x\n"))
+
+
+def test_files_in_many_splits(spark, tmp_path):
+    """Lines and records are numbered alike whether a file is one split or many."""
+    n = 40
+    text = f"{n}\n" + "".join(f"s{i} " + " ".join(str(abs(i - j) / 4) for j in range(n)) + "\n" * (1 + (i == 7)) for i in range(n))
+    fasta = "no record\n" + "".join(f">r{i} x>y\n" + "acgt" * 30 + "\nac>g\n" for i in range(n))
+    one, two = put(tmp_path / "5.mldist", text), put(tmp_path / "6.fasta", fasta)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    whole = rows(readers.scan_mldist(spark, one)), rows(readers.scan_fasta(spark, two))
+    assert [r[1] for r in whole[1]] == list(range(n)) and whole[1][3][2:] == ("r3", "acgt" * 30 + "ac>g")
+    assert {(r[1], r[3]) for r in whole[0]} == {(i, f"s{i}") for i in range(n)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert spark.read.text(one).rdd.getNumPartitions() > 4
+        assert (rows(readers.scan_mldist(spark, one)), rows(readers.scan_fasta(spark, two))) == whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_command_line(spark, tmp_path):
+    from quillon import cli
+
+    n = 12
+    d = [[0.0 if i == j else (0.1 if i // 6 == j // 6 else 1.0) + 0.001 * abs(i - j) for j in range(n)] for i in range(n)]
+    m = put(tmp_path / "in.mldist", f"{n}\n" + "".join(f"s{i} " + " ".join(map(str, r)) + "\n" for i, r in enumerate(d)))
+    labels = put(tmp_path / "labels.csv", "sequence_id,known_subfamily\n" + "".join(f"s{i},{'AB'[i // 6]}\n" for i in range(n)))
+    out = tmp_path / "out"
+    assert cli.main(["quick-start", "--mldist", m, "--labels", labels, "--output-dir", str(out)]) == 0
+    assert {p.name for p in out.iterdir() if not p.name.startswith(".")} == {"distance_matrix.csv", "affinity_matrix.csv", "cluster_membership.csv", "candidate_scores.csv", "metrics.json"}
+    got = json.loads((out / "metrics.json").read_text())
+    table = [line.split(",") for line in (out / "candidate_scores.csv").read_text().splitlines()]
+    k, score = table[0].index("k"), table[0].index("mean_silhouette")
+    best = max(table[1:], key=lambda r: (float(r[score]), -int(r[k])))
+    assert (got["selected_k"], got["selected_mean_silhouette"], got["n_sequences"]) == (int(best[k]), float(best[score]), 12)
+    lines = (out / "distance_matrix.csv").read_text().splitlines()
+    assert lines[0] == "," + ",".join(f"s{i}" for i in range(n)) and lines[1].split(",")[:3] == ["s0", "0.0", "0.101"]
+    assert (out / "cluster_membership.csv").read_text().splitlines()[0].startswith("sequence_id,predicted_cluster")
+    msa = put(tmp_path / "in.fasta", "".join(f">s{i}\n{'acgt' * 5 if i < 6 else 'ttga' * 5}\n" for i in range(n)))
+    for name, table in (("recursive", "recursive"), ("fixed-binary", "fixed_binary")):
+        out = tmp_path / table
+        assert cli.main([name, "--mldist", m, "--alignment", msa, "--labels", labels, "--output-dir", str(out), "--swipe-threads", "1"]) == 0
+        assert {f"{table}_membership.csv", f"{table}_diagnostics.csv", "metrics.json"} <= {p.name for p in out.iterdir()}
+        assert (out / f"{table}_diagnostics.csv").read_text().splitlines()[1].startswith("family,")
+
+
 def test_fasta(spark, tmp_path):
     path = put(tmp_path / "m.fasta", ">a first\nac\ngt\n>b\r\nac-t\r\n")
     assert [tuple(r)[1:] for r in readers.read_alignment(spark, path).orderBy("ord").collect()] == [(0, "a", "acgt"), (1, "b", "ac-t")]
@@ -64,7 +128,7 @@ def test_writers_round_trip(spark, tmp_path):
     writers.write_fasta(msa, str(tmp_path / "fasta"))
     assert [r["seq"] for r in readers.scan_fasta(spark, str(tmp_path / "fasta"), "f").orderBy("ord").collect()] == ["ac", "-c"]
     writers.write_json({"é": 1}, str(tmp_path / "json"))
-    assert json.loads("".join(p.read_text() for p in (tmp_path / "json").glob("part-*"))) == {"é": 1}
+    assert (tmp_path / "json").read_text() == '{\n  "é": 1\n}\n'
 
 
 def test_hits(spark, tmp_path):

@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import lean, quoted, text_or_empty, tidy
-from quillon.llm.tokens import in_slices
+from quillon.llm.common import broadcast_if, lean, quoted, stored, text_or_empty, tidy
+from quillon.llm.tokens import as_list, in_slices
 
 LABELLED = 4000  #: labelled documents that are learned from, at most
 ROUNDS = 2
@@ -38,11 +38,13 @@ SURE = 0.97
 GROW = 400  #: pseudo-labelled documents that a view hands over in a round, at most
 WORDS, SHAPES, REPEATS, META = 1 << 15, 1 << 13, 32, 1 << 10
 TEXT_SIZE = WORDS + SHAPES + 2 * REPEATS
-ROOM = 300_000  #: words whose features a worker remembers
+ROOM = 300_000  #: words in each generation of what a worker remembers
 
 _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 _RUN = re.compile(rb"(.)\1+", re.DOTALL)
-_SEEN: dict[str, int] = {}
+#: Features of words seen of late, by word; when full it becomes the old one, and the old one goes.
+_SEEN: list[dict[str, int]] = [{}, {}]
+_LOWER, _TITLE = (WORDS + zlib.crc32(x) % SHAPES << 20 for x in (b"a", b"Aa"))
 
 Rows = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -57,6 +59,10 @@ def _sparse(doc: np.ndarray, feature: np.ndarray, weight: np.ndarray, n: int) ->
 def word_features(word: str) -> int:
     """Its hash's feature, and its shape's 20 bits higher."""
     raw = word.encode()
+    if word.isascii() and word.isalpha() and word[1:].islower():  # nearly all words have one of two shapes
+        if word[0].islower():
+            return zlib.crc32(raw) % WORDS | _LOWER
+        return zlib.crc32(raw.lower()) % WORDS | _TITLE
     return zlib.crc32(raw.lower()) % WORDS | (WORDS + zlib.crc32(_RUN.sub(rb"\1", raw.translate(_SHAPE))) % SHAPES) << 20
 
 
@@ -76,11 +82,12 @@ def text_features(texts: list[str]) -> Rows:
     doc = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))[there]
     sizes = np.bincount(doc, minlength=n)
     coded = words.filter(pa.array(there)).dictionary_encode()
-    token, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-    if len(_SEEN) > ROOM:
-        _SEEN.clear()
-    _SEEN.update([(w, word_features(w)) for w in names if w not in _SEEN])
-    both = np.fromiter(map(_SEEN.__getitem__, names), np.int64, len(names))
+    token, names = coded.indices.to_numpy().astype(np.int64), as_list(coded.dictionary)
+    if len(_SEEN[0]) > ROOM:
+        _SEEN[:] = {}, _SEEN[0]
+    seen, old = _SEEN
+    seen.update([(w, old[w] if w in old else word_features(w)) for w in names if w not in seen])
+    both = np.fromiter(map(seen.__getitem__, names), np.int64, len(names))
     same = np.zeros(len(token), bool)
     same[1:] = (token[1:] == token[:-1]) & (doc[1:] == doc[:-1])
     again = np.bincount(doc[same], minlength=n) / np.maximum(1, sizes)
@@ -253,14 +260,8 @@ def _facts(docs: DataFrame) -> list[Column]:
     return [text_or_empty().alias("text"), *[(F.col(c) if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]]
 
 
-FEATURES = "doc_id long, order long, view int, label int, source string, lang string, n_chars long, features binary, weights binary"
-_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
-
-
-def _packed(columns: list, text_rows: Rows, index: np.ndarray) -> pa.RecordBatch:
-    bounds, features, values = text_rows
-    cut = lambda a: [a[bounds[i] : bounds[i + 1]].tobytes() for i in index]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*columns, cut(features), cut(values)], _KINDS, strict=True)], names=[f.split(" ")[0] for f in FEATURES.split(", ")])
+FEATURES = "doc_id long, order long, label int, source string, lang string, n_chars long, features binary, weights binary"
+_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
 
 
 def _unpacked(got: list) -> tuple[Rows, Rows]:
@@ -270,71 +271,78 @@ def _unpacked(got: list) -> tuple[Rows, Rows]:
     return text_rows, meta_features(*([r[c] for r in got] for c in ("source", "lang", "n_chars")))
 
 
-def _featured(rows: DataFrame, pick) -> DataFrame:
-    """FEATURES of the picked rows of (doc_id, order, label, text, source, lang, n_chars).
-
-    pick takes a slice's rows, its text and its metadata features, and gives (view, places, labels) for each view.
-    """
+def _featured(plain: DataFrame, picked: list[tuple[int, int]]) -> list:
+    """FEATURES of the picked documents (doc_id, label), a bounded number; of rows with one doc_id the least by hash."""
+    spark = plain.sparkSession
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "source", "lang", "n_chars"))
+    found = plain.join(F.broadcast(spark.createDataFrame(picked, "doc_id long, label int")), "doc_id").withColumn("n", F.row_number().over(one)).filter("n = 1")
 
     def extract(batches):
         for batch in batches:
             d = batch.to_pydict()
             for at, some in in_slices(d["text"]):
-                mine = {c: d[c][at : at + len(some)] for c in d}
-                text_rows, meta_rows = text_features(some), meta_features(mine["source"], mine["lang"], mine["n_chars"])
-                for view, index, label in pick(mine, text_rows, meta_rows):
-                    column = lambda c: [mine[c][i] for i in index]  # noqa: E731, B023
-                    yield _packed([column("doc_id"), column("order"), [view] * len(index), label, column("source"), column("lang"), column("n_chars")], text_rows, index)
+                bounds, features, values = text_features(some)
+                cut = lambda a, b=bounds: [a[x:y].tobytes() for x, y in zip(b[:-1], b[1:], strict=True)]
+                columns = [*(d[c][at : at + len(some)] for c in ("doc_id", "order", "label", "source", "lang", "n_chars")), cut(features), cut(values)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=[f.split(" ")[0] for f in FEATURES.split(", ")])
+
+    got = found.select("doc_id", "order", "label", "text", "source", "lang", "n_chars").mapInArrow(extract, FEATURES).collect()
+    return sorted(got, key=lambda r: (r["order"], r["doc_id"]))
+
+
+def _sure_ids(others: DataFrame, model: CoTrained, quota: tuple[int, int], gone: list[np.ndarray]) -> DataFrame:
+    """(view, label, order, doc_id) of the rows that a view is sure of; of a task those of least order, as many as may be taken of all."""
+
+    def scan(batches):
+        kept = {(v, x): (np.empty(0, np.int64), np.empty(0, np.int64)) for v in (0, 1) for x in (0, 1)}
+        for batch in batches:
+            d = {c: batch.column(c) for c in batch.schema.names}
+            ids, order, texts = d["doc_id"].to_numpy(zero_copy_only=False), d["order"].to_numpy(zero_copy_only=False), d["text"].to_pylist()
+            meta = {c: d[c].to_pylist() for c in ("source", "lang", "n_chars")}
+            for at, some in in_slices(texts):
+                part = slice(at, at + len(some))
+                found = sure_rows(model, text_features(some), meta_features(*(meta[c][part] for c in meta)))
+                for view, label in kept:
+                    new = np.flatnonzero((found[view] == label) & ~np.isin(ids[part], gone[view])) + at
+                    both = np.concatenate((kept[view, label][0], order[new])), np.concatenate((kept[view, label][1], ids[new]))
+                    _, first = np.unique(both[1], return_index=True)
+                    first = first[np.lexsort((both[1][first], both[0][first]))][: quota[label]]
+                    kept[view, label] = both[0][first], both[1][first]
         tidy()
+        for (view, label), (order, ids) in kept.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), view, np.int32)), pa.array(np.full(len(ids), label, np.int32)), pa.array(order), pa.array(ids)], names=["view", "label", "order", "doc_id"])
 
-    return rows.select("doc_id", "order", "label", "text", "source", "lang", "n_chars").mapInArrow(extract, FEATURES)
+    return others.select("doc_id", "order", "text", "source", "lang", "n_chars").mapInArrow(scan, "view int, label int, order long, doc_id long")
 
 
 def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, grow: int = GROW, rounds: int = ROUNDS) -> CoTrained | None:
     """Fits on at most `labelled` labelled documents, and on at most 2 * rounds * grow others; their features reach the driver."""
-    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
+    known = stored(labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label")))
     order = F.xxhash64("doc_id").alias("order")
-    ids = docs.select("doc_id").filter("doc_id is not null").distinct().join(known, "doc_id").select("doc_id", "label", order)
+    count = known.count()
+    small = broadcast_if(known, count, 32)
+    ids = docs.select("doc_id").filter("doc_id is not null").join(small, "doc_id").distinct().select("doc_id", "label", order)
     picked = [(r["doc_id"], r["label"]) for r in ids.orderBy("order", "doc_id").limit(labelled).collect()]
     if not picked:
         return None
-    chosen = docs.sparkSession.createDataFrame(picked, "doc_id long, label int")  # at most `labelled` rows
     plain = lean(docs).select(F.col("doc_id").cast("long"), order, *_facts(docs))
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "source", "lang", "n_chars"))
-    found = plain.join(F.broadcast(chosen), "doc_id").withColumn("n", F.row_number().over(one)).filter("n = 1")
-    got = _featured(found, lambda d, t, m: [(0, range(len(d["doc_id"])), d["label"])]).collect()
-    got.sort(key=lambda r: (r["order"], r["doc_id"]))
+    got = _featured(plain, picked)
     teacher = Teacher(*_unpacked(got), np.array([r["label"] for r in got]))
     if not teacher.able:
         return None
     quota, taken = teacher.quota(grow), [[], []]
-    # all documents without a label; the labelled ones are a table of ids
-    others = plain.filter("doc_id is not null").join(known.select("doc_id"), "doc_id", "left_anti").withColumn("label", F.lit(-1))
+    others = plain.filter("doc_id is not null").join(small.select("doc_id"), "doc_id", "left_anti")  # all documents without a label
     for _ in range(rounds):
-        model = teacher.pupil()
-        gone = [np.array(sorted(t), np.int64) for t in taken]
-
-        def pick(d, text_rows, meta_rows, model=model, gone=gone):
-            ids = np.array(d["doc_id"], np.int64)
-            for view, sure in enumerate(sure_rows(model, text_rows, meta_rows)):
-                index = []
-                for label in (0, 1):  # of a slice no more than may be taken of all
-                    some = np.flatnonzero((sure == label) & ~np.isin(ids, gone[view]))
-                    index += sorted(some, key=lambda i: (d["order"][i], d["doc_id"][i]))[: quota[label]]
-                if index:
-                    yield view, index, sure[index].tolist()
-
-        first = Window.partitionBy("view", "label").orderBy("order", "doc_id", "features", "weights")
-        ranked = _featured(others, pick).dropDuplicates(["view", "doc_id"]).withColumn("n", F.row_number().over(first))
-        handed = ranked.filter((F.col("n") <= quota[1]) & ((F.col("label") == 1) | (F.col("n") <= quota[0]))).collect()
-        handed.sort(key=lambda r: (r["view"], r["order"], r["doc_id"]))
-        if not handed:
+        sure = stored(_sure_ids(others, teacher.pupil(), quota, [np.array(sorted(t), np.int64) for t in taken]))
+        handed = {(v, x): sure.filter((F.col("view") == v) & (F.col("label") == x)).select("order", "doc_id").distinct().orderBy("order", "doc_id").limit(quota[x]).collect() for v in (0, 1) for x in (0, 1)}
+        if not any(handed.values()):
             break
+        rows = {r["doc_id"]: r for r in _featured(plain, sorted({(r["doc_id"], 0) for some in handed.values() for r in some}))}
         for view in (0, 1):
-            mine = [r for r in handed if r["view"] == view]
-            taken[view] += [r["doc_id"] for r in mine]
+            mine = sorted([(r["order"], r["doc_id"], label) for label in (0, 1) for r in handed[view, label]])
+            taken[view] += [i for _, i, _ in mine]
             if mine:
-                teacher.teach(view, *_unpacked(mine), np.array([r["label"] == 1 for r in mine]))
+                teacher.teach(view, *_unpacked([rows[i] for _, i, _ in mine]), np.array([label == 1 for *_, label in mine]))
     return teacher.graduate()
 
 

@@ -49,6 +49,11 @@ def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.pairwise_distance(_points(spark, sf_dir))
 
 
+def _affinities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the edges are used twice: for the largest of a family, and by it
+    return matrix.distance_to_affinity(settled(_distances(spark, sf_dir)), checked=False)
+
+
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _points(spark, sf_dir).select("family", "ord", (F.col("sequence_id") % 3).cast("int").alias("cluster"))
 
@@ -374,23 +379,23 @@ def family_dmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(matrix.distance_to_affinity(_distances(spark, sf_dir), checked=False), "affinity")
+    return _round(_affinities(spark, sf_dir), "affinity")
 
 
 @query
 def submatrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = _points(spark, sf_dir).filter(F.col("vec")[0] > 0).select("family", "sequence_id")
-    return _round(matrix.submatrix(matrix.distance_to_affinity(_distances(spark, sf_dir), checked=False), members), "affinity")
+    return _round(matrix.submatrix(_affinities(spark, sf_dir), members), "affinity")
 
 
 @query
 def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(matrix.degree(matrix.distance_to_affinity(_distances(spark, sf_dir), checked=False)), "degree")
+    return _round(matrix.degree(_affinities(spark, sf_dir)), "degree")
 
 
 @query
 def laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(matrix.laplacian(settled(matrix.distance_to_affinity(_distances(spark, sf_dir), checked=False))), "laplacian")
+    return _round(matrix.laplacian(settled(_affinities(spark, sf_dir))), "laplacian")
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "quillon", **conf: str) -> SparkSession:
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"} | conf
+    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.cleaner.referenceTracking.cleanCheckpoints": "true"} | conf
     return SparkSession.builder.appName(name).config(map=settings).getOrCreate()
 
 

@@ -10,6 +10,7 @@ from quillon.llm.common import broadcast_if, stored
 
 
 HOT = 1000  #: rows of one key beyond which its value is broadcast
+TASK_EDGES = 50_000  #: edges of a task
 
 
 def join_hot(rows: DataFrame, values: DataFrame, key: str, count: str, total: int) -> DataFrame:
@@ -23,33 +24,35 @@ def join_hot(rows: DataFrame, values: DataFrame, key: str, count: str, total: in
     return rows.join(hot, key).unionByName(rest).drop(count)
 
 
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
+def _large_star(edges: DataFrame, total: int, tasks: int) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-    return join_hot(both.filter("b > a"), least, "a", "n", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    moved = join_hot(both.filter("b > a"), least, "a", "n", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.filter("a <> b").coalesce(tasks).distinct().coalesce(tasks)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    return moved.union(least.select("a", F.col("m").alias("b"))).coalesce(tasks).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges (a, b): component is the least node it reaches.
 
     Every round is stored in the shared folder; the driver sees a count and a checksum. Rounds grow
-    with the logarithm of the longest chain.
+    with the logarithm of the longest chain. Tasks are as many as the edges need, so that few edges make few files.
     """
     edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    last = None
+    tasks = max(1, edges.count() // TASK_EDGES)
+    edges, last = edges.coalesce(tasks), None
     while True:
         sign = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if sign == last or not sign[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
         last = sign
-        edges = stored(_small_star(_large_star(edges, sign[0])))
+        edges = stored(_small_star(_large_star(edges, sign[0], tasks), tasks).coalesce(tasks))
 
 
 def cells(entries: DataFrame, keys: list[str], ident: str, most: int) -> DataFrame:

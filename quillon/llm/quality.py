@@ -183,12 +183,13 @@ class CoTrained:
 class Teacher:
     """Two views that train on labelled rows and on what the other is sure of.
 
-    label: 1 good, 0 not. While views teach each other, every fourth labelled row is kept for their calibration.
+    label: 1 good, 0 not. While views teach each other, every fourth labelled row of each label is kept for their calibration.
     """
 
     def __init__(self, text_rows: Rows, meta_rows: Rows, label: np.ndarray):
         self.rows, self.good, self.n = (text_rows, meta_rows), label == 1, np.arange(len(label))
-        self.train, self.held = self.n[self.n % 4 != 0], self.n[self.n % 4 == 0]
+        self.turn = np.where(self.good, np.cumsum(self.good), np.cumsum(~self.good)) - 1  # its number among rows of its label
+        self.train, self.held = self.n[self.turn % 4 != 0], self.n[self.turn % 4 == 0]
         self.able = self._both(self.train) and self._both(self.held)
         self.taught: list[list[tuple[Rows, np.ndarray]]] = [[], []]
 
@@ -216,7 +217,7 @@ class Teacher:
 
         Each half of the rows is scored by views of the other half; half of each calibrates, the rest fits the joint model.
         """
-        half, last = self.n % 2 == 0, self.n % 4 >= 2
+        half, last = self.turn % 2 == 0, self.turn % 4 >= 2
         calibrate, joint = self.n[~last], self.n[last]
         if all(self._both(r) for r in (self.n[half], self.n[~half], calibrate, joint)):
             raw = np.zeros((len(self.n), 2))

@@ -74,7 +74,7 @@ def place(numbered: DataFrame, n: int, shards: int, seed: int, row: str = "row_n
     def permuted(x: pd.Series) -> pd.Series:
         return pd.Series(perm.forward(x.to_numpy()))
 
-    return numbered.withColumn("_at", permuted(row)).withColumn("shard", (F.col("_at") % shards).cast("int")).withColumn("slot", F.floor(F.col("_at") / F.lit(shards)).cast("long")).drop("_at")
+    return numbered.withColumn("_at", permuted(row)).withColumn("shard", (F.col("_at") % shards).cast("int")).withColumn("slot", F.expr(f"_at div {int(shards)}")).drop("_at")
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 20) -> DataFrame:

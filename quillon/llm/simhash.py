@@ -373,8 +373,8 @@ def _spread(rows: DataFrame, name: str, size: int) -> DataFrame:
     return rows.withColumn(name, F.pmod(F.xxhash64("id", F.lit(name)), F.ceil(F.col(size) / GROUP_CELL)).cast("int"))
 
 
-def exact_links(docs: DataFrame, members: DataFrame, width: int, least: float, seed: int) -> DataFrame:
-    """Links (a, b) that span the clusters of exact similarity in each loose group; members: (id, component, doc_id, text_hash), stored."""
+def exact_clusters(docs: DataFrame, members: DataFrame, width: int, least: float, seed: int) -> DataFrame:
+    """(node, component) of the clusters of exact similarity in each loose group; members: (id, component, doc_id, text_hash), stored."""
     keyed = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
 
     def texts_of(rows: DataFrame, count: int) -> DataFrame:
@@ -386,13 +386,12 @@ def exact_links(docs: DataFrame, members: DataFrame, width: int, least: float, s
         return cells_.withColumn("task", task).groupBy("task").applyInArrow(lambda t: _compare(t, key, width, seed, least), "a long, b long")
 
     count = members.count()
-    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    # leaders: the least ids by hash, each partition's own first, so that a large group is never in one place
-    first = Window.partitionBy("component").orderBy(F.xxhash64("id"), "id")
-    leaders = members.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= LEADERS).select("id", F.lit(True).alias("leads"))
-    large = broadcast_if(sizes.filter(F.col("size") > GROUP_CELL), count // GROUP_CELL, 24)
+    # the leaders of a group of several blocks: the least of its ids by several hashes
+    chosen = F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(n)), "id"))["id"] for n in range(LEADERS)])
+    sizes = members.groupBy("component").agg(F.count("*").alias("size"), chosen.alias("leaders")).filter(F.col("size") > GROUP_CELL)
+    large = broadcast_if(sizes, count // GROUP_CELL, 24 + 8 * LEADERS)
     sized = members.join(large, "component", "left").withColumn("size", F.coalesce("size", F.lit(1)))  # smaller groups are one block
-    placed = _spread(sized.join(leaders, "id", "left"), "block", "size").withColumn("side", F.lit(-1))
+    placed = _spread(sized.withColumn("leads", F.array_contains("leaders", F.col("id"))).drop("leaders"), "block", "size").withColumn("side", F.lit(-1))
     texts = texts_of(placed, count)
     everywhere = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / GROUP_CELL).cast("int") - 1))
     guests = texts.filter("leads").withColumn("home", F.col("block")).withColumn("block", everywhere).filter("block <> home").drop("home")
@@ -407,13 +406,13 @@ def exact_links(docs: DataFrame, members: DataFrame, width: int, least: float, s
     open_ = stored(clustered.join(broadcast_if(rest, count // GROUP_CELL, 32), "component"))
     left = open_.count()
     if not left:
-        return first_links
+        return reach
     again = texts_of(open_, left)
     per = lambda size: F.explode(F.sequence(F.lit(0), F.ceil(F.col(size) / GROUP_CELL).cast("int") - 1))
     base = again.withColumn("probe", per("others")).withColumn("side", F.lit(0))
     probes = _spread(again.filter("cluster <> main"), "probe", "others").withColumn("block", per("size")).withColumn("side", F.lit(1))
     columns = ["id", "component", "block", "probe", "side", "text"]
-    return first_links.union(by_cell(base.select(*columns).union(probes.select(*columns)), ["component", "block", "probe"], left))
+    return components(first_links.union(by_cell(base.select(*columns).union(probes.select(*columns)), ["component", "block", "probe"], left)))
 
 
 def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = NEAR_RADIUS, seed: int = SEED) -> DataFrame:
@@ -431,7 +430,7 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int
     entries = similar(classes, radius, rows, lambda pdf: _forest_of(pdf, radius, words, "id", most), ["id", *words])
     loose = components(entries.union(band_links(classes)))
     members = stored(classes.join(loose, classes["id"] == loose["node"]).select("id", "component", "doc_id", "text_hash"))
-    reach = components(exact_links(docs, members, width, least, seed))
+    reach = exact_clusters(docs, members, width, least, seed)
     named = classes.join(reach, classes["id"] == reach["node"], "left").select(*own, "doc_id", "text_hash", F.coalesce("component", "id").alias("component"))
     lowest = named.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count("*").alias("n"))
     named = join_hot(named, lowest, "component", "n", rows).select(*own, "least")

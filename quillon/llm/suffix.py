@@ -190,7 +190,7 @@ def repeated_anchors(batches: DataFrame, shape: Shape, shards: int) -> DataFrame
             for batch, body in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), strict=True):
                 names, twice, bound = _ask_hashes(Text(body, shape), shape, shards)
                 six = names.view(np.uint8).reshape(-1, 8)[:, :6]
-                some = [s for s in range(shards) if bound[s] < bound[s + 1]]
+                some = np.flatnonzero(np.diff(bound)).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([batch] * len(some), pa.int64()), pa.array([pack(np.ascontiguousarray(six[bound[s] : bound[s + 1]]).ravel(), np.packbits(twice[bound[s] : bound[s + 1]])) for s in some], pa.binary())], names=["shard", "batch", "body"])
 
     def count(t: pa.Table) -> pa.Table:
@@ -304,14 +304,18 @@ class LoserTree:
             return a, b
         if p < q:
             return b, a
-        u, v = x[0], y[0]
+        u, v = x[0][p:], y[0][p:]  # the known prefix is not looked at again
         if u == v:
             self.shared[b] = self.width
             return a, b
-        diff = int.from_bytes(u[p:]) ^ int.from_bytes(v[p:])
-        k = self.width - (diff.bit_length() + 7) // 8
+        k = 0
+        while u[k : k + 16] == v[k : k + 16]:
+            k += 16
+        diff = int.from_bytes(some := u[k : k + 16]) ^ int.from_bytes(v[k : k + 16])
+        k += len(some) - (diff.bit_length() + 7) // 8
+        less, k = u[k] < v[k], k + p
         self.compared += k - p + 1
-        if u[k] < v[k]:
+        if less:
             self.shared[b] = k
             return a, b
         self.shared[a] = k
@@ -376,6 +380,10 @@ def _first_marks(rows: np.ndarray, shared: np.ndarray, least: np.ndarray, shape:
         order = i[np.lexsort((rank[i], left[i], block[i]))]
         same = np.zeros(len(order), bool)
         same[1:] = (block[order][1:] == block[order][:-1]) & (left[order][1:] == left[order][:-1])
+        if o and same.any():  # the hash only brings them together
+            at = np.flatnonzero(same)
+            side = slice(shape.length, shape.length + o)
+            same[at] = (rows[order[at], side] == rows[order[at - 1], side]).all(1)
         out[order[same], o] = True
     return out
 
@@ -472,11 +480,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes:
         by = dict(zip(t["shard"].to_pylist(), t["body"].to_pylist(), strict=True))
         run = Run(Text(by.pop(-1), shape), shape, shards, by)
         shared, some, bodies = run.prefix_lengths(), [], []
-        for s in range(shards):
+        for s in np.flatnonzero(np.diff(run.bound)).tolist():
             lo, hi = run.bound[s], run.bound[s + 1]
-            if lo < hi:
-                some.append(s)
-                bodies.append(pack(shared[lo:hi], front_code(run.rows[lo:hi], shared[lo:hi]), *run.least[lo:hi].T.copy()))
+            some.append(s)
+            bodies.append(pack(shared[lo:hi], front_code(run.rows[lo:hi], shared[lo:hi]), *run.least[lo:hi].T.copy()))
         tidy()
         return pa.table({"shard": pa.array(some, pa.int32()), "batch": pa.array([t["batch"][0].as_py()] * len(some), pa.int64()), "body": pa.array(bodies, pa.binary())})
 

@@ -39,6 +39,11 @@ def tokenizer_path(name_or_path: str) -> str:
     return public_tokenizers.path(name_or_path)
 
 
+def as_list(strings: pa.Array) -> list[str]:
+    """As to_pylist(), without a scalar object for each."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 class UnitEncoder:
     """Encodes texts to little-endian unsigned 16-bit ids, without special tokens of its own.
 
@@ -129,13 +134,17 @@ class UnitEncoder:
     def _learn(self, units: list[str]) -> None:
         """Learns units from their parts: a run of letters and the stops after it, or else lines within a unit."""
         known, odd = self.cache, []
-        lined = [u for u in units if u.startswith("\n")]
-        for lead, some in ((" ", units if not lined else [u for u in units if not u.startswith("\n")]), ("\n", lined)):
+        lined = [u for u in units if u[:1] == "\n"]
+        for lead, some in ((" ", units if not lined else [u for u in units if u[:1] != "\n"]), ("\n", lined)):
+            skip = lead == "\n"
             bases = [u.rstrip(STOPS) for u in some]
-            fine = [b.isalpha() for b in bases] if lead == " " else [b[1:].isalpha() for b in bases]
-            rows = self._recall(dict.fromkeys([b for b, ok in zip(bases, fine, strict=True) if ok]))
-            self._encode_row(rows if lead == " " else [b[1:] for b in rows], lead, True)
-            known.update([(u, known[b] + self._stops(u[len(b) :])) for u, b, ok in zip(some, bases, fine, strict=True) if ok and len(b) < len(u)])
+            fine = [b[skip:].isalpha() for b in bases] if skip else list(map(str.isalpha, bases))
+            rows = [u for u, b, ok in zip(some, bases, fine, strict=True) if ok and len(b) == len(u)]
+            self._encode_row([u[1:] for u in rows] if skip else rows, lead, True)
+            ended = [(u, b) for u, b, ok in zip(some, bases, fine, strict=True) if ok and len(b) < len(u)]
+            rows = self._recall(dict.fromkeys([b for _, b in ended]))
+            self._encode_row([u[1:] for u in rows] if skip else rows, lead, True)
+            known.update([(u, known[b] + self._stops(u[len(b) :])) for u, b in ended])
             odd += [u for u, ok in zip(some, fine, strict=True) if not ok]
         rows, built = {" ": {}, "\n": {}}, []
         for u in odd:
@@ -178,11 +187,13 @@ class UnitEncoder:
         if self.kind == "byte":  # no space stands before a text's first unit
             first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
         coded = units.filter(pa.array(~first)).dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        new = self._recall(names)
-        self._learn(new)
-        codes = [self.cache[u] for u in names]
-        heads = units.filter(pa.array(first)).to_pylist()
+        names = as_list(coded.dictionary)
+        codes = list(map(self.cache.get, names))
+        holes = [i for i, c in enumerate(codes) if c is None]
+        self._learn(self._recall([names[i] for i in holes]))
+        for i in holes:
+            codes[i] = self.cache[names[i]]
+        heads = as_list(units.filter(pa.array(first)))
         codes += [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)] if heads else []
         codes += [self._plain(texts[i]) for i in whole]
         codes.append(b"" if end is None else np.array([end], "<u2").tobytes())
@@ -200,7 +211,10 @@ class UnitEncoder:
         start = np.cumsum(length) - length
         each = length[slot]
         upto = np.concatenate(([0], np.cumsum(each)))
-        ids = flat[np.repeat(start[slot] - upto[:-1], each) + np.arange(upto[-1])]
+        kind = np.int32 if max(upto[-1], len(flat)) < 1 << 31 else np.int64
+        at = np.repeat((start[slot] - upto[:-1]).astype(kind), each)
+        at += np.arange(upto[-1], dtype=kind)
+        ids = flat[at]
         return ids, upto[ends] - upto[ends - sizes - last]
 
 
@@ -224,3 +238,17 @@ def in_slices(texts: list[str | None], chars: int = 1_500_000):
         size += len(t)
     if some:
         yield start, some
+
+
+def gathered(batches, chars: int):
+    """(ids, texts) of Arrow batches (id, text), some batches together, of about `chars` characters: fewer calls see a unit twice."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        ids += batch.column(0).to_pylist()
+        texts += (some := batch.column(1).to_pylist())
+        size += sum(map(len, some))
+        if size >= chars:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts

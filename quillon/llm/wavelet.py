@@ -34,8 +34,8 @@ MAGIC = b"QWM2"
 END_ID = 2
 BLOCK = 512  #: bits for each entry of a rank directory
 CHUNK = 1 << 15  #: bits of a plane that are compressed together
-ROOM = 400_000  #: units in each generation of a worker's cache
-SLICE = 4_000_000  #: characters encoded in one call, but for longer texts
+ROOM = 600_000  #: units in each generation of a worker's cache
+SLICE = 12_000_000  #: characters encoded in one call, but for longer texts
 FILE_TOKENS = 1 << 18  #: its levels fit a core's cache
 
 
@@ -248,8 +248,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = tokens.BYTE_BPE,
             seq, start, doc_ids, parts, held = seq + 1, start + held, [], [], 0
             return row
 
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for ids, texts in tokens.gathered(batches, SLICE):
             for at, some in tokens.in_slices(texts, SLICE):
                 every, counts = enc.encode(some, end_id)
                 for i, code in enumerate(np.split(every, np.cumsum(counts)[:-1])):

@@ -1,6 +1,9 @@
-from collections import defaultdict
+import os
+import re
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillon.llm import queries
@@ -38,11 +41,70 @@ def test_stages_keep_columns_and_take_effect(spark, sf_dir):
 
 
 def test_stages_take_odd_and_empty_tables(spark, sf_dir, odd_documents, no_documents):
-    for docs in (odd_documents, no_documents):
+    named = odd_documents.withColumnRenamed("size", "a.`b`").withColumn("_s", F.lit(1)).withColumn("row", F.lit("x")).withColumn("first", F.lit(True)).drop("n_chars")
+    for docs in (odd_documents, no_documents, named):
+        counts = {}
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, sf_dir)
             assert name == "best_fit_packing" or out.columns == docs.columns
-            out.collect()
+            counts[name] = len(out.collect())
+        if docs is no_documents:
+            assert set(counts.values()) == {0}
+        else:  # null, 1 (of 1 and 2), 3 twice, 5 (of 5 and 6) and 7 stay; suffixes drop no row
+            assert (counts["simhash_near_dedup"], counts["suffix_array_dedup"], counts["best_fit_packing"] >= 10) == (6, 10, True)
+    texts = {(r["doc_id"], r["_s"], r["row"]): r["text"] for r in corpus_pipeline.suffix_array_dedup(spark, named, sf_dir).collect()}
+    assert texts[1, 1, "x"] == "" and texts[7, 1, "x"] == "é́ ß 日本   x 😀" and texts[6, 1, "x"] == ""
+
+
+def plain_jaccard(texts, width=5):
+    """Least reachable place of each text by similarity 0.8 of its sets of word runs, all pairs."""
+    sets = []
+    for t in texts:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower())
+        sets.append({b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
+    place = list(range(len(texts)))
+    find = lambda i: i if place[i] == i else find(place[i])
+    owners = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            owners[x].append(i)
+    shared = Counter((i, j) for o in owners.values() for n, i in enumerate(o) for j in o[n + 1 :])
+    for (i, j), n in shared.items():
+        if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+            a, b = sorted((find(i), find(j)))
+            place[b] = a
+    empty = [i for i, s in enumerate(sets) if not s]
+    return [empty[0] if i in empty else find(i) for i in range(len(texts))]
+
+
+def test_near_dedup_and_suffix_stages_against_brute_force(spark):
+    """Both ways on all documents of sf0.01: no other document goes, and none that should go stays."""
+    path = "/root/testdata/sf0.01"
+    if not os.path.isdir(path):
+        pytest.skip("driver tables are not here")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
+    label = plain_jaccard([r["text"] or "" for r in rows])
+    want = {rows[i]["doc_id"] for i, x in enumerate(label) if x == i}
+    assert {r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, path).collect()} == want
+    seen, gone = set(), {}
+    for r in rows:  # a byte goes if a 100-byte string over it starts earlier
+        data = (r["text"] or "").encode()
+        gone[r["doc_id"]] = set()
+        for at in range(len(data) - 99):
+            window = data[at : at + 100]
+            if window in seen:
+                gone[r["doc_id"]].update(range(at, at + 100))
+            seen.add(window)
+    for r in corpus_pipeline.suffix_array_dedup(spark, docs, path).collect():
+        data = (next(x["text"] for x in rows if x["doc_id"] == r["doc_id"]) or "").encode()
+        bytes_left, at = [], 0
+        for c in data.decode():  # characters that go in part stay whole
+            size = len(c.encode())
+            if not all(n in gone[r["doc_id"]] for n in range(at, at + size)):
+                bytes_left.append(c)
+            at += size
+        assert r["text"] == "".join(bytes_left) and r["n_chars"] == len(bytes_left)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

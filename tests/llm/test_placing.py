@@ -1,4 +1,5 @@
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -42,6 +43,8 @@ def test_sharding(odd_documents, no_documents):
         at = int(perm.forward([r["row_no"]])[0])
         assert (at % 4, at // 4) == (r["shard"], r["slot"])
     assert {r["doc_id"]: r["size"] for r in got}[1] == 16
+    texts = Counter((r["doc_id"], len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode())) for r in odd_documents.collect())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == texts
     assert sharding.shard_documents(no_documents).count() == 0
 
 
@@ -126,6 +129,19 @@ def test_mix_gives_a_row_for_each_copy(odd_documents, no_documents):
     assert mixing.mix(no_documents).count() == 0
 
 
+def test_mix_takes_any_names_and_draws_each_place_once(spark, odd_documents, documents):
+    odd = odd_documents.withColumnRenamed("size", "a.b").withColumn("row", F.lit(1)).withColumn("key", F.lit(2)).withColumn("copy", F.lit("c"))
+    assert mixing.mix(odd, shards=3).columns == odd.columns
+    # null ids are dealt by their texts
+    nameless = documents.withColumn("doc_id", F.lit(None).cast("long"))
+    assert mixing.sized(nameless, 64).select("_block").distinct().count() > 32
+    # whatever the shards, their ranges cover each source's quota: the same documents are taken as often
+    taken = lambda n: sorted((r["doc_id"], r["n"]) for r in mixing.plan(documents, shards=n, blocks=256).select("doc_id", F.size("shards").alias("n")).collect())
+    assert taken(1) == taken(7)
+    by_shard = mixing.plan(documents, shards=7, blocks=256).select(F.explode("shards").alias("s")).groupBy("s").count().collect()
+    assert {r["s"] for r in by_shard} == set(range(7))
+
+
 def test_given_weights(documents):
     p = mixing.plan(documents, weights={"src0": 1.0, "src1": 1.0})
     by = {r["source"]: r for r in p.groupBy("row.source").agg(F.first("target").alias("target"), F.first("source_size").alias("size")).collect()}

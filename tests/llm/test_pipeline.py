@@ -53,7 +53,7 @@ def test_stages_take_odd_and_empty_tables(spark, sf_dir, odd_documents, no_docum
         else:  # null, 1 (of 1 and 2), 3 twice, 5 (of 5 and 6) and 7 stay; suffixes drop no row
             assert (counts["simhash_near_dedup"], counts["suffix_array_dedup"], counts["best_fit_packing"] >= 10) == (6, 10, True)
     texts = {(r["doc_id"], r["_s"], r["row"]): r["text"] for r in corpus_pipeline.suffix_array_dedup(spark, named, sf_dir).collect()}
-    assert texts[1, 1, "x"] == "" and texts[7, 1, "x"] == "é́ ß 日本   x 😀" and texts[6, 1, "x"] == ""
+    assert texts[1, 1, "x"] == "" and texts[7, 1, "x"] == "é́ ß 日本 \u00a0 x 😀" and texts[6, 1, "x"] == ""
 
 
 def plain_jaccard(texts, width=5):

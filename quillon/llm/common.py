@@ -21,6 +21,9 @@ BROADCAST_BYTES = 64 << 20
 
 ARROW_ROWS = 1000
 
+#: What a worker remembers for its later tasks, by the operator that it is for.
+_MEMORY: dict[str, dict] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -78,8 +81,16 @@ def lean(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def tidy() -> None:
-    """Gives a Python worker's free memory back: workers wait for later tasks, and others start beside them."""
+def memory(operator: str) -> dict:
+    """What this process remembers for later tasks of an operator; what it does for others goes."""
+    for other in _MEMORY.keys() - {operator}:
+        del _MEMORY[other]
+    return _MEMORY.setdefault(operator, {})
+
+
+def tidy(operator: str = "") -> None:
+    """Gives a process's free memory back, and what it remembers for other operators: workers wait for later tasks, and others start beside them."""
+    memory(operator)
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

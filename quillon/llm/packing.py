@@ -122,7 +122,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = tokens.WORD_BPE, end_id: int
                         for column, value in zip(rows, row, strict=False):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(rows, fields, strict=True)], names=[n for n, _ in fields])
-        tidy()
+        tidy("tokens")
 
     return lean(docs).select("doc_id", text_or_empty().alias("text")).mapInArrow(cut, schema)
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import broadcast_if, lean, quoted, stored, text_or_empty, tidy
+from quillon.llm.common import broadcast_if, lean, memory, quoted, stored, text_or_empty, tidy
 from quillon.llm.tokens import as_list, in_slices
 
 LABELLED = 4000  #: labelled documents that are learned from, at most
@@ -42,8 +42,6 @@ ROOM = 300_000  #: words in each generation of what a worker remembers
 
 _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 _RUN = re.compile(rb"(.)\1+", re.DOTALL)
-#: Features of words seen of late, by word; when full it becomes the old one, and the old one goes.
-_SEEN: list[dict[str, int]] = [{}, {}]
 _LOWER, _TITLE = (WORDS + zlib.crc32(x) % SHAPES << 20 for x in (b"a", b"Aa"))
 
 Rows = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -83,9 +81,11 @@ def text_features(texts: list[str]) -> Rows:
     sizes = np.bincount(doc, minlength=n)
     coded = words.filter(pa.array(there)).dictionary_encode()
     token, names = coded.indices.to_numpy().astype(np.int64), as_list(coded.dictionary)
-    if len(_SEEN[0]) > ROOM:
-        _SEEN[:] = {}, _SEEN[0]
-    seen, old = _SEEN
+    # features of words seen of late, by word; when full it becomes the old one, and the old one goes
+    known = memory("quality")
+    if len(known.setdefault("seen", {})) > ROOM:
+        known["seen"], known["old"] = {}, known["seen"]
+    seen, old = known["seen"], known.get("old", {})
     seen.update([(w, old[w] if w in old else word_features(w)) for w in names if w not in seen])
     both = np.fromiter(map(seen.__getitem__, names), np.int64, len(names))
     same = np.zeros(len(token), bool)
@@ -309,7 +309,7 @@ def _sure_ids(others: DataFrame, model: CoTrained, quota: tuple[int, int], gone:
                     _, first = np.unique(both[1], return_index=True)
                     first = first[np.lexsort((both[1][first], both[0][first]))][: quota[label]]
                     kept[view, label] = both[0][first], both[1][first]
-        tidy()
+        tidy("quality")
         for (view, label), (order, ids) in kept.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), view, np.int32)), pa.array(np.full(len(ids), label, np.int32)), pa.array(order), pa.array(ids)], names=["view", "label", "order", "doc_id"])
 
@@ -344,7 +344,10 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, grow: in
             taken[view] += [i for _, i, _ in mine]
             if mine:
                 teacher.teach(view, *_unpacked([rows[i] for _, i, _ in mine]), np.array([label == 1 for *_, label in mine]))
-    return teacher.graduate()
+    model = teacher.graduate()
+    del teacher, got
+    tidy()
+    return model
 
 
 def scored(model: CoTrained | None) -> Column:
@@ -361,7 +364,7 @@ def scored(model: CoTrained | None) -> Column:
             t, m = text_features(some), meta_features(source[part].tolist(), lang[part].tolist(), n_chars[part].tolist())
             a, b = model.views(t, m)
             out.append(np.column_stack((model.score(t, m), sigmoid(a), sigmoid(b))))
-        tidy()
+        tidy("quality")
         return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 3)), columns=kind.names)
 
     return rate(F.col("text"), F.col("source"), F.col("lang"), F.col("n_chars").cast("double"))

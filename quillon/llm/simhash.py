@@ -285,6 +285,7 @@ def wide_fingerprints(docs: DataFrame, width: int, seed: int = SEED) -> DataFram
     from xxhash import xxh64_intdigest
 
     def scan(batches):
+        tidy()
         for batch in batches:
             texts, words = batch.column(2).to_pylist(), [[] for _ in range(3 + EXTRA)]
             least, some_words = [], []

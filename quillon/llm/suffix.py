@@ -128,6 +128,7 @@ def make_batches(docs: DataFrame, limit: int, carry: list[str]) -> DataFrame:
     """(batch, body, rest): the documents, and their carried columns as an Arrow stream."""
 
     def scan(rows):
+        tidy()
         from xxhash import xxh64_intdigest
 
         part, seq = TaskContext.get().partitionId(), 0
@@ -488,7 +489,12 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes:
         return pa.table({"shard": pa.array(some, pa.int32()), "batch": pa.array([t["batch"][0].as_py()] * len(some), pa.int64()), "body": pa.array(bodies, pa.binary())})
 
     runs = own.union(alone).groupBy("batch").applyInArrow(send, "shard int, batch long, body binary")
-    marks = runs.groupBy("shard").applyInArrow(lambda t: merge_shard(t, shape), "batch long, shard int, body binary")
+    def merge(t: pa.Table) -> pa.Table:
+        out = merge_shard(t, shape)
+        tidy()
+        return out
+
+    marks = runs.groupBy("shard").applyInArrow(merge, "batch long, shard int, body binary")
     none = F.lit(None).cast("binary").alias("rest")
     answers = alone.withColumn("shard", F.col("shard") * 2).union(marks.withColumn("shard", F.col("shard") * 2 + 1)).select("batch", "shard", "body", none)
 
@@ -500,6 +506,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes:
         gone = find_spans(texts, run, {s // 2: v for s, v in by.items() if s % 2}, shape)
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * (text is not None)
         out: dict[str, list] = {k: [] for k in names}
+        del run, by
         edges = np.diff(gone.astype(np.int8), prepend=0) == 1
         for i, null, start, size in zip(texts.ids.tolist(), texts.null.tolist(), texts.starts.tolist(), texts.sizes.tolist(), strict=True):
             data, g = texts.data[start : start + size], gone[start : start + size]
@@ -509,7 +516,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes:
                 row.append((data[~whole_characters(data, g)] if removed else data).tobytes().decode("utf-8", "replace"))
             for k, v in zip(names, row, strict=True):
                 out[k].append(v)
-        del run, gone, edges
+        del texts, gone, edges
         tidy()
         kinds = [pa.int64()] * 4 + [pa.string()] * 2
         columns = [pa.array(out[k], kind) for k, kind in zip(names, kinds, strict=False)]

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quillon.llm.common import memory
+
 #: Files of the public_tokenizers package.
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -28,7 +30,6 @@ _FAR = re.compile(r"[^\x00-\x1b\x20-\u024f]")
 STOPS = '.,;:!?$%&*#@()[]{}"_+=/|~^-'
 #: What the word vocabulary's file cuts at (a fixed value of that file).
 _WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_ENCODERS: dict[tuple[str, str], UnitEncoder] = {}
 
 
 def tokenizer_path(name_or_path: str) -> str:
@@ -221,9 +222,10 @@ class UnitEncoder:
 def encoder(name_or_path: str, kind: str, room: int = 250_000) -> UnitEncoder:
     """One encoder for each Python worker, with what it has learned from earlier tasks; a unit takes about 250 bytes."""
     key = (name_or_path, kind)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = UnitEncoder(name_or_path, kind, room)
-    return _ENCODERS[key]
+    known = memory("tokens")
+    if key not in known:
+        known[key] = UnitEncoder(name_or_path, kind, room)
+    return known[key]
 
 
 def in_slices(texts: list[str | None], chars: int = 1_500_000):

@@ -259,7 +259,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = tokens.BYTE_BPE,
                         yield file()
         if parts:
             yield file()
-        tidy()
+        tidy("tokens")
 
     # rows with one doc_id go to several tasks: the hash, then the place they come from, tells them apart
     order = ["doc_id", "_hash", "_place"]

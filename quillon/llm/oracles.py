@@ -38,4 +38,23 @@ counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
 FROM embeddings e LEFT JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)"""
 
-ORACLES: dict[str, str] = {"op2_one_bit_search": OP2, "op3_suffix_dedup": OP3, "op5_itq_near_duplicates": OP5, "mixing_targets": TARGETS}
+# crc32 is the sum over the bytes of the decimal number, eight bits each
+OP12 = """WITH RECURSIVE t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, d, length(text) AS chars, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, d) - 1 AS place FROM t),
+k AS (SELECT DISTINCT c, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda s, b: list_reduce(list_concat([xor(s, b)], range(8)::BIGINT[]), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END))) % 6 AS h FROM o),
+r AS (SELECT k.c, place, d, chars FROM k JOIN o ON o.c = k.c - k.c % 100 AND place < h UNION ALL SELECT o.c, place, d, chars FROM o JOIN k USING (c) WHERE place >= h),
+n AS (SELECT c, d, chars, row_number() OVER (PARTITION BY c ORDER BY place) AS depth FROM r),
+p AS (SELECT c, 0::BIGINT AS depth, '' AS path, 0::BIGINT AS chars FROM k
+  UNION ALL SELECT p.c, n.depth, path || d, n.chars FROM p JOIN n ON n.c = p.c AND n.depth = p.depth + 1),
+m AS (SELECT c, max(depth) AS last FROM p GROUP BY c),
+a AS (SELECT path, p.depth, min(chars) AS chars, min(p.c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(p.c::VARCHAR, ',' ORDER BY p.c) FILTER (WHERE p.depth = last), '')) AS ends_sha256 FROM p JOIN m USING (c) GROUP BY path, p.depth),
+f AS (SELECT a.*, (SELECT count(*) FROM a b WHERE b.depth = a.depth + 1 AND starts_with(b.path, a.path)) AS n_children FROM a),
+s AS (SELECT f.path, sum((g.n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum((g.n_convs - 1) * g.chars)::BIGINT AS saved_tokens FROM f JOIN f g ON starts_with(g.path, f.path) GROUP BY f.path)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM f JOIN s USING (path) LEFT JOIN f u ON f.depth > 0 AND u.path = substr(f.path, 1, (f.depth - 1) * 32)"""
+
+ORACLES: dict[str, str] = {"op2_one_bit_search": OP2, "op3_suffix_dedup": OP3, "op5_itq_near_duplicates": OP5, "op12_conversation_trie": OP12, "mixing_targets": TARGETS}

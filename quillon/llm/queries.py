@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import ann, itq, lm, mixing, packing, quality, sharding, simhash, suffix, toxicity, wavelet
+from quillon.llm import ann, itq, lm, mixing, packing, quality, sharding, simhash, suffix, toxicity, trie, wavelet
 from quillon.llm.common import scratch, table
 
 
@@ -67,6 +67,10 @@ def op11_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_elias_fano_scores, op2_one_bit_search, op3_suffix_dedup, op4_wavelet_tokens, op5_itq_near_duplicates, op6_best_fit_packing, op7_simhash_groups, op8_co_training, op9_source_mixing, op10_feistel_sharding, op11_string_kernel_toxicity)
+    f.__name__: f for f in (op1_elias_fano_scores, op2_one_bit_search, op3_suffix_dedup, op4_wavelet_tokens, op5_itq_near_duplicates, op6_best_fit_packing, op7_simhash_groups, op8_co_training, op9_source_mixing, op10_feistel_sharding, op11_string_kernel_toxicity, op12_conversation_trie)
 } | {"mixing_targets": mixing_targets}

@@ -15,12 +15,12 @@ def _pairs(n: str) -> Column:
     return F.col(n) * (F.col(n) - 1) / 2
 
 
-def adjusted_rand(rows: DataFrame, truth: str, predicted: str, keys: list[str]) -> DataFrame:
+def adjusted_rand(rows: DataFrame, truth: str, predicted: str, keys: list[str], weight: str | None = None) -> DataFrame:
     """(keys, n_sequences, adjusted_rand_index): Hubert and Arabie 1985 from contingency counts.
 
-    Two trivial partitions agree fully: a zero denominator gives 1.
+    Two trivial partitions agree fully: a zero denominator gives 1. weight: how many members a row stands for.
     """
-    cells = rows.groupBy(*keys, truth, predicted).agg(F.count("*").alias("n"))
+    cells = rows.groupBy(*keys, truth, predicted).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     side = lambda c, name: cells.groupBy(*keys, c).agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.sum(_pairs("n")).alias(name))
     both = cells.groupBy(*keys).agg(F.sum(_pairs("n")).alias("both"), F.sum("n").alias("n_sequences"))
     left, right = side(truth, "left"), side(predicted, "right")

@@ -5,7 +5,9 @@ A node is whatever `keys` name; its clusters are in `cluster`, its members in (o
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,13 +16,54 @@ from quillon.functions import kernels
 from quillon.operators.checks import fail_on
 
 GAP = "-"
+LETTERS = 1 << 20  #: letters that a task counts at once
+
+
+def column_counts(members: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pos, base, n, first): how many members have each letter in each column, and the least ord of these.
+
+    Tasks count `LETTERS` letters at a time in arrays, so the shuffle sees a row for each column and letter of such a
+    lot, not one for each letter of each member. A member without seq has none.
+    """
+    def count(batches):
+        for batch in batches:
+            node = batch.column("_node").dictionary_encode()
+            codes, ords = node.indices.to_numpy(), batch.column("ord").to_numpy(zero_copy_only=False)
+            _, of_node = np.unique(codes, return_index=True)  # a row of each node
+            texts = batch.column("seq").to_pylist()
+            lots, size = [[]], 0
+            for row, text in enumerate(texts):
+                for start in range(0, len(text or ""), LETTERS):
+                    piece = text[start : start + LETTERS]
+                    if size and size + len(piece) > LETTERS:
+                        lots.append([])
+                        size = 0
+                    lots[-1].append((row, start, piece))
+                    size += len(piece)
+            for lot in filter(None, lots):
+                rows, starts, sizes = np.array([x[0] for x in lot]), np.array([x[1] for x in lot]), np.array([len(x[2]) for x in lot])
+                letter = np.frombuffer("".join(x[2] for x in lot).encode("utf-32-le", "surrogatepass"), np.uint32)
+                row = np.repeat(rows, sizes)
+                pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
+                order = np.lexsort((ords[row], letter, pos, codes[row]))
+                key = np.stack((codes[row], pos, letter.astype(np.int64)))[:, order]
+                new = np.ones(len(order), bool)
+                new[1:] = (key[:, 1:] != key[:, :-1]).any(0)
+                at = np.flatnonzero(new)
+                one = pa.array(of_node[key[0, at]])
+                columns = [batch.column(k).take(one) for k in keys]
+                columns += [pa.array(key[1, at].astype(np.int32)), pa.array([chr(c) for c in key[2, at]]), pa.array(np.diff(at, append=len(order))), pa.array(ords[row[order[at]]], batch.column("ord").type)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "pos", "base", "n", "first"])
+
+    schema = T.StructType([*[T.StructField(k, members.schema[k].dataType) for k in keys], T.StructField("pos", T.IntegerType()), T.StructField("base", T.StringType()), T.StructField("n", T.LongType()), T.StructField("first", members.schema["ord"].dataType)])
+    named = members.select(*keys, "ord", "seq", F.to_json(F.struct(*keys)).alias("_node"))
+    return named.mapInArrow(count, schema).groupBy(*keys, "pos", "base").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 def column_votes(members: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, pos, base): the commonest character of each column; of equal ones the first in member order."""
     fail_on(members.groupBy(*keys).agg(F.count_distinct(F.length("seq")).alias("n")).filter("n > 1").select(*keys), "aligned sequences differ in length")
-    letters = members.select(*keys, "ord", F.posexplode(F.split("seq", "")).alias("pos", "base"))
-    votes = letters.groupBy(*keys, "pos", "base").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    votes = column_counts(members, keys)
     return votes.groupBy(*keys, "pos").agg(F.max_by("base", F.struct("n", -F.col("first"))).alias("base"))
 
 

@@ -74,25 +74,37 @@ def canonical(label: np.ndarray) -> np.ndarray:
     return order[place]
 
 
-def silhouettes(x: np.ndarray, label: np.ndarray, some: slice = slice(None), step: int = 1 << 20) -> np.ndarray:
-    """The silhouettes of some of the points among all of them."""
+def silhouettes(x: np.ndarray, label: np.ndarray, step: int = 1 << 20) -> np.ndarray:
     k, n = int(label.max()) + 1 if len(label) else 0, len(x)
     member = np.zeros((n, k))
     member[np.arange(n), label] = 1
-    sizes, points, own = member.sum(0), x[some], label[some]
+    sizes, points, own = member.sum(0), x, label
     # differences, not a product form: the values must hold to the last digits
     at = max(1, step // max(1, x.size))
     total = np.concatenate([np.zeros((0, k)), *[np.sqrt(((points[i : i + at, None] - x[None]) ** 2).sum(2)) @ member for i in range(0, len(points), at)]])
-    mine = np.arange(len(points))
+    return silhouettes_of(total, own, sizes)
+
+
+def silhouettes_of(total: np.ndarray, own: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Silhouettes from each point's distances to the members of each cluster, summed; its own cluster; and the clusters' sizes."""
+    mine = np.arange(len(total))
     a = total[mine, own] / np.maximum(sizes[own] - 1, 1)
     other = total / np.maximum(sizes, 1)
     other[:, sizes == 0] = np.inf
     other[mine, own] = np.inf
-    b = other.min(1) if k else np.zeros(0)
+    b = other.min(1) if total.shape[1] else np.zeros(0)
     top = np.maximum(a, b)
     return np.where((sizes[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
 
 
+def distances_by_dimension(x: np.ndarray, y: np.ndarray):
+    """Distances of x's rows and y's over the first coordinate, the first two, and so on: squares are added up one coordinate at a time."""
+    squares = np.zeros((len(x), len(y)))
+    for d in range(x.shape[1]):
+        squares += (x[:, d, None] - y[None, :, d]) ** 2
+        yield d + 1, np.sqrt(squares)
+
+
 def _codes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le"), np.uint32)
 

@@ -1,9 +1,9 @@
 """Spectral clustering of each family, and its parts as queries.
 
-The unit of work is a node: one family, or one branch of its hierarchy. Up to `DENSE` members it is
+The unit of work is a node: one family, or one branch of its hierarchy. Its affinities come in tiles. Up to `DENSE` members they make
 one dense problem inside one task, and all nodes run side by side. The affinities of a larger one are never in one
-place: its embedding comes from products over the edges, k-means sees the embedding alone, a task
-for each k, and silhouettes are computed in blocks of members.
+place: its embedding comes from products tile by tile, to residuals that make it the dense one's equal (`eigen`); k-means sees the
+embedding alone, a task for each k; silhouettes for all k come from one pass over pairs of blocks of members.
 """
 
 from __future__ import annotations
@@ -12,17 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import kernels
+from quillon.operators import eigen, tiles
 from quillon.operators.checks import align_labels, fail_on, validate_square_matrix
 from quillon.operators.evaluation import adjusted_rand, candidate_choice
-from quillon.operators.matrix import degree
 from quillon.session import settled
 
 DENSE = 6000  #: members of the largest node solved in one task
-SILHOUETTES = 2000  #: members of a larger node whose silhouettes are one task
 GLOBAL_K = 20
 
 
@@ -118,14 +118,6 @@ def silhouette(edges: DataFrame, clusters: DataFrame) -> DataFrame:
 # ---- dense nodes
 
 
-def dense_block(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(ordinals, affinity matrix) of a node's edges."""
-    ids, place = np.unique(np.concatenate((pdf["i"].to_numpy(), pdf["j"].to_numpy())), return_inverse=True)
-    block = np.zeros((len(ids), len(ids)))
-    block[place[: len(pdf)], place[len(pdf) :]] = pdf["affinity"].to_numpy()
-    return ids, block
-
-
 def sweep(block: np.ndarray, components: int, ks: range, seed: int, guarded: bool) -> Iterator[tuple[int, float | None, str | None, np.ndarray, np.ndarray]]:
     """(k, mean silhouette, error, labels, silhouettes) for each k, on the first k coordinates of one embedding.
 
@@ -150,20 +142,29 @@ def sweep(block: np.ndarray, components: int, ks: range, seed: int, guarded: boo
             yield k, None, f"{type(e).__name__}: {e}", none.astype(np.int64), none
 
 
-SWEEP = "family string, k int, mean_silhouette double, ord int, cluster int, silhouette double"
+SWEEP = "k int, mean_silhouette double, ord int, cluster int, silhouette double"
+
+
+def one_shot_components(n: int) -> int:
+    return n - 2 if n < 22 else 20
+
+
+def _as_nodes(affinity: DataFrame) -> DataFrame:
+    return settled(tiles.tiled(affinity.select(F.col("family").alias("node"), "i", "j", "affinity")))
 
 
 def spectral_embedding(affinity: DataFrame, components: int | None = None) -> DataFrame:
     """(family, ord, vec): one-shot components unless given."""
+    count, side = lambda n: components or one_shot_components(n), tiles.SIDE
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, block = dense_block(pdf)
-        n = len(ids)
-        return pd.DataFrame({"family": pdf["family"].iloc[0], "ord": ids, "vec": list(kernels.spectral_embedding(block, components or (n - 2 if n < 22 else 20)))})
+    def solve(table: pa.Table) -> pa.Table:
+        ids, block = tiles.assembled(table, side)
+        x = kernels.spectral_embedding(block, count(len(ids)))
+        return pa.table({"family": pa.array([table.column("node")[0].as_py()] * len(ids), table.schema.field("node").type), "ord": pa.array(ids, pa.int32()), "vec": pa.array(list(x), pa.list_(pa.float64()))})
 
-    small, large = by_size(affinity.select("family", "i", "j", "affinity"), ["family"])
-    solved = small.groupBy("family").applyInPandas(solve, "family string, ord int, vec array<double>")
-    return solved if large is None else solved.unionByName(spectral_embedding_large(large, components or 20))
+    small, large = by_size(_as_nodes(affinity))
+    solved = small.groupBy("node").applyInArrow(solve, "family string, ord int, vec array<double>")
+    return solved if large is None else solved.unionByName(spectral_embedding_large(large, count))
 
 
 def check_sizes(affinity: DataFrame, least: int = 4) -> None:
@@ -171,32 +172,35 @@ def check_sizes(affinity: DataFrame, least: int = 4) -> None:
     fail_on(sizes.filter(F.col("n") < least).select("family"), f"spectral clustering needs at least {least} sequences")
 
 
-def by_size(edges: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
-    """edges of the nodes of up to DENSE members, and of the others; None if there are none."""
-    sizes = edges.filter("i = j").groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > DENSE).select(*keys)
-    large = settled(sizes)
+def by_size(tiled: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Tiles of the nodes of up to DENSE members, and of the others; None if there are none."""
+    large = settled(tiles.extents(tiled).filter(F.col("n") > DENSE).select("node"))
     if large.isEmpty():
-        return edges, None
-    return edges.join(large, keys, "left_anti"), edges.join(large, keys, "left_semi")
+        return tiled, None
+    return tiled.join(F.broadcast(large), "node", "left_anti"), settled(tiled.join(F.broadcast(large), "node", "left_semi"))
 
 
 def k_sweep(affinity: DataFrame, seed: int = 0) -> DataFrame:
     """(family, k, mean_silhouette, ord, cluster, silhouette) for k from 2 to the component count."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, block = dense_block(pdf)
-        n = len(ids)
-        c = n - 2 if n < 22 else 20
-        parts = [pd.DataFrame({"family": pdf["family"].iloc[0], "k": k, "mean_silhouette": mean, "ord": ids, "cluster": label, "silhouette": values}) for k, mean, _, label, values in sweep(block, c, range(2, c + 1), seed, False)]
-        return pd.concat(parts)
-
-    small, large = by_size(affinity.select("family", "i", "j", "affinity"), ["family"])
-    swept = small.groupBy("family").applyInPandas(solve, SWEEP)
+    side = tiles.SIDE
+
+    def solve(table: pa.Table) -> pa.Table:
+        ids, block = tiles.assembled(table, side)
+        c = one_shot_components(len(ids))
+        found = [(k, mean, label, values) for k, mean, _, label, values in sweep(block, c, range(2, c + 1), seed, False)]
+        node = pa.array([table.column("node")[0].as_py()], table.schema.field("node").type)
+        return pa.concat_tables(
+            pa.table({"family": node.take(pa.array(np.zeros(len(ids), np.int32))), "k": pa.array(np.full(len(ids), k, np.int32)), "mean_silhouette": np.full(len(ids), mean), "ord": pa.array(ids, pa.int32()), "cluster": pa.array(label, pa.int32()), "silhouette": values})
+            for k, mean, label, values in found
+        )
+
+    small, large = by_size(_as_nodes(affinity))
+    swept = small.groupBy("node").applyInArrow(solve, f"family string, {SWEEP}")
     if large is None:
         return swept
-    found = sweep_large(large, 20, lambda n: range(2, 21), seed)
-    fail_on(found.filter("error is not null").select("family", "k", "error"), "large families cannot be clustered")
-    return swept.unionByName(found.drop("error"))
+    found = sweep_large(large, one_shot_components, lambda n: range(2, one_shot_components(n) + 1), seed)
+    fail_on(found.filter("error is not null").select("node", "k", "error"), "large families cannot be clustered")
+    return swept.unionByName(found.drop("error").withColumnRenamed("node", "family"))
 
 
 def run_spectral_clustering(affinity: DataFrame, known: DataFrame | None = None, *, kmeans_seed: int = 0, checked: bool = True) -> SpectralResult:
@@ -230,132 +234,113 @@ def run_spectral_clustering(affinity: DataFrame, known: DataFrame | None = None,
 # ---- families too large for one task
 
 
-def sweep_large(affinity: DataFrame, components: int, ks, seed: int) -> DataFrame:
-    """SWEEP's columns and error of nodes by `family`, without a node's edges in one place; ks gives the k to try by size.
+def sweep_large(tiled: DataFrame, components, ks, seed: int) -> DataFrame:
+    """node with SWEEP's columns and error, without a node's affinities in one place; components and ks by number of members.
 
     A candidate that fails has one row, with its error and no member.
     """
-    embedded = spectral_embedding_large(affinity, components)
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        x = np.array(pdf["vec"].tolist())
-        x *= np.where(x[np.abs(x).argmax(0), np.arange(x.shape[1])] < 0, -1.0, 1.0)
-        tried = list(ks(len(x)))
-        return pd.DataFrame({"family": pdf["family"].iloc[0], "k": tried, "n": len(x), "ords": pdf["ord"].to_numpy(np.int32).tobytes(), "x": [np.ascontiguousarray(x[:, :k]).tobytes() for k in tried]})
-
-    def cluster(frames):
-        for frame in frames:
-            for r in frame.itertuples():
-                label, error = np.empty(0, np.int64), None
-                try:
-                    label = kernels.kmeans(np.frombuffer(r.x).reshape(-1, r.k), r.k, seed)
-                    if not 2 <= len(np.unique(label)) < r.n:
-                        error = "invalid_number_of_clusters"
-                except Exception as e:
-                    error = f"{type(e).__name__}: {e}"
-                yield pd.DataFrame([(r.family, r.k, r.n, r.ords, r.x, label.astype(np.int32).tobytes(), error)], columns=["family", "k", "n", "ords", "x", "labels", "error"])
-
-    def measure(frames):
-        for frame in frames:
-            for r in frame.itertuples():
-                label, ords, some = np.frombuffer(r.labels, np.int32), np.frombuffer(r.ords, np.int32), slice(r.block * SILHOUETTES, (r.block + 1) * SILHOUETTES)
-                if r.error is not None:
-                    yield pd.DataFrame({"family": [r.family], "k": r.k, "ord": None, "cluster": None, "silhouette": None, "error": r.error})
-                else:
-                    values = kernels.silhouettes(np.frombuffer(r.x).reshape(-1, r.k), label, some)
-                    yield pd.DataFrame({"family": r.family, "k": r.k, "ord": ords[some], "cluster": label[some], "silhouette": values, "error": None})
-
-    packed = embedded.groupBy("family").applyInPandas(pack, "family string, k int, n long, ords binary, x binary").repartition("family", "k")
-    clustered = settled(packed.mapInPandas(cluster, "family string, k int, n long, ords binary, x binary, labels binary, error string"))
-    blocks = F.when(F.col("error").isNull(), F.sequence(F.lit(0), ((F.col("n") - 1) / SILHOUETTES).cast("int"))).otherwise(F.array(F.lit(0)))
-    spread = clustered.withColumn("block", F.explode(blocks)).repartition("family", "k", "block")
-    found = settled(spread.mapInPandas(measure, "family string, k int, ord int, cluster int, silhouette double, error string"))
-    means = found.groupBy("family", "k").agg(F.avg("silhouette").alias("mean_silhouette"))
-    return found.join(means, ["family", "k"]).select("family", "k", "mean_silhouette", "ord", "cluster", "silhouette", "error")
-
-
-WARM, CYCLES, DEGREE = 4, 3, 10  #: plain products, then filters of so many products each
-
-
-def spectral_embedding_large(affinity: DataFrame, components: int, seed: int = 1) -> DataFrame:
-    """(family, ord, vec) by Chebyshev-filtered subspace iteration on S = D^-1/2 W D^-1/2 (Zhou and others 2006).
-
-    Products with S are one join and one aggregate over the edges, for all columns at once; a filter
-    of `DEGREE` products damps what lies below the least Ritz value. Only Gram and Ritz matrices of
-    components + 1 rows of each family reach the driver.
+    blocks, facts = eigen.leading(tiled, components)
+    spark, kind = tiled.sparkSession, tiles.node_kind(tiled)
+    widths = {node: min(components(n), n - 1) for node, (n, _, _) in facts.items()}
+    tried = {node: list(ks(n)) for node, (n, _, _) in facts.items()}
+    plan = spark.createDataFrame([(node, k) for node, some in tried.items() for k in some], f"node {kind}, k int")
+
+    def cluster(table: pa.Table) -> pa.Table:
+        node, k = table.column("node")[0].as_py(), table.column("k")[0].as_py()
+        rows = sorted(table.select(["b", "x", "seen"]).to_pylist(), key=lambda r: r["b"])
+        seen = [np.frombuffer(r["seen"], bool) for r in rows]
+        label, error = None, None
+        try:
+            x = np.concatenate([np.frombuffer(r["x"]).reshape(-1, widths[node])[some, :k] for r, some in zip(rows, seen, strict=True)])
+            label = kernels.kmeans(x, k, seed)
+            if not 2 <= len(np.unique(label)) < len(x):
+                error = "invalid_number_of_clusters"
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"
+        sizes = np.cumsum([0, *[int(some.sum()) for some in seen]])
+        labels = [None if error else label[a:b].astype(np.int32).tobytes() for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
+        one = pa.array(np.zeros(len(rows), np.int32))
+        return pa.table({"node": table.column("node").take(one), "k": table.column("k").take(one), "b": pa.array([r["b"] for r in rows], pa.int32()), "labels": pa.array(labels, pa.binary()), "error": pa.array([error] * len(rows), pa.string())})
+
+    clustered = settled(blocks.join(F.broadcast(plan), "node").groupBy("node", "k").applyInArrow(cluster, f"node {kind}, k int, b int, labels binary, error string"))
+    labelled = clustered.filter("error is null").groupBy("node", "b").agg(F.array_sort(F.collect_list(F.struct("k", "labels"))).alias("all"))
+    points = settled(blocks.join(labelled.select("node", "b", F.col("all.k").alias("ks"), F.col("all.labels").alias("labels")), ["node", "b"]))
+    found = settled(_silhouettes(points, widths))
+    means = found.groupBy("node", "k").agg(F.avg("silhouette").alias("mean_silhouette"))
+    good = found.join(means, ["node", "k"]).withColumn("error", F.lit(None).cast("string"))
+    failed = clustered.filter("error is not null").select("node", "k", "error").distinct()
+    return good.unionByName(failed, allowMissingColumns=True).select("node", "k", "mean_silhouette", "ord", "cluster", "silhouette", "error")
+
+
+def _silhouettes(points: DataFrame, widths: dict) -> DataFrame:
+    """(node, k, ord, cluster, silhouette) for all k: each block of points meets each other block of its node once, as a stream.
+
+    points: (node, b, seen, x, ks, labels). Distances over one coordinate more serve the next k, so a pair of blocks is measured once.
     """
-    width = components + 1
-    spark = affinity.sparkSession
-    d = settled(degree(affinity.filter("i <> j")).withColumn("s", F.when(F.col("degree") > 0, 1 / F.sqrt("degree")).otherwise(1.0)))
-    two = d.select("family", F.col("i").alias("j"), F.col("s").alias("t"))
-    weights = settled(affinity.filter("affinity <> 0 and i <> j").join(d, ["family", "i"]).join(two, ["family", "j"]).select("family", "i", "j", (F.col("affinity") * F.col("s") * F.col("t")).alias("w")))
-    start = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda c: F.xxhash64(F.lit(seed), F.col("family"), F.col("i"), c) / F.lit(2.0**63))
-    state = settled(d.select("family", "i", start.alias("v")))
-    zero = F.array_repeat(F.lit(0.0), width)
-
-    def pulled(rows: DataFrame) -> DataFrame:
-        """rows with u = S v."""
-        return rows.join(_product(weights, rows, width), ["family", "i"], "left").withColumn("u", F.coalesce("u", zero))
-
-    def turned(rows: DataFrame, turns: dict[str, np.ndarray]) -> DataFrame:
-        table = spark.createDataFrame([(f, t.T.tolist()) for f, t in turns.items()], "family string, turn array<array<double>>")
-        return settled(rows.join(table, "family").select("family", "i", _times("turn", "v").alias("v")))
-
-    def white(rows: DataFrame) -> DataFrame:
-        for _ in range(2):  # the second time for what rounding left
-            rows = turned(rows, {f: _whitener(g) for f, g in _matrices(rows, "v", width).items()})
-        return rows
-
-    def ritz(rows: DataFrame) -> tuple[DataFrame, dict[str, np.ndarray]]:
-        found = {f: np.linalg.eigh((m + m.T) / 2) for f, m in _matrices(pulled(rows), "u", width).items()}
-        order = {f: np.argsort(-values) for f, (values, _) in found.items()}
-        return turned(rows, {f: vectors[:, order[f]] for f, (_, vectors) in found.items()}), {f: values[order[f]] for f, (values, _) in found.items()}
-
-    state = white(state)
-    for _ in range(WARM):
-        state = white(settled(pulled(state).select("family", "i", F.zip_with("v", "u", lambda x, y: x + y).alias("v"))))
-    for _ in range(CYCLES):
-        state, values = ritz(state)
-        # the interval [-1, least Ritz value], by its middle and half its length
-        low = spark.createDataFrame([(f, float((x[-1] - 1) / 2), float(max((x[-1] + 1) / 2, 1e-6))) for f, x in values.items()], "family string, middle double, half double")
-        rows = state.withColumn("last", F.lit(None).cast("array<double>"))
-        for n in range(DEGREE):
-            step = F.zip_with("u", "v", lambda y, x: (y - F.col("middle") * x) / F.col("half"))
-            new = step if n == 0 else F.zip_with(step, "last", lambda x, y: 2 * x - y)
-            rows = settled(pulled(rows).join(low, "family").select("family", "i", new.alias("_v"), F.col("v").alias("last")).withColumnRenamed("_v", "v"))
-        state = white(rows.select("family", "i", "v"))
-    state, _ = ritz(state)
-    scaled = state.join(d, ["family", "i"])
-    return scaled.select("family", F.col("i").alias("ord"), F.transform(F.slice("v", 2, components), lambda x: x * F.col("s")).alias("vec"))
-
-
-def _times(matrix: str, vector: str) -> Column:
-    return F.transform(matrix, lambda row: F.aggregate(F.zip_with(row, vector, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
-
-
-def _product(weights: DataFrame, state: DataFrame, width: int) -> DataFrame:
-    side = state.select("family", F.col("i").alias("j"), *[F.col("v")[c].alias(f"v{c}") for c in range(width)])
-    sums = weights.join(side, ["family", "j"]).groupBy("family", "i").agg(*[F.sum(F.col("w") * F.col(f"v{c}")).alias(f"u{c}") for c in range(width)])
-    return sums.select("family", "i", F.array(*[f"u{c}" for c in range(width)]).alias("u"))
-
-
-def _matrices(rows: DataFrame, other: str, width: int) -> dict[str, np.ndarray]:
-    """For each family the sums of the products of v's columns with other's, width squared numbers."""
-
-    def partial(frames):
-        for frame in frames:
-            for family, part in frame.groupby("family"):
-                yield pd.DataFrame({"family": [family], "m": [(np.stack(part["v"]).T @ np.stack(part[other])).ravel().tolist()]})
-
-    sums = rows.select("family", "v", *([other] if other != "v" else [])).mapInPandas(partial, "family string, m array<double>")
-    each = sums.select("family", F.posexplode("m").alias("n", "x")).groupBy("family", "n").agg(F.sum("x").alias("x"))
-    out: dict[str, np.ndarray] = {}
-    for r in each.collect():
-        out.setdefault(r["family"], np.zeros(width * width))[r["n"]] = r["x"]
-    return {f: m.reshape(width, width) for f, m in out.items()}
-
-
-def _whitener(gram: np.ndarray) -> np.ndarray:
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    return vectors / np.sqrt(np.maximum(values, values.max() * 1e-15 + 1e-300))
+    kind, side = tiles.node_kind(points), tiles.SIDE
+    count = points.groupBy("node").agg(F.count("*").alias("_n"))
+    right = points.join(F.broadcast(count), "node").withColumn("left", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1))).drop("_n")
+    ranks = points.select("node", "b").groupBy("node").agg(F.array_sort(F.collect_list("b")).alias("_b"))
+    left = points.join(F.broadcast(ranks), "node").withColumn("left", (F.array_position("_b", F.col("b")) - 1).cast("int")).drop("_b")
+    pairs = left.withColumn("own", F.lit(0)).unionByName(right.withColumn("own", F.lit(1))).repartition("node", "left").sortWithinPartitions("node", "left", "own", "b")
+
+    def read(row: dict) -> tuple[int, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+        seen = np.frombuffer(row["seen"], bool)
+        return row["b"], np.flatnonzero(seen), np.frombuffer(row["x"]).reshape(-1, widths[row["node"]])[seen], {k: np.frombuffer(x, np.int32) for k, x in zip(row["ks"], row["labels"], strict=True)}
+
+    def measure(batches):
+        own, total, sizes = None, {}, {}
+
+        def done():
+            (node, _), (b, ids, _, labels) = own
+            for k, label in labels.items():
+                n = len(label)
+                yield pa.RecordBatch.from_arrays([pa.array([node] * n, node_type), pa.array(np.full(n, k, np.int32)), pa.array((ids + b * side).astype(np.int32)), pa.array(label), pa.array(kernels.silhouettes_of(total[k], label, sizes[k]))], names=["node", "k", "ord", "cluster", "silhouette"])
+
+        for batch in batches:
+            node_type = batch.schema.field("node").type
+            for n in range(batch.num_rows):
+                row = batch.slice(n, 1).to_pylist()[0]
+                if row["own"] == 0:
+                    if own is not None:
+                        yield from done()
+                    own = (row["node"], row["left"]), read(row)
+                    total = {k: np.zeros((len(own[1][1]), k)) for k in own[1][3]}
+                    sizes = {k: np.zeros(k) for k in total}
+                    continue
+                _, _, y, labels = read(row)
+                for k, gaps in kernels.distances_by_dimension(own[1][2], y):
+                    if k in total:
+                        member = np.zeros((len(y), k))
+                        member[np.arange(len(y)), labels[k]] = 1
+                        total[k] += gaps @ member
+                        sizes[k] += member.sum(0)
+        if own is not None:
+            yield from done()
+
+    return pairs.select("node", "left", "own", "b", "seen", "x", "ks", "labels").mapInArrow(measure, f"node {kind}, k int, ord int, cluster int, silhouette double")
+
+
+def spectral_embedding_large(tiled: DataFrame, components) -> DataFrame:
+    """(family, ord, vec) of large nodes; in each column the value of the largest size is positive, of equal ones the first."""
+    blocks, facts = eigen.leading(tiled, components)
+    widths = {node: min(components(n), n - 1) for node, (n, _, _) in facts.items()}
+    kind, side = tiles.node_kind(tiled), tiles.SIDE
+
+    def largest(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            x = [np.frombuffer(r["x"]).reshape(-1, widths[r["node"]]) for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("b"), pa.array([y[np.abs(y).argmax(0), np.arange(y.shape[1])].tolist() for y in x], pa.list_(pa.float64()))], names=["node", "b", "top"])
+
+    tops = blocks.select("node", "b", "x").mapInArrow(largest, f"node {kind}, b int, top array<double>").select("node", "b", F.posexplode("top").alias("d", "x"))
+    signs = tops.groupBy("node", "d").agg(F.max_by(F.col("x") < 0, F.struct(F.abs("x"), -F.col("b"))).alias("down")).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "down"))), lambda e: e["down"]).alias("down"))
+
+    def unpack(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids = np.flatnonzero(np.frombuffer(r["seen"], bool))
+                x = np.frombuffer(r["x"]).reshape(-1, widths[r["node"]])[ids] * np.where(r["down"], -1.0, 1.0)
+                yield pa.RecordBatch.from_arrays([pa.array([r["node"]] * len(ids), batch.schema.field("node").type), pa.array((ids + r["b"] * side).astype(np.int32)), pa.array(list(x), pa.list_(pa.float64()))], names=["family", "ord", "vec"])
+
+    return blocks.join(signs, "node").select("node", "b", "seen", "x", "down").mapInArrow(unpack, f"family {kind}, ord int, vec array<double>")

@@ -119,50 +119,7 @@ def test_affinities_must_be_symmetric_and_not_negative(spark):
         clustering.run_spectral_clustering(good.withColumn("affinity", F.when(F.col("i") != F.col("j"), -F.col("affinity") - 1).otherwise(0.0)))
 
 
-def test_large_families_are_clustered_as_small_ones(spark, monkeypatch):
-    """The same choice, members and scores on both sides of the limit; k-means of many parts of one group may differ."""
-    import numpy as np
-
-    rng = np.random.default_rng(5)
-    x = np.concatenate([rng.normal(c, 0.2, (n, 2)) for c, n in (((0, 0), 9), ((4, 0), 8), ((0, 5), 11))])
-    m = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-    names = [f"s{i}" for i in range(len(x))]
-    a = matrix.distance_to_affinity(edges(spark, m, names))
-    known = spark.createDataFrame([("f", i, f"s{i}", "ABC"[(i > 8) + (i > 16)]) for i in range(len(x))], "family string, ord int, sequence_id string, known_subfamily string")
-    known = known.withColumn("family", F.lit(a.first()["family"]))
-    want = clustering.run_spectral_clustering(a, known)
-    assert want.selected_k == 3
-    monkeypatch.setattr(clustering, "CYCLES", 2)
-    for limit in (len(x) - 1,):  # `want` is of the other side
-        monkeypatch.setattr(clustering, "DENSE", limit)
-        monkeypatch.setattr(clustering, "SILHOUETTES", 10)
-        got = clustering.run_spectral_clustering(a, known)
-        assert got.selected_k == 3
-        one, two = ({r["k"]: r for r in t.candidate_scores.collect()} for t in (want, got))
-        assert set(one) == set(two)
-        for k in (2, 3):
-            assert two[k]["mean_silhouette"] == pytest.approx(one[k]["mean_silhouette"], abs=1e-3)
-            assert two[k]["adjusted_rand_index"] == pytest.approx(one[k]["adjusted_rand_index"], abs=1e-9)
-        label = lambda t: [r["predicted_cluster"] for r in t.membership.orderBy("ord").collect()]
-        assert label(got) == label(want)
-
-
 def test_text_functions(spark):
     df = spark.createDataFrame([(True, "x|3", [1, 0]), (False, "x|y", []), (None, "7", None)], "b boolean, s string, p array<int>")
     got = df.select(text.truthy("b"), text.subject_cluster("s"), text.path_label("p"), text.truthy(F.lit(" TRUE ")), text.truthy(F.lit("1"))).collect()
     assert [tuple(r) for r in got] == [(True, 3, "1-0", True, False), (False, None, "root", True, False), (False, 7, None, True, False)]
-
-
-def test_large_embedding_spans_what_the_dense_one_does(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(3)
-    x = np.concatenate([rng.normal(c, 0.3, (12, 2)) for c in ((0, 0), (4, 0), (0, 5))])
-    m = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-    names = [f"s{i}" for i in range(len(x))]
-    a = matrix.distance_to_affinity(edges(spark, m, names))
-    get = lambda df: np.array([r["vec"] for r in df.orderBy("ord").collect()])
-    dense, large = get(clustering.spectral_embedding(a, 2)), get(clustering.spectral_embedding_large(a, 2))
-    for c in range(2):
-        one, two = dense[:, c] / np.linalg.norm(dense[:, c]), large[:, c] / np.linalg.norm(large[:, c])
-        assert abs(one @ two) > 1 - 1e-6

@@ -6,19 +6,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import broadcast_if, stored
+from quillon.llm.common import BROADCAST_BYTES, broadcast_if, stored
 
 
 HOT = 1000  #: rows of one key beyond which its value is broadcast
 TASK_EDGES = 50_000  #: edges of a task
 
 
-def join_hot(rows: DataFrame, values: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def join_hot(rows: DataFrame, values: DataFrame, key: str | list[str], count: str, total: int, row_bytes: int = 64) -> DataFrame:
     """rows with the columns of values, which has one row for each key and the key's number of rows in `count`.
 
-    Keys with over HOT rows, and over a millionth of all, are broadcast, fewer than a million; the others are shuffled.
+    Keys with over HOT rows are broadcast, but no more than BROADCAST_BYTES hold at row_bytes each: of `total` rows, so
+    many keys can't have more than the number that is asked for then. The others are shuffled.
     """
-    most = max(HOT, total // 1_000_000)
+    most = max(HOT, total * row_bytes // BROADCAST_BYTES)
     hot = F.broadcast(values.filter(F.col(count) > most))
     rest = rows.join(hot.select(key), key, "left_anti").join(values.filter(F.col(count) <= most), key)
     return rows.join(hot, key).unionByName(rest).drop(count)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import stored
 from quillon.llm.graph import cells, components, forest, join_hot, same_key_pairs
-from quillon.llm.vectors import matrix, row_dots, sound
+from quillon.llm.vectors import is_sound, matrix, row_dots, sound
 
 SAMPLE = 4096
 RADIUS = 20
@@ -188,9 +188,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         edges = edges.union(found.filter(F.col("kind") == EDGE).select("a", "b")).union(close)
     reach = components(edges)
     named = classes.join(counts.groupBy("a").agg(F.sum("others").alias("others")), classes["id"] == F.col("a"), "left").join(reach, classes["id"] == reach["node"], "left")
-    named = named.select("id", "least", "embedding", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    named = named.select("id", "least", "embedding", "n", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
-    named = join_hot(named, lowest, "component", "members", sum(n for _, n in sizes)).select("embedding", "n_links", "component_id")
-    rows = vectors.select("vec_id", "embedding").join(named, "embedding", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    named = stored(join_hot(named, lowest, "component", "members", sum(n for _, n in sizes)).select("embedding", "n", "n_links", "component_id"))
+    total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = join_hot(good.select("vec_id", "embedding"), named, "embedding", "n", total, 64 + 8 * max((d for d, _ in sizes), default=0))
+    apart = vectors.filter(~is_sound()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    every = rows.select("vec_id", "n_links", "component_id").unionByName(apart)
+    return every.select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

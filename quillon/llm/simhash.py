@@ -241,12 +241,12 @@ def _forest_of(pdf: pd.DataFrame, radius: int, words: list[str], ident: str, mos
 def group_documents(docs: DataFrame, width: int = 3, radius: int = 3, seed: int = SEED) -> DataFrame:
     """(doc_id, fp, component_id): the least doc_id within reach by steps of at most radius bits."""
     fps = stored(fingerprints(docs, width, seed))
-    classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     reach = components(similar(classes, radius))
-    named = classes.join(reach, classes["fp"] == reach["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = classes.join(reach, classes["fp"] == reach["node"], "left").select("fp", "least", "copies", F.coalesce("component", "fp").alias("component"))
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    named = join_hot(named, lowest, "component", "n", classes.count()).select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = join_hot(named, lowest, "component", "n", classes.count()).select("fp", "component_id", "copies")
+    return join_hot(fps, named, "fp", "copies", fps.count()).select("doc_id", "fp", "component_id")
 
 
 # ---- by similarity
@@ -424,7 +424,7 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int
     """
     own, words = ["s0", "s1"], ["fp", *(f"e{n}" for n in range(EXTRA))]
     fps = stored(wide_fingerprints(docs.filter("doc_id is not null"), width, seed))
-    classes = stored(fps.groupBy(*own, *words).agg(F.min(F.struct("doc_id", "text_hash", *SKETCH, "bands")).alias("first")).select(*own, *words, "first.*").withColumn("id", F.monotonically_increasing_id()))
+    classes = stored(fps.groupBy(*own, *words).agg(F.min(F.struct("doc_id", "text_hash", *SKETCH, "bands")).alias("first"), F.count("*").alias("copies")).select(*own, *words, "copies", "first.*").withColumn("id", F.monotonically_increasing_id()))
     rows = classes.count()
     radius = affordable_radius(fingerprint_sample(classes), rows, radius)
     most = int(EXTRA_SHARE * BITS * len(words))
@@ -432,10 +432,10 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int
     loose = components(entries.union(band_links(classes)))
     members = stored(classes.join(loose, classes["id"] == loose["node"]).select("id", "component", "doc_id", "text_hash"))
     reach = exact_clusters(docs, members, width, least, seed)
-    named = classes.join(reach, classes["id"] == reach["node"], "left").select(*own, "doc_id", "text_hash", F.coalesce("component", "id").alias("component"))
+    named = classes.join(reach, classes["id"] == reach["node"], "left").select(*own, "copies", "doc_id", "text_hash", F.coalesce("component", "id").alias("component"))
     lowest = named.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count("*").alias("n"))
-    named = join_hot(named, lowest, "component", "n", rows).select(*own, "least")
-    return fps.join(named, own).select("doc_id", "text_hash", F.col("least.doc_id").alias("component_id"), (F.struct("doc_id", "text_hash") == F.col("least")).alias("first"))
+    named = join_hot(named, lowest, "component", "n", rows).select(*own, "least", "copies")
+    return join_hot(fps, named, own, "copies", fps.count()).select("doc_id", "text_hash", F.col("least.doc_id").alias("component_id"), (F.struct("doc_id", "text_hash") == F.col("least")).alias("first"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def sound(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """The rows whose vector is whole, finite and not zero, whatever its length."""
+def is_sound(column: str = "embedding") -> Column:
+    """Whether a row's vector is whole, finite and not zero, whatever its length."""
     v = F.col(column)
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.filter(F.coalesce(fine, F.lit(False)))
+    return F.coalesce(fine, F.lit(False))
+
+
+def sound(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    return vectors.filter(is_sound(column))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:

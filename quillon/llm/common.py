@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -98,6 +99,12 @@ def tidy(operator: str = "") -> None:
         return
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove checkpoints, shuffles and broadcasts that nothing refers to: it learns of them when the driver's JVM collects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_if(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """A broadcast hint if rows of row_bytes fit the bound, else df for a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import BROADCAST_BYTES, broadcast_if, stored
+from quillon.llm.common import BROADCAST_BYTES, broadcast_if, release, stored
 
 
 HOT = 1000  #: rows of one key beyond which its value is broadcast
@@ -17,8 +17,11 @@ def join_hot(rows: DataFrame, values: DataFrame, key: str | list[str], count: st
     """rows with the columns of values, which has one row for each key and the key's number of rows in `count`.
 
     Keys with over HOT rows are broadcast, but no more than BROADCAST_BYTES hold at row_bytes each: of `total` rows, so
-    many keys can't have more than the number that is asked for then. The others are shuffled.
+    many keys can't have more than the number that is asked for then. The others are shuffled; so are all where the rows of
+    all keys would make one task.
     """
+    if total <= TASK_EDGES:
+        return rows.join(values, key).drop(count)
     most = max(HOT, total * row_bytes // BROADCAST_BYTES)
     hot = F.broadcast(values.filter(F.col(count) > most))
     rest = rows.join(hot.select(key), key, "left_anti").join(values.filter(F.col(count) <= most), key)
@@ -51,6 +54,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         sign = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if sign == last or not sign[0]:
+            release(edges.sparkSession)
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
         last = sign
         edges = stored(_small_star(_large_star(edges, sign[0], tasks), tasks).coalesce(tasks))

@@ -43,8 +43,8 @@ def summaries(scores: DataFrame, methods: dict[str, str]) -> DataFrame:
     """SUMMARY of scores."""
     wide = scores.groupBy("family").agg(F.max("n_sequences").alias("n_sequences"), F.max("known_subfamilies").alias("known"), *[F.max(F.when(F.col("method") == m, F.col("adjusted_rand_index"))).alias(m) for m in methods])
     names = {m: m for m in methods}
-    every = evaluation.summarize_methods(wide, names, subset="all families")
-    several = evaluation.summarize_methods(wide.filter("known > 1"), names, subset="known k > 1")
+    every = evaluation.summarize_methods(wide, names, subset_name="all families")
+    several = evaluation.summarize_methods(wide.filter("known > 1"), names, subset_name="known k > 1")
     return every.unionByName(several)
 
 

@@ -2,7 +2,7 @@
 
 from quillon.operators.evaluation import evaluate_clustering, evaluate_dbscan_with_unique_noise, summarize_methods
 from quillon.operators.checks import validate_sequence_ids, validate_square_matrix
-from quillon.operators.clustering import run_spectral_clustering
+from quillon.operators.clustering import RecursiveResult, SpectralResult, run_spectral_clustering
 from quillon.operators.matrix import distance_to_affinity
 from quillon.operators.recursion import FixedBinaryConfig, RecursiveConfig, run_fixed_binary_recursive, run_recursive_clustering
 from quillon.sources.readers import read_alignment, read_labels, read_matrix_csv, read_mldist
@@ -11,6 +11,8 @@ from quillon.sources.writers import write_dataframe
 __all__ = [
     "FixedBinaryConfig",
     "RecursiveConfig",
+    "RecursiveResult",
+    "SpectralResult",
     "distance_to_affinity",
     "evaluate_clustering",
     "evaluate_dbscan_with_unique_noise",

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import json
+
+from pyspark.sql import SparkSession
 
 from quillon.session import session
 
@@ -28,6 +31,8 @@ def parser() -> argparse.ArgumentParser:
         k = kinds.add_parser(name)
         for f in ("family", "distance", "alignment", "annotation", "output" if name == "prepare-example" else "public"):
             k.add_argument(f"--{f}", required=True)
+        if name == "prepare-example":
+            k.add_argument("--facts", help="a JSON file of what is known of the family: organism, assembly, sources; goes into its metadata")
     k = kinds.add_parser("evaluate")
     for f in FOLDERS:
         k.add_argument(f"--{f.replace('_', '-')}-dir", f"--{f.replace('_', '-')}", dest=f, required=True)
@@ -39,6 +44,11 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def read_facts(spark: SparkSession, path: str) -> dict:
+    """The object of a JSON file, wherever Spark can read it."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
 def main(argv: list[str] | None = None) -> int:
     from quillon.plans import dataset, publish, workflows
 
@@ -51,7 +61,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "fixed-binary":
         workflows.run_fixed_binary_baseline(spark, a.distance, a.alignment, a.labels, a.output, a.family or None)
     elif a.command == "prepare-example":
-        publish.prepare_example(spark, a.family, a.distance, a.alignment, a.annotation, a.output)
+        publish.prepare_example(spark, a.family, a.distance, a.alignment, a.annotation, a.output, facts=read_facts(spark, a.facts) if a.facts else None)
     elif a.command == "verify-example":
         publish.verify_example(spark, a.family, a.distance, a.alignment, a.annotation, a.public)
         print(f"family {a.family}: only the names differ")

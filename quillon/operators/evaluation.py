@@ -15,20 +15,33 @@ def _pairs(n: str) -> Column:
     return F.col(n) * (F.col(n) - 1) / 2
 
 
+def _index(both: Column, left: Column, right: Column, n: Column) -> Column:
+    """Hubert and Arabie 1985 from numbers of pairs: in one cell, in one group of either side, and of n members."""
+    expected = left * right / F.when(n > 1, n * (n - 1) / 2)
+    top = (left + right) / 2
+    return F.when(n < 2, 1.0).when(top == expected, 1.0).otherwise((both - expected) / (top - expected))
+
+
+def _cells(rows: DataFrame, truth: str, predicted: str, keys: list[str], weight: str | None = None) -> DataFrame:
+    return rows.groupBy(*keys, truth, predicted).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
+
+
+def _joined(one: DataFrame, others: list[DataFrame], keys: list[str]) -> DataFrame:
+    for other in others:
+        one = one.join(other, keys) if keys else one.crossJoin(other)  # a row each
+    return one
+
+
 def adjusted_rand(rows: DataFrame, truth: str, predicted: str, keys: list[str], weight: str | None = None) -> DataFrame:
-    """(keys, n_sequences, adjusted_rand_index): Hubert and Arabie 1985 from contingency counts.
+    """(keys, n_sequences, adjusted_rand_index) from contingency counts.
 
     Two trivial partitions agree fully: a zero denominator gives 1. weight: how many members a row stands for.
     """
-    cells = rows.groupBy(*keys, truth, predicted).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
+    cells = _cells(rows, truth, predicted, keys, weight)
     side = lambda c, name: cells.groupBy(*keys, c).agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.sum(_pairs("n")).alias(name))
     both = cells.groupBy(*keys).agg(F.sum(_pairs("n")).alias("both"), F.sum("n").alias("n_sequences"))
-    left, right = side(truth, "left"), side(predicted, "right")
-    joined = both.join(left, keys).join(right, keys) if keys else both.crossJoin(left).crossJoin(right)
-    expected = F.col("left") * F.col("right") / F.when(F.col("n_sequences") > 1, _pairs("n_sequences"))
-    top = (F.col("left") + F.col("right")) / 2
-    score = F.when(F.col("n_sequences") < 2, 1.0).when(top == expected, 1.0).otherwise((F.col("both") - expected) / (top - expected))
-    return joined.select(*keys, F.col("n_sequences").cast("long").alias("n_sequences"), score.alias("adjusted_rand_index"))
+    joined = _joined(both, [side(truth, "left"), side(predicted, "right")], keys)
+    return joined.select(*keys, F.col("n_sequences").cast("long").alias("n_sequences"), _index(F.col("both"), F.col("left"), F.col("right"), F.col("n_sequences")).alias("adjusted_rand_index"))
 
 
 def cluster_counts(rows: DataFrame, truth: str, predicted: str, keys: list[str]) -> DataFrame:
@@ -77,13 +90,21 @@ def noise_report(rows: DataFrame, predicted: str, keys: list[str], noise: int =
     return rows.groupBy(*keys).agg(F.count("*").alias("n_sequences"), F.count_distinct(F.when(~is_noise, F.col(predicted))).alias("predicted_clusters_excluding_noise"), F.count_if(is_noise).alias("noise_count"), F.avg(is_noise.cast("double")).alias("noise_rate"))
 
 
-def dbscan_scores(rows: DataFrame, truth: str, predicted: str, keys: list[str], order: str, noise: int = -1) -> DataFrame:
-    """Three readings of noise: one label; each row its own; removed (null with fewer than two rows left)."""
-    name = lambda df, c: df.select(*keys, F.col("adjusted_rand_index").alias(c))
-    single = name(adjusted_rand(rows, truth, predicted, keys), "noise_single_label_ARI")
-    unique = name(adjusted_rand(unique_noise(rows, predicted, keys, order, noise), truth, predicted, keys), "noise_unique_ARI")
-    kept = adjusted_rand(rows.filter(F.col(predicted) != noise), truth, predicted, keys).filter("n_sequences >= 2")
-    return single.join(unique, keys).join(name(kept, "noise_removed_ARI"), keys, "left")
+def dbscan_scores(rows: DataFrame, truth: str, predicted: str, keys: list[str], noise: int = -1) -> DataFrame:
+    """Three readings of noise: one label; each row its own; removed (null with fewer than two rows left).
+
+    All come from one contingency table: a cluster of one row has no pairs, so noise read row by row only drops out of the pairs
+    in cells and in predicted clusters, and removed noise drops out of those in known groups too.
+    """
+    cells = _cells(rows, truth, predicted, keys).withColumn("m", F.when(F.col(predicted) != noise, F.col("n")).otherwise(0))
+    side = lambda c, name: cells.groupBy(*keys, c).agg(F.sum("n").alias("n"), F.sum("m").alias("m")).groupBy(*keys).agg(F.sum(_pairs("n")).alias(name), F.sum(_pairs("m")).alias(f"kept_{name}"))
+    both = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum(_pairs("n")).alias("both"), F.sum(_pairs("m")).alias("kept_both"))
+    c = F.col
+    single = _index(c("both"), c("left"), c("right"), c("n"))
+    unique = _index(c("kept_both"), c("left"), c("kept_right"), c("n"))
+    kept = F.when(c("m") >= 2, _index(c("kept_both"), c("kept_left"), c("kept_right"), c("m")))
+    joined = _joined(both, [side(truth, "left"), side(predicted, "right")], keys)
+    return joined.select(*keys, single.alias("noise_single_label_ARI"), unique.alias("noise_unique_ARI"), kept.alias("noise_removed_ARI"))
 
 
 def evaluate_dbscan_with_unique_noise(predictions: DataFrame, known: DataFrame, *, noise_label: int = -1) -> DataFrame:
@@ -92,7 +113,7 @@ def evaluate_dbscan_with_unique_noise(predictions: DataFrame, known: DataFrame,
     ids = predictions.select("family", "sequence_id", F.lit(0).alias("ord"))
     truth = align_labels(known.select("family", "sequence_id", "known_subfamily"), ids).drop("ord")
     both = truth.join(predictions.select("family", "sequence_id", "predicted_cluster"), ["family", "sequence_id"])
-    score = adjusted_rand(unique_noise(both, "predicted_cluster", ["family"], "sequence_id", noise_label), "known_subfamily", "predicted_cluster", ["family"]).select("family", "adjusted_rand_index")
+    score = dbscan_scores(both, "known_subfamily", "predicted_cluster", ["family"], noise_label).select("family", F.col("noise_unique_ARI").alias("adjusted_rand_index"))
     return noise_report(both, "predicted_cluster", ["family"], noise_label).join(score, "family")
 
 
@@ -110,7 +131,7 @@ def method_long(results: DataFrame, methods: dict[str, str]) -> DataFrame:
     return results.withColumn("_m", pairs).select("*", "_m.method", "_m.ari").drop("_m")
 
 
-def summarize_methods(results: DataFrame, methods: dict[str, str], *, subset: str, digits: int | None = None) -> DataFrame:
+def summarize_methods(results: DataFrame, methods: dict[str, str], *, subset_name: str, digits: int | None = None) -> DataFrame:
     """(subset, method, n_families, mean_ARI, sequence_weighted_mean_ARI, median_ARI, Q1, Q3, ARI_ge_0.9, ARI_lt_0.5)
 
     Families without a score don't count, but make the weighted mean null. Quantiles are interpolated.
@@ -130,7 +151,7 @@ def summarize_methods(results: DataFrame, methods: dict[str, str], *, subset: st
     )
     if digits is not None:
         out = rounded(out, ["mean_ARI", "sequence_weighted_mean_ARI", "median_ARI", "Q1", "Q3"], digits)
-    return out.select(F.lit(subset).alias("subset"), *[F.col(f"`{c}`") for c in out.columns])
+    return out.select(F.lit(subset_name).alias("subset"), *[F.col(f"`{c}`") for c in out.columns])
 
 
 def method_summary(comparison: DataFrame, methods: dict[str, str], digits: int | None = 4) -> DataFrame:
@@ -139,6 +160,6 @@ def method_summary(comparison: DataFrame, methods: dict[str, str], digits: int |
     subsets = [("all families", comparison), ("known k > 1", several), ("known k > 1 and TE", several.filter("TE = 'TE'"))]
     out = None
     for name, rows in subsets:
-        one = summarize_methods(rows, methods, subset=name, digits=digits)
+        one = summarize_methods(rows, methods, subset_name=name, digits=digits)
         out = one if out is None else out.unionByName(one)
     return out

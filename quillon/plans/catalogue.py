@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text
 from quillon.operators import checks, clustering, evaluation, matrix, recursion, sequences
+from quillon.operators.numbering import numbered
 from quillon.plans import dataset
 from quillon.session import settled, shared_folder
 from quillon.sources import readers, writers
@@ -143,7 +144,7 @@ def dbscan_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dbscan_ari(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(evaluation.dbscan_scores(_dbscan(spark, sf_dir), "truth", "cluster", ["family"], "sequence_id"), "noise_single_label_ARI", "noise_unique_ARI", "noise_removed_ARI")
+    return _round(evaluation.dbscan_scores(_dbscan(spark, sf_dir), "truth", "cluster", ["family"]), "noise_single_label_ARI", "noise_unique_ARI", "noise_removed_ARI")
 
 
 #: Score column and method.
@@ -183,7 +184,7 @@ def family_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def method_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = settled(_comparison(spark, sf_dir))
-    return _round(evaluation.summarize_methods(c, METHODS, subset="all families"), "mean_ARI", "sequence_weighted_mean_ARI", "median_ARI", "Q1", "Q3")
+    return _round(evaluation.summarize_methods(c, METHODS, subset_name="all families"), "mean_ARI", "sequence_weighted_mean_ARI", "median_ARI", "Q1", "Q3")
 
 
 @query
@@ -259,7 +260,7 @@ def id_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def align_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents_and_labels(spark, sf_dir)
     family = F.lit("all").alias("family")
-    held = docs.join(labels, "sequence_id", "left_semi").select(family, "sequence_id", (F.row_number().over(Window.orderBy("sequence_id")) - 1).alias("ord"))
+    held = numbered(docs.join(labels, "sequence_id", "left_semi"), [], ["sequence_id"]).select(family, "sequence_id", "ord")
     return checks.align_labels(labels.select(family, "sequence_id", "known_subfamily"), held).select("sequence_id", "ord", "known_subfamily")
 
 
@@ -694,16 +695,24 @@ def written_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def published_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances published under neutral names, the text of each value as it was."""
-    one = _distances(spark, sf_dir).filter("family = 0").select("i", "j", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("distance").cast("string").alias("distance_text"))
-    ids = one.filter("i = j").select(F.col("i").alias("ord"), F.col("src").alias("sequence_id"))
-    path = _folder(spark)
-    writers.write_mldist(one, path, writers.public_names(ids, "0"))
-    return _round(readers.scan_mldist(spark, path, "0").select("i", "j", "src", "dst", "distance"), "distance")
+    every = settled(_distances(spark, sf_dir).select("family", "i", "j", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("distance").cast("string").alias("distance_text")))
+    path, found = _folder(spark), None
+    for (family,) in sorted(every.select("family").distinct().collect()):  # a file each
+        one = every.filter(F.col("family") == family).drop("family")
+        ids = one.filter("i = j").select(F.col("i").alias("ord"), F.col("src").alias("sequence_id"))
+        writers.write_mldist(one, f"{path}/{family}", writers.public_names(ids, str(family)))
+        read = readers.scan_mldist(spark, f"{path}/{family}", str(family))
+        found = read if found is None else found.unionByName(read)
+    return _round(found.select("family", "i", "j", "src", "dst", "distance"), "distance")
 
 
 @query
 def fasta_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole passages written as FASTA and read back, checked as an alignment."""
-    b, path = _benchmark(spark, sf_dir).filter("family = 1"), _folder(spark)
-    writers.write_fasta(b.select(F.col("cluster").alias("ord"), F.col("cluster").cast("string").alias("sequence_id"), "seq"), path)
-    return readers.read_alignment(spark, path, "1")
+    b, path, found = settled(_benchmark(spark, sf_dir)), _folder(spark), None
+    for family in range(4):  # a file each
+        one = b.filter(F.col("family") == family)
+        writers.write_fasta(one.select(F.col("cluster").alias("ord"), F.col("cluster").cast("string").alias("sequence_id"), "seq"), f"{path}/{family}")
+        read = readers.read_alignment(spark, f"{path}/{family}", str(family))
+        found = read if found is None else found.unionByName(read)
+    return found

@@ -68,7 +68,7 @@ def family_comparison(truth: DataFrame, metadata: DataFrame, sequence: DataFrame
     labelled = lambda t: join_outputs(truth, t)
     db = labelled(dbscan).withColumn("cluster_number", F.col("cluster_number").cast("double").cast("int")).select("family", "sequence_id", "known_subfamily", "cluster_number")
     noise = noise_report(db, "cluster_number", ["family"]).select("family", F.col("noise_count").alias("dbscan_noise_count"), F.col("noise_rate").alias("dbscan_noise_rate"), F.col("predicted_clusters_excluding_noise").alias("dbscan_clusters"))
-    policies = dbscan_scores(db, "known_subfamily", "cluster_number", ["family"], "sequence_id")
+    policies = dbscan_scores(db, "known_subfamily", "cluster_number", ["family"])
     policies = policies.select("family", F.col("noise_single_label_ARI").alias("dbscan_noise_single_label_ARI"), F.col("noise_unique_ARI").alias("dbscan_ARI"), F.col("noise_unique_ARI").alias("dbscan_noise_unique_ARI"), F.col("noise_removed_ARI").alias("dbscan_noise_removed_ARI"))
     u, s = candidate_choice(umap, ["family"]), candidate_choice(spectral, ["family"])
     u = u.select("family", F.col("silhouette_ari").alias("umap_silhouette_ARI"), F.col("silhouette_k").alias("umap_silhouette_k"), F.col("silhouette_value").alias("umap_silhouette_value"))

@@ -159,8 +159,8 @@ SELECT family, k, CASE WHEN rank <= 3 AND (won IS NULL OR rank <= won) THEN CASE
     "matrix_csv": f"WITH {D} SELECT family::VARCHAR AS family, i, j, 's,' || src AS src, 's,' || dst AS dst, round(distance, 6) + 0.0 AS distance FROM d",
     "matrix_ids": f"WITH {E} SELECT family::VARCHAR AS family, ord, sequence_id::VARCHAR AS sequence_id FROM e",
     "scan_fasta": f"WITH {BENCHMARK} SELECT family::VARCHAR AS family, (row_number() OVER (PARTITION BY family ORDER BY cluster) - 1)::INTEGER AS ord, 's' || cluster AS sequence_id, raw AS seq FROM b",
-    "fasta_files": f"WITH {BENCHMARK} SELECT '1' AS family, (row_number() OVER (ORDER BY cluster) - 1)::INTEGER AS ord, cluster::VARCHAR AS sequence_id, seq FROM b WHERE family = 1",
-    "published_names": f"WITH {D} SELECT i, j, 'family0_seq' || CASE WHEN i < 999 THEN lpad((i + 1)::VARCHAR, 3, '0') ELSE (i + 1)::VARCHAR END AS src, 'family0_seq' || CASE WHEN j < 999 THEN lpad((j + 1)::VARCHAR, 3, '0') ELSE (j + 1)::VARCHAR END AS dst, round(distance, 6) + 0.0 AS distance FROM d WHERE family = 0",
+    "fasta_files": f"WITH {BENCHMARK} SELECT family::VARCHAR AS family, (row_number() OVER (PARTITION BY family ORDER BY cluster) - 1)::INTEGER AS ord, cluster::VARCHAR AS sequence_id, seq FROM b",
+    "published_names": f"WITH {D} SELECT family::VARCHAR AS family, i, j, 'family' || family || '_seq' || CASE WHEN i < 999 THEN lpad((i + 1)::VARCHAR, 3, '0') ELSE (i + 1)::VARCHAR END AS src, 'family' || family || '_seq' || CASE WHEN j < 999 THEN lpad((j + 1)::VARCHAR, 3, '0') ELSE (j + 1)::VARCHAR END AS dst, round(distance, 6) + 0.0 AS distance FROM d",
     "metrics_json": f"WITH {_ari('q', 'lineitem', 'l_returnflag', 'l_linestatus', '')} SELECT n_sequences, round(ari, 6) + 0.0 AS adjusted_rand_index, predicted_clusters, known_subfamilies FROM q, (SELECT count(DISTINCT l_linestatus) AS predicted_clusters, count(DISTINCT l_returnflag) AS known_subfamilies FROM lineitem)",
     "written_tables": "SELECT p_brand, count(*) AS n, min(p_type) AS kind FROM part GROUP BY p_brand",
     "family_lookup": "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",

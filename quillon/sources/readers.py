@@ -11,6 +11,7 @@ import csv
 import io
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -215,5 +216,10 @@ def read_family_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
-    """Tabular local-alignment hits, comments skipped."""
-    return spark.read.csv(path, sep="\t", comment="#", schema=schema.HITS)
+    """Tabular local-alignment hits, comments skipped; none where there is no file, as a search without hits may leave none."""
+    try:
+        return spark.read.csv(path, sep="\t", comment="#", schema=schema.HITS)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema.HITS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -80,9 +80,9 @@ def write_mldist(edges: DataFrame, path: str, names: DataFrame | None = None) ->
 def public_names(ids: DataFrame, family: str) -> DataFrame:
     """(sequence_id, public_id): numbered names in table order."""
     from quillon.functions.text import public_id
+    from quillon.operators.numbering import numbered
 
-    n = F.row_number().over(Window.orderBy("ord"))  # one family's ids
-    return ids.select("sequence_id", public_id(F.lit(family), n).alias("public_id"))
+    return numbered(ids.select("sequence_id", "ord"), [], ["ord"], "_n").select("sequence_id", public_id(F.lit(family), F.col("_n") + 1).alias("public_id"))
 
 
 def renaming_faults(before: DataFrame, after: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:

@@ -201,3 +201,49 @@ def test_publishing_changes_names_alone(spark, tmp_path):
         publish.verify_example(spark, "5", changed, f, a, out)
     with pytest.raises(ValueError, match="annotation lacks"):
         publish.verify_example(spark, "5", m, f, put(tmp_path / "less.csv", "name,subfamily,subfamily_ID,used\nDF1:5,L1,1,True\n"), out)
+
+
+def test_a_search_without_hits_has_accuracy_zero(spark, tmp_path):
+    from quillon.operators import sequences
+    from quillon.sources import readers
+
+    empty = tmp_path / "empty.tsv"
+    empty.write_text("# no hits\n")
+    members = spark.createDataFrame([("f", 0, 0), ("f", 1, 1)], "family string, ord int, cluster int")
+    for path in (str(tmp_path / "none.tsv"), str(empty)):
+        hits = readers.read_hits(spark, path)
+        assert hits.count() == 0 and hits.columns[0] == "Query"
+        best = sequences.best_hits(hits.selectExpr("Query as family", "Length as ord", "Length as cluster", "Score as score"), ["family"])
+        assert sequences.reassignment_accuracy(members, best, ["family"]).first()["reassignment_accuracy"] == 0.0
+
+
+def test_facts_of_a_family_come_from_a_file(spark, tmp_path):
+    from quillon import cli
+
+    (tmp_path / "facts.json").write_text('{"organism": "x",\n "taxonomy_id": 7}')
+    assert cli.read_facts(spark, str(tmp_path / "facts.json")) == {"organism": "x", "taxonomy_id": 7}
+    a = cli.parser().parse_args(["prepare-example", *[y for x in ("family", "distance", "alignment", "annotation", "output") for y in (f"--{x}", "1")], "--facts", "f.json"])
+    assert a.facts == "f.json"
+
+
+def test_public_names_are_exported():
+    import quillon
+
+    assert all(hasattr(quillon, n) for n in quillon.__all__) and {"SpectralResult", "RecursiveResult"} <= set(quillon.__all__)
+
+
+def test_example_runs_on_a_family_of_its_folder(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    folder = tmp_path / "family_9"
+    folder.mkdir()
+    n = 24
+    rows = [" ".join([f"s{i}", *("0" if i == j else "1" if (i < 12) == (j < 12) else str(5 + (i + j) % 3) for j in range(n))]) for i in range(n)]
+    (folder / "pairwise_ml_distance.mldist").write_text("\n".join([str(n), *rows]) + "\n")
+    (folder / "labels.csv").write_text("sequence_id,known_subfamily\n" + "".join(f"s{i},{'A' if i < 12 else 'B'}\n" for i in range(n)))
+    root = Path(__file__).resolve().parent.parent
+    said = subprocess.run([sys.executable, "-m", "examples.quick_start", "--family", "9", "--data-dir", str(tmp_path), "--output-dir", str(tmp_path / "out")], cwd=root, capture_output=True, text=True, timeout=300)
+    assert said.returncode == 0, said.stderr[-2000:]
+    assert "adjusted_rand_index" in said.stdout and (tmp_path / "out/metrics.json").is_file()

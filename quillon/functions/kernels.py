@@ -109,11 +109,12 @@ def _codes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le"), np.uint32)
 
 
-def _sweep(a: str, b: str, match: float, mismatch: float, first: float, more: float, local: bool):
+def _sweep(a: str, b: str, match: float, mismatch: float, first: float, more: float, local: bool, start: tuple[int, np.ndarray, np.ndarray] | None = None):
     """(scores, scores that end in a gap along a, in a gap along b, letters of b equal to a's) of each row of the alignment table.
 
     first: cost of a gap's first place; more: of each further one. A gap along the row is a running
-    maximum, as reopening a gap never beats extending it. Two rows are held at a time.
+    maximum, as reopening a gap never beats extending it. Two rows are held at a time. start: a row's number and its first two
+    results, to go on from; that row itself is not given again.
     """
     x, y = _codes(a), _codes(b)
     m = len(y)
@@ -123,8 +124,12 @@ def _sweep(a: str, b: str, match: float, mismatch: float, first: float, more: fl
     if not local:
         left[1:] = -first - more * np.arange(m)
         h[1:] = left[1:]
-    yield h, up, left, None
-    for i, letter in enumerate(x):
+    begin = 0
+    if start is None:
+        yield h, up, left, None
+    else:
+        begin, h, up = start
+    for i, letter in enumerate(x[begin:], begin):
         same = y == letter
         new_up = np.maximum(h - first, up - more)
         new_up[0] = -np.inf if local else -first - more * i
@@ -139,37 +144,47 @@ def _sweep(a: str, b: str, match: float, mismatch: float, first: float, more: fl
         h, up, left = new, new_up, new_left
 
 
-def global_identity(a: str, b: str, match: float = 5, mismatch: float = -4, first: float = 10, more: float = 0.5) -> float:
+def _ways(a: str, b: str, costs: tuple[float, float, float, float], start: tuple[int, np.ndarray, np.ndarray], rows: int) -> np.ndarray:
+    """What the way back needs of `rows` rows after a start: diagonal, or which gap, and whether each gap opens there."""
+    match, mismatch, first, more = costs
+    ways = np.zeros((rows, len(b) + 1), np.uint8)
+    for n, (h, up, left, (same, last, _, _)) in zip(range(rows), _sweep(a, b, match, mismatch, first, more, False, start)):
+        diagonal = h[1:] == last[:-1] + np.where(same, match, mismatch)
+        ways[n, 1:] = diagonal | (h[1:] == up[1:]).astype(np.uint8) << 1 | (up[1:] == last[1:] - first).astype(np.uint8) << 2 | (left[1:] == h[:-1] - first).astype(np.uint8) << 3
+    return ways
+
+
+def global_identity(a: str, b: str, match: float = 5, mismatch: float = -4, first: float = 10, more: float = 0.5, lot: int | None = None) -> float:
     """Share of equal letters among the gap-free columns of one best global alignment; 0 if there are none.
 
-    A gap of length g costs first + more * (g - 1), at the ends too. Of equal ways the diagonal comes first. What the way
-    back needs of a cell is three bits: diagonal or which gap, and whether each gap opens there.
+    A gap of length g costs first + more * (g - 1), at the ends too. Of equal ways the diagonal comes first. The table is never
+    held: one row of each `lot` is, and on the way back a lot's rows are made anew, so two strings of 50,000 letters need 100 MB.
     """
     if not a or not b:
         return 0.0
-    ways = np.zeros((len(a) + 1, len(b) + 1), np.uint8)
-    for i, (h, up, left, before) in enumerate(_sweep(a, b, match, mismatch, first, more, False)):
-        if before is None:
-            continue
-        same, last, _, _ = before
-        diagonal = h[1:] == last[:-1] + np.where(same, match, mismatch)
-        ways[i, 1:] = diagonal | (h[1:] == up[1:]).astype(np.uint8) << 1 | (up[1:] == last[1:] - first).astype(np.uint8) << 2 | (left[1:] == h[:-1] - first).astype(np.uint8) << 3
+    lot = lot or max(64, int(4 * len(a) ** 0.5))
+    costs = match, mismatch, first, more
+    held = [(i, h.copy(), up.copy()) for i, (h, up, _, _) in enumerate(_sweep(a, b, *costs, False)) if i % lot == 0]
     i, j, state, same, both = len(a), len(b), "h", 0, 0
     while i and j:
-        way = int(ways[i, j])
-        if state == "h":
-            if way & 1:
-                i, j = i - 1, j - 1
-                both += 1
-                same += a[i] == b[j]
+        begin = (i - 1) // lot * lot
+        ways = _ways(a, b, costs, held[begin // lot], i - begin)
+        del held[begin // lot + 1 :]
+        while i > begin and j:
+            way = int(ways[i - begin - 1, j])
+            if state == "h":
+                if way & 1:
+                    i, j = i - 1, j - 1
+                    both += 1
+                    same += a[i] == b[j]
+                else:
+                    state = "up" if way & 2 else "left"
+            elif state == "up":
+                state = "h" if way & 4 else "up"
+                i -= 1
             else:
-                state = "up" if way & 2 else "left"
-        elif state == "up":
-            state = "h" if way & 4 else "up"
-            i -= 1
-        else:
-            state = "h" if way & 8 else "left"
-            j -= 1
+                state = "h" if way & 8 else "left"
+                j -= 1
     return same / both if both else 0.0
 
 

@@ -87,3 +87,22 @@ def test_silhouettes_by_definition():
         a, b = np.mean(same), min(gap[label == c].mean() for c in range(3) if c != label[i])
         assert got[i] == pytest.approx((b - a) / max(a, b))
     assert (np.abs(got) <= 1).all()
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text("acgt", max_size=30), st.text("acgt", max_size=30), st.integers(1, 40))
+def test_identity_does_not_depend_on_how_many_rows_are_made_anew(a, b, lot):
+    assert k.global_identity(a, b, lot=lot) == k.global_identity(a, b, lot=1000)
+
+
+def test_identity_of_long_strings_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    a = "".join(rng.choice(list("acgt"), 6000))
+    b = "".join(c for c in a if rng.random() > 0.02)
+    tracemalloc.start()
+    found = k.global_identity(a, b)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert found > 0.97 and peak < 12e6  # the table would be 36 MB

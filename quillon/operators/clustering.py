@@ -213,7 +213,8 @@ def run_spectral_clustering(affinity: DataFrame, known: DataFrame | None = None,
         validate_square_matrix(affinity, "affinity", "affinity matrix", nonnegative=True)
         check_sizes(affinity)
     ids = affinity.filter("i = j").select("family", F.col("i").alias("ord"), F.col("src").alias("sequence_id"))
-    swept = k_sweep(affinity, kmeans_seed).join(ids, ["family", "ord"])
+    # scores, indices, choice and members all come from it: kept, so that no family is solved twice
+    swept = settled(k_sweep(affinity, kmeans_seed).join(ids, ["family", "ord"]))
     scores = swept.groupBy("family", "k").agg(F.first("mean_silhouette").alias("mean_silhouette"))
     if known is not None:
         truth = align_labels(known, ids) if checked else ids.join(known.drop("ord"), ["family", "sequence_id"])

@@ -112,7 +112,7 @@ def test_query_agrees_with_sql(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     got = queries.QUERIES[name](spark, sf_dir).toPandas()
     want = con.execute(ORACLES[name]).df()[list(got.columns)]
@@ -122,4 +122,4 @@ def test_query_agrees_with_sql(spark, sf_dir, name):
 
 def test_one_query_for_each_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 13))

@@ -23,21 +23,26 @@ def spectral_embedding(affinity: np.ndarray, components: int) -> np.ndarray:
     return found * np.where(found[largest, np.arange(found.shape[1])] < 0, -1.0, 1.0)
 
 
-def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(0, (x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T)
 
 
-def _start(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+def draws(n: int, k: int, rng: np.random.Generator) -> tuple[int, np.ndarray]:
+    """Of one start: the first centre's place, and for each further centre a few shares between 0 and 1."""
+    return int(rng.integers(n)), rng.random((k - 1, 2 + int(np.log(k))))
+
+
+def _start(x: np.ndarray, first: int, shares: np.ndarray) -> np.ndarray:
     """Greedy k-means++: each centre is the best of a few drawn by squared distance."""
-    tries = 2 + int(np.log(k))
-    centres = [int(rng.integers(len(x)))]
-    near = _squared(x, x[centres])[:, 0]
-    while len(centres) < k:
-        total = near.sum()
-        draws = rng.choice(len(x), tries, p=near / total) if total > 0 else rng.integers(len(x), size=tries)
-        options = np.minimum(near[:, None], _squared(x, x[draws]))
+    centres = [first]
+    near = squared(x, x[centres])[:, 0]
+    for some in shares:
+        rising = np.cumsum(near)
+        # where all distances are zero, places are drawn evenly
+        places = np.minimum(np.searchsorted(rising / rising[-1], some, side="right"), len(x) - 1) if rising[-1] > 0 else (some * len(x)).astype(np.int64)
+        options = np.minimum(near[:, None], squared(x, x[places]))
         best = int(options.sum(0).argmin())
-        centres.append(int(draws[best]))
+        centres.append(int(places[best]))
         near = options[:, best]
     return x[centres].copy()
 
@@ -46,9 +51,9 @@ def kmeans(x: np.ndarray, k: int, seed: int, starts: int = 10, rounds: int = 300
     """Labels of the least inertia over the starts, numbered by each cluster's first member."""
     rng, limit, found = np.random.default_rng(seed), tolerance * x.var(0).mean(), None
     for _ in range(starts):
-        centres, last = _start(x, k, rng), None
+        centres, last = _start(x, *draws(len(x), k, rng)), None
         for _ in range(rounds):
-            label = _squared(x, centres).argmin(1)
+            label = squared(x, centres).argmin(1)
             sizes = np.bincount(label, minlength=k)
             new = np.stack([np.bincount(label, x[:, d], k) for d in range(x.shape[1])], 1) / np.maximum(sizes, 1)[:, None]
             if (sizes == 0).any():  # an empty cluster takes the points farthest from theirs
@@ -58,7 +63,7 @@ def kmeans(x: np.ndarray, k: int, seed: int, starts: int = 10, rounds: int = 300
             if (last is not None and np.array_equal(label, last)) or moved <= limit:
                 break
             last = label
-        away = _squared(x, centres)
+        away = squared(x, centres)
         label = away.argmin(1)
         inertia = away[np.arange(len(x)), label].sum()
         if found is None or inertia < found[0] * (1 - 1e-12):

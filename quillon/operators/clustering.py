@@ -3,7 +3,8 @@
 The unit of work is a node: one family, or one branch of its hierarchy. Its affinities come in tiles. Up to `DENSE` members they make
 one dense problem inside one task, and all nodes run side by side. The affinities of a larger one are never in one
 place: its embedding comes from products tile by tile, to residuals that make it the dense one's equal (`eigen`); k-means sees the
-embedding alone, a task for each k; silhouettes for all k come from one pass over pairs of blocks of members.
+embedding alone, a task for each k, or beyond `POINTS` members the same steps block by block (`means`); silhouettes for all k
+come from one pass over pairs of blocks of members.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import kernels
-from quillon.operators import eigen, tiles
+from quillon.operators import eigen, means, tiles
 from quillon.operators.checks import align_labels, fail_on, validate_square_matrix
 from quillon.operators.evaluation import adjusted_rand, candidate_choice
 from quillon.session import settled
 
 DENSE = 6000  #: members of the largest node solved in one task
+POINTS = 1 << 16  #: members of the largest node whose embedding, 10 MB then, meets in one task for each k
 GLOBAL_K = 20
 
 
@@ -244,7 +246,8 @@ def sweep_large(tiled: DataFrame, components, ks, seed: int) -> DataFrame:
     spark, kind = tiled.sparkSession, tiles.node_kind(tiled)
     widths = {node: min(components(n), n - 1) for node, (n, _, _) in facts.items()}
     tried = {node: list(ks(n)) for node, (n, _, _) in facts.items()}
-    plan = spark.createDataFrame([(node, k) for node, some in tried.items() for k in some], f"node {kind}, k int")
+    vast = {node: some for node, some in tried.items() if facts[node][0] > POINTS and some}
+    plan = spark.createDataFrame([(node, k) for node, some in tried.items() if node not in vast for k in some], f"node {kind}, k int")
 
     def cluster(table: pa.Table) -> pa.Table:
         node, k = table.column("node")[0].as_py(), table.column("k")[0].as_py()
@@ -263,12 +266,15 @@ def sweep_large(tiled: DataFrame, components, ks, seed: int) -> DataFrame:
         one = pa.array(np.zeros(len(rows), np.int32))
         return pa.table({"node": table.column("node").take(one), "k": table.column("k").take(one), "b": pa.array([r["b"] for r in rows], pa.int32()), "labels": pa.array(labels, pa.binary()), "error": pa.array([error] * len(rows), pa.string())})
 
-    clustered = settled(blocks.join(F.broadcast(plan), "node").groupBy("node", "k").applyInArrow(cluster, f"node {kind}, k int, b int, labels binary, error string"))
+    clustered = blocks.join(F.broadcast(plan), "node").groupBy("node", "k").applyInArrow(cluster, f"node {kind}, k int, b int, labels binary, error string")
+    if vast:
+        clustered = clustered.unionByName(means.partitions(blocks.filter(F.col("node").isin(list(vast))), widths, vast, seed))
+    clustered = settled(clustered)
     labelled = clustered.filter("error is null").groupBy("node", "b").agg(F.array_sort(F.collect_list(F.struct("k", "labels"))).alias("all"))
     points = settled(blocks.join(labelled.select("node", "b", F.col("all.k").alias("ks"), F.col("all.labels").alias("labels")), ["node", "b"]))
     found = settled(_silhouettes(points, widths))
-    means = found.groupBy("node", "k").agg(F.avg("silhouette").alias("mean_silhouette"))
-    good = found.join(means, ["node", "k"]).withColumn("error", F.lit(None).cast("string"))
+    average = found.groupBy("node", "k").agg(F.avg("silhouette").alias("mean_silhouette"))
+    good = found.join(average, ["node", "k"]).withColumn("error", F.lit(None).cast("string"))
     failed = clustered.filter("error is not null").select("node", "k", "error").distinct()
     return good.unionByName(failed, allowMissingColumns=True).select("node", "k", "mean_silhouette", "ord", "cluster", "silhouette", "error")
 

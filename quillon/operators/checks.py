@@ -56,18 +56,29 @@ def matrix_report(edges: DataFrame, value: str = "distance") -> DataFrame:
 
 def validate_square_matrix(edges: DataFrame, value: str = "distance", name: str = "matrix", symmetric: bool = True, nonnegative: bool = False) -> DataFrame:
     """edges, if every family is square, in one order, finite, and as asked symmetric and non-negative."""
-    report = matrix_report(edges, value)
-    if report.isEmpty():
-        raise ValueError(f"{name} contains no sequence IDs")
-    fail_on(report.filter("n_rows <> n_columns or n_cells <> n_rows * n_columns").select("family", "n_rows", "n_columns"), f"{name} must be square")
-    ends = edges.filter("i = 0").select("family", F.col("j").alias("ord"), F.col("dst").alias("sequence_id"))
-    validate_ids(ends, "sequence_id", name, ["family"])
-    fail_on(report.filter("n_order_breaks > 0").select("family"), f"{name} row and column IDs differ")
-    fail_on(report.filter("n_not_finite > 0").select("family"), f"{name} contains NaN or infinite values")
-    if nonnegative:
-        fail_on(report.filter("n_negative > 0").select("family"), f"{name} contains negative values")
+    text = lambda *c: F.concat_ws(" ", *[F.col(x).cast("string") for x in c])
+    least = lambda rule, *c: F.min(F.when(rule, text(*c)))
+    report = matrix_report(edges, value).agg(
+        F.when(F.count("*") == 0, "none").alias("_0"),
+        least(F.expr("n_rows <> n_columns or n_cells <> n_rows * n_columns"), "family", "n_rows", "n_columns").alias("_1"),
+        least(F.col("n_order_breaks") > 0, "family").alias("_4"),
+        least(F.col("n_not_finite") > 0, "family").alias("_5"),
+        least((F.col("n_negative") > 0) & F.lit(nonnegative), "family").alias("_6"),
+    )
+    ids = edges.filter("i = 0").groupBy("family", F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+    ids = ids.agg(least(F.col("n") > 1, "family", "id").alias("_2"), least(F.trim("id") == "", "family").alias("_3"))
+    messages = ["contains no sequence IDs", "must be square", "contains duplicate sequence IDs", "contains an empty sequence ID", "row and column IDs differ", "contains NaN or infinite values", "contains negative values", "must be symmetric; largest difference"]
+    sides = [report, ids]
     if symmetric:
-        fail_on(asymmetric(edges, value).orderBy(F.desc("difference")), f"{name} must be symmetric; largest differences", 1)
+        sides.append(asymmetric(edges, value).agg(F.max_by(text("family", "i", "j", "difference"), "difference").alias("_7")))
+    # one action for all rules; the sides are a row each
+    faults = None
+    for side in sides:
+        rows = side.select(F.explode(F.array(*[F.struct(F.lit(int(c[1:])).alias("rule"), F.col(c).alias("shown")) for c in side.columns])).alias("f")).select("f.*")
+        faults = rows if faults is None else faults.union(rows)
+    first = faults.filter("shown is not null").agg(F.min_by("shown", "rule"), F.min("rule")).first()
+    if first[1] is not None:
+        raise ValueError(f"{name} {messages[first[1]]}" + (f": {first[0]}" if first[1] else ""))
     return edges
 
 

@@ -1,14 +1,13 @@
 """Readers. Files of many families are read in one job.
 
 The family is the one given, else the `family` that the folder names (family=x/...), else the file's stem.
-Matrices, distances and alignments are read by line or record, whatever a file's size; tables of labels and results, a
-row for each member, are parsed a file at a time.
+Matrices, distances and alignments are read by line or record, whatever a file's size; tables of labels and results by
+Spark's CSV parser, of unlike heads in one scan.
 """
 
 from __future__ import annotations
 
 import csv
-import io
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -43,14 +42,19 @@ def _records(spark: SparkSession, path: str | list[str], family: str | None, mar
         own = F.when(F.col("value").startswith(mark), F.substring("value", 1 + len(mark), 2**31 - 1))
         found = found.join(first, "file", "left").withColumn("value", F.when((F.col("block") == 0) & (F.col("at") == F.col("start")), own).otherwise(F.col("value"))).drop("start")
     kept = settled(found.filter(F.col("value").rlike(r"\S")))
-    # within a split, places rise by one for each line; only where blank ones lie between do all need ranking
+    return _by_place(kept).select("family", "n", "value")
+
+
+def _by_place(kept: DataFrame) -> DataFrame:
+    """Stored rows (file, block, at, ...) with n, their number in their file from 0, in place of block and at."""
+    # within a split, places rise by one for each row; only where left out ones lie between do all need ranking
     splits = kept.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("count"), F.max("at").alias("last"))
     if splits.filter("last - first + 1 <> count").isEmpty():
         before = F.coalesce(F.sum("count").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         starts = splits.select("file", "block", "first", before.alias("before"))
-        return kept.join(starts, ["file", "block"]).select("family", (F.col("at") - F.col("first") + F.col("before")).cast("int").alias("n"), "value")
+        return kept.join(starts, ["file", "block"]).withColumn("n", (F.col("at") - F.col("first") + F.col("before")).cast("int")).drop("block", "at", "first", "before")
     ranks = kept.select("file", "block", "at").withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("block", "at")) - 1)
-    return kept.join(ranks, ["file", "block", "at"]).select("family", "n", "value")
+    return kept.join(ranks, ["file", "block", "at"]).drop("block", "at")
 
 
 def _broken(rows: DataFrame, rules: list[tuple[Column, Column, str]]) -> None:
@@ -127,43 +131,41 @@ def _null_tokens(c: Column) -> Column:
     return F.when(~c.isin(schema.NULL_TOKENS), c)
 
 
-def _tables(spark: SparkSession, path: str | list[str], family: str | None, sep: str = ",") -> DataFrame:
-    """(family, ord, head, row): rows of CSV files as maps, in file order; quotes may hold separators and line breaks."""
-    raw = spark.read.format("binaryFile").load(path)
-    files = raw.select(_family(raw, family, "path").alias("family"), "content")
-
-    def parse(frames):
-        for frame in frames:
-            for name, content in zip(frame["family"], frame["content"], strict=True):
-                rows = csv.reader(io.StringIO(bytes(content).decode("utf-8-sig"), newline=""), delimiter=sep)
-                rows = (r for r in rows if any(c.strip() for c in r))
-                head, out = next(rows, []), []
-                for n, r in enumerate(rows):
-                    out.append((name, n, head, dict(zip(head, r, strict=False))))
-                    if len(out) == 10_000:
-                        yield pd.DataFrame(out, columns=["family", "ord", "head", "row"])
-                        out = []
-                # a file without rows still shows its head
-                yield pd.DataFrame(out or [(name, -1, head, {})], columns=["family", "ord", "head", "row"])
-
-    return files.mapInPandas(parse, "family string, ord int, head array<string>, row map<string,string>")
+def _tables(spark: SparkSession, path: str | list[str], family: str | None, columns: list[str], message: str, sep: str = ",") -> DataFrame:
+    """(family, ord, _first, columns): rows of CSV files, each with a head of its own, in file order; _first is the first cell.
 
-
-def _has(column: str) -> Column:
-    return F.array_contains("head", column)
-
-
-def _rows(tables: DataFrame, needed: list[str], message: str) -> DataFrame:
-    """Stored tables' rows, if all files have the needed columns."""
-    tables = settled(tables)
-    _broken(tables, [(~_has(c), F.col("family"), f"{message} {c}") for c in needed] if needed else [(F.lit(False), F.col("family"), message)])
-    return tables.filter("ord >= 0")
+    A head is one line. A first pass finds the heads, and whether a quote spans lines; then Spark's parser reads, of the columns
+    that any file needs, all files at once: in splits, or whole files as streams if a quote spans lines. Blank lines are no rows.
+    """
+    lines, files = spark.read.text(path), spark.read.format("binaryFile").load(path)  # of the latter the names alone
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    text = lines.select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"), F.regexp_replace("value", "^\ufeff", "").alias("value"), (quotes % 2 == 1).alias("open"))
+    seen = text.filter(F.col("value").rlike(r"\S")).groupBy("file").agg(F.min_by("value", "at").alias("value"), F.max("open").alias("open"))
+    heads = settled(files.select(_family(files, family).alias("family"), F.col("_metadata.file_path").alias("file")).join(seen, "file", "left"))
+    width, spans, count = heads.agg(F.max(F.size(F.split("value", f"[{sep}]", -1))), F.max("open"), F.count("*")).first()
+    if count < len(files.inputFiles()):  # scans pass over files without a byte
+        raise ValueError(f"{message} {columns[0]}: a file is empty")
+    names = [f"_c{n}" for n in range(max(width or 0, 1))]
+    options = {"sep": sep, "escape": '"', "maxColumns": str(len(names) + 20480)}
+    parsed = F.from_csv("value", ", ".join(f"{n} string" for n in names), options)
+    found = heads.withColumn("_head", parsed).withColumn("_head", F.array(*[F.col(f"_head.{n}") for n in names]))
+    found = settled(found.select("family", "file", *[(F.coalesce(F.array_position("_head", c), F.lit(0)) - 1).cast("int").alias(f"p{m}") for m, c in enumerate(columns)]))
+    _broken(found, [(F.col(f"p{m}") < 0, F.col("family"), f"{message} {c}") for m, c in enumerate(columns)])
+    used = sorted({0} | {r[0] for r in found.select(F.explode(F.array(*[f"p{m}" for m in range(len(columns))]))).distinct().collect()})
+    raw = spark.read.csv(path, schema=", ".join(f"_c{n} string" for n in range(used[-1] + 1)), header=False, multiLine=bool(spans), **options)
+    blank = F.coalesce(F.trim("_c0") == "", F.lit(False))
+    for n in used[1:]:
+        blank = blank & F.col(f"_c{n}").isNull()
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), *[f"_c{n}" for n in used])
+    placed = _by_place(settled(rows.filter(~blank))).filter("n > 0").join(found, "file")
+    value = lambda m: F.coalesce(*[F.when(F.col(f"p{m}") == n, F.col(f"_c{n}")) for n in used])
+    return placed.select("family", (F.col("n") - 1).alias("ord"), F.coalesce("_c0", F.lit("")).alias("_first"), *[_null_tokens(value(m)).alias(c) for m, c in enumerate(columns)])
 
 
 def read_labels(spark: SparkSession, path: str | list[str], family: str | None = None) -> DataFrame:
     """(family, ord, sequence_id, known_subfamily), all text; what pandas reads as missing is missing here."""
-    rows = _rows(_tables(spark, path, family), ["sequence_id", "known_subfamily"], "label table lacks sequence_id or known_subfamily:")
-    return validate_labels(rows.select("family", "ord", *[_null_tokens(F.coalesce(F.col("row")[c], F.lit(""))).alias(c) for c in ("sequence_id", "known_subfamily")]))
+    rows = _tables(spark, path, family, ["sequence_id", "known_subfamily"], "label table lacks sequence_id or known_subfamily:")
+    return validate_labels(rows.drop("_first"))
 
 
 def scan_fasta(spark: SparkSession, path: str | list[str], family: str | None = None) -> DataFrame:
@@ -199,8 +201,8 @@ def read_annotation(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_result_table(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
     """(family, sequence_id, columns as text): per-family result CSVs whose first column is the id."""
-    rows = _rows(_tables(spark, path, None), columns, "result table lacks")
-    return rows.select("family", F.col("row")[F.element_at("head", 1)].alias("sequence_id"), *[_null_tokens(F.col("row")[c]).alias(c) for c in columns])
+    rows = _tables(spark, path, None, columns, "result table lacks")
+    return rows.drop("ord").withColumnRenamed("_first", "sequence_id")
 
 
 def read_candidate_scores(spark: SparkSession, path: str | list[str]) -> DataFrame:

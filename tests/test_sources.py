@@ -54,6 +54,41 @@ def test_tables_with_quotes_line_breaks_and_many_columns(spark, tmp_path):
         readers.read_result_table(spark, put(tmp_path / "9.csv", "id,a\n"), ["b"])
 
 
+def test_tables_of_unlike_heads_in_splits(spark, tmp_path):
+    """Columns stand at other places in each file; blank lines, short rows, quotes and marks of byte order count for nothing."""
+    want = {}
+    for f, (head, cells) in {"1": ("sequence_id,x,known_subfamily", "s{i},{i},L{m}"), "2": ("x,known_subfamily,y,sequence_id", '"q,{i}",L{m},,s{i}'), "3": ("\ufeff\"known_subfamily\",sequence_id,a,b", 'L{m},"s{i}",1,2,3')}.items():
+        put(tmp_path / f"t/{f}.csv", "\n" + head + "\r\n" + "".join(cells.format(i=i, m=i % 3) + "\n" * (1 + (i == 7)) + "  \n" * (i == 9) for i in range(40)))
+        want |= {(f, i): (f"s{i}", f"L{i % 3}") for i in range(40)}
+    rows = lambda: {(r["family"], r["ord"]): (r["sequence_id"], r["known_subfamily"]) for r in readers.read_labels(spark, str(tmp_path / "t")).collect()}
+    assert rows() == want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert rows() == want
+        put(tmp_path / "t/4.csv", 'known_subfamily,sequence_id\n"a\n\nb",s0\nL,s1\n')
+        assert rows() == want | {("4", 0): ("s0", "a\n\nb"), ("4", 1): ("s1", "L")}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for text, message in ((" \n", "lacks sequence_id.*: 5"), ("", "file is empty")):
+        put(tmp_path / "t/5.csv", text)
+        with pytest.raises(ValueError, match=message):
+            rows()
+
+
+def test_tables_are_parsed_by_spark(spark, tmp_path, monkeypatch):
+    """No Python worker and no whole file as one value; the scan reads the columns asked for."""
+    plans, keep = [], readers.settled
+    monkeypatch.setattr(readers, "settled", lambda df: plans.append(df._jdf.queryExecution().toString()) or keep(df))
+    put(tmp_path / "a.csv", "id,x,y,z\nq,1,2,3\n")
+    assert [tuple(r) for r in readers.read_result_table(spark, str(tmp_path), ["y"]).collect()] == [("a", "q", "2")]
+    assert not any("Python" in p or "content" in p.split("== Physical Plan ==")[1] for p in plans)
+    assert "ReadSchema: struct<_c0:string,_c2:string>" in plans[-1]
+    put(tmp_path / "a.csv", "id,x,y,z\n,1,,3\n")
+    assert [tuple(r) for r in readers.read_result_table(spark, str(tmp_path), ["y"]).collect()] == [("a", "", None)]
+
+
 def test_quoted_ids_of_matrices(spark, tmp_path):
     path = put(tmp_path / "12.csv", ',"a,1",b\r\n\r\n"a,1",0,2e0\r\nb,2.0,0\r\n')
     assert {(r["src"], r["dst"], r["distance"]) for r in readers.read_matrix_csv(spark, path).collect()} == {("a,1", "a,1", 0.0), ("a,1", "b", 2.0), ("b", "a,1", 2.0), ("b", "b", 0.0)}

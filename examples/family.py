@@ -9,7 +9,7 @@ from quillon.session import session
 
 
 def main(about: str, name: str, default: str, run: Callable, argv: list[str] | None = None) -> None:
-    """Runs run(spark, folder, output) on <data-dir>/family_<family> and shows the metrics."""
+    """Runs run(spark, folder, output, family) on <data-dir>/family_<family> and shows the metrics."""
     p = argparse.ArgumentParser(prog=f"python -m examples.{name}", description=about)
     p.add_argument("--family", default=default, help=f"a published family, {default} by default")
     p.add_argument("--data-dir", required=True, help="the folder of the families' folders")
@@ -17,5 +17,5 @@ def main(about: str, name: str, default: str, run: Callable, argv: list[str] | N
     a = p.parse_args(argv)
     output = a.output_dir or f"outputs/{name}_family_{a.family}"
     spark = session(f"quillon {name}")
-    run(spark, f"{a.data_dir}/family_{a.family}", output)["metrics"].show(truncate=False, vertical=True)
+    run(spark, f"{a.data_dir}/family_{a.family}", output, a.family)["metrics"].show(truncate=False, vertical=True)
     print(f"results: {output}")

@@ -7,6 +7,8 @@ gaps: Gotoh 1982, local: Smith and Waterman 1981.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 
@@ -204,3 +206,36 @@ def local_score(a: str, b: str, match: float = 5, mismatch: float = -4, first: f
     if not a or not b:
         return 0.0
     return max(float(h.max()) for h, *_ in _sweep(a, b, match, mismatch, first, more, True))
+
+
+WORD = 6  #: letters of the words whose counts bound a local score
+
+
+def word_counts(s: str) -> tuple[Counter, Counter]:
+    """How often each letter and each word of `WORD` letters stands in s."""
+    return Counter(s), Counter(s[i : i + WORD] for i in range(len(s) - WORD + 1))
+
+
+def most_local(a: tuple[Counter, Counter], b: tuple[Counter, Counter], match: float = 5, mismatch: float = -4) -> float:
+    """No local alignment of two strings of these counts scores more.
+
+    Of m matches in r unbroken runs, at least m - r (WORD - 1) begin a word that both strings have at their own places, and each break costs
+    a mismatch at least, as a gap costs more. That bound rises with m, which the shared letters limit.
+    """
+    letters, words = (a[0] & b[0]).total(), (a[1] & b[1]).total()
+    return match * letters + mismatch * max(0.0, (letters - words) / (WORD - 1) - 1)
+
+
+def best_local(a: str, subjects: list[tuple[int, str, tuple[Counter, Counter]]]) -> tuple[int | None, float, int]:
+    """(subject, score, pairs scored): the subject of the largest local score, of equal ones the least; None where all are 0.
+
+    Subjects go by falling bound, and those that cannot be the best are not scored.
+    """
+    counts, best, scored = word_counts(a), (0.0, None), 0
+    for most, name, text in sorted(((most_local(counts, c), name, text) for name, text, c in subjects), key=lambda s: (-s[0], s[1])):
+        if most + 1e-6 < best[0] or most <= 0:
+            break
+        score, scored = local_score(a, text), scored + 1
+        if score > best[0] or (score == best[0] and best[1] is not None and name < best[1]):
+            best = score, name
+    return best[1], best[0], scored

@@ -144,3 +144,27 @@ def search_children(members: DataFrame, found: DataFrame, keys: list[str]) -> Da
     subjects = found.select(*keys, "cluster", "consensus")
     scored = copies.join(subjects, keys).select(*keys, "ord", "cluster", local_score("seq", "consensus").alias("score"))
     return scored.filter("score > 0")
+
+
+def best_children(members: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ord, cluster, score, scored): the best hit of each cleaned member among its node's consensuses, as `best_hits` of `search_children`.
+
+    A node's consensuses, one for each child, go with its members; those that cannot be the best by their letters and words are not aligned.
+    Members without a hit have no row. scored: how many pairs were aligned.
+    """
+    @F.pandas_udf("cluster int, score double, scored int")
+    def search(seqs: pd.Series, subjects: pd.Series) -> pd.DataFrame:
+        known: dict[str, tuple] = {}
+        rows = []
+        for seq, some in zip(seqs, subjects, strict=True):
+            listed = [(s["cluster"], (s["consensus"] or "").replace(GAP, "")) for s in some]
+            for _, text in listed:
+                if text not in known:
+                    known[text] = kernels.word_counts(text)
+            rows.append(kernels.best_local((seq or "").replace(GAP, ""), [(c, text, known[text]) for c, text in listed]))
+        return pd.DataFrame(rows, columns=["cluster", "score", "scored"]).astype({"cluster": "Int32", "score": float, "scored": "int32"})
+
+    copies = strip_gap_columns(members, [*keys, "cluster"], found).select(*keys, "ord", "seq")
+    subjects = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cluster", "consensus"))).alias("subjects"))
+    hit = copies.join(subjects, keys).select(*keys, "ord", search("seq", "subjects").alias("hit"))
+    return hit.select(*keys, "ord", "hit.*").filter("score > 0")

@@ -167,16 +167,15 @@ def leading(tiles: DataFrame, wanted: Callable[[int], int], seed: int = 1) -> tu
     squares = _joined(product(tiles, state, "last", dict.fromkeys(widths, 1), size, squared=True), state, lambda node, own, total: {"last": np.frombuffer(own["last"]) * total[:, 0]}, ["s", "alone", "v", "last", "sv"], lambda node: 1)
     energy = _sums(squares, lambda node, own: np.array([np.frombuffer(own["last"]).sum() + np.frombuffer(own["alone"]).sum()]), lambda node: (1,))
 
-    def pulled(rows: DataFrame, step) -> DataFrame:
-        """rows with what step makes of own columns v, last and of u = S v."""
-        ready = _mapped(rows, lambda node, own: {"sv": np.frombuffer(own["s"])[:, None] * _matrix(own["v"], width(node))})
+    def pulled(rows: DataFrame, step, ready: bool = False) -> DataFrame:
+        """rows with what step makes of own columns v, last and of u = S v; ready: they are kept, and their sv is that of their v."""
+        held = rows if ready else settled(_mapped(rows, lambda node, own: {"sv": np.frombuffer(own["s"])[:, None] * _matrix(own["v"], width(node))}))
 
         def make(node, own, total):
-            v = _matrix(own["v"], width(node))
-            u = np.frombuffer(own["s"])[:, None] * total + np.frombuffer(own["alone"])[:, None] * v
-            return step(node, v, own["last"], u)
+            v, s = _matrix(own["v"], width(node)), np.frombuffer(own["s"])[:, None]
+            made = step(node, v, own["last"], s * total + np.frombuffer(own["alone"])[:, None] * v)
+            return made | {"sv": s * made["v"]}
 
-        held = settled(ready)
         return settled(_joined(product(tiles, held, "sv", widths, size), held.drop("sv"), make, ["s", "alone", "v", "last", "sv"], width))
 
     def turned(rows: DataFrame, turns: Turns, *columns: str) -> DataFrame:
@@ -222,8 +221,8 @@ def leading(tiles: DataFrame, wanted: Callable[[int], int], seed: int = 1) -> tu
             return {"v": new, "last": v}
 
         state = _mapped(state, first)
-        for _ in range(degree - 1):
-            state = pulled(state, more)
+        for n in range(degree - 1):
+            state = pulled(state, more, ready=n > 0)
     else:
         worst = {f: float(r[: goals[f]].max()) for f, r in residual.items() if (r[: goals[f]] > TOLERANCE).any()}
         raise ValueError(f"eigenvectors did not converge within {CYCLES} cycles; largest residuals {worst}")

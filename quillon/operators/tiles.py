@@ -3,6 +3,9 @@
 A tile holds the cells of `SIDE` rows and columns as doubles, 2 MB at most; the matrix of a small node is one tile of its own size. seen_i and
 seen_j say which ordinals the edges name. Vectors over the members come in blocks of the same side, so sums and
 products go tile by tile: no task holds more of a large matrix than a few tiles.
+
+Where members are points, a tile is made from its two blocks of vectors whenever it is needed (`pairs.facing`), and serves on both
+sides of the diagonal: what is kept grows with the blocks that each block meets, not with the cells.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions import kernels
+
 SIDE = 512
 BROADCAST_BYTES = 64 << 20  #: vectors up to this size are sent to the tiles, else the tiles are shuffled to them
 HELD = 64  #: blocks that a task sums up at once
@@ -55,6 +60,16 @@ def cells_of(row: dict) -> np.ndarray:
     return np.frombuffer(row["tile"]).reshape(row["rows"], row["cols"])
 
 
+def affinities_of(rows: int, cols: int, p: pa.Buffer | bytes, q: pa.Buffer | bytes, top: float, diagonal: bool) -> np.ndarray:
+    """The tile of two blocks of vectors: 1 - distance / top, with a diagonal of zeros."""
+    a = kernels.near_distances(np.frombuffer(p).reshape(rows, -1), np.frombuffer(q).reshape(cols, -1))
+    a /= -top
+    a += 1
+    if diagonal:
+        np.fill_diagonal(a, 0)
+    return a
+
+
 def assembled(table: pa.Table, side: int) -> tuple[np.ndarray, np.ndarray]:
     """(ordinals, matrix) of one node's tiles of that side."""
     some = [{c: table.column(c)[n].as_py() if c != "tile" else table.column(c)[n].as_buffer() for c in table.column_names if c != "node"} for n in range(table.num_rows)]
@@ -97,6 +112,15 @@ def degrees(tiles: DataFrame) -> DataFrame:
                 rows.append((t["node"], t["bj"], b"", t["seen_j"]))
             yield _packed(rows, ["node", "b", "degree", "seen"], batch.schema.field("node").type)
 
+    def faced(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for t in batch.to_pylist():
+                a, diagonal = affinities_of(t["rows"], t["cols"], t["p"], t["q"], t["top"], t["bi"] == t["bj"]), t["bi"] == t["bj"]
+                for b, axis in (("bi", 1), ("bj", 0))[: 2 - diagonal]:
+                    rows.append((t["node"], t[b], a.sum(axis).tobytes(), np.ones(a.shape[1 - axis], bool).tobytes()))
+            yield _packed(rows, ["node", "b", "degree", "seen"], batch.schema.field("node").type)
+
     def combine(table: pa.Table) -> pa.Table:
         total, seen = None, None
         for d, s in zip(table.column("degree").to_pylist(), table.column("seen").to_pylist(), strict=True):
@@ -105,7 +129,8 @@ def degrees(tiles: DataFrame) -> DataFrame:
         return pa.table({"node": table.column("node").slice(0, 1), "b": table.column("b").slice(0, 1), "degree": pa.array([degree.tobytes()], pa.binary()), "seen": pa.array([(seen > 0).tobytes()], pa.binary()), "members": pa.array([int((seen > 0).sum())], pa.int32())})
 
     schema = f"node {node_kind(tiles)}, b int, degree binary, seen binary"
-    return tiles.select("node", "bi", "bj", "rows", "cols", "tile", "seen_i", "seen_j").mapInArrow(sums, schema).groupBy("node", "b").applyInArrow(combine, f"{schema}, members int")
+    parts = tiles.mapInArrow(faced, schema) if "p" in tiles.columns else tiles.select("node", "bi", "bj", "rows", "cols", "tile", "seen_i", "seen_j").mapInArrow(sums, schema)
+    return parts.groupBy("node", "b").applyInArrow(combine, f"{schema}, members int")
 
 
 def beside(tiles: DataFrame, blocks: DataFrame, column: str, size: int) -> DataFrame:
@@ -140,4 +165,27 @@ def product(tiles: DataFrame, blocks: DataFrame, column: str, widths: dict, size
         if held:
             yield drain(batch.schema.field("node").type)
 
-    return beside(tiles, blocks, column, size).select("node", "bi", "rows", "cols", "tile", "x").mapInArrow(multiply, f"node {node_kind(tiles)}, b int, part binary")
+    def multiply_faced(batches) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("node").type
+            p, q, x, w = (batch.column(c) for c in ("p", "q", "x", "w"))
+            for n, t in enumerate(batch.select(["node", "bi", "bj", "rows", "cols", "top"]).to_pylist()):
+                a = affinities_of(t["rows"], t["cols"], p[n].as_buffer(), q[n].as_buffer(), t["top"], t["bi"] == t["bj"])
+                a = a * a if squared else a
+                right, left = (np.frombuffer(v[n].as_buffer()).reshape(-1, widths[t["node"]]) for v in (x, w))
+                for b, part in ((t["bi"], lambda: a @ right), (t["bj"], lambda: a.T @ left))[: 1 + (t["bi"] != t["bj"])]:
+                    held[t["node"], b] = _padded_sum(held.get((t["node"], b)), part())
+            if len(held) > HELD:
+                yield _packed([(*k, v.tobytes()) for k, v in held.items()], ["node", "b", "part"], kind)
+                held.clear()
+        if held:
+            yield _packed([(*k, v.tobytes()) for k, v in held.items()], ["node", "b", "part"], kind)
+
+    schema = f"node {node_kind(tiles)}, b int, part binary"
+    if "p" in tiles.columns:
+        near = blocks.select("node", F.col("b").alias("bi"), F.col(column).alias("w"))
+        both = beside(tiles, blocks, column, size).join(F.broadcast(near) if size <= BROADCAST_BYTES else near, ["node", "bi"])
+        return both.mapInArrow(multiply_faced, schema)
+    return beside(tiles, blocks, column, size).select("node", "bi", "rows", "cols", "tile", "x").mapInArrow(multiply, schema)

@@ -156,3 +156,30 @@ def test_failing_candidates_of_a_large_node(spark):
     t = settled(tiles.tiled(a.withColumnRenamed("family", "node")))
     got = clustering.sweep_large(t, lambda n: 5, lambda n: (2, 3, n), 0)
     assert sorted((r["k"], r["error"], r["n"]) for r in got.groupBy("k", "error").agg(F.count("ord").alias("n")).collect()) == [(2, None, 70), (3, None, 70), (70, "invalid_number_of_clusters", 0)]
+
+
+@pytest.mark.parametrize("dense", [6000, 150])
+def test_points_cluster_as_their_affinities_do(spark, sf_dir, monkeypatch, dense):
+    """From points, no affinity is a row or a kept tile; partitions, silhouettes and embeddings are those of the matrix, on both sides of the dense size."""
+    monkeypatch.setattr(tiles, "tiled", None)  # points need none
+    monkeypatch.setattr(tiles, "SIDE", 64)
+    monkeypatch.setattr(clustering, "DENSE", dense)
+    e = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.1") + "/embeddings.parquet").filter("label < 3")
+    p = settled(matrix.number_members(e.select(F.col("label").cast("string").alias("family"), F.col("vec_id").alias("sequence_id"), F.col("embedding").cast("array<double>").alias("vec"))))
+    known = p.select("family", "sequence_id", (F.col("sequence_id") % 3).cast("string").alias("known_subfamily"))
+    found = clustering.run_spectral_clustering(p, known)
+    vectors = clustering.spectral_embedding(p, 3).toArrow().to_pandas()
+    chosen = {r["family"]: r["selected_k"] for r in found.selected.collect()}
+    mine = found.membership.toArrow().to_pandas()
+    for family, rows in p.toPandas().sort_values("ord").groupby("family"):
+        x = np.stack(rows["vec"])
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        a = 1 - d / d.max()
+        np.fill_diagonal(a, 0)
+        swept = {k: (mean, label, each) for k, mean, _, label, each in clustering.sweep(a, 20, range(2, 21), 0, False)}
+        best = max(swept, key=lambda k: (swept[k][0], -k))
+        own = mine[mine["family"] == family].sort_values("ord")
+        assert chosen[family] == best and own["predicted_cluster"].tolist() == swept[best][1].tolist()
+        assert own["silhouette"].to_numpy() == pytest.approx(swept[best][2], abs=1e-6)
+        got = np.stack(vectors[vectors["family"] == family].sort_values("ord")["vec"])
+        assert got == pytest.approx(kernels.spectral_embedding(a, 3), abs=1e-6)

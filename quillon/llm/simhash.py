@@ -18,10 +18,9 @@ split into blocks, and each pair of blocks meets in a cell of its own, so no tas
 
 `near_groups` links documents by the Jaccard similarity of their word shingles instead. Candidates are
 pairs of fingerprints within a radius, and pairs that share one of `BANDS` values, each made of `ROWS`
-least hashes of the set, whose sketches of those hashes differ in `SKETCH_MOST` bits at most. The
-radius is the largest, up to `NEAR_RADIUS`, whose estimated work for each document stays within
-`WORK_NS`; it bears on cost alone, as the bands miss a pair at similarity 0.8 with a chance below
-1e-11 (1e-13 by the sketch) and fewer at higher similarity. Candidates chain documents into loose groups.
+least hashes of the set, whose sketches of those hashes differ in `SKETCH_MOST` bits at most. Both rules
+are the same at any size of the table: the radius is `NEAR_RADIUS`, and the bands miss a pair at similarity 0.8
+with a chance below 1e-11 (1e-13 by the sketch) and fewer at higher similarity. Candidates chain documents into loose groups.
 Inside one, sets are compared exactly, in two rounds: first each block of `GROUP_CELL` members within
 itself and with `LEADERS` members of the group, which brings the copies of one text together and moves
 each text once; then only the members outside the group's largest cluster with all members of other clusters.
@@ -53,7 +52,6 @@ SEED = 42
 SAMPLE = 4096
 CELL = 20_000
 TASK_ENTRIES = 100_000
-WORK_NS = 150_000.0  #: estimated work for each document that the pipeline's search by fingerprints may cost
 ROW_NS, PAIR_NS = 2500.0, 40.0  #: estimated work for an entry and for a comparison
 BITS = 64
 
@@ -139,15 +137,6 @@ def allot(costs: list[list[float]], radius: int) -> list[int]:
 
 def choose_index(sample: np.ndarray, rows: int, radius: int) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition in use, at the least estimated work for this many rows."""
-    return _cheapest(sample, rows, radius)[1]
-
-
-def affordable_radius(sample: np.ndarray, rows: int, most: int, work: float = WORK_NS) -> int:
-    """The largest radius up to `most` whose index costs `work` for each row at most by estimate; 0 at least."""
-    return next((r for r in range(most, 0, -1) if _cheapest(sample, rows, r)[0] <= work * rows), 0)
-
-
-def _cheapest(sample: np.ndarray, rows: int, radius: int) -> tuple[float, list[tuple[list[int], int]]]:
     fp = np.asarray(sample, np.int64).view(np.uint64)
     if len(fp) < 2:
         fp = np.arange(2, dtype=np.uint64)
@@ -170,7 +159,7 @@ def _cheapest(sample: np.ndarray, rows: int, radius: int) -> tuple[float, list[t
         total = sum(c[x + 1] for c, x in zip(costs, t, strict=True))
         if found is None or total < found[0]:
             found = (total, [(g, x) for g, x in zip(groups, t, strict=True) if x >= 0])
-    return found
+    return found[1]
 
 
 @lru_cache(maxsize=64)
@@ -251,7 +240,7 @@ def group_documents(docs: DataFrame, width: int = 3, radius: int = 3, seed: int
 
 # ---- by similarity
 
-NEAR_RADIUS = 14
+NEAR_RADIUS = 3
 EXTRA = 2  #: further fingerprint words
 EXTRA_SHARE = 0.26  #: of all bits, that may differ in a loose link: 4 deviations over the mean at similarity 0.8
 GROUP_CELL, LEADERS = 128, 4
@@ -426,7 +415,6 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int
     fps = stored(wide_fingerprints(docs.filter("doc_id is not null"), width, seed))
     classes = stored(fps.groupBy(*own, *words).agg(F.min(F.struct("doc_id", "text_hash", *SKETCH, "bands")).alias("first"), F.count("*").alias("copies")).select(*own, *words, "copies", "first.*").withColumn("id", F.monotonically_increasing_id()))
     rows = classes.count()
-    radius = affordable_radius(fingerprint_sample(classes), rows, radius)
     most = int(EXTRA_SHARE * BITS * len(words))
     entries = similar(classes, radius, rows, lambda pdf: _forest_of(pdf, radius, words, "id", most), ["id", *words])
     loose = components(entries.union(band_links(classes)))

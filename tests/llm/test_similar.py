@@ -371,3 +371,34 @@ def test_copies_and_empty_tables_of_vectors(spark):
     assert got == {v: (4, 2) for v in (9, 8, 7, 2, 11)}
     assert itq.near_duplicates(df.filter("false")).count() == 0
     assert itq.near_duplicates(df.filter("vec_id > 3")).filter("n_links > 0 or not kept").count() == 0
+
+
+def test_the_search_by_similarity_is_the_same_at_any_size(spark, monkeypatch):
+    """The radius handed to the search doesn't follow the number of rows, however large it is said to be."""
+    seen = []
+    search = simhash.similar
+    monkeypatch.setattr(simhash, "similar", lambda classes, radius=3, rows=None, *a, **b: seen.append(radius) or search(classes, radius, rows, *a, **b))
+    kept = simhash.stored
+
+    class Many:
+        """A table that says it has 2 ** 40 times its rows."""
+
+        def __init__(self, df):
+            self.df = df
+
+        def __getattr__(self, name):
+            return getattr(self.df, name)
+
+        def __getitem__(self, name):
+            return self.df[name]
+
+        def count(self):
+            return self.df.count() << 40
+
+    docs = spark.createDataFrame([(n, " ".join(f"w{n // 2}x{m}" for m in range(40))) for n in range(8)], "doc_id long, text string")
+    small = sorted(tuple(r) for r in simhash.near_groups(docs).select("doc_id", "component_id").collect())
+    monkeypatch.setattr(simhash, "stored", lambda df: Many(kept(df)) if "copies" in df.columns and "bands" in df.columns else kept(df))
+    monkeypatch.setattr(simhash, "similar", lambda classes, radius=3, rows=None, *a, **b: seen.append(radius) or search(classes.df, radius, classes.df.count(), *a, **b))
+    monkeypatch.setattr(simhash, "band_links", lambda classes, links=simhash.band_links: links(classes.df))
+    simhash.near_groups(docs)
+    assert small == [(n, n // 2 * 2) for n in range(8)] and seen == [simhash.NEAR_RADIUS] * 2

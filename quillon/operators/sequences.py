@@ -19,6 +19,33 @@ GAP = "-"
 LETTERS = 1 << 20  #: letters that a task counts at once
 
 
+def _counted(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The columns of whole numbers from 0 in rising order, and which places are the first of their values in all but the last column.
+
+    They are sorted as one number where their bits fit into it.
+    """
+    bits = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(bits) < 64:
+        packed = np.zeros(len(columns[0]), np.int64)
+        for c, n in zip(columns, bits, strict=True):
+            packed = (packed << n) | c.astype(np.int64)
+        packed.sort()
+        key = np.empty((len(columns), len(packed)), np.int64)
+        left = packed
+        for n in range(len(columns) - 1, -1, -1):
+            key[n] = left & ((1 << bits[n]) - 1)
+            left = left >> bits[n]
+        group = packed >> bits[-1]
+        new = np.ones(len(packed), bool)
+        new[1:] = group[1:] != group[:-1]
+        return key, new
+    key = np.stack([c.astype(np.int64) for c in columns])
+    key = key[:, np.lexsort(key[::-1])]
+    new = np.ones(key.shape[1], bool)
+    new[1:] = (key[:-1, 1:] != key[:-1, :-1]).any(0)
+    return key, new
+
+
 def column_counts(members: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, pos, base, n, first): how many members have each letter in each column, and the least ord of these.
 
@@ -30,6 +57,7 @@ def column_counts(members: DataFrame, keys: list[str]) -> DataFrame:
             node = batch.column("_node").dictionary_encode()
             codes, ords = node.indices.to_numpy(), batch.column("ord").to_numpy(zero_copy_only=False)
             _, of_node = np.unique(codes, return_index=True)  # a row of each node
+            by_rank, ranks = np.unique(ords, return_inverse=True)
             texts = batch.column("seq").to_pylist()
             lots, size = [[]], 0
             for row, text in enumerate(texts):
@@ -45,14 +73,11 @@ def column_counts(members: DataFrame, keys: list[str]) -> DataFrame:
                 letter = np.frombuffer("".join(x[2] for x in lot).encode("utf-32-le", "surrogatepass"), np.uint32)
                 row = np.repeat(rows, sizes)
                 pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
-                order = np.lexsort((ords[row], letter, pos, codes[row]))
-                key = np.stack((codes[row], pos, letter.astype(np.int64)))[:, order]
-                new = np.ones(len(order), bool)
-                new[1:] = (key[:, 1:] != key[:, :-1]).any(0)
-                at = np.flatnonzero(new)
+                key, first = _counted(codes[row], pos, letter, ranks[row])
+                at = np.flatnonzero(first)
                 one = pa.array(of_node[key[0, at]])
                 columns = [batch.column(k).take(one) for k in keys]
-                columns += [pa.array(key[1, at].astype(np.int32)), pa.array([chr(c) for c in key[2, at]]), pa.array(np.diff(at, append=len(order))), pa.array(ords[row[order[at]]], batch.column("ord").type)]
+                columns += [pa.array(key[1, at].astype(np.int32)), pa.array([chr(c) for c in key[2, at]]), pa.array(np.diff(at, append=len(first))), pa.array(by_rank[key[3, at]], batch.column("ord").type)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keys, "pos", "base", "n", "first"])
 
     schema = T.StructType([*[T.StructField(k, members.schema[k].dataType) for k in keys], T.StructField("pos", T.IntegerType()), T.StructField("base", T.StringType()), T.StructField("n", T.LongType()), T.StructField("first", members.schema["ord"].dataType)])

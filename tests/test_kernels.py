@@ -106,3 +106,18 @@ def test_identity_of_long_strings_in_little_memory():
     _, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert found > 0.97 and peak < 12e6  # the table would be 36 MB
+
+
+def test_letters_are_sorted_as_one_number():
+    """The same order and groups as by four columns, also where their bits don't fit."""
+    from quillon.operators.sequences import _counted
+
+    rng = np.random.default_rng(6)
+    columns = [rng.integers(0, m, 5000) for m in (3, 40, 5, 200)]
+    order = np.lexsort(columns[::-1])
+    want = np.stack(columns)[:, order]
+    first = np.ones(5000, bool)
+    first[1:] = (want[:3, 1:] != want[:3, :-1]).any(0)
+    for scale in (1, 1 << 20):
+        key, new = _counted(*[c * (scale if n != 2 else 1) for n, c in enumerate(columns)])
+        assert np.array_equal(key, want * np.array([scale, scale, 1, scale])[:, None]) and np.array_equal(new, first)

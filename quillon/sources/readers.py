@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from quillon import schema
 from quillon.functions.text import canonical_id, truthy
 from quillon.operators.checks import fail_on, validate_alignment, validate_labels, validate_square_matrix
+from quillon.operators.numbering import BROADCAST_ROWS
 from quillon.session import settled
 
 
@@ -45,16 +46,17 @@ def _records(spark: SparkSession, path: str | list[str], family: str | None, mar
     return _by_place(kept).select("family", "n", "value")
 
 
-def _by_place(kept: DataFrame) -> DataFrame:
-    """Stored rows (file, block, at, ...) with n, their number in their file from 0, in place of block and at."""
+def _by_place(kept: DataFrame, within: str = "file") -> DataFrame:
+    """Stored rows (file, block, at, ...) with n, their number from 0 in their file, or in their family's files by name, in place of block and at."""
     # within a split, places rise by one for each row; only where left out ones lie between do all need ranking
-    splits = kept.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("count"), F.max("at").alias("last"))
+    keys = list(dict.fromkeys([within, "file", "block"]))
+    splits = kept.groupBy(*keys).agg(F.min("at").alias("first"), F.count("*").alias("count"), F.max("at").alias("last"))
     if splits.filter("last - first + 1 <> count").isEmpty():
-        before = F.coalesce(F.sum("count").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        starts = splits.select("file", "block", "first", before.alias("before"))
-        return kept.join(starts, ["file", "block"]).withColumn("n", (F.col("at") - F.col("first") + F.col("before")).cast("int")).drop("block", "at", "first", "before")
-    ranks = kept.select("file", "block", "at").withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("block", "at")) - 1)
-    return kept.join(ranks, ["file", "block", "at"]).drop("block", "at")
+        before = F.coalesce(F.sum("count").over(Window.partitionBy(within).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = splits.select(*keys, "first", before.alias("before"))
+        return kept.join(starts, keys).withColumn("n", (F.col("at") - F.col("first") + F.col("before")).cast("int")).drop("block", "at", "first", "before")
+    ranks = kept.select(*keys, "at").withColumn("n", F.row_number().over(Window.partitionBy(within).orderBy("file", "block", "at")) - 1)
+    return kept.join(ranks, [*keys, "at"]).drop("block", "at")
 
 
 def _broken(rows: DataFrame, rules: list[tuple[Column, Column, str]]) -> None:
@@ -65,25 +67,80 @@ def _broken(rows: DataFrame, rules: list[tuple[Column, Column, str]]) -> None:
             raise ValueError(f"{message}: {value}")
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _lines(spark: SparkSession, path: str | list[str], family: str | None) -> DataFrame:
+    """(family, file, block, at, key, value): the lines of matrix files that hold more than white space; key is a hash of the line."""
+    raw = spark.read.text(path, lineSep="\n")
+    value = F.when(F.col("value").endswith("\r"), F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    found = raw.select(_family(raw, family).alias("family"), *place, value.alias("value"))
+    return found.filter(F.col("value").rlike(r"\S")).withColumn("key", F.xxhash64("value"))
+
+
+class _Matrices:
+    """The lines of matrix files, looked at without being kept.
+
+    A first pass keeps `facts` of each line and its number n in its family, whose files follow each other by name. Later passes read the text anew and know
+    a line again by its hash, whatever splits they get; lines are kept if two of a family have one hash. At least one row for each line is kept, none for a cell.
+    """
+
+    def __init__(self, lines: DataFrame, facts: DataFrame):
+        self.lines = lines
+        self.places = settled(_by_place(settled(facts), "family"))
+        self.count = self.places.count()
+        twice = self.places.groupBy("family", "key").count().filter("count > 1")
+        self.kept = None if twice.isEmpty() else _by_place(settled(lines), "family")
+
+    def numbered(self) -> DataFrame:
+        """lines with n."""
+        if self.kept is not None:
+            return self.kept
+        n = F.coalesce("n", F.raise_error(F.lit("matrix files changed while they were read")).cast("int"))
+        return self.lines.join(_small(self.places.select("family", "key", "n"), self.count), ["family", "key"], "left").withColumn("n", n)
+
+    def edges(self, body: DataFrame, ids: DataFrame, texts: Column) -> DataFrame:
+        """(family, i, j, src, dst, distance, distance_text) of body's lines, whose cells are texts; ids: (family, ids)."""
+        cells = body.join(_small(ids, self.count), "family").select("family", (F.col("n") - 1).alias("i"), "src", "ids", F.posexplode(texts).alias("j", "distance_text"))
+        return cells.select("family", "i", "j", "src", F.get("ids", "j").alias("dst"), F.col("distance_text").try_cast("double").alias("distance"), "distance_text")
+
+
+def _in_order(rows: DataFrame, name: str) -> DataFrame:
+    """(family, ids): each family's names by n."""
+    return rows.groupBy("family").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", name))), lambda e: e[name]).alias("ids"))
+
+
+def _unread(texts: Column, allowed: Column | None = None) -> Column:
+    """The least of texts that is no number, if any."""
+    wrong = lambda x: x.try_cast("double").isNull() if allowed is None else x.try_cast("double").isNull() & (F.lower(F.trim(x)) != allowed)
+    return F.when(F.exists(texts.try_cast("array<double>"), F.isnull), F.array_min(F.filter(texts, wrong)))
+
+
 def scan_mldist(spark: SparkSession, path: str | list[str], family: str | None = None) -> DataFrame:
-    """Edges of phylogenetic distance files: a count, then a row of id and distances for each sequence."""
-    lines = _records(spark, path, family)
-    heads = lines.filter("n = 0").select("family", F.trim("value").try_cast("int").alias("size"))
-    body = lines.filter("n > 0").select("family", (F.col("n") - 1).alias("i"), F.split(F.trim("value"), r"\s+").alias("cells"))
-    shapes = body.groupBy("family").agg(F.count("*").alias("rows"), F.min(F.size("cells") - 1).alias("least"), F.max(F.size("cells") - 1).alias("most"))
+    """Edges of phylogenetic distance files: a count, then a row of id and distances for each sequence.
+
+    Files are checked now, by line; edges are made from the text whenever they are used, and not kept.
+    """
+    lines = _lines(spark, path, family)
+    words = lambda df: df.withColumn("cells", F.split(F.trim("value"), r"\s+"))
+    texts = F.slice("cells", F.lit(2), F.size("cells") - 1)
+    facts = words(lines).select("family", "file", "block", "at", "key", F.col("cells")[0].alias("src"), (F.size("cells") - 1).alias("width"), F.trim("value").try_cast("int").alias("size"), _unread(texts).alias("wrong"))
+    found = _Matrices(lines, facts)
+    heads, body = found.places.filter("n = 0"), found.places.filter("n > 0")
+    shapes = body.groupBy("family").agg(F.count("*").alias("rows"), F.min("width").alias("least"), F.max("width").alias("most"))
     if heads.isEmpty():
         raise ValueError("mldist header is not a whole number: no file holds a line")
     name, size = F.col("family"), F.col("size")
-    _broken(heads.join(shapes, "family", "left"), [
+    _broken(heads.select("family", "size").join(shapes, "family", "left"), [
         (size.isNull(), name, "mldist header is not a whole number"),
         (F.coalesce("rows", F.lit(0)) != size, name, "mldist row count differs from its header"),
         ((F.col("least") != size) | (F.col("most") != size), name, "mldist row has another number of distances"),
     ])
-    ids = body.select("family", F.col("i").alias("j"), F.col("cells")[0].alias("dst"))
-    cells = body.select("family", "i", F.col("cells")[0].alias("src"), F.posexplode(F.slice("cells", F.lit(2), F.size("cells") - 1)).alias("j", "distance_text"))
-    edges = settled(cells.join(ids, ["family", "j"]).select("family", "i", "j", "src", "dst", F.col("distance_text").try_cast("double").alias("distance"), "distance_text"))
-    _broken(edges, [(F.col("distance").isNull(), F.concat_ws(" ", "family", "src", "distance_text"), "mldist distance is not a number")])
-    return edges
+    _broken(body, [(F.col("wrong").isNotNull(), F.concat_ws(" ", "family", "src", "wrong"), "mldist distance is not a number")])
+    rows = words(found.numbered().filter("n > 0")).withColumn("src", F.col("cells")[0])
+    return found.edges(rows, _in_order(body, "src"), texts)
 
 
 def read_mldist(spark: SparkSession, path: str | list[str], family: str | None = None) -> DataFrame:

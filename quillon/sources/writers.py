@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,14 +42,35 @@ def write_dataframe(df: DataFrame, path: str, format: str = "csv", single: bool
 
 def write_matrix(edges: DataFrame, path: str, value: str) -> None:
     """One family's edges as a square CSV with row and column names."""
-    quote = lambda c: F.when(c.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
     cells = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", F.col(value).cast("string").alias("v")))), lambda e: e["v"]), ",")
-    rows = edges.groupBy("i", quote(F.col("src")).alias("src")).agg(cells.alias("cells")).select("i", F.concat_ws(",", "src", "cells").alias("value"))
-    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", quote(F.col("dst")).alias("v")))), lambda e: e["v"]), ",")
+    rows = edges.groupBy("i", _quoted(F.col("src")).alias("src")).agg(cells.alias("cells")).select("i", F.concat_ws(",", "src", "cells").alias("value"))
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", _quoted(F.col("dst")).alias("v")))), lambda e: e["v"]), ",")
     head = edges.filter("i = 0").agg(F.lit(-1).alias("i"), F.concat(F.lit(","), names).alias("value"))
     _one_file(head.union(rows).orderBy("i").select("value"), path, lambda w, p: w.text(p))
 
 
+def _quoted(c: Column) -> Column:
+    return F.when(c.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+
+def _write_rows(rows: DataFrame, path: str, head: Column, name: Column, separator: str) -> None:
+    cells = F.array_join(F.transform("distances", lambda d: d.cast("string")), separator)
+    line = F.concat(F.when(F.col("ids").isNotNull(), F.concat(head, F.lit("\n"))).otherwise(F.lit("")), F.concat_ws(separator, name, cells))
+    # the order of rows holds: partitions are files by their names
+    rows.select("family", line.alias("value")).write.partitionBy("family").options(**{"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}).text(path)
+
+
+def write_mldist_rows(rows: DataFrame, path: str) -> None:
+    """Distance files of many families from `pairs.rows`: a folder for each, in compressed parts whose names have the order of the lines."""
+    _write_rows(rows, path, F.col("n").cast("string"), F.col("src").cast("string"), " ")
+
+
+def write_matrix_rows(rows: DataFrame, path: str) -> None:
+    """Square CSVs with row and column names of many families from `pairs.rows`, in such parts."""
+    names = F.array_join(F.transform("ids", lambda c: _quoted(c.cast("string"))), ",")
+    _write_rows(rows, path, F.concat(F.lit(","), names), _quoted(F.col("src").cast("string")), ",")
+
+
 def write_json(row: DataFrame | dict, path: str, spark: SparkSession | None = None) -> None:
     """One row as a JSON file: two spaces, characters as they are, a newline at the end. Written by Spark, so any path will do."""
     if isinstance(row, DataFrame):
@@ -77,11 +98,13 @@ def write_mldist(edges: DataFrame, path: str, names: DataFrame | None = None) ->
     head.union(body).orderBy("i").select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
-def public_names(ids: DataFrame, family: str) -> DataFrame:
-    """(sequence_id, public_id): numbered names in table order."""
+def public_names(ids: DataFrame, family: str | None = None) -> DataFrame:
+    """(sequence_id, public_id): numbered names in table order; with no family given, (family, ...) of each that ids hold."""
     from quillon.functions.text import public_id
     from quillon.operators.numbering import numbered
 
+    if family is None:
+        return numbered(ids.select("family", "sequence_id", "ord"), ["family"], ["ord"], "_n").select("family", "sequence_id", public_id("family", F.col("_n") + 1).alias("public_id"))
     return numbered(ids.select("sequence_id", "ord"), [], ["ord"], "_n").select("sequence_id", public_id(F.lit(family), F.col("_n") + 1).alias("public_id"))
 
 

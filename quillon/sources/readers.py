@@ -160,15 +160,34 @@ def _cells(lines: DataFrame) -> DataFrame:
     return plain.union(lines.filter(quoted).select("family", "n", _quoted_cells("value").alias("cells")))
 
 
+#: A line whose first cell alone is in quotes.
+_LED = r'^"([^"]*(?:""[^"]*)*)"(?:,([^"]*))?$'
+
+
 def read_matrix_csv(spark: SparkSession, path: str | list[str], family: str | None = None) -> DataFrame:
-    """Edges of a labelled square CSV, which must be symmetric but may be negative."""
-    rows = _cells(_records(spark, path, family))
-    after = F.expr("slice(cells, 2, greatest(size(cells) - 1, 0))")
-    heads = rows.filter("n = 0").select("family", F.posexplode(after).alias("j", "dst"))
-    body = rows.filter("n > 0").select("family", (F.col("n") - 1).alias("i"), F.trim(F.col("cells")[0]).alias("src"), F.posexplode(after).alias("j", "text"))
-    edges = settled(body.join(heads, ["family", "j"], "left").select("family", "i", "j", "src", F.trim("dst").alias("dst"), F.col("text").try_cast("double").alias("distance"), "text"))
-    _broken(edges, [(F.col("distance").isNull() & ~F.lower(F.trim("text")).isin("nan"), F.concat_ws(" ", "family", "src", "text"), "matrix value is not a number")])
-    return validate_square_matrix(edges.drop("text"), name="matrix")
+    """Edges of a labelled square CSV, which must be symmetric but may be negative.
+
+    Files are checked now, and edges made from the text whenever they are used. Of lines with quotes beyond the first cell the cells are kept.
+    """
+    lines = _lines(spark, path, family)
+    quoted = F.col("value").contains('"')
+    lines = lines.withColumn("hard", quoted & ~F.col("value").rlike(_LED))
+    own = F.array(F.replace(F.regexp_extract("value", _LED, 1), F.lit('""'), F.lit('"')))
+    rest = F.when(F.col("value").endswith('"'), F.array().cast("array<string>")).otherwise(F.split(F.regexp_extract("value", _LED, 2), ",", -1))
+    plain = lambda df: df.withColumn("cells", F.when(quoted, F.concat(own, rest)).otherwise(F.split("value", ",", -1)))
+    texts, src = F.expr("slice(cells, 2, greatest(size(cells) - 1, 0))"), F.trim(F.col("cells")[0])
+    wrong = _unread(texts, F.lit("nan"))
+    parsed = plain(lines.withColumn("text", F.when(F.col("hard"), F.col("value"))).withColumn("value", F.when(~F.col("hard"), F.col("value"))))
+    found = _Matrices(lines, parsed.select("family", "file", "block", "at", "key", "text", src.alias("src"), wrong.alias("wrong")))
+    hard = settled(found.places.filter("text is not null").select("family", "n", _quoted_cells("text").alias("cells")))
+    faults = found.places.select("family", "n", "src", "wrong").union(hard.select("family", "n", src, wrong))
+    _broken(faults.filter("n > 0"), [(F.col("wrong").isNotNull(), F.concat_ws(" ", "family", "src", "wrong"), "matrix value is not a number")])
+    rows = plain(found.numbered().filter("not hard")).select("family", "n", "cells")
+    if not hard.isEmpty():
+        rows = rows.union(hard)
+    heads = settled(rows.filter("n = 0").select("family", F.transform(texts, lambda x: F.trim(x)).alias("ids")))
+    edges = found.edges(rows.filter("n > 0").withColumn("src", src), heads, texts)
+    return validate_square_matrix(edges.drop("distance_text"), name="matrix")
 
 
 def read_matrix_ids(spark: SparkSession, path: str | list[str]) -> DataFrame:

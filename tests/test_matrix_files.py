@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import matrix, pairs
+from quillon.operators import checks, matrix, pairs
 from quillon.plans.catalogue import QUERIES
 from quillon.session import settled
 from quillon.sources import readers, writers
@@ -38,14 +38,18 @@ def test_rows_in_order(spark, small):
 
 
 def test_files_in_parts(spark, small, tmp_path):
-    """A family's parts follow each other by name."""
+    """A family's parts follow each other by name; ids with quotes, commas and blanks come back."""
     points = points_of(spark, {"a": 13, "b": 1, "c": 6}, 's "{n}", {f}')
+    want, made = rows(matrix.pairwise_distance(points)), pairs.rows(pairs.packed(points))
+    writers.write_matrix_rows(made, str(tmp_path / "csv"))
+    assert len(list((tmp_path / "csv/family=a").glob("part-*"))) > 2
+    assert rows(readers.read_matrix_csv(spark, str(tmp_path / "csv"))) == want
     plain = points.withColumn("sequence_id", F.translate("sequence_id", ' ",', "_"))
     writers.write_mldist_rows(pairs.rows(pairs.packed(plain)), str(tmp_path / "mldist"))
     assert rows(readers.read_mldist(spark, str(tmp_path / "mldist"))) == rows(matrix.pairwise_distance(plain))
 
 
-@pytest.mark.parametrize("query", ["scan_mldist", "published_names"])
+@pytest.mark.parametrize("query", ["scan_mldist", "matrix_csv", "published_names"])
 def test_no_cell_is_kept_or_shuffled(spark, sf_dir, monkeypatch, query):
     kept, plans = [], []
 
@@ -55,7 +59,7 @@ def test_no_cell_is_kept_or_shuffled(spark, sf_dir, monkeypatch, query):
         plans.append(df._jdf.queryExecution().toString())
         return found
 
-    for module in (readers, pairs):
+    for module in (readers, pairs, checks):
         monkeypatch.setattr(module, "settled", watched)
     found = QUERIES[query](spark, sf_dir)
     plan = found._jdf.queryExecution().executedPlan().toString()
@@ -75,3 +79,14 @@ def test_changed_files_are_an_error(spark, tmp_path):
     path.write_text("1\nb 0\n")
     with pytest.raises(Exception, match="changed|FAILED_READ_FILE"):
         got.collect()
+
+
+def test_asymmetric_cells_by_sums(spark):
+    """Differences within and beyond the tolerance, infinite values, repeated cells that a parity would miss."""
+    edges = matrix.pairwise_distance(points_of(spark, {"a": 9, "b": 4})).select("family", "i", "j", "distance")
+    assert checks.asymmetric(edges).isEmpty()
+    change = F.when(F.expr("family = 'a' and i = 2 and j = 7"), F.col("distance") + 0.5).when(F.expr("family = 'b' and i = 1 and j = 3"), F.col("distance") + 1e-12).when(F.expr("family = 'a' and i = 1 and j = 1"), float("inf"))
+    bent = settled(edges.withColumn("distance", F.coalesce(change, "distance")))
+    assert {(r["family"], r["i"], r["j"]) for r in checks.asymmetric(bent).collect()} == {("a", 2, 7), ("a", 7, 2), ("a", 1, 1)}
+    twice = spark.createDataFrame([("f", 0, 1, 1.0)] * 2 + [("f", 1, 0, 2.0)] * 2, "family string, i int, j int, distance double")
+    assert checks.asymmetric(twice).count() == 8

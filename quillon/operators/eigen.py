@@ -8,6 +8,9 @@ locked: filters leave them alone, so they no longer limit a filter's degree. It
 after `CYCLES` cycles; there is no other end.
 
 Products go tile by tile, other steps block by block; the driver sees Gram matrices of WIDTH columns of each node.
+
+Of points, a node of up to `WHOLE` members is solved by the same steps in one task (`leading_of_points`), from its vectors alone: a tile of
+affinities lives for one product, so a task holds the vectors and a few times WIDTH columns, and the driver a row for each node.
 """
 
 from __future__ import annotations
@@ -18,10 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillon.functions import kernels
+from quillon.operators import tiles as square
+from quillon.operators.pairs import vectors_of
 from quillon.operators.tiles import SIDE, degrees, node_kind, product
 from quillon.session import settled
 
-WIDTH, DEGREE, CYCLES = 64, 24, 80
+WIDTH, DEGREE, CYCLES = 96, 24, 80
+WHOLE, STEP, WARM = 1 << 16, 512, 3  #: members of the largest node of points solved in one task and of a tile there; its first steps
 TOLERANCE = 1e-10
 GROWTH = 1e6, 1e11  #: most that a filter may enlarge a column that is not locked, and one that is, over the last
 
@@ -123,7 +130,11 @@ def interval(values: np.ndarray, goal: int, least: float | None, bound: float) -
         return bound, float(values[-1])
     wanted = float(values[goal - 1])
     near = values[values > (wanted + least) / 2]
-    return max(bound, least - 0.1 * (wanted - least)), float(near[-1]) if len(near) else wanted
+    low = max(bound, least - 0.1 * (wanted - least))
+    # three quarters of the columns suffice: what lies between them and the wanted ones then stays in the span, and hinders none
+    spare = max(0.0, float(values[max(goal, 3 * len(values) // 4) - 1]))
+    high = float(near[-1]) if len(near) else wanted
+    return low, spare if low < spare < high else high
 
 
 def filter_degree(values: np.ndarray, locked: int, low: float, high: float) -> int:
@@ -237,3 +248,140 @@ def leading(tiles: DataFrame, wanted: Callable[[int], int], seed: int = 1) -> tu
 
     blocks = state.mapInArrow(embedded, f"node {kind}, b int, x binary").join(known.select("node", "b", "seen"), ["node", "b"])
     return settled(blocks), {f: (members[f], values[f][: goals[f]], residual[f][: goals[f]]) for f in members}
+
+
+# ---- nodes of points in one task
+
+
+class _Tiles:
+    """Distances of points by tiles on the diagonal and above: within 1e-10 of their size, what a product would blur is measured anew."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, norms, one = x, (x * x).sum(1)[:, None], np.ones((len(x), 1))
+        self.plain = bool(norms.max(initial=0) < 1e200)
+        self.left, self.right = np.hstack((-2 * x, norms, one)), np.ascontiguousarray(np.hstack((x, one, norms)).T)
+        self.close = 1e-3 * float(norms.max(initial=0))
+        self.room = np.empty(STEP * STEP)
+
+    def __iter__(self):
+        """(rows, columns, distances); the last live until the next."""
+        for i in range(0, len(self.x), STEP):
+            for j in range(i, len(self.x), STEP):
+                rows, columns = slice(i, i + STEP), slice(j, j + STEP)
+                if not self.plain:
+                    yield rows, columns, kernels.distances(self.x[rows], self.x[columns])
+                    continue
+                p, q = self.left[rows], self.right[:, columns]
+                d = np.matmul(p, q, out=self.room[: len(p) * q.shape[1]].reshape(len(p), -1))
+                if i == j:
+                    np.fill_diagonal(d, np.inf)
+                if d.min() < self.close:
+                    a, b = np.nonzero(d < self.close)
+                    for at in range(0, len(a), 1 << 14):
+                        m, n = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
+                        d[m, n] = ((self.x[i + m] - self.x[j + n]) ** 2).sum(1)
+                if i == j:
+                    np.fill_diagonal(d, 0)
+                yield rows, columns, np.sqrt(d, out=d)
+
+    def longest(self) -> float:
+        """The largest distance; all that may be it are measured exactly."""
+        top = 0.0
+        for rows, columns, d in self:
+            most = float(d.max())
+            if not most >= top * (1 - 1e-9):
+                continue
+            i, j = np.nonzero(d >= max(top, most) * (1 - 1e-9))
+            for a in np.unique(i):
+                top = max(top, float(kernels.distances(self.x[rows][a : a + 1], self.x[columns][j[i == a]]).max()))
+        return top
+
+    def times(self, top: float, v: np.ndarray) -> np.ndarray:
+        """The product of the affinities, 1 - d / top and a diagonal of zeros, with v."""
+        out = np.zeros_like(v)
+        for rows, columns, d in self:
+            out[rows] += d @ v[columns]
+            if rows != columns:
+                out[columns] += d.T @ v[rows]
+        return v.sum(0) - v - out / top
+
+    def energy(self, top: float, s: np.ndarray) -> float:
+        """The sum of squares of the affinities scaled by s on both sides."""
+        total = 0.0
+        for rows, columns, d in self:
+            a = 1 - d / top
+            if rows == columns:
+                np.fill_diagonal(a, 0)
+            total += (1 + (rows != columns)) * float(s[rows] ** 2 @ (a * a @ s[columns] ** 2))
+        return total
+
+
+def solve_points(x: np.ndarray, goal: int, seed: int = 1, cycles: int = CYCLES) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(D^-1/2 times the eigenvectors, eigenvalues, residual norms, largest distance) of the goal first, by the steps of `leading`."""
+    n, some = len(x), _Tiles(x)
+    top = some.longest()
+    if not 0 < top < np.inf:
+        return np.zeros((n, 0)), np.zeros(0), np.zeros(0), top
+    width = min(WIDTH, n)
+    degree = some.times(top, np.ones((n, 1)))[:, 0]
+    tied = degree > 1e-13 * n  # sums of zeros are zero but for rounding
+    s, alone = np.where(tied, 1 / np.sqrt(np.where(tied, degree, 1)), 0.0)[:, None], (~tied)[:, None].astype(float)
+    pulled = lambda v: s * some.times(top, s * v) + alone * v
+    energy = some.energy(top, s[:, 0]) + float(alone.sum())
+    v, least = np.random.default_rng(seed).standard_normal((n, width)), 1.0
+
+    def orthonormal(v):
+        for _ in range(2):  # the second time for what rounding left
+            v = v @ _orthonormaliser(v.T @ v)
+        return v
+
+    for _ in range(WARM):  # plain steps show where the values lie
+        v = pulled(orthonormal(v))
+    for _ in range(cycles):
+        v = orthonormal(v)
+        u = pulled(v)
+        m = v.T @ u
+        values, turn = np.linalg.eigh((m + m.T) / 2)
+        values, turn = values[::-1], turn[:, ::-1]
+        v, u = v @ turn, u @ turn
+        residual = np.sqrt(((u - v * values) ** 2).sum(0))
+        locked = int(np.argmax(np.append(residual > TOLERANCE, True)))
+        if locked >= goal:
+            return v[:, :goal] * (s + alone), values[:goal], residual[:goal], top
+        bound = max(-1.0, -float(np.sqrt(max(0.0, energy - (values**2).sum()) + 1e-12)))
+        least = min(least, float(values[-1]))
+        low, high = interval(values, goal, least, bound)
+        middle, half = (high + low) / 2, max((high - low) / 2, 1e-12)
+        # locked columns stay as they are
+        last, new = v[:, locked:], (u[:, locked:] - middle * v[:, locked:]) / half
+        for _ in range(filter_degree(values, locked, low, high) - 1):
+            last, new = new, 2 * (pulled(new) - middle * new) / half - last
+        new = np.hstack((v[:, :locked], new))
+        v = new
+    return v[:, :0], values[:goal], residual[:goal], top
+
+
+def leading_of_points(points: DataFrame, wanted: Callable[[int], int], seed: int = 1) -> tuple[DataFrame, dict[object, tuple[int, np.ndarray, np.ndarray]]]:
+    """`leading` of nodes of points (node, ord, vec), ord from 0, a task for each node."""
+    side, cycles = square.SIDE, CYCLES
+
+    def solve(table: pa.Table) -> pa.Table:
+        table = table.sort_by("ord").combine_chunks()
+        n = table.num_rows
+        x, size = vectors_of(pa.concat_arrays(table.column("vec").chunks))
+        if (size != x.shape[1]).any() or not np.isfinite(x).all() or (table.column("ord").to_numpy() != np.arange(n)).any():
+            raise ValueError(f"members need finite vectors of one length, numbered from 0: {table.column('node')[0].as_py()}")
+        goal = min(n, wanted(n) + 1)
+        found, values, residual, top = solve_points(np.asarray(x, np.float64), goal, seed, cycles)
+        if not 0 < top < np.inf:
+            raise ValueError(f"members need finite vectors of one length, and a distance greater than zero: {table.column('node')[0].as_py()}")
+        if not found.shape[1]:
+            raise ValueError(f"eigenvectors did not converge within {cycles} cycles; largest residual of {table.column('node')[0].as_py()}: {residual.max()}")
+        starts = range(0, n, side)
+        x = [np.ascontiguousarray(found[at : at + side, 1:]).tobytes() for at in starts]
+        one = pa.array(np.zeros(len(x), np.int32))
+        return pa.table({"node": table.column("node").take(one), "b": pa.array(range(len(x)), pa.int32()), "x": pa.array(x, pa.binary()), "seen": pa.array([np.ones(min(side, n - at), bool).tobytes() for at in starts], pa.binary()), "n": pa.array([n] * len(x), pa.int32()), "facts": pa.array([np.stack((values, residual)).tobytes()] * len(x), pa.binary())})
+
+    blocks = settled(points.select("node", "ord", "vec").groupBy("node").applyInArrow(solve, f"node {node_kind(points)}, b int, x binary, seen binary, n int, facts binary"))
+    facts = {r["node"]: (r["n"], *np.frombuffer(r["facts"]).reshape(2, -1)) for r in blocks.filter("b = 0").select("node", "n", "facts").collect()}
+    return blocks.drop("n", "facts"), facts

@@ -8,8 +8,12 @@ Spark's CSV parser, of unlike heads in one scan.
 from __future__ import annotations
 
 import csv
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -160,6 +164,72 @@ def _cells(lines: DataFrame) -> DataFrame:
     return plain.union(lines.filter(quoted).select("family", "n", _quoted_cells("value").alias("cells")))
 
 
+SQUARE = 9  #: bits of the side of a square whose hashes are summed up
+
+
+def _hashes(low: np.ndarray, high: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """64 bits of each cell (splitmix64's last steps)."""
+    h = (values + 0.0).view(np.uint64) ^ ((low.astype(np.uint64) << np.uint64(32) | high.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+def _line_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (family, i, n, fits, rest) by family and square: signed sums of hashes, in halves; with bi = -1, how many lines, and whether all are whole rows of finite numbers."""
+    for batch in batches:
+        sums: dict[tuple, int] = {}
+        facts: dict[str, list] = {}
+        for family, i, n, fits, rest in zip(*(batch.column(c) for c in ("family", "i", "n", "fits", "rest")), strict=True):
+            family, i, n = family.as_py(), i.as_py(), n.as_py()
+            fact = facts.setdefault(family, [0, True])
+            fact[0] += 1
+            if not fact[1]:
+                continue
+            try:
+                values = pc.split_pattern(pa.array([rest.as_py()], pa.large_string()), ",").values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+            except pa.ArrowInvalid:  # numbers in other forms are left to the checks by cell
+                values = np.empty(0)
+            if not fits.as_py() or len(values) != n or not 0 <= i < n or not np.isfinite(values).all():
+                fact[1] = False
+                continue
+            j = np.arange(n)
+            h = _hashes(np.minimum(i, j), np.maximum(i, j), values)
+            h[:i] = -h[:i]
+            h[i] = 0
+            for b, s in enumerate(np.add.reduceat(h, np.arange(0, n, 1 << SQUARE)).tolist()):
+                key = family, min(b, i >> SQUARE), max(b, i >> SQUARE)
+                sums[key] = (sums.get(key, 0) + s) & (1 << 64) - 1
+        rows = [(f, lo, hi, s >> 32, s & (1 << 32) - 1, None, None) for (f, lo, hi), s in sums.items()] + [(f, -1, -1, 0, 0, *fact) for f, fact in facts.items()]
+        kinds = [batch.schema.field("family").type, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        columns = list(zip(*rows, strict=True)) or [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["family", "bi", "bj", "high", "low", "lines", "whole"])
+
+
+def _sound(lines: DataFrame, heads: DataFrame) -> bool:
+    """Whether each family's lines (family, n, src, rest), without quotes past the first cell, make a square, finite and symmetric matrix under its head's ids.
+
+    No cell becomes a row: lines are parsed in tasks that pass on sums of hashes, as `checks.asymmetric` takes them. False only says that a look at the cells must decide.
+    """
+    sizes = heads.select("family", "ids", F.size("ids").alias("size"))
+    odd = sizes.filter((F.col("size") < 1) | (F.size(F.array_distinct("ids")) < F.col("size")) | F.exists("ids", lambda x: x.isNull() | (F.trim(x) == "")))
+    if heads.isEmpty() or not odd.isEmpty():
+        return False
+    # ids meet lines by their places, so that no line carries them all
+    placed = sizes.select("family", "size", F.posexplode("ids").alias("i", "id"))
+    joined = lines.withColumn("i", F.col("n") - 1).join(_small(placed, heads.agg(F.sum(F.size("ids"))).first()[0]), ["family", "i"], "left")
+    fits = F.coalesce(F.col("src") == F.col("id"), F.lit(False))
+    each = joined.select("family", "i", F.coalesce("size", F.lit(-1)).alias("n"), fits.alias("fits"), F.coalesce("rest", F.lit("")).alias("rest"))
+    found = each.mapInArrow(_line_sums, "family string, bi int, bj int, high long, low long, lines long, whole boolean")
+    found = settled(found.groupBy("family", "bi", "bj").agg(F.sum("high").alias("high"), F.sum("low").alias("low"), F.sum("lines").alias("lines"), F.min("whole").alias("whole")))
+    carried = (F.col("high") + F.shiftright("low", 32)) % F.lit(1 << 32)
+    if not found.filter((F.col("low") % F.lit(1 << 32) != 0) | (carried != 0)).isEmpty():
+        return False
+    counts = found.filter("bi = -1").select("family", "lines", "whole")
+    return sizes.join(counts, "family", "full").filter("lines is null or size is null or lines <> size or not whole").isEmpty()
+
+
 #: A line whose first cell alone is in quotes.
 _LED = r'^"([^"]*(?:""[^"]*)*)"(?:,([^"]*))?$'
 
@@ -167,7 +237,8 @@ _LED = r'^"([^"]*(?:""[^"]*)*)"(?:,([^"]*))?$'
 def read_matrix_csv(spark: SparkSession, path: str | list[str], family: str | None = None) -> DataFrame:
     """Edges of a labelled square CSV, which must be symmetric but may be negative.
 
-    Files are checked now, and edges made from the text whenever they are used. Of lines with quotes beyond the first cell the cells are kept.
+    Files are checked now, and edges made from the text whenever they are used. Of lines with quotes beyond the first cell the cells are kept. Lines are looked
+    at whole; where these leave a doubt, their cells are looked at one by one, which also names the fault.
     """
     lines = _lines(spark, path, family)
     quoted = F.col("value").contains('"')
@@ -183,11 +254,18 @@ def read_matrix_csv(spark: SparkSession, path: str | list[str], family: str | No
     faults = found.places.select("family", "n", "src", "wrong").union(hard.select("family", "n", src, wrong))
     _broken(faults.filter("n > 0"), [(F.col("wrong").isNotNull(), F.concat_ws(" ", "family", "src", "wrong"), "matrix value is not a number")])
     rows = plain(found.numbered().filter("not hard")).select("family", "n", "cells")
-    if not hard.isEmpty():
-        rows = rows.union(hard)
-    heads = settled(rows.filter("n = 0").select("family", F.transform(texts, lambda x: F.trim(x)).alias("ids")))
-    edges = found.edges(rows.filter("n > 0").withColumn("src", src), heads, texts)
-    return validate_square_matrix(edges.drop("distance_text"), name="matrix")
+    quoted_heads, easy = hard.filter("n = 0"), hard.filter("n > 0").isEmpty()
+    if quoted_heads.count() < found.places.filter("n = 0").count():  # else no line needs to be read for them
+        quoted_heads = quoted_heads.union(rows.filter("n = 0"))
+    heads = settled(quoted_heads.select("family", F.transform(texts, lambda x: F.trim(x)).alias("ids")))
+    body = plain(found.numbered().filter("n > 0")) if easy else rows.union(hard).filter("n > 0")
+    edges = found.edges(body.withColumn("src", src), heads, texts).drop("distance_text")
+    if easy:
+        after = F.when(quoted, F.regexp_extract("value", _LED, 2)).when(F.instr("value", ",") > 0, F.expr("substring(value, instr(value, ',') + 1)"))
+        first = F.when(quoted, own[0]).otherwise(F.substring_index("value", ",", 1))
+        if _sound(found.numbered().filter("n > 0").select("family", "n", F.trim(first).alias("src"), after.alias("rest")), heads):
+            return edges
+    return validate_square_matrix(edges, name="matrix")
 
 
 def read_matrix_ids(spark: SparkSession, path: str | list[str]) -> DataFrame:
